@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelgraph.llm import ngram_join, substring_dedup
+from voxelgraph.llm import decontamination, ngram_join, packing, quality_classifier, substring_dedup
 from voxelgraph.llm.exchange import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.stage(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a Jaccard similarity of 0.8 or more on five-word shingles stays."""
     return ngram_join.stage(docs)
@@ -19,10 +24,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur earlier are cut out."""
-    return substring_dedup.stage(docs)
+    return substring_dedup.stage(docs, window=50)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontamination.stage(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as sequences of at most 2048 tokens."""
+    return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("ngram_jaccard_join", near_duplicates), ("substring_dedup", repeated_passages)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("best_fit_packing", packed),
+]
 
 #: A classifier and an iterative packing have no SQL; tests/llm hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None

@@ -201,9 +201,9 @@ def digest(docs: DataFrame, window: int = 20) -> DataFrame:
     return dedup(docs, window).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, window: int = 50) -> DataFrame:
     """Documents with their duplicate spans cut out; a document left without words goes."""
-    kept = dedup(docs).where("n_words = 0 OR n_removed < n_words").select("doc_id", "text")
+    kept = dedup(docs, window).where("n_words = 0 OR n_removed < n_words").select("doc_id", "text")
     rest = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
     return kept.join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
