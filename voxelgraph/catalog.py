@@ -1,4 +1,200 @@
-"""Every registered query of the library and the DuckDB SQL with the same rows."""
+"""Every registered query of the library and the DuckDB SQL with the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+A query is one statement over named relations. For Spark the relations are DataFrames built by the library's operators (grid
+joins, tile-blocked fixpoints, facelets); for DuckDB they are independent common table expressions in PRELUDE. Statements
+that stand for a DataFrame operator as such name only the relation it returns.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import algebra, fields, grid
+from .plans.memory import kept
+from .statements import STATEMENTS
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _vox(spark: SparkSession, d: str) -> DataFrame:
+    return grid.from_orders(spark, d)
+
+
+def _pore(spark: SparkSession, d: str) -> DataFrame:
+    return _vox(spark, d).where("pore")
+
+
+def _site(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "site", lambda s, p: grid.sites_of(_vox(s, p)))
+
+
+def _edge(spark: SparkSession, d: str) -> DataFrame:
+    return grid.neighbours(_pore(spark, d), _pore(spark, d), grid.FACES, grid.ORDERS).select(F.col("vid").alias("src"), F.col("nb").alias("dst"), "dz", "dy", "dx")
+
+
+def _edge26(spark: SparkSession, d: str) -> DataFrame:
+    return grid.neighbours(_pore(spark, d), _pore(spark, d), grid.CUBE, grid.ORDERS).select(F.col("vid").alias("src"), F.col("nb").alias("dst"), (F.abs("dz") + F.abs("dy") + F.abs("dx")).alias("w2"))
+
+
+def _forward(spark: SparkSession, d: str) -> DataFrame:
+    return grid.neighbours(_pore(spark, d), _pore(spark, d), grid.FORWARD, grid.ORDERS).select(F.col("vid").alias("src"), F.col("nb").alias("dst"), "dz", "dy", "dx")
+
+
+def _wrapped(spark: SparkSession, d: str) -> DataFrame:
+    return grid.neighbours(_pore(spark, d), _pore(spark, d), grid.FORWARD, grid.ORDERS, periodic_x=True).select(F.col("vid").alias("src"), F.col("nb").alias("dst"), "dz", "dy", "dx")
+
+
+def _owner(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "owner", lambda s, p: fields.ownership(_pore(s, p), _site(s, p), grid.ORDERS))
+
+
+def _owner26(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "owner26", lambda s, p: fields.ownership(_pore(s, p), _site(s, p), grid.ORDERS, weighted=True))
+
+
+def _single(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "single", lambda s, p: fields.ownership(_pore(s, p), _site(s, p).where("site_id = 0"), grid.ORDERS))
+
+
+def _comp(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "comp", lambda s, p: fields.components(_pore(s, p), grid.ORDERS))
+
+
+def _block(spark: SparkSession, d: str) -> DataFrame:
+    """Block agglomeration labels and their face-connected parts."""
+    label = (F.floor(F.col("z") / 3) * 6 + F.floor(F.col("y") / 5)) * 10 + F.floor(F.col("x") / 5)
+    return kept(spark, d, "block", lambda s, p: fields.split_cells(_pore(s, p).withColumn("label", label.cast("bigint")), grid.ORDERS, "label"))
+
+
+def _cellvox(spark: SparkSession, d: str) -> DataFrame:
+    return _pore(spark, d).join(_owner(spark, d), "vid").withColumnRenamed("site_id", "cell")
+
+
+def _face(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "face", lambda s, p: fields.facelets(_cellvox(s, p), grid.ORDERS))
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return fields.cell_graph(_face(spark, d))
+
+
+def _wall(spark: SparkSession, d: str) -> DataFrame:
+    return fields.walls(_cellvox(spark, d), _pore(spark, d), grid.ORDERS)
+
+
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    return fields.closed(_pore(spark, d), _vox(spark, d), grid.ORDERS)
+
+
+def _exposed(spark: SparkSession, d: str) -> DataFrame:
+    return grid.exposed(_pore(spark, d), _pore(spark, d), grid.FACES, grid.ORDERS)
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return algebra.laplacian(_graph(spark, d).withColumn("t", F.col("conductance")))
+
+
+def _flux(spark: SparkSession, d: str) -> DataFrame:
+    """Target fluxes g (p_a - p_b) with the site's mean value as its pressure."""
+    p = _cellvox(spark, d).groupBy("cell").agg((F.avg("val") / 1e5).alias("p"))
+    own = _graph(spark, d).join(p.select(F.col("cell").alias("owner"), F.col("p").alias("pa")), "owner").join(p.select(F.col("cell").alias("neighbor"), F.col("p").alias("pb")), "neighbor")
+    return own.select("owner", "neighbor", "conductance", (F.col("conductance") * (F.col("pa") - F.col("pb"))).alias("q"))
+
+
+def _projected(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "projected", lambda s, p: algebra.projected(_flux(s, p).select("owner", "neighbor", "q")))
+
+
+def _pressure(spark: SparkSession, d: str) -> DataFrame:
+    """Voxel pressures between an inlet at x = 0 and an outlet at x = W - 1, in parts that touch either."""
+
+    def build(s: SparkSession, p: str) -> DataFrame:
+        pore = _pore(s, p).join(_comp(s, p), "vid")
+        ends = pore.groupBy("root").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(f"lo = 0 OR hi = {grid.ORDERS.width - 1}")
+        pore = pore.join(ends.select("root"), "root", "left_semi")
+        inner = pore.where(f"x > 0 AND x < {grid.ORDERS.width - 1}").select("vid", "z", "y", "x")
+        near = grid.neighbours(inner, pore, grid.FACES, grid.ORDERS).join(pore.select(F.col("vid").alias("nb"), F.col("x").alias("nx")), "nb")
+        degree = near.groupBy("vid").agg(F.count("*").alias("n"), F.sum((F.col("nx") == 0).cast("double")).alias("rhs"))
+        off = near.where(f"nx > 0 AND nx < {grid.ORDERS.width - 1}").select(F.col("vid").alias("row"), F.col("nb").alias("col"), F.lit(-1.0).alias("val"))
+        matrix = degree.select(F.col("vid").alias("row"), F.col("vid").alias("col"), F.col("n").cast("double").alias("val")).unionByName(off)
+        solved, _ = algebra.conjugate_gradients(kept(s, p, "resistors", lambda *_: matrix), degree.select(F.col("vid").alias("row"), "rhs"), rtol=1e-8, jacobi=True)
+        return solved.select(F.col("row").alias("vid"), F.col("val").alias("pressure"))
+
+    return kept(spark, d, "pressure", build)
+
+
+RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "vox": _vox, "pore": _pore, "site": _site, "edge": _edge, "edge26": _edge26, "forward": _forward, "wrapped": _wrapped, "owner": _owner, "owner26": _owner26,
+    "single": _single, "comp": _comp, "block": _block, "cellvox": _cellvox, "face": _face, "graph": _graph, "wall": _wall, "closed": _closed, "exposed": _exposed,
+    "matrix": _matrix, "flux": _flux, "projected": _projected, "pressure": _pressure,
+}
+
+#: Independent definitions for DuckDB, in order of use: name, definition, relations it needs.
+PRELUDE: dict[str, tuple[str, tuple[str, ...]]] = {
+    "vox": ("SELECT o_orderkey AS vid, CAST(o_orderkey // 1500 AS INT) AS z, CAST((o_orderkey // 50) % 30 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, o_orderstatus <> 'P' AS pore, o_totalprice AS val FROM orders", ()),
+    "pore": ("SELECT * FROM vox WHERE pore", ("vox",)),
+    "site": ("SELECT CAST(row_number() OVER (ORDER BY vid) - 1 AS INT) AS site_id, vid, z, y, x FROM pore WHERE vid % 97 = 13", ("pore",)),
+    "edge": ("SELECT a.vid AS src, b.vid AS dst, dz, dy, dx FROM pore a, (VALUES (0,0,-1),(0,0,1),(0,-1,0),(0,1,0),(-1,0,0),(1,0,0)) AS o(dz,dy,dx), pore b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx", ("pore",)),
+    "edge26": ("SELECT a.vid AS src, b.vid AS dst, abs(dz) + abs(dy) + abs(dx) AS w2 FROM pore a, (SELECT i - 1 AS dz, j - 1 AS dy, k - 1 AS dx FROM range(3) r1(i), range(3) r2(j), range(3) r3(k) WHERE NOT (i = 1 AND j = 1 AND k = 1)) AS o, pore b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx", ("pore",)),
+    "forward": ("SELECT * FROM edge WHERE dz + dy + dx = 1", ("edge",)),
+    "wrapped": ("SELECT a.vid AS src, b.vid AS dst, dz, dy, dx FROM pore a, (VALUES (0,0,1),(0,1,0),(1,0,0)) AS o(dz,dy,dx), pore b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = (a.x + dx) % 50", ("pore",)),
+    "owner(vid, site_id, d) USING KEY (vid)": ("SELECT vid, site_id, 0 FROM site UNION SELECT e.dst, min(r.site_id), any_value(r.d) + 1 FROM owner r JOIN edge e ON e.src = r.vid LEFT JOIN recurring.owner k ON k.vid = e.dst WHERE k.vid IS NULL GROUP BY e.dst", ("site", "edge")),
+    "owner26(vid, d) USING KEY (vid)": ("SELECT vid, CAST(0 AS DOUBLE) FROM site UNION SELECT e.dst, min(r.d + sqrt(e.w2)) FROM owner26 r JOIN edge26 e ON e.src = r.vid LEFT JOIN recurring.owner26 k ON k.vid = e.dst WHERE k.vid IS NULL OR r.d + sqrt(e.w2) < k.d - 1e-9 GROUP BY e.dst", ("site", "edge26")),
+    "single(vid, d) USING KEY (vid)": ("SELECT vid, 0 FROM site WHERE site_id = 0 UNION SELECT e.dst, min(r.d) + 1 FROM single r JOIN edge e ON e.src = r.vid LEFT JOIN recurring.single k ON k.vid = e.dst WHERE k.vid IS NULL GROUP BY e.dst", ("site", "edge")),
+    "comp(vid, root) USING KEY (vid)": ("SELECT vid, vid FROM pore UNION SELECT e.dst, min(r.root) FROM comp r JOIN edge e ON e.src = r.vid JOIN recurring.comp k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst", ("pore", "edge")),
+    "labels": ("SELECT vid, CAST((z // 3 * 6 + y // 5) * 10 + x // 5 AS BIGINT) AS label FROM pore", ("pore",)),
+    "parts(vid, root) USING KEY (vid)": ("SELECT vid, vid FROM pore UNION SELECT e.dst, min(r.root) FROM parts r JOIN edge e ON e.src = r.vid JOIN labels a ON a.vid = e.src JOIN labels b ON b.vid = e.dst AND a.label = b.label JOIN recurring.parts k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst", ("pore", "edge", "labels")),
+    "block": ("SELECT vid, label, root, dense_rank() OVER (ORDER BY root) - 1 AS cell_id, dense_rank() OVER (ORDER BY label, root) - 1 AS cell_by_site FROM parts JOIN labels USING (vid)", ("parts(vid, root) USING KEY (vid)", "labels")),
+    "cellvox": ("SELECT p.*, o.site_id AS cell, o.d FROM pore p JOIN owner o USING (vid)", ("pore", "owner(vid, site_id, d) USING KEY (vid)")),
+    "face": ("SELECT least(a.cell, b.cell) AS owner, greatest(a.cell, b.cell) AS neighbor, CASE WHEN dx = 1 THEN 2 WHEN dy = 1 THEN 1 ELSE 0 END AS axis, CASE WHEN a.cell < b.cell THEN 1 ELSE -1 END AS sign, src AS vid, dst AS nb, 2 * CASE WHEN a.cell < b.cell THEN a.d ELSE b.d END + 1 AS r_owner2, 2 * CASE WHEN a.cell < b.cell THEN b.d ELSE a.d END + 1 AS r_neighbor2 FROM forward JOIN cellvox a ON a.vid = src JOIN cellvox b ON b.vid = dst WHERE a.cell <> b.cell", ("forward", "cellvox")),
+    "graph": ("SELECT owner, neighbor, count(*) AS area, sum(1 / greatest((r_owner2 + r_neighbor2) / 2, 1e-6)) AS conductance, count(*) / sum(1 / greatest((r_owner2 + r_neighbor2) / 2, 1e-6)) AS mean_geodesic_length FROM face GROUP BY ALL", ("face",)),
+    "exposed": ("SELECT a.vid, dz, dy, dx FROM pore a, (VALUES (0,0,-1),(0,0,1),(0,-1,0),(0,1,0),(-1,0,0),(1,0,0)) AS o(dz,dy,dx) WHERE NOT EXISTS (SELECT 1 FROM pore b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx)", ("pore",)),
+    "wall": ("SELECT cell, count(*) AS wall_area FROM exposed JOIN cellvox USING (vid) GROUP BY cell", ("exposed", "cellvox")),
+    "grown": ("SELECT DISTINCT v.vid, v.z, v.y, v.x FROM vox v JOIN (SELECT z, y, x FROM pore UNION SELECT z + dz, y + dy, x + dx FROM pore, (VALUES (0,0,-1),(0,0,1),(0,-1,0),(0,1,0),(-1,0,0),(1,0,0)) AS o(dz,dy,dx)) g ON v.z = g.z AND v.y = g.y AND v.x = g.x", ("vox", "pore")),
+    "closed": ("SELECT vid FROM grown a WHERE (SELECT count(*) FROM grown b WHERE abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND b.vid IN (a.vid - 1500, a.vid - 50, a.vid - 1, a.vid + 1, a.vid + 50, a.vid + 1500)) = 6", ("grown",)),
+    "matrix": ("SELECT row, col, sum(val) AS val FROM (SELECT owner AS row, owner AS col, conductance AS val FROM graph UNION ALL SELECT owner, neighbor, -conductance FROM graph UNION ALL SELECT neighbor, neighbor, conductance FROM graph UNION ALL SELECT neighbor, owner, -conductance FROM graph) GROUP BY ALL", ("graph",)),
+    "flux": ("SELECT owner, neighbor, conductance, conductance * (a.p - b.p) AS q FROM graph JOIN (SELECT cell, avg(val) / 1e5 AS p FROM cellvox GROUP BY cell) a ON a.cell = owner JOIN (SELECT cell, avg(val) / 1e5 AS p FROM cellvox GROUP BY cell) b ON b.cell = neighbor", ("graph", "cellvox")),
+}
+
+
+def _named(sql: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+
+
+def _spark(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = {n: RELATIONS[n](spark, sf_dir) if n in RELATIONS else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in _named(sql)}
+        text = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", sql)  # doubles, as DuckDB's averages are; Spark would take decimals
+        return spark.sql(re.sub(r"idiv\(([^,()]+),([^,()]+)\)", r"(\1 DIV \2)", text), **own)
+
+    return query
+
+
+def _duckdb(sql: str) -> str | None:
+    """The statement with the relations that it needs; None if one of them (an iterative solver) has no SQL."""
+    by_name = {k.partition("(")[0]: k for k in PRELUDE}
+    wanted: set[str] = set()
+
+    def need(name: str) -> None:
+        key = name if name in PRELUDE else by_name[name]
+        if key not in wanted:
+            wanted.add(key)
+            for x in PRELUDE[key][1]:
+                need(x)
+
+    for n in _named(sql):
+        if n not in TABLES:
+            if n not in by_name:
+                return None
+            need(n)
+    own = ", ".join(f"{k} AS ({PRELUDE[k][0]})" for k in PRELUDE if k in wanted)
+    body = re.sub(r"idiv\(([^,()]+),([^,()]+)\)", r"(\1 // \2)", sql).format(**{n: n for n in _named(sql)})
+    return f"WITH RECURSIVE {own} SELECT * FROM ({body})" if own else body
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _spark(sql) for name, sql in STATEMENTS.items()}
+SQL: dict[str, str] = {name: own for name, sql in STATEMENTS.items() if (own := _duckdb(sql))}
