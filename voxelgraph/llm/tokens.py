@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +19,8 @@ SAFE = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS[6:]}]*")
 #: Patterns of the two public vocabularies' pre-tokenisers, for safe texts; fixed values.
 BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
-#: Entries after which a worker's cache starts anew: some 200 MB.
-CACHED = 1_000_000
+#: Entries after which a worker's cache starts anew: some 400 MB.
+CACHED = 2_000_000
 _KEPT: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -35,12 +36,17 @@ class Ids(dict):
 
     def __init__(self, model):
         self.model, self.letters = model, byte_letters()
+        self.blank = self.letters[32]
 
     def __missing__(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        self[word] = ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        plain = word.replace(" ", self.blank) if word.isascii() and (word.isprintable()) else word.encode().decode("latin-1").translate(self.letters)
+        self[word] = ids = self.pack([t.id for t in self.model.tokenize(plain)])
         return ids
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from text to the bytes of its ids; one for each file and worker."""
