@@ -7,6 +7,7 @@ key with a third of all rows reaches its bucket once for each batch.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import uuid
@@ -48,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished steps, which Spark keeps until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets(spark: SparkSession) -> int:
     return BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,8 +3,8 @@
 The set of a document: hashes (64 bits) of its distinct `words`-word shingles. Two sets link when
 den * |A & B| >= num * |A | B|, that is when their symmetric difference is at most (|A| + |B|) * (den - num) // (den + num).
 
-Sizes are cut into bands so that linked sets stand in one band or in neighbours; for each pair of neighbours there is one
-bound D on the difference. A set is XOR-hashed into D + 2 lanes of 64 bits: every shingle toggles bits of one lane, so the
+Sizes are cut into bands so that linked sets stand in one band or in neighbours; for each band that holds the smaller set
+there is one bound D on the difference, its largest size times (den - num) / num. A set is XOR-hashed into D + 2 lanes of 64 bits: every shingle toggles bits of one lane, so the
 number of unequal lanes is at most the difference, and linked sets have at least two equal lanes (pigeonhole). Sets meet
 under (band pair, lane, bits). An empty lane is no meeting place unless a set has more than one (then it is, in both).
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected
-from .exchange import Sender, bucket_of, buckets, deltas, pack, repeated, rows, ship, unique_documents, unpack, written
+from .exchange import Sender, bucket_of, deltas, pack, release, repeated, rows, ship, unique_documents, unpack, written
 from .substring_dedup import _columns
 
 ORDER = np.uint64(0x9FB21C651E98DF25)
@@ -48,7 +48,7 @@ class Rule:
     def lanes(self, n: int) -> list[tuple[int, int]]:
         """(band pair, number of lanes) for a set of n shingles."""
         band = int(np.searchsorted(self.edges, n, side="right")) - 1
-        return [(g, self.bound(2 * (self.edges[g + 2] - 1)) + 2) for g in (band - 1, band) if g >= 0]
+        return [(g, (self.edges[g + 1] - 1) * (self.den - self.num) // self.num + 2) for g in (band - 1, band) if g >= 0]
 
     def bound(self, total):
         return total * (self.den - self.num) // (self.den + self.num)
@@ -100,7 +100,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     ship(spark)
-    rule, n = Rule(words, num, den), buckets(spark)
+    rule, n = Rule(words, num, den), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = unique_documents(docs)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,9 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     marked = repeated(docs, items).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
 
     def encode(doc: np.ndarray, size: np.ndarray, key: np.ndarray, bits: np.ndarray) -> bytes:
-        return pack(deltas(doc), size, key, np.concatenate(bits) if len(bits) else np.zeros(0, np.uint64))
+        """A document's sketch once for each blob, whatever the number of its keys in it."""
+        new = np.append(True, doc[1:] != doc[:-1])
+        return pack(deltas(doc[new]), size[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, np.concatenate(bits[new]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(n, encode, most=1 << 16)
@@ -144,13 +146,15 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield rows([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names)
 
     both = written(docs.join(marked, "doc_id").mapInArrow(send, "bucket int, blob binary, doc_id bigint, shingles binary"), "meetings")
+    release(spark)
     blobs, held = both.where("bucket IS NOT NULL").select("bucket", "blob"), both.where("doc_id IS NOT NULL").select("doc_id", "shingles")
 
     def read(blob: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [unpack(x.as_py()) for x in blob]
-        doc = np.concatenate([np.cumsum(x[0]) for x in parts])
-        size, key, bits = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
-        return doc, size, key, bits.reshape(-1, SKETCH)
+        each = np.concatenate([x[2] for x in parts])
+        doc = np.repeat(np.concatenate([np.cumsum(x[0]) for x in parts]), each)
+        size, key, bits = (np.concatenate([x[i] for x in parts]) for i in (1, 3, 4))
+        return doc, np.repeat(size, each), key, np.repeat(bits.reshape(-1, SKETCH), each, axis=0)
 
     def places(key: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
         """Items of each meeting place with at least two documents, the smallest doc_id first."""
@@ -205,9 +209,11 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 yield rows([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
         right = held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
-        return pairs.distinct().join(held.withColumnRenamed("doc_id", "a"), "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
+        return pairs.join(held.withColumnRenamed("doc_id", "a"), "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
 
-    links = written(verified(blobs.groupBy("bucket").applyInArrow(stars, "a bigint, b bigint")), "links")
+    pairs = written(blobs.groupBy("bucket").applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
+    links = written(verified(pairs), "links")
+    release(spark)
     found = connected(links)
     comp = held.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
 
@@ -218,8 +224,11 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 yield rows([pa.array(np.full(len(ids), b), pa.int32()), pa.array(ids, pa.int64())], ["bucket", "doc_id"])
 
     known = blobs.mapInArrow(where, "bucket int, doc_id bigint").distinct().join(comp, "doc_id").select("bucket", "doc_id", "comp")
-    more = written(verified(blobs.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(across, "a bigint, b bigint")), "links")
-    found = found if more.isEmpty() else connected(links.unionByName(more))
+    pairs = written(blobs.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(across, "a bigint, b bigint").distinct(), "pairs")
+    release(spark)
+    if not pairs.isEmpty():
+        more = written(verified(pairs), "links")
+        found = found if more.isEmpty() else connected(links.unionByName(more))
     reached = classes.join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select("n_shingles", "p", "q", F.coalesce("component_id", "class_id").alias("component_id"))
     return ids.join(reached, ["n_shingles", "p", "q"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
