@@ -41,6 +41,8 @@ class Rule:
 
     def __init__(self, words: int, num: int, den: int):
         self.words, self.num, self.den = words, num, den
+        #: Bits of the parity sketch: lower thresholds have higher bounds, which a full sketch can't tell from chance.
+        self.bits = 512 if 100 * num >= 90 * den else 2048
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append((self.edges[-1] - 1) * den // num + 1 if (self.edges[-1] - 1) * den // num >= self.edges[-1] else self.edges[-1] + 1)
@@ -87,15 +89,12 @@ def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([x[0] for x in keys]), np.concatenate([x[1] for x in keys])
 
 
-def sketch(own: np.ndarray, bits: int = 512) -> np.ndarray:
+def sketch(own: np.ndarray, bits: int) -> np.ndarray:
     """One bit a shingle: parity of the shingles that hash to it."""
-    odd = np.bincount((K.mix(own + ORDER) >> np.uint64(55)).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount((K.mix(own + ORDER) >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-SKETCH = 512 // 64
-
-
 def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
@@ -135,7 +134,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 key, at = meeting_places(x, rule)
                 key = key[np.isin(at, listed.slice(r, 1).flatten().to_numpy())]
                 bits = np.empty(len(key), dtype=object)
-                bits[:] = [sketch(x)] * len(key)
+                bits[:] = [sketch(x, rule.bits)] * len(key)
                 keep.append((np.full(len(key), ids[r]), np.full(len(key), len(x)), key, bits))
                 out.append(x.tobytes())
             doc, size, key, bits = (np.concatenate(x) for x in zip(*keep, strict=True))
@@ -154,7 +153,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         each = np.concatenate([x[2] for x in parts])
         doc = np.repeat(np.concatenate([np.cumsum(x[0]) for x in parts]), each)
         size, key, bits = (np.concatenate([x[i] for x in parts]) for i in (1, 3, 4))
-        return doc, np.repeat(size, each), key, np.repeat(bits.reshape(-1, SKETCH), each, axis=0)
+        return doc, np.repeat(size, each), key, np.repeat(bits.reshape(-1, rule.bits // 64), each, axis=0)
 
     def places(key: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
         """Items of each meeting place with at least two documents, the smallest doc_id first."""
