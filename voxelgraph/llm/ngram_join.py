@@ -4,12 +4,14 @@ The set of a document: hashes (64 bits) of its distinct `words`-word shingles. T
 den * |A & B| >= num * |A | B|, that is when their symmetric difference is at most (|A| + |B|) * (den - num) // (den + num).
 
 Sizes are cut into bands so that linked sets stand in one band or in neighbours; for each band that holds the smaller set
-there is one bound D on the difference, its largest size times (den - num) / num. A set is XOR-hashed into D + 2 lanes of 64 bits: every shingle toggles bits of one lane, so the
-number of unequal lanes is at most the difference, and linked sets have at least two equal lanes (pigeonhole). Sets meet
-under (band pair, lane, bits). An empty lane is no meeting place unless a set has more than one (then it is, in both).
-
-Sets that meet carry a parity sketch of one bit a shingle: its Hamming distance is at most the symmetric difference as
-well, so pairs above the bound are dropped by popcounts. Within a meeting place no pairs are listed: each set is held
+there is one bound D on the difference, its largest size times (den - num) / num. A set is XOR-hashed into D + s lanes of
+64 bits: every shingle toggles bits of one lane, so the number of unequal lanes is at most the difference, and linked sets
+have at least s equal lanes (pigeonhole). Sets meet under (band pair, lane, bits). A set with fewer than s empty lanes has
+a full lane among the equal ones, so its empty lanes are no meeting places; s follows from the number of empty lanes that
+chance leaves. Empty lanes count as places only for sets with s of them or more.
+
+Sets that meet carry a parity sketch, at least a bit for each shingle of the band: its Hamming distance is at most the
+symmetric difference as well, so pairs above the bound are dropped by popcounts. Within a meeting place no pairs are listed: each set is held
 against few leaders and linked to the first that passes; those links are verified on the sets and joined into components.
 A second sweep then asks only for pairs that pass the popcount and stand in different components, and verifies them, so no
 link between components is lost.
@@ -34,6 +36,10 @@ from .exchange import Sender, bucket_of, deltas, pack, release, repeated, rows,
 from .substring_dedup import _columns
 
 ORDER = np.uint64(0x9FB21C651E98DF25)
+#: Longest parity sketch. Beyond that many shingles a sketch tells less and more pairs are verified on their sets.
+MOST_BITS = 1 << 18
+#: Words of sketches compared at a time.
+COMPARED = 1 << 21
 
 
 class Rule:
@@ -41,16 +47,27 @@ class Rule:
 
     def __init__(self, words: int, num: int, den: int):
         self.words, self.num, self.den = words, num, den
-        #: Bits of the parity sketch: lower thresholds have higher bounds, which a full sketch can't tell from chance.
-        self.bits = 512 if 100 * num >= 90 * den else 2048
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append((self.edges[-1] - 1) * den // num + 1 if (self.edges[-1] - 1) * den // num >= self.edges[-1] else self.edges[-1] + 1)
-
-    def lanes(self, n: int) -> list[tuple[int, int]]:
-        """(band pair, number of lanes) for a set of n shingles."""
+        self.pairs = [self._lanes(g) for g in range(len(self.edges) - 1)]
+
+    def _lanes(self, group: int) -> tuple[int, int]:
+        """(number of lanes, equal lanes of linked sets) of a band pair; any number above the bound D gives the same links."""
+        most = (self.edges[group + 1] - 1) * (self.den - self.num) // self.num
+        m = most + 2
+        for _ in range(8):
+            m = most + 2 + int(1.5 * m * np.exp(-self.edges[group] / m))
+        return m, m - most
+
+    def lanes(self, n: int) -> list[tuple[int, int, int]]:
+        """(band pair, number of lanes, equal lanes) for a set of n shingles."""
         band = int(np.searchsorted(self.edges, n, side="right")) - 1
-        return [(g, (self.edges[g + 1] - 1) * (self.den - self.num) // self.num + 2) for g in (band - 1, band) if g >= 0]
+        return [(g, *self.pairs[g]) for g in (band - 1, band) if g >= 0]
+
+    def bits(self, group: int) -> int:
+        """Bits of the parity sketches of a band pair: one for each shingle, so that unlike sets differ in about half."""
+        return min(max(64, 1 << (self.edges[group + 1] - 1).bit_length()), MOST_BITS)
 
     def bound(self, total):
         return total * (self.den - self.num) // (self.den + self.num)
@@ -72,21 +89,20 @@ def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Rec
             yield part, ids, out
 
 
-def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and their numbers, the same for every set with the same shingles."""
-    keys = []
-    for group, m in rule.lanes(len(own)):
+def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set, their numbers, and their band pairs, the same for every set with the same shingles."""
+    keys, numbers, groups, before = [], [], [], 0
+    for group, m, equal in rule.lanes(len(own)):
         lane = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascending, as own is
-        new = np.append(True, lane[1:] != lane[:-1])
+        begin = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
         bits = np.zeros(m, dtype=np.uint64)
-        begin = np.flatnonzero(new)
         bits[lane[begin]] = np.bitwise_xor.reduceat(K.mix(own ^ ORDER), begin)
-        used = np.zeros(m, dtype=bool)
-        used[lane[begin]] = True
-        key = K.mix(bits ^ K.mix(np.arange(m, dtype=np.uint64) + np.uint64(group) * np.uint64(1 << 40)))
-        at = np.arange(m) + (len(keys[0][1]) and keys[0][2] if keys else 0)
-        keys.append((key[used] if m - used.sum() <= 1 else key, at[used] if m - used.sum() <= 1 else at, m))
-    return np.concatenate([x[0] for x in keys]), np.concatenate([x[1] for x in keys])
+        at = lane[begin] if m - len(begin) < equal else np.arange(m)
+        keys.append(K.mix(bits[at] ^ K.mix(at.astype(np.uint64) + np.uint64(group) * np.uint64(1 << 40))))
+        numbers.append(at + before)
+        groups.append(np.full(len(at), group, np.uint8))
+        before += m
+    return np.concatenate(keys), np.concatenate(numbers), np.concatenate(groups)
 
 
 def sketch(own: np.ndarray, bits: int) -> np.ndarray:
@@ -95,6 +111,36 @@ def sketch(own: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+class Meetings:
+    """Items (document, size, key) of the blobs of a bucket; those of a document and band pair share one sketch."""
+
+    def __init__(self, blobs: pa.ChunkedArray, rule: Rule):
+        parts = [unpack(x.as_py()) for x in blobs]
+        doc = np.concatenate([np.cumsum(x[0]) for x in parts])
+        size, each, self.key, group, self.sketches = (np.concatenate([x[i] for x in parts]) for i in range(1, 6))
+        self.rule, self.doc, self.size = rule, np.repeat(doc, each), np.repeat(size, each)
+        width = np.array([rule.bits(g) // 64 for g in range(int(group.max()) + 1)])[group] if len(group) else np.zeros(0, np.int64)
+        self.begin, self.width = np.repeat(np.cumsum(width) - width, each), np.repeat(width, each)
+
+    def places(self) -> Iterator[np.ndarray]:
+        """Items of each meeting place with at least two documents, the smallest doc_id first."""
+        order = np.lexsort((self.doc, self.key))
+        cut = np.flatnonzero(np.diff(self.key[order])) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True):
+            if b - a > 1:
+                yield order[a:b]
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which others of a place pass the popcount."""
+        width, apart = int(self.width[one]), np.zeros(len(others), dtype=np.int64)
+        mine, lanes = self.sketches[self.begin[one] : self.begin[one] + width], np.arange(width)
+        step = max(1, COMPARED // width)
+        for a in range(0, len(others), step):
+            theirs = self.sketches[self.begin[others[a : a + step]][:, None] + lanes]
+            apart[a : a + step] = np.bitwise_count(theirs ^ mine).sum(axis=1)
+        return apart <= self.rule.bound(self.size[others] + self.size[one])
+
+
 def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
@@ -119,10 +165,10 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     first = classes.select(F.col("class_id").alias("doc_id"))
     marked = repeated(docs, items).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
 
-    def encode(doc: np.ndarray, size: np.ndarray, key: np.ndarray, bits: np.ndarray) -> bytes:
-        """A document's sketch once for each blob, whatever the number of its keys in it."""
-        new = np.append(True, doc[1:] != doc[:-1])
-        return pack(deltas(doc[new]), size[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, np.concatenate(bits[new]))
+    def encode(doc: np.ndarray, size: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
+        """The sketch of a document and band pair once for each blob, whatever the number of its keys in it."""
+        new = np.append(True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1]))
+        return pack(deltas(doc[new]), size[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, group[new], np.concatenate(bits[new]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(n, encode, most=1 << 16)
@@ -131,14 +177,18 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             listed = part.column("pos")
             keep, out = [], []
             for r, x in enumerate(own):
-                key, at = meeting_places(x, rule)
-                key = key[np.isin(at, listed.slice(r, 1).flatten().to_numpy())]
+                key, at, group = meeting_places(x, rule)
+                known = np.isin(at, listed.slice(r, 1).flatten().to_numpy())
+                key, group = key[known], group[known]
                 bits = np.empty(len(key), dtype=object)
-                bits[:] = [sketch(x, rule.bits)] * len(key)
-                keep.append((np.full(len(key), ids[r]), np.full(len(key), len(x)), key, bits))
+                for g in np.unique(group).tolist():
+                    own_bits = sketch(x, rule.bits(g))
+                    for i in np.flatnonzero(group == g).tolist():
+                        bits[i] = own_bits
+                keep.append((np.full(len(key), ids[r]), np.full(len(key), len(x)), key, group, bits))
                 out.append(x.tobytes())
-            doc, size, key, bits = (np.concatenate(x) for x in zip(*keep, strict=True))
-            for b in sender.add(bucket_of(key, n), doc, size, key, bits):
+            doc, size, key, group, bits = (np.concatenate(x) for x in zip(*keep, strict=True))
+            for b in sender.add(bucket_of(key, n), doc, size, key, group, bits):
                 yield rows([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names)
             yield rows([pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names)
         for b in sender.flush():
@@ -148,48 +198,30 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     release(spark)
     blobs, held = both.where("bucket IS NOT NULL").select("bucket", "blob"), both.where("doc_id IS NOT NULL").select("doc_id", "shingles")
 
-    def read(blob: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        parts = [unpack(x.as_py()) for x in blob]
-        each = np.concatenate([x[2] for x in parts])
-        doc = np.repeat(np.concatenate([np.cumsum(x[0]) for x in parts]), each)
-        size, key, bits = (np.concatenate([x[i] for x in parts]) for i in (1, 3, 4))
-        return doc, np.repeat(size, each), key, np.repeat(bits.reshape(-1, rule.bits // 64), each, axis=0)
-
-    def places(key: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
-        """Items of each meeting place with at least two documents, the smallest doc_id first."""
-        order = np.lexsort((doc, key))
-        cut = np.flatnonzero(np.diff(key[order])) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True):
-            if b - a > 1:
-                yield order[a:b]
-
-    def near(size: np.ndarray, bits: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1) <= rule.bound(size[others] + size[one])
-
     def stars(table: pa.Table) -> pa.Table:
-        doc, size, key, bits = read(table.column("blob"))
-        left, right = [doc[:0]], [doc[:0]]
-        for own in places(key, doc):
+        met = Meetings(table.column("blob"), rule)
+        left, right = [met.doc[:0]], [met.doc[:0]]
+        for own in met.places():
             while len(own) > 1:
-                ok = near(size, bits, own[0], own[1:])
-                left.append(doc[own[1:][ok]])
-                right.append(np.full(int(ok.sum()), doc[own[0]]))
+                ok = met.near(own[0], own[1:])
+                left.append(met.doc[own[1:][ok]])
+                right.append(np.full(int(ok.sum()), met.doc[own[0]]))
                 own = own[1:][~ok]
         return _pairs(left, right)
 
     def across(key: tuple, members: pa.Table, known: pa.Table) -> pa.Table:
-        doc, size, key, bits = read(members.column("blob"))
+        met = Meetings(members.column("blob"), rule)
         ids, comp = known.column("doc_id").to_numpy(), known.column("comp").to_numpy()
         order = np.argsort(ids)
-        comp = comp[order][np.searchsorted(ids[order], doc)]
-        left, right = [doc[:0]], [doc[:0]]
-        for own in places(key, doc):
+        comp = comp[order][np.searchsorted(ids[order], met.doc)]
+        left, right = [met.doc[:0]], [met.doc[:0]]
+        for own in met.places():
             if (comp[own] != comp[own[0]]).any():
                 for i, one in enumerate(own[:-1]):
                     others = own[i + 1 :][comp[own[i + 1 :]] != comp[one]]
-                    ok = others[near(size, bits, one, others)] if len(others) else others
-                    left.append(doc[ok])
-                    right.append(np.full(len(ok), doc[one]))
+                    ok = others[met.near(one, others)] if len(others) else others
+                    left.append(met.doc[ok])
+                    right.append(np.full(len(ok), met.doc[one]))
         return _pairs(left, right)
 
     def verified(pairs: DataFrame) -> DataFrame:
