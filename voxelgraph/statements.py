@@ -148,7 +148,7 @@ STATEMENTS: dict[str, str] = {
     "w10_case_order": "SELECT n.n_name, r.rank FROM {nation} n JOIN (VALUES (0, 2), (1, 0), (2, 1), (3, 4), (4, 3)) AS r(k, rank) ON r.k = n.n_regionkey",
     "w11_log_spaced": "SELECT DISTINCT CAST(floor(power(2.0, k / 2.0) + 0.5) AS INT) AS n FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) AS s(k)",
     "w12_unique_candidates": "SELECT l_partkey, l_suppkey, first_order FROM (SELECT l_partkey, l_suppkey, min(l_orderkey) AS first_order FROM {lineitem} GROUP BY l_partkey, l_suppkey) AS q WHERE first_order <= 2600",
-    "w13_eta": "SELECT o_orderkey, round(avg(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS mean_so_far FROM {orders} WHERE o_orderkey < 500",
+    "w13_eta": "SELECT o_orderkey, cents / n / 100 AS mean_so_far FROM (SELECT o_orderkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cents, count(*) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM {orders} WHERE o_orderkey < 500)",
     "w14_moving_average": "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 3) AS smooth FROM {orders} WHERE o_orderkey < 500",
     # sets and scalars
     "u1_concat_parts": "SELECT vid, nb, axis FROM {face} WHERE axis = 0 UNION ALL SELECT vid, nb, axis FROM {face} WHERE axis = 1 UNION ALL SELECT vid, nb, axis FROM {face} WHERE axis = 2",
