@@ -163,7 +163,9 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     ids = written(docs.mapInArrow(prints, "doc_id bigint, n_shingles bigint, p bigint, q bigint"), "sets")
     classes = ids.where("n_shingles > 0").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("class_id"))
     first = classes.select(F.col("class_id").alias("doc_id"))
-    marked = repeated(docs, items).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
+    marked = repeated(docs, items).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("pos"))
+    marked = written(marked, "marked")
+    release(spark)  # the hashes of all meeting places are gone before the texts are shuffled
 
     def encode(doc: np.ndarray, size: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
         """The sketch of a document and band pair once for each blob, whatever the number of its keys in it."""
