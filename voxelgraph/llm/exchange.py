@@ -128,11 +128,12 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
 
 
-def repeated(source: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+def repeated(source: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], sent: type = np.uint64) -> DataFrame:
     """(doc_id, pos) of every item whose 64-bit hash occurs at least twice in the whole table.
 
     items yields arrays (hash, doc_id, pos) from Arrow batches. Only the first of a hash in a batch goes to the hash's
-    bucket; the others are known to repeat and go to buckets dealt round robin, marked as such.
+    bucket; the others are known to repeat and go to buckets dealt round robin, marked as such. Where the result is only
+    a filter, sent=np.uint32 halves what is shuffled: buckets then compare the low 32 bits, and few other items pass too.
     """
     n = buckets(source.sparkSession)
 
@@ -151,7 +152,7 @@ def repeated(source: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iter
             many[order[1:]] |= later
             many[order[:-1]] |= later
             bucket = np.where(same, (np.arange(len(h)) >> 12) % n, bucket_of(h, n)).astype(np.int32)
-            yield from sender.add(bucket, np.where(same, np.uint64(0), h), d, p.astype(np.uint32), many + same)
+            yield from sender.add(bucket, np.where(same, np.uint64(0), h).astype(sent), d, p.astype(np.uint32), many + same)
             yield from sender.flush()
 
         sender = Sender(n, lambda h, d, p, m: pack(h, deltas(d), p, m))

@@ -67,7 +67,7 @@ class Rule:
 
     def bits(self, group: int) -> int:
         """Bits of the parity sketches of a band pair: one for each shingle, so that unlike sets differ in about half."""
-        return min(max(64, 1 << (self.edges[group + 1] - 1).bit_length()), MOST_BITS)
+        return min(-(-(self.edges[group + 1] - 1) // 64) * 64, MOST_BITS)
 
     def bound(self, total):
         return total * (self.den - self.num) // (self.den + self.num)
@@ -107,7 +107,7 @@ def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray,
 
 def sketch(own: np.ndarray, bits: int) -> np.ndarray:
     """One bit a shingle: parity of the shingles that hash to it."""
-    odd = np.bincount((K.mix(own + ORDER) >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount(((K.mix(own + ORDER) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -163,7 +163,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     ids = written(docs.mapInArrow(prints, "doc_id bigint, n_shingles bigint, p bigint, q bigint"), "sets")
     classes = ids.where("n_shingles > 0").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("class_id"))
     first = classes.select(F.col("class_id").alias("doc_id"))
-    marked = repeated(docs, items).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("pos"))
+    marked = repeated(docs, items, np.uint32).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("pos"))
     marked = written(marked, "marked")
     release(spark)  # the hashes of all meeting places are gone before the texts are shuffled
 
