@@ -63,8 +63,10 @@ def symbols(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, plain, at
 
 
-def windows(blob: np.ndarray, offsets: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pos, hash, number of words) of every window with enough literal words, and symbols and plain hashes.
+def windows(blob: np.ndarray, offsets: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, hash, number of words) of every window with enough literal words; symbols and plain hashes of all words.
+
+    pos counts from the first word of all rows.
 
     short: texts under WINDOW words are one window.
     """
@@ -79,7 +81,7 @@ def windows(blob: np.ndarray, offsets: np.ndarray, short: bool) -> tuple[np.ndar
         row, pos, size = np.concatenate((row, few)), np.concatenate((pos, at[few])), np.concatenate((size, n[few]))
     enough = literal[pos + size] - literal[pos] >= LITERAL
     row, pos, size = row[enough], pos[enough], size[enough]
-    return row, pos - at[row], K.spans_hash(K.prefix(sym), pos, pos + size) if len(pos) else sym[:0], size, sym, plain[K.ranges(pos, size)]
+    return row, pos, K.spans_hash(K.prefix(sym), pos, pos + size) if len(pos) else sym[:0], size, at, sym, plain
 
 
 def lists(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -92,11 +94,10 @@ def items(benchmark: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, blob, offsets in _columns(batch):
-                row, pos, h, size, sym, plain = windows(blob, offsets, short=True)
-                _, _, at = symbols(blob, offsets)
-                slots = sym[K.ranges(at[row] + pos, size)] != plain
+                row, pos, h, size, at, sym, plain = windows(blob, offsets, short=True)
+                words = K.ranges(pos, size)
                 total = np.bincount(row, minlength=len(ids))
-                yield rows([pa.array(ids[row], pa.int64()), pa.array(pos, pa.int64()), pa.array(h.view(np.int64)), pa.array(total[row], pa.int64()), lists(slots, size, pa.bool_()), lists(plain.view(np.int64), size, pa.int64())], ["item_id", "item_pos", "hash", "n_windows", "slots", "item_words"])
+                yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(total[row], pa.int64()), lists(sym[words] != plain[words], size, pa.bool_()), lists(plain[words].view(np.int64), size, pa.int64())], ["item_id", "item_pos", "hash", "n_windows", "slots", "item_words"])
 
     own = unique_documents(benchmark.withColumnRenamed("item_id", "doc_id").select("doc_id", "text"))
     return own.mapInArrow(cut, "item_id bigint, item_pos bigint, hash bigint, n_windows bigint, slots array<boolean>, item_words array<bigint>")
@@ -112,11 +113,11 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, blob, offsets in _columns(batch):
-                row, pos, h, size, _, plain = windows(blob, offsets, short=False)
-                hit = Grammar.among(h, keys) if keys is not None else np.ones(len(h), bool)
-                begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-                yield rows([pa.array(ids[row[hit]], pa.int64()), pa.array(pos[hit], pa.int64()), pa.array(h[hit].view(np.int64)), lists(plain[K.ranges(begin[hit], size[hit])].view(np.int64), size[hit], pa.int64())], ["doc_id", "pos", "hash", "words"])
+            for _, ids, blob, offsets in _columns(batch, K.SEGMENT):
+                row, pos, h, size, at, _, plain = windows(blob, offsets, short=False)
+                if keys is not None:
+                    row, pos, h, size = (x[hit] for hit in [Grammar.among(h, keys)] for x in (row, pos, h, size))
+                yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), lists(plain[K.ranges(pos, size)].view(np.int64), size, pa.int64())], ["doc_id", "pos", "hash", "words"])
 
     hits = unique_documents(docs).mapInArrow(cut, "doc_id bigint, pos bigint, hash bigint, words array<bigint>").join(own, "hash")
     pairs = F.filter(F.zip_with("slots", F.arrays_zip("item_words", "words"), lambda s, x: F.when(s, x)), lambda x: x.isNotNull())
