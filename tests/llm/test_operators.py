@@ -214,3 +214,24 @@ def test_decontamination(spark, empty):
     assert got == {1: (True, [7]), 2: (True, [7]), 3: (False, []), 4: (False, []), 5: (False, [])}
     assert [r.doc_id for r in decontamination.stage(docs, benchmark).orderBy("doc_id").collect()] == [3, 4, 5]
     assert decontamination.judged(empty, benchmark).count() == 0
+
+
+def leaks(spark, texts: list[str], items: list[str]) -> list[list[int]]:
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return [r["items"] for r in decontamination.judged(docs, benchmark).orderBy("doc_id").collect()]
+
+
+def test_decontamination_by_occurrence(spark):
+    item = "a train leaves the old station at 40 km per hour and reaches the small town by the sea after 3 hours while many people wait near the gate"
+    variant = item.replace("40", "65").replace("3 hours", "7 hours")
+    twice = "in the year before the war the number of people in the town was 500 and in the year after the war the number of people in the town was 700"
+    filler = " nothing else of note was ever said about any of this by them" * 3
+    shifted = variant.replace("reaches the", "so then at last it finally reaches the")
+    long = "the farmer who lives near the river sells 12 sacks of grain on the first morning of the market then he walks home and counts what is left in the barn before his son brings 9 more from the mill which stands on the other side of the hill and at the end of that day they want to know how many of them are still there"
+    parted = long.replace("12", "30").replace("walks", "slowly walks").replace("stands on", "now stands on")
+    unlike = "we know that 40 birds came to the lake and that later in that same year some 40 birds left it"
+    texts = [item + filler + " " + variant, variant + filler + " " + item.replace("40", "90"), item + filler + " " + " ".join(variant.split()[2:11]), twice, twice.replace("500", "510").replace("700", "720") + filler, shifted + filler + " " + item.replace("40", "12").split(" and ")[0], unlike.replace("40", "50", 1), filler, parted + filler + " " + " ".join(long.split()[4:13])]
+    assert leaks(spark, texts, [item, twice, unlike, long]) == [[0], [0], [0], [1], [1], [0], [], [], [3]]
+    places = {0: {0: [], 1: [(5, 6)]}, 2: {4: [(5, 6)], 5: []}, 3: {8: [(5, 7)]}, -9: {12: []}}
+    assert decontamination.chained(0, places) == {0: 0, 1: 0, 4: 2, 5: 2}

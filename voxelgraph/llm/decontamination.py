@@ -4,7 +4,9 @@ Words (letters and digits) become template symbols: a word with a digit is a num
 word inside a sentence a name; all others stand for themselves in lower case. Windows of WINDOW symbols, at least LITERAL of
 them words, are hashed and joined with the windows of the benchmark. A document holds an item if at least SHARE percent of
 the item's windows are found and the slots agree: one value of the item always became one value of the document. So questions
-with other numbers, names or units are caught as well as copies.
+with other numbers, names or units are caught as well as copies. Both are judged for each occurrence, and one is enough: the
+windows at one diagonal (place in the document less place in the item), then with windows of diagonals within DRIFT words
+that stand in order and agree with them (values of more words, inserted words), and the windows of the whole document.
 
 Windows of the benchmark are held by every task while there are at most SMALL of them (counted); beyond that all windows of
 the documents are joined by a shuffle. Only hits are grouped.
@@ -16,11 +18,12 @@ exchange.unique_documents); null items are left out; an empty table gives an emp
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -28,7 +31,7 @@ from .exchange import rows, ship, unique_documents, written
 from .substring_dedup import _columns
 from .toxicity import Grammar, lowered, word_key
 
-WINDOW, LITERAL, SHARE, SMALL = 8, 5, 40, 2_000_000
+WINDOW, LITERAL, SHARE, SMALL, DRIFT = 8, 5, 40, 2_000_000, 16
 #: Units; fixed values.
 UNITS = "m cm mm km kg g mg lb lbs oz l ml s sec secs min mins h hr hrs hour hours day days week weeks month months year years percent dollar dollars usd euro euros eur mile miles meter meters metre metres gram grams liter liters litre litres inch inches foot feet".split()
 PLAIN = np.ones(256, dtype=bool)
@@ -103,6 +106,47 @@ def items(benchmark: DataFrame) -> DataFrame:
     return own.mapInArrow(cut, "item_id bigint, item_pos bigint, hash bigint, n_windows bigint, slots array<boolean>, item_words array<bigint>")
 
 
+def chained(own: int, around: dict[int, dict[int, list[tuple[int, int]]]]) -> dict[int, int]:
+    """Places of the item and their diagonal: all of diagonal `own`, and the runs of others that fit in order and agree.
+
+    around: the places on each diagonal and the values (item, document) of their slots.
+    """
+    taken = dict.fromkeys(around[own], own)
+    values = {a: b for x in around[own].values() for a, b in x}
+    runs = []
+    for g, places in around.items():
+        if g != own:
+            order = sorted(places)
+            cuts = [0, *(k for k in range(1, len(order)) if order[k] != order[k - 1] + 1), len(order)]
+            runs += [(a - b, abs(g - own), g, order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    for *_, g, run in sorted(runs):
+        order = sorted(taken)
+        fits = []
+        for i in run:
+            k = bisect_left(order, i)
+            free = k == len(order) or order[k] != i
+            if free and (k == 0 or order[k - 1] + taken[order[k - 1]] < i + g) and (k == len(order) or order[k] + taken[order[k]] > i + g):
+                fits.append(i)
+        more: dict[int, int] = {}
+        if all(values.get(a, b) == b and more.setdefault(a, b) == b for i in fits for a, b in around[g][i]):
+            taken |= dict.fromkeys(fits, g)
+            values |= more
+    return taken
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as of found() for diagonals that reach SHARE together with others near them."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            around = {s["diagonal"]: {x["item_pos"]: [(v["item_words"], v["words"]) for v in x["pairs"]] for x in s["places"]} for s in r["around"]}
+            taken = chained(r["diagonal"], around)
+            if len(taken) * 100 >= SHARE * r["n_windows"]:
+                at = [i + g for i, g in taken.items()]
+                out.append((r["doc_id"], r["item_id"], len(taken), r["n_windows"], min(at), max(at) + WINDOW - 1))
+        yield rows([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], ["doc_id", "item_id", "matched", "n_windows", "first_word", "last_word"])
+
+
 def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, first_word, last_word) of every item that a document holds."""
     ship(docs.sparkSession)
@@ -119,11 +163,26 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     row, pos, h, size = (x[hit] for hit in [Grammar.among(h, keys)] for x in (row, pos, h, size))
                 yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), lists(plain[K.ranges(pos, size)].view(np.int64), size, pa.int64())], ["doc_id", "pos", "hash", "words"])
 
-    hits = unique_documents(docs).mapInArrow(cut, "doc_id bigint, pos bigint, hash bigint, words array<bigint>").join(own, "hash")
     pairs = F.filter(F.zip_with("slots", F.arrays_zip("item_words", "words"), lambda s, x: F.when(s, x)), lambda x: x.isNotNull())
-    grouped = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("matched"), F.min("pos").alias("first_word"), (F.max("pos") + WINDOW - 1).alias("last_word"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    hits = unique_documents(docs).mapInArrow(cut, "doc_id bigint, pos bigint, hash bigint, words array<bigint>").join(own, "hash")
+    hits = written(hits.select("doc_id", "item_id", "n_windows", "item_pos", "pos", (F.col("pos") + F.size("words") - 1).alias("end"), pairs.alias("pairs")), "benchmark-hits")
+    ends = F.min("pos").alias("first_word"), F.max("end").alias("last_word")
+    slots = F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots")
+    enough = F.col("matched") * 100 >= SHARE * F.col("n_windows")
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["item_words"])))
-    return grouped.where((F.col("matched") * 100 >= SHARE * F.col("n_windows")) & agree).drop("slots")
+    whole = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("matched"), *ends, slots)
+    # a place of the item stands once on a diagonal, so these groups are as large as an item at most
+    places = F.collect_list(F.struct("item_pos", "pairs")).alias("places")
+    single = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("matched"), *ends, slots, places)
+    out = ["doc_id", "item_id", "matched", "n_windows", "first_word", "last_word"]
+    passed = written(whole.where(enough & agree).select(out).union(single.where(enough & agree).select(out)), "benchmark-found")
+    near = Window.partitionBy("doc_id", "item_id").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    left = single.where(agree).join(passed.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", "n_windows", "diagonal", "matched", "places")
+    left = left.withColumn("total", F.sum("matched").over(near)).withColumn("around", F.collect_list(F.struct("diagonal", "places")).over(near))
+    left = left.where((F.col("total") > F.col("matched")) & (F.col("total") * 100 >= SHARE * F.col("n_windows"))).select("doc_id", "item_id", "n_windows", "diagonal", "around")
+    every = passed.union(left.mapInArrow(merged, passed.schema).select(out))
+    best = F.max(F.struct("matched", (-F.col("first_word")).alias("back"), "last_word")).alias("best")
+    return every.groupBy("doc_id", "item_id", "n_windows").agg(best).select("doc_id", "item_id", "best.matched", "n_windows", (-F.col("best.back")).alias("first_word"), "best.last_word")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
