@@ -235,3 +235,9 @@ def test_decontamination_by_occurrence(spark):
     assert leaks(spark, texts, [item, twice, unlike, long]) == [[0], [0], [0], [1], [1], [0], [], [], [3]]
     places = {0: {0: [], 1: [(5, 6)]}, 2: {4: [(5, 6)], 5: []}, 3: {8: [(5, 7)]}, -9: {12: []}}
     assert decontamination.chained(0, places) == {0: 0, 1: 0, 4: 2, 5: 2}
+
+
+def test_decontamination_of_short_items(spark):
+    short, name = "why does old bread go stale", "in what year was Mozart born there"
+    texts = ["someone asked us why does old bread go stale and nobody knew what to say", short, "they wondered in what year was Haydn born there and left", "why does bread go stale", "old bread go", "tell me why does old bread go"]
+    assert leaks(spark, texts, [short, name]) == [[0], [0], [1], [], [], []]

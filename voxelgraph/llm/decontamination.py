@@ -12,7 +12,7 @@ Windows of the benchmark are held by every task while there are at most SMALL of
 the documents are joined by a shuffle. Only hits are grouped.
 
 Defined results: null and empty texts hold nothing; items with fewer than WINDOW words are matched by one window of all their
-words if at least LITERAL of these are words, else never; equal rows and rows that share a doc_id are one document (see
+words, held against all windows of that length in the documents, if at least LITERAL of these are words, else never; equal rows and rows that share a doc_id are one document (see
 exchange.unique_documents); null items are left out; an empty table gives an empty table; further columns are ignored.
 """
 
@@ -66,22 +66,24 @@ def symbols(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, plain, at
 
 
-def windows(blob: np.ndarray, offsets: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(blob: np.ndarray, offsets: np.ndarray, short: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, pos, hash, number of words) of every window with enough literal words; symbols and plain hashes of all words.
 
     pos counts from the first word of all rows.
 
-    short: texts under WINDOW words are one window.
+    short: lengths of the windows besides those of WINDOW words; if None, texts under WINDOW words are one window.
     """
     sym, plain, at = symbols(blob, offsets)
     literal = np.concatenate(([0], np.cumsum(sym == plain)))
     n = np.diff(at)
-    full = np.maximum(n - WINDOW + 1, 0)
-    row, pos = np.repeat(np.arange(len(n)), full), K.ranges(at[:-1], full)
-    size = np.full(len(row), WINDOW)
-    if short:
+    parts = []
+    for k in [WINDOW, *(short or [])]:
+        full = np.maximum(n - k + 1, 0)
+        parts.append((np.repeat(np.arange(len(n)), full), K.ranges(at[:-1], full), np.full(int(full.sum()), k)))
+    if short is None:
         few = np.flatnonzero((n > 0) & (n < WINDOW))
-        row, pos, size = np.concatenate((row, few)), np.concatenate((pos, at[few])), np.concatenate((size, n[few]))
+        parts.append((few, at[few], n[few]))
+    row, pos, size = (np.concatenate(x) for x in zip(*parts, strict=True))
     enough = literal[pos + size] - literal[pos] >= LITERAL
     row, pos, size = row[enough], pos[enough], size[enough]
     return row, pos, K.spans_hash(K.prefix(sym), pos, pos + size) if len(pos) else sym[:0], size, at, sym, plain
@@ -97,7 +99,7 @@ def items(benchmark: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, blob, offsets in _columns(batch):
-                row, pos, h, size, at, sym, plain = windows(blob, offsets, short=True)
+                row, pos, h, size, at, sym, plain = windows(blob, offsets, None)
                 words = K.ranges(pos, size)
                 total = np.bincount(row, minlength=len(ids))
                 yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(total[row], pa.int64()), lists(sym[words] != plain[words], size, pa.bool_()), lists(plain[words].view(np.int64), size, pa.int64())], ["item_id", "item_pos", "hash", "n_windows", "slots", "item_words"])
@@ -152,13 +154,15 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     own = written(items(benchmark), "benchmark-windows")
     small = own.count() <= SMALL
-    # the only thing collected: hashes of at most SMALL windows
+    # at most WINDOW - 1 lengths
+    short = sorted(r[0] for r in own.select(F.size("item_words")).where(F.size("item_words") < WINDOW).distinct().collect())
+    # besides these only hashes of at most SMALL windows are collected
     keys = np.unique(np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)) if small else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, blob, offsets in _columns(batch, K.SEGMENT):
-                row, pos, h, size, at, _, plain = windows(blob, offsets, short=False)
+                row, pos, h, size, at, _, plain = windows(blob, offsets, short)
                 if keys is not None:
                     row, pos, h, size = (x[hit] for hit in [Grammar.among(h, keys)] for x in (row, pos, h, size))
                 yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), lists(plain[K.ranges(pos, size)].view(np.int64), size, pa.int64())], ["doc_id", "pos", "hash", "words"])
