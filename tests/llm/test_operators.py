@@ -241,3 +241,10 @@ def test_decontamination_of_short_items(spark):
     short, name = "why does old bread go stale", "in what year was Mozart born there"
     texts = ["someone asked us why does old bread go stale and nobody knew what to say", short, "they wondered in what year was Haydn born there and left", "why does bread go stale", "old bread go", "tell me why does old bread go"]
     assert leaks(spark, texts, [short, name]) == [[0], [0], [1], [], [], []]
+
+
+def test_decontamination_of_copies_without_literal_words(spark):
+    items = ["12 km 30 m 5 cm are 1234 m or how many 44 55 66", "Berlin Hamburg Bremen Kiel Rostock Dresden Leipzig Erfurt Mainz Bonn", "what is 7 times 8", "name three rivers", "Rom liegt am Tiber", "?!"]
+    before, after = "then they asked about this and", "and so on as it was said"
+    texts = [*(f"{before} {x} {after}" for x in items), *items, items[0].replace("30", "31").replace("44", "45").replace("1234", "999"), "Berlin Hamburg Ulm Kiel Trier Dresden Jena Erfurt Celle Bonn", "what is 7 times 9", "name three lakes"]
+    assert leaks(spark, texts, items) == [[0], [1], [2], [3], [4], [], [0], [1], [2], [3], [4], [], [], [], [], []]

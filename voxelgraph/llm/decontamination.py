@@ -11,8 +11,13 @@ that stand in order and agree with them (values of more words, inserted words),
 Windows of the benchmark are held by every task while there are at most SMALL of them (counted); beyond that all windows of
 the documents are joined by a shuffle. Only hits are grouped.
 
-Defined results: null and empty texts hold nothing; items with fewer than WINDOW words are matched by one window of all their
-words, held against all windows of that length in the documents, if at least LITERAL of these are words, else never; equal rows and rows that share a doc_id are one document (see
+Copies need no literal words: beside the symbols all windows are hashed by their plain words, and a document with at least
+SHARE percent of these holds the item too, be it all numbers and names, unless the slots of its other windows disagree.
+
+Defined results: null and empty texts hold nothing; items with fewer than WINDOW words are one window of all their words,
+held against all windows of that length in the documents, by symbols if at least LITERAL of these are words and verbatim
+always, so that an item of one word is held by every document with that word; items without a word are never held;
+equal rows and rows that share a doc_id are one document (see
 exchange.unique_documents); null items are left out; an empty table gives an empty table; further columns are ignored.
 """
 
@@ -39,7 +44,7 @@ PLAIN[48:58] = False
 PLAIN[97:123] = False
 PLAIN[128:] = False
 UNIT_KEYS = np.array(sorted(word_key(x) for x in UNITS), dtype=np.uint64)
-NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
+NUMBER, UNIT, NAME, VERBATIM = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1))
 STOPS = np.zeros(256, dtype=bool)
 STOPS[list(b".!?:\n")] = True
 DIGIT = np.zeros(256, dtype=bool)
@@ -66,8 +71,10 @@ def symbols(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, plain, at
 
 
-def windows(blob: np.ndarray, offsets: np.ndarray, short: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pos, hash, number of words) of every window with enough literal words; symbols and plain hashes of all words.
+def windows(blob: np.ndarray, offsets: np.ndarray, short: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, hash, number of words, verbatim) of windows; offsets, symbols and plain hashes of all words.
+
+    Every window with enough literal words has a row by its symbols, and every window one by its plain words (verbatim).
 
     pos counts from the first word of all rows.
 
@@ -85,8 +92,11 @@ def windows(blob: np.ndarray, offsets: np.ndarray, short: list[int] | None) -> t
         parts.append((few, at[few], n[few]))
     row, pos, size = (np.concatenate(x) for x in zip(*parts, strict=True))
     enough = literal[pos + size] - literal[pos] >= LITERAL
-    row, pos, size = row[enough], pos[enough], size[enough]
-    return row, pos, K.spans_hash(K.prefix(sym), pos, pos + size) if len(pos) else sym[:0], size, at, sym, plain
+    verbatim = np.concatenate((np.zeros(int(enough.sum()), dtype=bool), np.ones(len(pos), dtype=bool)))
+    exact = K.spans_hash(K.prefix(plain), pos, pos + size) ^ VERBATIM if len(pos) else plain[:0]
+    like = K.spans_hash(K.prefix(sym), pos[enough], (pos + size)[enough]) if len(pos) else sym[:0]
+    row, pos, size = (np.concatenate((x[enough], x)) for x in (row, pos, size))
+    return row, pos, np.concatenate((like, exact)), size, verbatim, at, sym, plain
 
 
 def lists(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -94,18 +104,22 @@ def lists(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.ListArr
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_pos, hash, n_windows, slots, item_words) of every window of the benchmark."""
+    """(item_id, item_pos, hash, n_windows, verbatim, size, slots, item_words) of every window of the benchmark.
+
+    n_windows counts an item's windows of the same kind; only windows by symbols have slots and words.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, blob, offsets in _columns(batch):
-                row, pos, h, size, at, sym, plain = windows(blob, offsets, None)
-                words = K.ranges(pos, size)
-                total = np.bincount(row, minlength=len(ids))
-                yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(total[row], pa.int64()), lists(sym[words] != plain[words], size, pa.bool_()), lists(plain[words].view(np.int64), size, pa.int64())], ["item_id", "item_pos", "hash", "n_windows", "slots", "item_words"])
+                row, pos, h, size, verbatim, at, sym, plain = windows(blob, offsets, None)
+                shown = np.where(verbatim, 0, size)
+                words = K.ranges(pos, shown)
+                total = np.where(verbatim, np.bincount(row[verbatim], minlength=len(ids))[row], np.bincount(row[~verbatim], minlength=len(ids))[row])
+                yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(total, pa.int64()), pa.array(verbatim), pa.array(size, pa.int32()), lists(sym[words] != plain[words], shown, pa.bool_()), lists(plain[words].view(np.int64), shown, pa.int64())], ["item_id", "item_pos", "hash", "n_windows", "verbatim", "size", "slots", "item_words"])
 
     own = unique_documents(benchmark.withColumnRenamed("item_id", "doc_id").select("doc_id", "text"))
-    return own.mapInArrow(cut, "item_id bigint, item_pos bigint, hash bigint, n_windows bigint, slots array<boolean>, item_words array<bigint>")
+    return own.mapInArrow(cut, "item_id bigint, item_pos bigint, hash bigint, n_windows bigint, verbatim boolean, size int, slots array<boolean>, item_words array<bigint>")
 
 
 def chained(own: int, around: dict[int, dict[int, list[tuple[int, int]]]]) -> dict[int, int]:
@@ -155,38 +169,44 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = written(items(benchmark), "benchmark-windows")
     small = own.count() <= SMALL
     # at most WINDOW - 1 lengths
-    short = sorted(r[0] for r in own.select(F.size("item_words")).where(F.size("item_words") < WINDOW).distinct().collect())
+    short = sorted(r[0] for r in own.select("size").where(F.col("size") < WINDOW).distinct().collect())
     # besides these only hashes of at most SMALL windows are collected
     keys = np.unique(np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)) if small else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, ids, blob, offsets in _columns(batch, K.SEGMENT):
-                row, pos, h, size, at, _, plain = windows(blob, offsets, short)
+                row, pos, h, size, verbatim, at, _, plain = windows(blob, offsets, short)
+                size[verbatim] = 0  # their words are equal
                 if keys is not None:
                     row, pos, h, size = (x[hit] for hit in [Grammar.among(h, keys)] for x in (row, pos, h, size))
                 yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), lists(plain[K.ranges(pos, size)].view(np.int64), size, pa.int64())], ["doc_id", "pos", "hash", "words"])
 
     pairs = F.filter(F.zip_with("slots", F.arrays_zip("item_words", "words"), lambda s, x: F.when(s, x)), lambda x: x.isNotNull())
     hits = unique_documents(docs).mapInArrow(cut, "doc_id bigint, pos bigint, hash bigint, words array<bigint>").join(own, "hash")
-    hits = written(hits.select("doc_id", "item_id", "n_windows", "item_pos", "pos", (F.col("pos") + F.size("words") - 1).alias("end"), pairs.alias("pairs")), "benchmark-hits")
+    hits = written(hits.select("doc_id", "item_id", "n_windows", "item_pos", "verbatim", "pos", (F.col("pos") + F.col("size") - 1).alias("end"), pairs.alias("pairs")), "benchmark-hits")
     ends = F.min("pos").alias("first_word"), F.max("end").alias("last_word")
+    of = lambda kind, x: F.when(F.col("verbatim") == kind, x)
+    totals = F.max(of(False, F.col("n_windows"))).alias("n_like"), F.max(of(True, F.col("n_windows"))).alias("n_same")
     slots = F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots")
-    enough = F.col("matched") * 100 >= SHARE * F.col("n_windows")
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["item_words"])))
-    whole = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("matched"), *ends, slots)
+    like, same = (F.coalesce(F.col(x) * 100 >= SHARE * F.col(n), F.lit(False)) for x, n in (("like", "n_like"), ("same", "n_same")))
+    distinct = lambda kind, name: F.size(F.collect_set(of(kind, F.col("item_pos")))).cast("bigint").alias(name)
+    whole = hits.groupBy("doc_id", "item_id").agg(distinct(False, "like"), distinct(True, "same"), *totals, *ends, slots)
     # a place of the item stands once on a diagonal, so these groups are as large as an item at most
-    places = F.collect_list(F.struct("item_pos", "pairs")).alias("places")
-    single = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("matched"), *ends, slots, places)
+    number = lambda kind, name: F.count(of(kind, F.lit(1))).alias(name)
+    places = F.collect_list(of(False, F.struct("item_pos", "pairs"))).alias("places")
+    single = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(number(False, "like"), number(True, "same"), *totals, *ends, slots, places)
     out = ["doc_id", "item_id", "matched", "n_windows", "first_word", "last_word"]
-    passed = written(whole.where(enough & agree).select(out).union(single.where(enough & agree).select(out)), "benchmark-found")
+    found_in = lambda x: x.where((like | same) & agree).withColumn("matched", F.when(like, F.col("like")).otherwise(F.col("same"))).withColumn("n_windows", F.when(like, F.col("n_like")).otherwise(F.col("n_same"))).select(out)
+    passed = written(found_in(whole).union(found_in(single)), "benchmark-found")
     near = Window.partitionBy("doc_id", "item_id").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
-    left = single.where(agree).join(passed.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", "n_windows", "diagonal", "matched", "places")
+    left = single.where(agree & (F.col("like") > 0)).withColumnsRenamed({"like": "matched", "n_like": "n_windows"}).join(passed.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", "n_windows", "diagonal", "matched", "places")
     left = left.withColumn("total", F.sum("matched").over(near)).withColumn("around", F.collect_list(F.struct("diagonal", "places")).over(near))
     left = left.where((F.col("total") > F.col("matched")) & (F.col("total") * 100 >= SHARE * F.col("n_windows"))).select("doc_id", "item_id", "n_windows", "diagonal", "around")
     every = passed.union(left.mapInArrow(merged, passed.schema).select(out))
-    best = F.max(F.struct("matched", (-F.col("first_word")).alias("back"), "last_word")).alias("best")
-    return every.groupBy("doc_id", "item_id", "n_windows").agg(best).select("doc_id", "item_id", "best.matched", "n_windows", (-F.col("best.back")).alias("first_word"), "best.last_word")
+    best = F.max(F.struct("matched", (-F.col("first_word")).alias("back"), "last_word", "n_windows")).alias("best")
+    return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", "best.n_windows", (-F.col("best.back")).alias("first_word"), "best.last_word")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
