@@ -248,3 +248,13 @@ def test_decontamination_of_copies_without_literal_words(spark):
     before, after = "then they asked about this and", "and so on as it was said"
     texts = [*(f"{before} {x} {after}" for x in items), *items, items[0].replace("30", "31").replace("44", "45").replace("1234", "999"), "Berlin Hamburg Ulm Kiel Trier Dresden Jena Erfurt Celle Bonn", "what is 7 times 9", "name three lakes"]
     assert leaks(spark, texts, items) == [[0], [1], [2], [3], [4], [], [0], [1], [2], [3], [4], [], [], [], [], []]
+
+
+def test_repeated_words_of_a_long_text(spark):
+    """Two windows that share the 43 bits which a place in a million words leaves of a hash, and one that repeats."""
+    from pyspark.sql import functions as F
+
+    own = lambda *x: F.array(*(F.lit(i).cast("bigint") for i in x))
+    fill = F.sequence(F.lit(30_000_000).cast("bigint"), F.lit(31_100_000).cast("bigint"))
+    hashes = F.concat(own(10148550, -1, -2, -3, -4, 7, 8, 9, 10, 11), fill, own(18314730, -1, -2, -3, -4, 5, 7, 8, 9, 10, 11))
+    assert spark.range(1).select(hashes.alias("hashes")).select(quality_rules.repeated_words(F.col("hashes"))).first()[0] == 10

@@ -56,16 +56,24 @@ def repeated_words(hashes: Column, n: int = 5) -> Column:
     """Words in windows of n words that occur at least twice in the text.
 
     A window's hash and its place share one bigint (the place takes as many low bits as the text needs), so that windows
-    sort as plain numbers and equal ones become neighbours.
+    sort as plain numbers and equal ones become neighbours. Those neighbours alone are sorted again by their whole hash,
+    as in long texts different windows share what the place leaves of it.
     """
     size = F.size(hashes)
     bits = F.ceil(F.log2(size.cast("double") + 1)).cast("int")
+    gram = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))
 
     def of_sorted(s: Column, b: Column) -> Column:
         place = lambda x: F.pmod(x, F.call_function("shiftleft", F.lit(1).cast("bigint"), b))
         head = lambda x: F.call_function("shiftright", x, b)
-        same = F.filter(s, lambda x, j: head(F.get(s, j + 1)).eqNullSafe(head(x)) | head(F.get(s, j - 1)).eqNullSafe(head(x)))
-        found = F.array_sort(F.transform(same, place))
+        near = F.filter(s, lambda x, j: head(F.get(s, j + 1)).eqNullSafe(head(x)) | head(F.get(s, j - 1)).eqNullSafe(head(x)))
+        whole = F.sort_array(F.transform(near, lambda x: let(place(x).cast("int"), lambda i: F.struct(gram(i).alias("hash"), i.cast("bigint").alias("place")))))
+        return let(whole, of_whole)
+
+    def of_whole(w: Column) -> Column:
+        hash_at = lambda j: F.get(w, j)["hash"]
+        same = F.filter(w, lambda x, j: hash_at(j + 1).eqNullSafe(x["hash"]) | hash_at(j - 1).eqNullSafe(x["hash"]))
+        found = F.array_sort(F.transform(same, lambda x: x["place"]))
         start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("end"))
         step = lambda acc, i: F.struct((acc["total"] + i + n - F.greatest(i, acc["end"])).alias("total"), (i + n).alias("end"))
         return F.when(F.size(same) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(found, start, step, lambda acc: acc["total"]))
