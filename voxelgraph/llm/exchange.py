@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,20 +23,31 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 BUCKETS_PER_PARTITION = 4
+#: Largest Arrow batch that goes to a Python worker, and how its C allocator gives memory back: large arrays at once.
+BATCH_BYTES = 8 << 20
+ALLOCATOR = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed."""
+    """Lets Python workers import this package where it isn't installed, and keeps them small.
+
+    Arrow batches are held to BATCH_BYTES in the session, as a worker holds one whole and its executor another.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
+    for name, value in ALLOCATOR.items():
+        env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
+    """The folder that driver and executors share; one is set only where the session has none and is local."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -60,15 +72,16 @@ def buckets(spark: SparkSession) -> int:
 
 
 def unique_documents(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text, one row for each doc_id that isn't null; null text is empty.
+    """doc_id, text and the columns `more`, one row for each doc_id that isn't null; null text is empty.
 
     Rows that repeat whole are one document. Different texts under one doc_id are one document too: its texts in
-    ascending order, joined by line feeds. Rows without a doc_id can't be named in a result and are left out.
+    ascending order, joined by line feeds, with the least value of each further column. Rows without a doc_id can't be
+    named in a result and are left out.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
     if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs
-    return docs.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+    return docs.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"), *(F.min(c).alias(c) for c in more))
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-#: Symbols handled at a time: keeps every temporary array near 8 MB, however long a text is.
-SEGMENT = 1 << 20
+#: Symbols handled at a time: keeps every temporary array near 2 MB, however long a text is.
+SEGMENT = 1 << 18
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,10 +54,13 @@ def spans_hash(before: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def windows_hash(values: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hashes of each k consecutive values."""
-    before = prefix(values)
-    n = len(values) - k + 1
-    return mix((before[k:] - before[:n]) * powers(len(values))[1][:n])
+    """Mixed hashes of each k consecutive values, a segment at a time."""
+    out = np.empty(max(len(values) - k + 1, 0), dtype=np.uint64)
+    for a in range(0, len(out), SEGMENT):
+        n = min(SEGMENT, len(out) - a)
+        before = prefix(values[a : a + n + k - 1])
+        out[a : a + n] = mix((before[k:] - before[:n]) * powers(n + k)[1][:n])
+    return out
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

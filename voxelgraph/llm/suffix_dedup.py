@@ -4,11 +4,16 @@ A sparse suffix array: every string of `window` bytes has one minimiser (kernels
 ones at equal places, so it is enough to sort the suffixes that start at minimisers, each with the bytes before it back
 to the first string it stands for. Minimisers whose hash occurs once in the table can't begin a repeat and are left
 out first. Each task sorts its suffixes into runs, front-codes them (length of the prefix shared with the one before,
-then the rest) and sends each to the task of its key range; that task combines the runs with a loser tree in which a
-player carries the length of the prefix that it shares with the last winner, so that known prefixes aren't compared
-again, and passes the common prefix on. Neighbours that share the minimiser form a group, in which each string is
-settled: all its occurrences but the first (smallest doc_id, then start) are spans to remove. A suffix is ordered by its
-minimiser's 64-bit hash, then by its bytes: equal suffixes stay neighbours and ranges are even without sampling.
+then the rest) and sends each to the task of its minimiser's hash range; that task reads the runs one suffix at a time into
+a loser tree in which a player carries the length of the prefix that it shares with the last winner, so that known prefixes
+aren't compared again, and passes the common prefix on.
+
+What repeats is read off these lengths. A string that starts L bytes before its minimiser ends window - L bytes after it:
+neighbours in suffix order with a common prefix of window - L bytes or more have equal right parts, neighbours in the order
+of what stands before the minimiser, read backwards, with L bytes in common have equal left parts, and strings alike in both
+are equal. All but the first (smallest doc_id, then start) are spans to remove. Each task settles its own run in this way
+before it sends those suffixes that hold a first string; the merged order is settled again. A minimiser with very many
+suffixes is settled in pieces: only suffixes that hold a first string stay for the next piece.
 
 Defined results: null text is empty; texts under `window` bytes keep all; equal rows and rows that share a doc_id are
 one document (see exchange.unique_documents); an empty table gives an empty table; further columns are ignored.
@@ -18,7 +23,7 @@ Matches never cross documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -27,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .exchange import Sender, bucket_of, buckets, deltas, pack, repeated, rows, ship, unique_documents, unpack
-from .substring_dedup import _columns, _first
+from .exchange import bucket_of, buckets, pack, repeated, rows, ship, unique_documents, unpack
+from .substring_dedup import _columns
 
-HEAD = 8
+#: Suffixes that are sorted and settled at a time.
+RUN, PIECE = 1 << 16, 1 << 14
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -56,17 +62,20 @@ def front_code(keys: list[bytes]) -> tuple[list[int], list[bytes]]:
     return shared, [k[n:] for k, n in zip(keys, shared, strict=True)]
 
 
-def merge(runs: list[list[tuple[bytes, int]]]) -> Iterator[tuple[int, int, int]]:
-    """(run, index, common prefix with the one before) in ascending key order; ties by run.
+def merge(runs: Iterable[Iterator[tuple[bytes, int, object]]]) -> Iterator[tuple[bytes, int, object]]:
+    """(key, common prefix with the one before, item) in ascending key order; ties by run.
 
-    runs: sorted lists of (key, length shared with the key before in the run). A loser tree; each loser knows the prefix
-    that it shares with the winner it lost to, so two players compare from there only if those lengths are equal.
+    runs: sorted (key, length shared with the key before in the run, item), of which one at a time is held. A loser tree;
+    each loser knows the prefix that it shares with the winner it lost to, so two players compare from there only if those
+    lengths are equal.
     """
+    runs = list(runs)
     k = 1
     while k < len(runs):
         k *= 2
-    at = [0] * k
-    current: list[bytes | None] = [r[0][0] if r else None for r in runs] + [None] * (k - len(runs))
+    none = (None, 0, None)
+    heads = [next(r, none) for r in runs] + [none] * (k - len(runs))
+    current = [x[0] for x in heads]
     lcp = [0] * k
     losers = [-1] * k
 
@@ -95,14 +104,10 @@ def merge(runs: list[list[tuple[bytes, int]]]) -> Iterator[tuple[int, int, int]]
         return w
 
     winner = build(1) if k > 1 else 0
-    while current[winner] is not None:
-        i = at[winner]
-        yield winner, i, lcp[winner]
-        at[winner] = i = i + 1
-        if i < len(runs[winner]):
-            current[winner], lcp[winner] = runs[winner][i]
-        else:
-            current[winner] = None
+    while runs and current[winner] is not None:
+        yield current[winner], lcp[winner], heads[winner][2]
+        heads[winner] = x = next(runs[winner], none)
+        current[winner], lcp[winner] = x[0], x[1]
         node, w = (winner + k) // 2, winner
         while node:
             w, losers[node] = play(w, losers[node])
@@ -110,42 +115,99 @@ def merge(runs: list[list[tuple[bytes, int]]]) -> Iterator[tuple[int, int, int]]
         winner = w
 
 
-def _settle(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, group: np.ndarray, blob: np.ndarray, begin: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Runs (doc, first, last) of strings that occur earlier, for records in ascending place; which records hold a first.
+def left_order(lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings read backwards, and the length of each one's common ending with the one before it."""
+    size = np.array([len(x) for x in lefts], dtype=np.int64)
+    width = max(8, -(-int(size.max()) // 8) * 8)
+    data = np.frombuffer(b"".join(lefts) + b"\0", dtype=np.uint8)
+    at = np.cumsum(size)[:, None] - 1 - np.arange(width)
+    grid = np.where(np.arange(width) < size[:, None], data[np.maximum(at, 0)], 0).astype(np.uint8)
+    order = np.lexsort(grid.view(">u8").T[::-1])
+    unlike = np.concatenate((grid[order[1:]] != grid[order[:-1]], np.ones((len(order) - 1, 1), dtype=bool)), axis=1)
+    return order, np.concatenate(([0], unlike.argmax(axis=1)))
+
 
-    A record: n strings from byte lo of doc, whose bytes are in blob from begin; group: the hash of its minimiser.
+def settle(doc: np.ndarray, lo: np.ndarray, more: np.ndarray, lefts: list[bytes], lcp: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Runs (doc, first, last) of strings that occur earlier, and which suffixes hold a first string.
+
+    Suffixes in ascending order; lcp: the prefix that each shares with the one before. A suffix stands for the strings that
+    start at bytes lo .. lo + more of doc; lefts: the bytes from lo to the suffix.
     """
-    of = np.repeat(np.arange(len(doc)), n)
-    pos = K.ranges(lo, n)
-    by_place = np.argsort(begin, kind="stable")
-    at = K.ranges(begin[by_place], n[by_place])
-    key = np.empty(len(at), dtype=np.uint64)
-    for s in _stretches(at):
-        base = int(at[s.start])
-        before = K.prefix(K.BYTE_VALUES[blob[base : int(at[s].max()) + window]])
-        key[s] = K.spans_hash(before, at[s] - base, at[s] - base + window)
-    edges = np.empty(len(n), dtype=np.int64)
-    edges[by_place] = np.concatenate(([0], np.cumsum(n[by_place])))[:-1]
-    key = key[K.ranges(edges, n)]
-    first = _first(key, group[of])
-    gone = first != np.arange(len(first))
-    later = np.flatnonzero(gone)
-    needed = np.zeros(len(doc), dtype=bool)
-    needed[of[~gone]] = True
-    new = np.ones(len(later), dtype=bool)
-    new[1:] = (doc[of[later[1:]]] != doc[of[later[:-1]]]) | (pos[later[1:]] != pos[later[:-1]] + 1)
-    a = later[new]
-    b = later[np.append(np.flatnonzero(new)[1:] - 1, len(later) - 1)] if len(later) else later
-    return [doc[of[a]], pos[a], pos[b]], needed
-
-
-def _stretches(at: np.ndarray) -> Iterator[slice]:
-    """Parts of almost ascending places that span about a segment of bytes."""
-    i, top = 0, np.maximum.accumulate(at) if len(at) else at
-    while i < len(at):
-        j = max(i + 1, int(np.searchsorted(top, at[i] + K.SEGMENT)))
-        yield slice(i, j)
-        i = j
+    n = len(doc)
+    left = np.array([len(x) for x in lefts], dtype=np.int64)
+    order, ending = left_order(lefts)
+    place = np.lexsort((lo + left, doc))
+    back = np.empty(n, dtype=np.int64)
+    least, deepest = left - more, int(left.max())
+    gone = np.zeros((n, deepest + 2), dtype=bool)
+    held = np.zeros(n, dtype=bool)
+    for depth in range(int(least.min()), deepest + 1):
+        own = place[(least[place] <= depth) & (left[place] >= depth)]
+        if not len(own):
+            continue
+        back[order] = np.cumsum(ending < depth)
+        kind = np.cumsum(lcp < window - depth)[own] * np.int64(n + 1) + back[own]
+        by = np.argsort(kind, kind="stable")
+        later = kind[by[1:]] == kind[by[:-1]]
+        gone[own[by[1:][later]], depth] = True
+        held[own[by[np.append(True, ~later)]]] = True
+    begin, end = K.runs(gone.ravel())
+    row, near = np.divmod(begin, deepest + 2)
+    anchor = (lo + left)[row]
+    return [doc[row], anchor - (near + end - begin - 1), anchor - near], held
+
+
+def joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Runs of strings that follow each other in a document as one."""
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + 1))[: len(doc)]
+    begin = np.flatnonzero(new)
+    return [doc[begin], first[begin], np.maximum.reduceat(last, begin) if len(begin) else last]
+
+
+class Settled:
+    """Takes suffixes in ascending order and settles them at the ends of groups that share a minimiser."""
+
+    def __init__(self, window: int):
+        self.window, self.held, self.found, self.most = window, [], [], 4 * PIECE
+
+    def add(self, lcp: int, doc: int, lo: int, more: int, left: bytes) -> None:
+        if lcp < self.window // 2:  # another minimiser: no string before it can be equal to one from here on
+            if len(self.held) >= PIECE:
+                self.end()
+        elif len(self.held) >= self.most:
+            kept = self._settle()
+            low, out = self.window, []
+            for row, keep in zip(self.held, kept.tolist(), strict=True):
+                low = min(low, row[0])
+                if keep:
+                    out.append((low, *row[1:]))
+                    low = self.window
+            self.held, self.most = out, max(4 * PIECE, 2 * len(out))
+            lcp = min(lcp, low)
+        self.held.append((lcp, doc, lo, more, left))
+
+    def _settle(self) -> np.ndarray:
+        lcp, doc, lo, more = (np.array(x, dtype=np.int64) for x in list(zip(*self.held, strict=True))[:4])
+        lcp[0] = 0
+        k = self.window // 2
+        follows = lcp >= k
+        met = follows | np.append(follows[1:], False)  # the others hold strings that occur once
+        out, held = np.zeros(len(doc), dtype=bool), np.flatnonzero(met)
+        if len(held):
+            spans, out[held] = settle(doc[held], lo[held], more[held], [self.held[i][4] for i in held.tolist()], np.where(follows, lcp, 0)[held], self.window)
+            self.found.append(joined(*spans))
+        out[~met] = True
+        return out
+
+    def end(self) -> np.ndarray:
+        kept = self._settle() if self.held else np.zeros(0, dtype=bool)
+        self.held, self.most = [], 4 * PIECE
+        return kept
+
+    def spans(self) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*self.found, strict=True)] if self.found else [np.zeros(0, np.int64)] * 3
 
 
 def spans(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -157,13 +219,16 @@ def spans(docs: DataFrame, window: int = 100) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for part, ids, blob, offsets in _columns(batch, K.SEGMENT):
-                parts: list = [[] for _ in range(4)]
-                for i, j in K.groups_of(offsets, K.SEGMENT - window):
-                    lo = int(offsets[i])
-                    own = K.minimisers(K.BYTE_VALUES[blob[lo : int(offsets[j])]], offsets[i : j + 1] - lo, window, k)
-                    for held, x in zip(parts, (own[0] + lo, own[1] + lo, own[2] + lo, own[3]), strict=True):
-                        held.append(x)
+            for part, ids, blob, offsets in _columns(batch):
+                parts: list = [[np.zeros(0, np.int64)] for _ in range(3)] + [[np.zeros(0, np.uint64)]]
+                for i, j in K.groups_of(offsets, K.SEGMENT):
+                    top, at = int(offsets[j]), int(offsets[i])
+                    while at < top:  # more than one step only within a text above a segment
+                        end = min(top, at + K.SEGMENT + window) if j == i + 1 else top
+                        own = K.minimisers(K.BYTE_VALUES[blob[at:end]], np.clip(offsets[i : j + 1], at, end) - at, window, k)
+                        for held, x in zip(parts, (own[0] + at, own[1] + at, own[2] + at, own[3]), strict=True):
+                            held.append(x)
+                        at = top if end == top else end - window + 1
                 found = [np.concatenate(x) for x in parts]
                 yield part, ids, blob, offsets, found, np.searchsorted(offsets, found[0], side="right") - 1
 
@@ -171,92 +236,83 @@ def spans(docs: DataFrame, window: int = 100) -> DataFrame:
         for _, ids, _, offsets, (anchor, _, _, h), row in anchors(batches):
             yield h, ids[row], anchor - offsets[row]
 
-    def encode(kind: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, h: np.ndarray, text: np.ndarray) -> bytes:
-        """Spans known from the batch as they are, records as a sorted and front-coded run."""
-        known = kind == 0
-        run = np.flatnonzero(~known)
-        left = (anchor - lo).tolist()
-        heads = h.astype(">u8").tobytes()
-        keys = {i: heads[8 * i : 8 * i + 8] + text[i][left[i] :] for i in run.tolist()}
-        order = sorted(keys, key=keys.__getitem__)
-        shared, rest = front_code([keys[i] for i in order])
-        before = [text[i][: left[i]] for i in order]
-        at = np.array(order, dtype=np.int64)
+    def encode(own: list[tuple[bytes, int, int, int, bytes]]) -> bytes:
+        """A sorted run, front-coded."""
+        shared, rest = front_code([x[0] for x in own])
         size = lambda x: np.array([len(y) for y in x], dtype=np.uint32)
         data = lambda x: np.frombuffer(b"".join(x), np.uint8)
-        return pack(doc[known], lo[known], hi[known], doc[at], lo[at], hi[at] - lo[at], np.array(shared, np.uint8 if window < 240 else np.uint32), size(rest), data(rest), size(before), data(before))
+        before = [x[4] for x in own]
+        doc, lo, more = (np.array([x[i] for x in own], dtype=np.int64) for i in (1, 2, 3))
+        return pack(np.array(shared, np.uint32), size(rest), data(rest), doc, lo, more.astype(np.uint32), size(before), data(before))
+
+    def decode(blob: bytes) -> Iterator[tuple[bytes, int, tuple]]:
+        shared, size, data, doc, lo, more, lsize, ldata = unpack(blob)
+        data, ldata, key, a, b = memoryview(data), memoryview(ldata), b"", 0, 0
+        for i in range(len(shared)):
+            s, r, m = int(shared[i]), int(size[i]), int(lsize[i])
+            key = key[:s] + data[a : a + r]
+            yield key, s, (int(doc[i]), int(lo[i]), int(more[i]), bytes(ldata[b : b + m]))
+            a, b = a + r, b + m
+
+    def run(own: list[tuple[bytes, int, int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        """One sorted run: what it settles by itself, and a blob for each bucket of what holds a first string."""
+        own.sort(key=lambda x: x[0])
+        settled, kept, before = Settled(window), [], b""
+        for x in own:
+            lcp = common(before, x[0], 0)
+            if lcp < k and len(settled.held) >= PIECE:
+                kept.append(settled.end())
+            settled.held.append((lcp, *x[1:5]))
+            before = x[0]
+        kept.append(settled.end())
+        some = np.flatnonzero(np.concatenate(kept))
+        bucket = bucket_of(np.array([own[i][5] for i in some.tolist()], dtype=np.uint64), n)
+        order = np.argsort(bucket, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+        parts = [order[x:y] for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+        yield rows([pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array([encode([own[i] for i in some[x].tolist()]) for x in parts], pa.binary())], ["bucket", "run"])
+        known = settled.spans()
+        if len(known[0]):
+            home = bucket_of(K.mix(known[0].astype(np.uint64)), n)
+            order = np.argsort(home, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(home[order])) + 1).tolist(), len(order)]
+            parts = [order[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield rows([pa.array([int(home[x[0]]) for x in parts], pa.int32()), pa.array([pack(*(y[x] for y in known)) for x in parts], pa.binary())], ["bucket", "known"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n, encode, most=1 << 16)
+        held: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for b in run(held):
+                blank = pa.nulls(b.num_rows, pa.binary())
+                yield rows([b.column("bucket"), b.column("run") if "run" in b.schema.names else blank, b.column("known") if "known" in b.schema.names else blank], ["bucket", "run", "known"])
+            held.clear()
+
         for part, ids, blob, offsets, (anchor, first, last, h), row in anchors(batches):
             where = part.column("pos")
             pos = where.flatten().to_numpy()
             owner = np.repeat(np.arange(len(ids)), np.diff(where.offsets.to_numpy()))
-            keep = np.isin(anchor, offsets[owner] + pos)
-            keep = np.flatnonzero(keep)
-            keep = keep[np.lexsort((first[keep], ids[row[keep]]))]
-            anchor, first, last, h, row = (x[keep] for x in (anchor, first, last, h, row))
-            known, needed = _settle(ids[row], first - offsets[row], last - first + 1, h, blob, first, window)
-            m = len(known[0])
-            none = np.empty(m, dtype=object)
-            yield from sender.add(np.arange(m) % n, np.zeros(m, np.uint8), *known, np.zeros(m, np.int64), np.zeros(m, np.uint64), none)
-            some = np.flatnonzero(needed)
-            data = blob.tobytes()
-            text = np.empty(len(some), dtype=object)
-            text[:] = [data[a : b + window] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
-            base = offsets[row[some]]
-            yield from sender.add(bucket_of(h[some], n), np.ones(len(some), np.uint8), ids[row[some]], first[some] - base, last[some] - base, anchor[some] - base, h[some], text)
-        yield from sender.flush()
+            keep = np.flatnonzero(np.isin(anchor, offsets[owner] + pos))
+            data, base = memoryview(blob), offsets[row[keep]]
+            for x in range(0, len(keep), RUN):
+                s = keep[x : x + RUN]
+                held += [(bytes(data[c : b + window]), d, a - o, b - a, bytes(data[a:c]), g) for c, a, b, d, o, g in zip(anchor[s].tolist(), first[s].tolist(), last[s].tolist(), ids[row[s]].tolist(), base[x : x + RUN].tolist(), h[s].tolist(), strict=True)]
+                if len(held) >= RUN:
+                    yield from out()
+        if held:
+            yield from out()
 
     def combine(table: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[] for _ in range(3)]
-        runs, places, lefts = [], [], []
-        for x in table.column("blob"):
-            kd, kl, kh, doc, lo, more, shared, size, data, lsize, ldata = unpack(x.as_py())
-            for held, y in zip(out, (kd, kl, kh), strict=True):
-                held.append(y)
-            data, ldata, key, run, left = data.tobytes(), ldata.tobytes(), b"", [], []
-            a = b = 0
-            for s, r, m in zip(shared.tolist(), size.tolist(), lsize.tolist(), strict=True):
-                key = key[:s] + data[a : a + r]
-                run.append((key, s))
-                left.append(ldata[b : b + m])
-                a, b = a + r, b + m
-            if run:
-                runs.append(run)
-                places.append(list(zip(doc.tolist(), lo.tolist(), more.tolist(), strict=True)))
-                lefts.append(left)
-
-        def settle() -> None:
-            doc, lo, more = (np.array(x, dtype=np.int64) for x in zip(*[places[r][i] for r, i in held], strict=True))
-            heads = np.frombuffer(b"".join(runs[r][i][0][:HEAD] for r, i in held), ">u8").astype(np.uint64)
-            pieces = [lefts[r][i] + runs[r][i][0][HEAD:] for r, i in held]
-            begin = np.concatenate(([0], np.cumsum([len(x) for x in pieces])))[:-1]
-            order = np.lexsort((lo, doc))
-            f, _ = _settle(doc[order], lo[order], more[order] + 1, heads[order], np.frombuffer(b"".join(pieces), np.uint8), begin[order], window)
-            for x, y in zip(out, f, strict=True):
-                x.append(y)
-
-        held: list[tuple[int, int]] = []
-        group = 0
-        for r, i, shared in merge(runs):
-            if shared < HEAD + k:  # another minimiser: a group ends
-                if len(held) - group == 1:
-                    held.pop()  # a string with one occurrence left
-                if len(held) > 20_000:
-                    settle()
-                    held.clear()
-                group = len(held)
-            held.append((r, i))
-        if held and len(held) - group == 1:
-            held.pop()
-        if held:
-            settle()
-        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["doc_id", "first", "last"])
+        settled = Settled(window)
+        settled.found += [unpack(x.as_py()) for x in table.column("known") if x.is_valid]
+        for _, lcp, item in merge(decode(x.as_py()) for x in table.column("run") if x.is_valid):
+            settled.add(lcp, *item)
+        settled.end()
+        return pa.table([pa.array(x, pa.int64()) for x in joined(*settled.spans())], ["doc_id", "first", "last"])
 
     docs = unique_documents(docs)
     marked = repeated(docs, items).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    return docs.join(marked, "doc_id").mapInArrow(send, Sender.schema).groupBy("bucket").applyInArrow(combine, "doc_id bigint, first bigint, last bigint")
+    return docs.join(marked, "doc_id").mapInArrow(send, "bucket int, run binary, known binary").groupBy("bucket").applyInArrow(combine, "doc_id bigint, first bigint, last bigint")
 
 
 def dedup(docs: DataFrame, window: int = 100) -> DataFrame:
