@@ -1,10 +1,12 @@
 """Substring deduplication on words by relative Lempel-Ziv parsing.
 
-Every document is factored against the phrases that occur earlier (smaller doc_id, or earlier in it). The reference
-is indexed in blocks, one for each bucket of minimiser hashes; a block knows the earliest place of each of its phrases
-of `window` words. A factor starts at a phrase with an earlier place and is extended greedily while the next phrase
-has the next place of the same source; where it ends, the phrases that straddle its boundary are looked up on their
-own, so no repeated phrase is lost between two factors. Factors of at least `window` words are the duplicate spans.
+Every document is factored against the text that stands earlier (smaller doc_id, or earlier in it). The reference
+is indexed in blocks, one for each bucket of minimiser hashes; a block holds records (the phrases of `window` words around one
+minimiser) and knows the earliest place of each phrase, the seeds. A document's records are parsed greedily against each block
+that they fall in: a factor starts at the first phrase with an earlier place and is extended word by word while the source
+goes on alike; the parse then jumps to its end, where the phrase that straddles the boundary is looked up next, so no
+repeated phrase is lost between two factors. Factors have `window` words at least and are the duplicate spans. Before records
+are sent to the blocks each task parses its own against each other, and only those with a phrase's first place are sent.
 
 Defined results: null or empty text has no words, no factors; texts under `window` words have no factors; equal rows
 and rows that share a doc_id are one document (see exchange.unique_documents); an empty table gives an empty table;
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .exchange import Sender, bucket_of, buckets, deltas, pack, repeated, rows, ship, unique_documents, unpack
 
+#: Phrases that a task parses at a time, against each other, before the others' blocks.
+PARSED = 1 << 18
 FACTORS = "doc_id bigint, start bigint, phrases bigint, source_doc bigint, source_start bigint"
 
 
-def _columns(batch: pa.RecordBatch, most: int = 4 * K.SEGMENT) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _columns(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of a batch: rows, doc ids, bytes and offsets."""
     if batch.num_rows:
         _, offsets = K.texts(batch.column("text"))
@@ -62,24 +66,48 @@ def _first(key: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _factor(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, head: np.ndarray, phrase: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Greedy factors of records in ascending place; also which records hold the first place of any phrase.
 
-    A record is a run of n phrases from word lo of doc, all with the minimiser hash head.
+    A record is a run of n phrases from word lo of doc, all with the minimiser hash head. All records are parsed side by
+    side, a factor of each at a time: literals are passed over up to the next phrase with an earlier place, the factor that
+    starts there is extended while the source goes on alike, and the parse goes on with the phrase that straddles its end.
     """
     of = np.repeat(np.arange(len(doc)), n)
     pos = K.ranges(lo, n)
     first = _first(phrase, head[of])
     own = first == np.arange(len(first))
-    sd, sp = doc[of[first]], pos[first]
-    later = np.flatnonzero(~own)
-    grow = np.zeros(len(later), dtype=bool)
-    if len(later) > 1:
-        a, b = later[:-1], later[1:]
-        grow[1:] = (doc[of[a]] == doc[of[b]]) & (pos[a] + 1 == pos[b]) & (sd[a] == sd[b]) & (sp[a] + 1 == sp[b])
-    begin = np.flatnonzero(~grow)
-    at = later[begin]
-    length = np.diff(np.append(begin, len(later)))
+    stop = np.cumsum(n)
+    following = np.minimum.accumulate(np.where(own, len(own), np.arange(len(own)))[::-1])[::-1]
+    at, record = stop - n, np.arange(len(doc))
+    begins, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at):
+        at = following[at]
+        some = at < stop[record]
+        at, record = at[some], record[some]
+        source, size, grows = first[at], np.ones(len(at), np.int64), np.arange(len(at))
+        ends, limit = stop[record], stop[of[source]]
+        while len(grows):
+            here, there = (at + size)[grows], (source + size)[grows]
+            grows, here, there = (x[(here < ends[grows]) & (there < limit[grows])] for x in (grows, here, there))
+            grows = grows[phrase[here] == phrase[there]]
+            size[grows] += 1
+        begins.append(at)
+        lengths.append(size)
+        at = at + size
+        some = at < ends
+        at, record = at[some], record[some]
+    at, length = np.concatenate(begins), np.concatenate(lengths)
+    order = np.argsort(at)
+    at, length = at[order], length[order]
+    found = [doc[of[at]], pos[at], doc[of[first[at]]], pos[first[at]]]
     needed = np.zeros(len(doc), dtype=bool)
     needed[of[own]] = True
-    return [doc[of[at]], pos[at], length, sd[at], sp[at]], needed
+    # a factor that goes on in the next record from where its source goes on
+    new = np.ones(len(at), dtype=bool)
+    if len(at) > 1:
+        d, s, sd, sp = found
+        new[1:] = (d[1:] != d[:-1]) | (sd[1:] != sd[:-1]) | (s[1:] != s[:-1] + length[:-1]) | (sp[1:] != sp[:-1] + length[:-1])
+    begin = np.flatnonzero(new)
+    d, s, sd, sp = (x[begin] for x in found)
+    return [d, s, np.add.reduceat(length, begin) if len(begin) else length, sd, sp], needed
 
 
 def factors(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -98,6 +126,28 @@ def factors(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(n, encode, most=1 << 17)
+        held: list[tuple] = []
+        size = 0
+
+        def parse() -> Iterator[pa.RecordBatch]:
+            doc, lo, count, head, phrase = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            edges = np.cumsum(count) - count
+            order = np.lexsort((lo, doc))
+            phrase = phrase[K.ranges(edges[order], count[order])]
+            doc, lo, count, head = doc[order], lo[order], count[order], head[order]
+            f, needed = _factor(doc, lo, count, head, phrase)
+            z = np.empty(len(f[0]), dtype=object)
+            z[:] = [phrase[:0]] * len(z)
+            yield from sender.add(bucket_of(K.mix(f[0].astype(np.uint64)), n), np.zeros(len(f[0]), np.uint8), *f, z)
+            edges = np.concatenate(([0], np.cumsum(count)))
+            some = np.flatnonzero(needed)
+            z = np.empty(len(some), dtype=object)
+            for i, r in enumerate(some):
+                z[i] = phrase[edges[r] : edges[r + 1]]
+            yield from sender.add(bucket_of(head[some], n), np.ones(len(some), np.uint8), doc[some], lo[some], count[some], head[some].view(np.int64), np.zeros(len(some), np.int64), z)
+            yield from sender.flush()
+
         for part, ids, values, at, (anchor, first, last, h), row in word_anchors(batches, window, k):
             where = part.column("pos")
             pos = where.flatten().to_numpy()
@@ -105,26 +155,22 @@ def factors(docs: DataFrame, window: int = 20) -> DataFrame:
             width = int(at[-1]) + 1
             keep = np.isin(row * width + anchor - at[row], owner * width + pos)
             first, last, h, row = first[keep], last[keep], h[keep], row[keep]
-            order = np.lexsort((first, ids[row]))
-            first, last, h, row = first[order], last[order], h[order], row[order]
+            if not len(first):
+                continue
             count = last - first + 1
             starts = K.ranges(first, count)
-            phrase = np.zeros(0, np.uint64)
-            if len(starts):
-                lo = int(starts.min())
-                before = K.prefix(values[lo : int(starts.max()) + window])
-                phrase = K.spans_hash(before, starts - lo, starts - lo + window)
-            f, needed = _factor(ids[row], first - at[row], count, h, phrase)
-            z = np.empty(len(f[0]), dtype=object)
-            z[:] = [phrase[:0]] * len(z)
-            yield from sender.add(np.arange(len(f[0])) % n, np.zeros(len(f[0]), np.uint8), *f, z)
-            edges = np.concatenate(([0], np.cumsum(count)))
-            some = np.flatnonzero(needed)
-            z = np.empty(len(some), dtype=object)
-            for i, r in enumerate(some):
-                z[i] = phrase[edges[r] : edges[r + 1]]
-            yield from sender.add(bucket_of(h[some], n), np.ones(len(some), np.uint8), ids[row[some]], first[some] - at[row[some]], count[some], h[some].view(np.int64), np.zeros(len(some), np.int64), z)
-        yield from sender.flush()
+            phrase = np.empty(len(starts), np.uint64)
+            order = np.argsort(starts)
+            for x in range(0, len(order), K.SEGMENT):  # ascending, so each step needs the prefix of a stretch of words only
+                s = starts[order[x : x + K.SEGMENT]]
+                phrase[order[x : x + K.SEGMENT]] = K.spans_hash(K.prefix(values[s[0] : s[-1] + window]), s - s[0], s - s[0] + window)
+            held.append((ids[row], first - at[row], count, h, phrase))
+            size += len(phrase)
+            if size >= PARSED:
+                yield from parse()
+                size = 0
+        if held:
+            yield from parse()
 
     def settle(table: pa.Table) -> pa.Table:
         kinds, cols, phrases = [], [[] for _ in range(5)], []
@@ -154,14 +200,15 @@ def _spans(listed: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
     return own.field("start").to_numpy(), own.field("phrases").to_numpy()
 
 
-def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, n_spans, kept_sha256, text): each document without its duplicate spans.
+def dedup(docs: DataFrame, window: int = 20, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, n_spans, kept_sha256, text) and the columns `more`: documents without duplicate spans.
 
     text keeps what stands between the kept words, but for the white space after a removed word. Spans are judged on
     the input, not on what is left.
     """
-    docs = unique_documents(docs)
-    found = factors(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "phrases")).alias("spans"))
+    docs = unique_documents(docs, *more)
+    found = factors(docs.select("doc_id", "text"), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "phrases")).alias("spans"))
+    names = ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "text", *more]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +229,10 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                         gaps = len(K.runs(gone)[0])
                     lo, hi = int(offsets[r]), int(offsets[r + 1])
                     kept = np.flatnonzero(~gone) + a
-                    digest = hashlib.sha256(b" ".join([data[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]))
+                    digest = hashlib.sha256()
+                    for i in range(0, len(kept), K.SEGMENT):
+                        own = kept[i : i + K.SEGMENT]
+                        digest.update(b" " * (i > 0) + b" ".join([data[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]))
                     if gaps:
                         x, y = K.runs(gone)
                         edges = np.append(starts[a:b], hi)
@@ -192,9 +242,10 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                         text = data[lo:hi]
                     for held, v in zip(out, (b - a, int(gone.sum()), gaps, digest.hexdigest(), text.decode()), strict=True):
                         held.append(v)
-                yield rows([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "text"])
+                yield rows([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.string()), *(part.column(c) for c in more)], names)
 
-    return docs.join(found, "doc_id", "left").mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
+    kinds = ["bigint"] * 4 + ["string"] * 2 + [docs.schema[c].dataType.simpleString() for c in more]
+    return docs.join(found, "doc_id", "left").mapInArrow(finish, ", ".join(f"`{c}` {t}" for c, t in zip(names, kinds, strict=True)))
 
 
 def digest(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -202,10 +253,9 @@ def digest(docs: DataFrame, window: int = 20) -> DataFrame:
 
 
 def stage(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Documents with their duplicate spans cut out; a document left without words goes."""
-    kept = dedup(docs, window).where("n_words = 0 OR n_removed < n_words").select("doc_id", "text")
-    rest = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
-    return kept.join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    """Documents with their duplicate spans cut out; a document left without words goes. lang and source stay."""
+    kept = dedup(docs, window, ("lang", "source")).where("n_words = 0 OR n_removed < n_words")
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
 #: n_repeated words by brute force in SQL: for small inputs (windows as whole strings).
