@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, one pre-token at a time.
 
 BPE never merges across pre-tokens, so the ids of a text are the ids of its pre-tokens, each asked once of the library's
-model and kept in a bounded cache. Texts with any character outside ASCII and the Latin-1 letters, on which the library's
-own pattern and normaliser need not agree with `re`, are encoded whole by the library.
+model and kept in a bounded cache: when the young generation is full it becomes the old one, from which frequent pre-tokens
+come back. Texts with a special token's string and texts with any character outside ASCII and the Latin-1
+letters, on which the library's own pattern and normaliser need not agree with `re`, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ SAFE = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS[6:]}]*")
 #: Patterns of the two public vocabularies' pre-tokenisers, for safe texts; fixed values.
 BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
-#: Entries after which a worker's cache starts anew: some 400 MB.
-CACHED = 2_000_000
+#: Entries of each of the two generations of a worker's cache: some 20 MB each.
+CACHED, LONGEST = 100_000, 64
 _KEPT: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -35,12 +36,19 @@ class Ids(dict):
     """Little-endian unsigned 32-bit ids of a pre-token."""
 
     def __init__(self, model):
-        self.model, self.letters = model, byte_letters()
+        self.model, self.letters, self.old = model, byte_letters(), {}
         self.blank = self.letters[32]
 
     def __missing__(self, word: str) -> bytes:
-        plain = word.replace(" ", self.blank) if word.isascii() and (word.isprintable()) else word.encode().decode("latin-1").translate(self.letters)
-        self[word] = ids = self.pack([t.id for t in self.model.tokenize(plain)])
+        ids = self.old.get(word)
+        if ids is None:
+            plain = word.replace(" ", self.blank) if word.isascii() and (word.isprintable()) else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.pack([t.id for t in self.model.tokenize(plain)])
+        if len(word) <= LONGEST:
+            if len(self) >= CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
     @staticmethod
@@ -55,15 +63,13 @@ def encoder(path: str) -> Callable[[str], bytes]:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
+        special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
         words = "lowercase" in str(whole.normalizer).lower()
         pattern, ids = (WORD_LEVEL if words else BYTE_LEVEL).findall, Ids(whole.model)
 
         def encode(text: str) -> bytes:
-            if not SAFE.fullmatch(text):
+            if not SAFE.fullmatch(text) or special.search(text):
                 return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if len(ids) > CACHED:
-                ids.clear()
             return b"".join(map(ids.__getitem__, pattern(text.lower() if words else text)))
 
         _KEPT[path] = encode
