@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are read by small transducers: insults (a trie of weighted stems, learned from labels), threats, targets, negation and
-reported speech (fixed words). They are composed into one automaton over a clause, whose state is (addressed, negated,
-reported); each insult or threat that it reads leaves a match of the state's kind with the stem's weight. A document's score
-is a logistic combination of its matched clauses, not of words as such.
+Five small transducers read a clause as a string of word classes: insults and threats (whose words leave a match), targets,
+negation (a word and the SCOPE words after it) and reported speech. Each is a transition table; they are composed once into
+one automaton, whose states are tuples of theirs and whose output on an insult or threat is the kind of clause that it stands
+in: plain, addressed, negated, reported or threat. Insults are weighted stems learned from labels, the others fixed words. A
+document's score is a logistic combination of its matched clauses, not of words as such.
 
-Stems and the combination are learned from at most SAMPLE documents of each label (least hash of doc_id first) outside the
-held-out fold: stems are whole words or prefixes of 3 to 8 letters, kept if documents that have them are labelled toxic far
-more often than the sample (log-likelihood gain of at least GAIN, share of at least PURE), at most STEMS of them.
+Stems and the combination are learned from at most SAMPLE documents of label 1 and OTHERS of label 0 (least hash of doc_id
+first) outside the held-out fold: stems are whole words or prefixes of 3 to 8 letters, kept if documents that have them are
+labelled toxic far more often than the sample (log-likelihood gain of at least GAIN, share of at least PURE). Words are what
+stands between ASCII other than letters, the signs of Latin-1 and general or CJK punctuation, in lower case, in any script.
 
 Defined results: null and empty texts match nothing; without labelled rows of both kinds there are no stems and the score is
 the share of label 1 (0 without any); equal rows and rows that share a doc_id are one document (see
@@ -28,7 +30,7 @@ from .exchange import rows, ship, unique_documents
 from .quality_classifier import fold, sample_ids, sigmoid
 from .substring_dedup import _columns
 
-SAMPLE, STEMS, GAIN, PURE = 3000, 4000, 12.0, 0.9
+SAMPLE, OTHERS, GAIN, PURE = 3000, 9000, 12.0, 0.9
 #: Words of the fixed transducers; fixed values.
 THREATS = "kill hurt destroy shoot stab murder strangle beat burn hang tue töten matar".split()
 TARGETS = "you your yours he him she her they them these those this that du ihr sie dich tu toi vous usted ustedes".split()
@@ -36,11 +38,62 @@ NEGATIONS = "not no never neither nor without nicht kein nie pas jamais nunca ja
 REPORTS = "said says say wrote writes claimed claims quoted quotes reported called sagte schrieb dit dijo".split()
 SCOPE = 3
 KINDS = ("plain", "addressed", "negated", "reported", "threat")
+#: Word classes; STOP ends a clause.
+OTHER, STOP, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
+CLASSES = 7
 LETTER = np.ones(256, dtype=bool)
 LETTER[97:123] = False
 LETTER[128:] = False
 ENDS = np.zeros(256, dtype=bool)
 ENDS[list(b".!?;:\n|")] = True
+#: What parts words, for lower-case texts on the JVM; spaced() does the same on bytes.
+PARTS = r"[\x00-\x60\x7B-\x7F\u0080-\u00BF\u2000-\u207F\u3000-\u303F]+"
+
+
+def spaced(blob: np.ndarray) -> np.ndarray:
+    """The bytes with the signs of Latin-1 and general and CJK punctuation (two and three bytes in UTF-8) as spaces."""
+    out = blob.copy()
+    two = np.flatnonzero(blob == 0xC2)
+    for k in range(2):
+        out[np.minimum(two + k, len(out) - 1)] = 0x20
+    first = np.flatnonzero((blob[:-2] == 0xE2) & ((blob[1:-1] == 0x80) | (blob[1:-1] == 0x81)) | (blob[:-2] == 0xE3) & (blob[1:-1] == 0x80)) if len(blob) > 2 else two[:0]
+    for k in range(3):
+        out[first + k] = 0x20
+    return out
+
+
+class Transducer:
+    """A transition table: step[state, class] is the next state; the clause starts in state 0."""
+
+    def __init__(self, states: int, step):
+        self.states = states
+        self.step = np.array([[0 if c == STOP else step(s, c) for c in range(CLASSES)] for s in range(states)])
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both on the same string: states are pairs, numbered row by row."""
+        out = Transducer(self.states * other.states, lambda s, c: 0)
+        out.step = (self.step[:, None, :] * other.states + other.step[None, :, :]).reshape(out.states, CLASSES)
+        return out
+
+
+def automaton() -> tuple[list[list[int]], list[list[int]]]:
+    """The composed table, and the kind (index in KINDS, or -1) that it writes on each class in each state."""
+    target = Transducer(2, lambda s, c: int(s or c == TARGET))
+    report = Transducer(2, lambda s, c: int(s or c == REPORT))
+    negation = Transducer(SCOPE + 1, lambda s, c: SCOPE if c == NEGATION else max(s - 1, 0))
+    insult, threat = (Transducer(2, lambda s, c, own=own: int(c == own)) for own in (INSULT, THREAT))
+    parts = (target, report, negation, insult, threat)
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.compose(x)
+    state = np.stack(np.unravel_index(np.arange(whole.states), [x.states for x in parts]))
+    write = np.full((whole.states, CLASSES), -1)
+    for s, (addressed, reported, negated, *_) in enumerate(state.T):
+        for c in (INSULT, THREAT):
+            after = state[3:, whole.step[s, c]]  # which of the two has a match
+            kind = "negated" if negated else "reported" if reported else "threat" if after[1] else "addressed" if addressed else "plain"
+            write[s, c] = KINDS.index(kind)
+    return whole.step.tolist(), write.tolist()
 
 
 def lowered(blob: np.ndarray) -> np.ndarray:
@@ -58,21 +111,21 @@ def word_key(text: str) -> int:
 
 
 class Grammar:
-    """Word classes by hash, and the automaton over a clause."""
+    """Word classes by hash, and the composed automaton over a clause."""
 
     def __init__(self, stems: list[tuple[str, float]]):
-        self.whole: dict[int, tuple[str, float]] = {}
+        self.whole: dict[int, tuple[int, float]] = {}
         self.prefix: dict[int, dict[int, float]] = {}
-        for kind, own in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)):
+        for kind, own in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)):
             self.whole |= {word_key(x): (kind, 1.0) for x in own}
         for stem, weight in stems:
             if stem.endswith("$"):
-                self.whole[word_key(stem[:-1])] = ("insult", weight)
+                self.whole[word_key(stem[:-1])] = (INSULT, weight)
             else:
                 self.prefix.setdefault(len(stem.encode()), {})[word_key(stem)] = weight
-        self.keys = np.array(sorted(k for k, v in self.whole.items() if v[0] in ("insult", "threat")), dtype=np.uint64)
-        self.context = np.array(sorted(k for k, v in self.whole.items() if v[0] in ("target", "negation", "report")), dtype=np.uint64)
+        self.keys = np.array(sorted(self.whole), dtype=np.uint64)
         self.prefix_keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in self.prefix.items()}
+        self.step, self.write = automaton()
 
     @staticmethod
     def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -86,57 +139,49 @@ class Grammar:
         return out
 
     def features(self, blob: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text: matches of each kind and the sum of their weights."""
-        text = lowered(blob)
+        """For each text, in lower case: matches of each kind and the sum of their weights."""
+        text = spaced(blob)
         starts, ends, at = K.words(text, offsets, LETTER)
         out = np.zeros((len(offsets) - 1, len(KINDS) + 1))
         if not len(starts):
             return out
         hashes = K.words_hash(text, starts, ends)
-        weight = np.zeros(len(starts))
-        hit = self.among(hashes, self.keys)
-        for i in np.flatnonzero(hit):
-            weight[i] = self.whole[int(hashes[i])][1]
+        kind, weight = np.zeros(len(starts), dtype=np.int8), np.zeros(len(starts))
         for n, keys in self.prefix_keys.items():
             long = np.flatnonzero(ends - starts >= n)
             own = K.words_hash(text, starts[long], starts[long] + n)
             for i in np.flatnonzero(self.among(own, keys)):
-                weight[long[i]] = max(weight[long[i]], self.prefix[n][int(own[i])])
-        insult = np.flatnonzero(weight > 0)
-        if not len(insult):
+                kind[long[i]], weight[long[i]] = INSULT, max(weight[long[i]], self.prefix[n][int(own[i])])
+        for i in np.flatnonzero(self.among(hashes, self.keys)):
+            known, own = self.whole[int(hashes[i])]
+            kind[i], weight[i] = known, max(weight[i], own)
+        match = np.flatnonzero((kind == INSULT) | (kind == THREAT))
+        if not len(match):
             return out
         stops = np.concatenate(([0], np.cumsum(ENDS[blob])))
-        clause = stops[starts] + np.repeat(np.arange(len(at) - 1), np.diff(at))  # a text's end ends a clause
-        wanted = np.unique(clause[insult])
-        doc = np.searchsorted(at, np.arange(len(starts)), side="right") - 1
-        inside = np.flatnonzero(np.isin(clause, wanted) & ((weight > 0) | self.among(hashes, self.context)))
-        last, addressed, reported, negated = -1, False, False, -SCOPE - 1
-        for i in inside.tolist():
-            if clause[i] != last:
-                last, addressed, reported, negated = clause[i], False, False, -SCOPE - 1
-            kind = self.whole.get(int(hashes[i]), ("insult", 0.0))[0] if weight[i] == 0 or int(hashes[i]) in self.whole else "insult"
-            if kind == "target":
-                addressed = True
-            elif kind == "negation":
-                negated = i
-            elif kind == "report":
-                reported = True
-            else:
-                state = "negated" if i - negated <= SCOPE else "reported" if reported else "threat" if kind == "threat" else "addressed" if addressed else "plain"
-                out[doc[i], KINDS.index(state)] += 1
-                out[doc[i], -1] += weight[i]
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        clause = stops[starts] + doc  # a text's end ends a clause
+        begin = np.flatnonzero(np.append(True, clause[1:] != clause[:-1]))
+        end = np.append(begin[1:], len(clause))
+        for c in np.unique(np.searchsorted(begin, match, side="right") - 1).tolist():
+            a, b, state = int(begin[c]), int(end[c]), 0
+            for i, symbol in enumerate(kind[a:b].tolist(), a):
+                wrote, state = self.write[state][symbol], self.step[state][symbol]
+                if wrote >= 0:
+                    out[doc[i], wrote] += 1
+                    out[doc[i], -1] += weight[i]
         return out
 
 
 def stems(sample: DataFrame, toxic: int, total: int) -> list[tuple[str, float]]:
-    """Learned stems and their weights: counts of documents by stem on the executors, the best STEMS to the driver."""
+    """Learned stems and their weights: counts of documents by stem on the executors, those that pass to the driver."""
     share = max(min(toxic / total, 0.99), 0.01)
-    words = F.array_distinct(F.split(F.lower("text"), "[^a-zà-ÿ]+"))
+    words = F.array_distinct(F.split("text", PARTS))
     own = F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= 3, F.concat(F.array(F.concat(w, F.lit("$"))), F.transform(F.sequence(F.lit(3), F.least(F.length(w), F.lit(8))), lambda k: F.substring(w, 1, k)))).otherwise(F.array().cast("array<string>"))))
     counts = sample.select("label", F.explode(F.array_distinct(own)).alias("stem")).groupBy("stem").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
     pure = F.col("bad") / F.col("n")
     gain = F.col("bad") * F.log(pure / share) + F.when(F.col("n") > F.col("bad"), (F.col("n") - F.col("bad")) * F.log((1 - pure) / (1 - share))).otherwise(0.0)
-    best = counts.where((pure >= PURE) & (F.col("bad") >= 3)).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "stem").limit(STEMS).collect()
+    best = counts.where((pure >= PURE) & (F.col("bad") >= 3)).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "stem").collect()
     kept = {r["stem"]: r for r in best}
     shortest = [r for r in best if not any(r["stem"][:k] in kept for k in range(3, len(r["stem"])))]
     return [(r["stem"], float(np.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5)))) for r in shortest]
@@ -157,18 +202,18 @@ def apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sigmoid(np.column_stack((np.log1p(x), (x[:, :-1].sum(axis=1) > 0), np.ones(len(x)))) @ w)
 
 
-def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, held: int = 0, most: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, held: int = 0, most: int = SAMPLE, others: int = OTHERS) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = unique_documents(docs)
+    docs = unique_documents(docs).withColumn("text", F.lower("text"))
     outside = fold(F.col("doc_id"), folds) != held
-    one, zero = (sample_ids(labels, column, most * (1 if v else 3), outside & (F.col(column).cast("int") == v)) for v in (1, 0))
+    label = F.col(column).cast("int")
+    one, zero = (sample_ids(labels, column, n, outside & (label == v)) for v, n in ((1, most), (0, others)))
     zero = zero.join(one.select("doc_id"), "doc_id", "left_anti")
-    # at most 4 * `most` ids: a bounded broadcast; their texts stay on the executors
+    # at most `most` + `others` ids: a bounded broadcast; their texts stay on the executors
     sample = docs.join(F.broadcast(one.unionByName(zero)), "doc_id")
-    count = sample.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in count}
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, total = n.get(1, 0), sum(n.values())
     model = None
     if 0 < toxic < total:
@@ -176,12 +221,11 @@ def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, _, blob, offsets in _columns(batch):
-                    yield rows([part.column("label"), pa.array(grammar.features(blob, offsets).tolist(), pa.list_(pa.float64()))], ["label", "x"])
+                for part, ids, blob, offsets in _columns(batch):
+                    yield rows([pa.array(ids, pa.int64()), part.column("label"), pa.array(grammar.features(blob, offsets).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-        got = sample.select("doc_id", "text", "label").mapInArrow(measure, "label int, x array<double>").collect()
-        y = np.array([r[0] for r in got], dtype=float)
-        model = regression(np.array([r[1] for r in got]), y)
+        got = sorted(sample.select("doc_id", "text", "label").mapInArrow(measure, "doc_id bigint, label int, x array<double>").collect())
+        model = regression(np.array([r[2] for r in got]), np.array([r[1] for r in got], dtype=float))
     share = toxic / total if total else 0.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
