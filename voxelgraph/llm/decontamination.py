@@ -118,7 +118,7 @@ def items(benchmark: DataFrame) -> DataFrame:
                 total = np.where(verbatim, np.bincount(row[verbatim], minlength=len(ids))[row], np.bincount(row[~verbatim], minlength=len(ids))[row])
                 yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(total, pa.int64()), pa.array(verbatim), pa.array(size, pa.int32()), lists(sym[words] != plain[words], shown, pa.bool_()), lists(plain[words].view(np.int64), shown, pa.int64())], ["item_id", "item_pos", "hash", "n_windows", "verbatim", "size", "slots", "item_words"])
 
-    own = unique_documents(benchmark.withColumnRenamed("item_id", "doc_id").select("doc_id", "text"))
+    own = unique_documents(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
     return own.mapInArrow(cut, "item_id bigint, item_pos bigint, hash bigint, n_windows bigint, verbatim boolean, size int, slots array<boolean>, item_words array<bigint>")
 
 
@@ -163,15 +163,16 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], ["doc_id", "item_id", "matched", "n_windows", "first_word", "last_word"])
 
 
-def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def found(docs: DataFrame, benchmark: DataFrame, most: int = SMALL) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, first_word, last_word) of every item that a document holds."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     own = written(items(benchmark), "benchmark-windows")
-    small = own.count() <= SMALL
+    small = own.count() <= most
     # at most WINDOW - 1 lengths
     short = sorted(r[0] for r in own.select("size").where(F.col("size") < WINDOW).distinct().collect())
-    # besides these only hashes of at most SMALL windows are collected
-    keys = np.unique(np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)) if small else None
+    # besides these only hashes of at most `most` windows are collected, and broadcast as one array
+    keys = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))) if small else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +180,7 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 row, pos, h, size, verbatim, at, _, plain = windows(blob, offsets, short)
                 size[verbatim] = 0  # their words are equal
                 if keys is not None:
-                    row, pos, h, size = (x[hit] for hit in [Grammar.among(h, keys)] for x in (row, pos, h, size))
+                    row, pos, h, size = (x[hit] for hit in [Grammar.among(h, keys.value)] for x in (row, pos, h, size))
                 yield rows([pa.array(ids[row], pa.int64()), pa.array(pos - at[row], pa.int64()), pa.array(h.view(np.int64)), lists(plain[K.ranges(pos, size)].view(np.int64), size, pa.int64())], ["doc_id", "pos", "hash", "words"])
 
     pairs = F.filter(F.zip_with("slots", F.arrays_zip("item_words", "words"), lambda s, x: F.when(s, x)), lambda x: x.isNotNull())
@@ -209,9 +210,9 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", "best.n_windows", (-F.col("best.back")).alias("first_word"), "best.last_word")
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, most: int = SMALL) -> DataFrame:
     """(doc_id, contaminated, n_items, items): items is the ascending list of item_ids that the document holds."""
-    own = found(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    own = found(docs, benchmark, most).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     out = ids.join(own, "doc_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<bigint>")))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("bigint").alias("n_items"), "items")
