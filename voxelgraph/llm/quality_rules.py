@@ -5,12 +5,13 @@ bigrams of words into BUCKETS cells, with one added to each cell. A document's v
 log(trusted / raw), in thousandths and whole numbers, held against one threshold: the same for every document and run.
 Trusted documents are those that pass every counted rule strictly (see trusted()); no label is read.
 
-All on the JVM: one pass counts cells (aggregated before the shuffle, BUCKETS rows after it), one scores. Only the cells'
-counts reach the driver, of a fixed number.
+All on the JVM: the texts are read once and their counts and cells written to the shared folder; one pass over these counts
+cells (aggregated before the shuffle, BUCKETS rows after it), one scores. Only the cells' counts reach the driver, of a fixed
+number.
 
 Defined results: null text counts as empty; a document without words has no n-gram, fails the base rules and isn't kept;
-repeated rows are scored alike, each for itself; rows with a null doc_id keep it; an empty table gives an empty table;
-further columns are ignored.
+equal rows and rows that share a doc_id are one document (see exchange.unique_documents); an empty table gives an empty
+table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import unique_documents, written
+
 BUCKETS = 1 << 14
 #: Thousandths of a nat per n-gram: clean prose of any language scores near zero, mark-up and noise far below.
 THRESHOLD = -60
@@ -98,14 +101,15 @@ def trusted() -> Column:
 def cells(buckets: int) -> Column:
     """The cell of every word and of every two neighbours."""
     hashes, shift = F.col("hashes"), 64 - buckets.bit_length() + 1
-    one = F.transform(hashes, lambda x: F.shiftrightunsigned(x, shift).cast("int"))
-    two = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, F.get(hashes, i + 1)), shift).cast("int"))
+    kind = "short" if buckets <= 1 << 15 else "int"
+    one = F.transform(hashes, lambda x: F.shiftrightunsigned(x, shift).cast(kind))
+    two = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, F.get(hashes, i + 1)), shift).cast(kind))
     return F.concat(one, two)
 
 
-def weights(rules: DataFrame, target: Column, buckets: int) -> list[int]:
-    """Thousandths of log(trusted / raw) of each cell, over every document."""
-    own = rules.select(F.explode(cells(buckets)).alias("cell"), target.cast("bigint").alias("good")).groupBy("cell").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
+def weights(rules: DataFrame, buckets: int) -> list[int]:
+    """Thousandths of log(trusted / raw) of each cell, over every document; rules: (target, cells)."""
+    own = rules.select(F.explode("cells").alias("cell"), F.col("target").cast("bigint").alias("good")).groupBy("cell").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     raw, good = [1] * buckets, [1] * buckets
     for r in own.collect():  # at most `buckets` rows
         raw[r["cell"]] += r["raw"]
@@ -115,9 +119,14 @@ def weights(rules: DataFrame, target: Column, buckets: int) -> list[int]:
 
 
 def judged(docs: DataFrame, target: Column | None = None, threshold: int = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_words, the counted rules, base_failed, kept, llr (thousandths of a nat per n-gram; null without n-grams)."""
-    rules = counted(docs)
-    table = F.split(F.lit(",".join(map(str, weights(rules, trusted() if target is None else target, buckets)))), ",").cast("array<int>")
-    own = rules.withColumn("llr", let(cells(buckets), lambda c: F.when(F.size(c) > 0, F.floor(F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(table, x)) / F.size(c)))))
-    own = own.withColumn("base_failed", base_failed())
+    """doc_id, n_words, the counted rules, base_failed, kept, llr (thousandths of a nat per n-gram; null without n-grams).
+
+    target: the trusted documents, over the columns of counted().
+    """
+    rules = counted(unique_documents(docs)).withColumn("base_failed", base_failed()).withColumn("target", trusted() if target is None else target)
+    # texts are counted once: the cells (a Parquet dictionary of `buckets` numbers, some 14 bits each) are what both passes read
+    rules = written(rules.withColumn("cells", cells(buckets)).drop("hashes", "n_upper"), "quality-cells")
+    table = F.split(F.lit(",".join(map(str, weights(rules, buckets)))), ",").cast("array<int>")
+    total = F.aggregate("cells", F.lit(0).cast("bigint"), lambda acc, x: acc + F.get(table, x.cast("int")))
+    own = rules.withColumn("llr", F.when(F.size("cells") > 0, F.floor(total / F.size("cells"))))
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))).alias("kept"), "llr")
