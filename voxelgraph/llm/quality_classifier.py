@@ -2,8 +2,9 @@
 
 A document is a bag of passages of PASSAGE words. Every passage is encoded (counted features, standardised, then one tanh
 layer), gets a gated attention weight, and the weighted sum of a document's encodings is scored; all of it is learned from
-document labels alone. Training takes at most SAMPLE labelled documents (least hash of doc_id first) outside the held-out
-fold; features of that sample and the weights are all that the driver holds. Every passage of every text is scored.
+document labels alone. Training takes whole labelled documents outside the held-out fold, least hash of doc_id first: at most
+SAMPLE of them, and no more once they hold LEARNED passages together (the first is taken whatever its length). Features of
+that sample and the weights are all that the driver holds. Every passage of every text is scored.
 
 Defined results: null and empty texts are one empty passage; without labelled rows of both kinds the score is the share of
 label 1 (0.5 without any); equal rows and rows that share a doc_id are one document (see exchange.unique_documents); an
@@ -16,18 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernels as K
-from .exchange import rows, ship, unique_documents
+from .exchange import rows, ship, unique_documents, written
 from .substring_dedup import _columns
 
-PASSAGE, SAMPLE, MOST_PASSAGES = 64, 3000, 256
+PASSAGE, SAMPLE, LEARNED = 64, 3000, 200_000
 WIDTH, GATE, EPOCHS = 16, 8, 250
 #: Byte classes whose shares are features.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!", "?", "|", "#*$%&<>", "'\"()[]{}", "-_=+~^", ":;/\\@"]
-CLASS = np.full(256, len(CLASSES), dtype=np.int64)
+CLASS = np.full(256, len(CLASSES), dtype=np.uint8)
 for _i, _x in enumerate(CLASSES):
     CLASS[list(_x.encode())] = _i
 CLASS[128:] = len(CLASSES) + 1
@@ -38,6 +40,18 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def shares(blob: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Share of each byte class in blob[begin:end], a segment at a time; the spans follow each other."""
+    n = FEATURES - 5
+    out = np.zeros((len(begin), n))
+    for a in range(0, len(blob), K.SEGMENT):
+        b = min(a + K.SEGMENT, len(blob))
+        i, j = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(begin, b))
+        of = np.repeat(np.arange(j - i, dtype=np.int32), np.minimum(end[i:j], b) - np.maximum(begin[i:j], a))
+        out[i:j] += np.bincount(of * n + CLASS[blob[a:b]], minlength=(j - i) * n).reshape(-1, n)
+    return out / np.maximum(end - begin, 1)[:, None]
+
+
 def passages(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage, and where each text's passages begin (n + 1 offsets)."""
     starts, ends, at = K.words(blob, offsets)
@@ -49,10 +63,7 @@ def passages(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     edge = np.append(starts, len(blob))
     begin = np.where(first == at[doc], offsets[doc], edge[np.minimum(first, len(starts))])
     end = np.append(begin[1:], len(blob))
-    of = np.repeat(np.arange(len(doc)), end - begin)
-    size = np.maximum(end - begin, 1)
-    n_class = FEATURES - 5
-    x = np.bincount(of * n_class + CLASS[blob], minlength=len(doc) * n_class).reshape(-1, n_class) / size[:, None]
+    x = shares(blob, begin, end)
     n = np.maximum(last - first, 1)
     own = np.repeat(np.arange(len(doc)), last - first)
     length = np.bincount(own, ends - starts, len(doc)) / n
@@ -74,14 +85,6 @@ def passages(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate((x, np.stack(extra, axis=1)), axis=1), where
 
 
-def folded(x: np.ndarray, most: int = MOST_PASSAGES) -> np.ndarray:
-    """At most `most` rows: neighbours are averaged, so that the whole text counts."""
-    if len(x) <= most:
-        return x
-    cut = np.arange(most) * len(x) // most
-    return np.add.reduceat(x, cut, axis=0) / np.diff(np.append(cut, len(x)))[:, None]
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -96,8 +99,22 @@ def forward(p: dict, x: np.ndarray, where: np.ndarray) -> dict:
     return {"h": h, "t": t, "g": g, "a": weight, "z": z, "y": sigmoid(z @ p["c"] + p["d"][0])}
 
 
+def gradients(p: dict, x: np.ndarray, where: np.ndarray, labels: np.ndarray) -> dict:
+    """Of the mean log loss, for every learned array."""
+    xs, of = (x - p["mean"]) / p["scale"], np.repeat(np.arange(len(labels)), np.diff(where))
+    f = forward(p, x, where)
+    e = (f["y"] - labels) / len(labels)
+    up = (e[:, None] * p["c"])[of]
+    da = (up * f["h"]).sum(axis=1)
+    ds = f["a"] * (da - np.add.reduceat(f["a"] * da, where[:-1])[of])
+    dtg = ds[:, None] * p["w"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    dh = (up * f["a"][:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+    return {"W": xs.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ e, "d": np.array([e.sum()])}
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict:
-    """Adam on the log loss, by hand-written gradients."""
+    """Adam on the log loss."""
     x = np.concatenate(bags)
     where = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
     rng = np.random.default_rng(seed)
@@ -105,18 +122,8 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict:
     p = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-3, "W": rng.normal(0, n**-0.5, (n, WIDTH)), "b": np.zeros(WIDTH), "V": rng.normal(0, 0.3, (WIDTH, GATE)), "U": rng.normal(0, 0.3, (WIDTH, GATE)), "w": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, WIDTH), "d": np.zeros(1)}
     learned = ("W", "b", "V", "U", "w", "c", "d")
     m, v = ({k: np.zeros_like(p[k]) for k in learned} for _ in range(2))
-    xs, of = (x - p["mean"]) / p["scale"], np.repeat(np.arange(len(bags)), np.diff(where))
     for step in range(1, EPOCHS + 1):
-        f = forward(p, x, where)
-        e = (f["y"] - labels) / len(labels)
-        dz = e[:, None] * p["c"]
-        up = dz[of]
-        da = (up * f["h"]).sum(axis=1)
-        ds = f["a"] * (da - np.add.reduceat(f["a"] * da, where[:-1])[of])
-        dtg = ds[:, None] * p["w"]
-        dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-        dh = (up * f["a"][:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-        grad = {"W": xs.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ e, "d": np.array([e.sum()])}
+        grad = gradients(p, x, where, labels)
         for k in learned:
             g = grad[k] + 1e-4 * p[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
@@ -130,37 +137,51 @@ def sample_ids(labels: DataFrame, column: str, most: int, keep: Column) -> DataF
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 3, held: int = 1, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted)."""
-    ship(docs.sparkSession)
-    docs = unique_documents(docs)
+def sampled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int, most: int, learned: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bags and labels of the training sample, in the order of its hashes."""
     ids = sample_ids(labels, column, most, fold(F.col("doc_id"), folds) != held)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, blob, offsets in _columns(batch):
+            for part, ids, blob, offsets in _columns(batch):
                 x, where = passages(blob, offsets)
-                own = [folded(x[a:b]).astype("<f4").tobytes() for a, b in zip(where[:-1], where[1:], strict=True)]
-                yield rows([part.column("label"), pa.array(own, pa.binary())], ["label", "bag"])
-
-    # a broadcast of at most `most` ids; as many bags reach the driver
-    got = docs.join(F.broadcast(ids), "doc_id").mapInArrow(encode, "label int, bag binary").collect()
-    y = np.array([r[0] for r in got], dtype=float)
-    model = train([np.frombuffer(r[1], "<f4").reshape(-1, FEATURES).astype(float) for r in got], y) if 0 < y.sum() < len(y) else None
+                own = [x[a:b].astype("<f4").tobytes() for a, b in zip(where[:-1], where[1:], strict=True)]
+                yield rows([pa.array(ids, pa.int64()), part.column("label"), pa.array(np.diff(where), pa.int64()), pa.array(own, pa.binary())], ["doc_id", "label", "n", "bag"])
+
+    # a broadcast of at most `most` ids; as many rows stand in the one partition of the window
+    bags = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(encode, "doc_id bigint, label int, n bigint, bag binary"), "bags")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    total = bags.select("doc_id", (F.sum("n").over(order) <= learned).alias("fits"), F.row_number().over(order).alias("rank"))
+    taken = total.where("fits OR rank = 1").select("doc_id", "rank")
+    got = bags.join(F.broadcast(taken), "doc_id").orderBy("rank").select("label", "bag").collect()
+    return [np.frombuffer(r[1], "<f4").reshape(-1, FEATURES).astype(float) for r in got], np.array([r[0] for r in got], dtype=float)
+
+
+def scores(docs: DataFrame, labels: DataFrame, keep: list[str], column: str, folds: int, held: int, most: int, learned: int) -> DataFrame:
+    """The columns `keep` of the documents and a score; docs: one row for each."""
+    bags, y = sampled(docs, labels, column, folds, held, most, learned)
+    model = train(bags, y) if 0 < y.sum() < len(y) else None
     share = float(y.mean()) if len(y) else 0.5
+    names = [*keep, "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, blob, offsets in _columns(batch):
                 s = forward(model, *passages(blob, offsets))["y"] if model else np.full(part.num_rows, share)
-                yield rows([part.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+                yield rows([*(part.column(c) for c in keep), pa.array(s, pa.float64())], names)
+
+    return docs.mapInArrow(score, StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())]))
+
 
-    out = docs.mapInArrow(score, "doc_id bigint, score double")
+def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 3, held: int = 1, most: int = SAMPLE, learned: int = LEARNED) -> DataFrame:
+    """(doc_id, held_out, score, predicted)."""
+    ship(docs.sparkSession)
+    out = scores(unique_documents(docs), labels, ["doc_id"], column, folds, held, most, learned)
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    kept = scored(docs, labels).where("predicted = 1").select("doc_id")
-    rest = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
-    return unique_documents(docs).join(kept, "doc_id", "left_semi").join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+def stage(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, learned: int = LEARNED) -> DataFrame:
+    """Documents that the classifier rejects (score under 0.5) go; lang and source stay beside the text."""
+    ship(docs.sparkSession)
+    kept = scores(unique_documents(docs, "lang", "source"), labels, ["doc_id", "text", "lang", "source"], "quality", 3, 1, most, learned).where("score >= 0.5")
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
