@@ -11,10 +11,14 @@ a full lane among the equal ones, so its empty lanes are no meeting places; s fo
 chance leaves. Empty lanes count as places only for sets with s of them or more.
 
 Sets that meet carry a parity sketch, at least a bit for each shingle of the band: its Hamming distance is at most the
-symmetric difference as well, so pairs above the bound are dropped by popcounts. Within a meeting place no pairs are listed: each set is held
-against few leaders and linked to the first that passes; those links are verified on the sets and joined into components.
-A second sweep then asks only for pairs that pass the popcount and stand in different components, and verifies them, so no
-link between components is lost.
+symmetric difference as well, and both are odd or even with |A| + |B|, so pairs above the bound are dropped by popcounts.
+Within a meeting place no pairs are listed: each set is held against few leaders and linked to the first that passes; those
+links are verified on the sets and joined into components. A second sweep, with sketches FINE times as long, looks only at
+places where sets of different components meet and takes the nearest pair of each two components; if it has passed over
+any pair, a last sweep asks for every pair that passes the popcount and still stands in different components. What these
+find is verified on the sets too, so no link between components is lost.
+
+A document's places and its set are one row of a table; each sweep deals sketches out to the places anew.
 
 Defined results: null or empty text and text without words have an empty set, linked with nothing; with fewer words than a
 shingle, the whole sequence is the one shingle; equal sets are one class; equal rows and rows that share a doc_id are one
@@ -39,7 +43,9 @@ ORDER = np.uint64(0x9FB21C651E98DF25)
 #: Longest parity sketch. Beyond that many shingles a sketch tells less and more pairs are verified on their sets.
 MOST_BITS = 1 << 18
 #: Words of sketches compared at a time.
-COMPARED = 1 << 21
+COMPARED = 1 << 18
+#: Bits for each shingle in the sketches of the later sweeps, where all pairs of unlinked sets count.
+FINE = 4
 
 
 class Rule:
@@ -65,28 +71,32 @@ class Rule:
         band = int(np.searchsorted(self.edges, n, side="right")) - 1
         return [(g, *self.pairs[g]) for g in (band - 1, band) if g >= 0]
 
-    def bits(self, group: int) -> int:
-        """Bits of the parity sketches of a band pair: one for each shingle, so that unlike sets differ in about half."""
-        return min(-(-(self.edges[group + 1] - 1) // 64) * 64, MOST_BITS)
+    def bits(self, group: int, fine: int = 1) -> int:
+        """Bits of the parity sketches of a band pair: `fine` for each shingle; with one, unlike sets differ in about half."""
+        return min(-(-fine * (self.edges[group + 1] - 1) // 64) * 64, MOST_BITS)
 
     def bound(self, total):
-        return total * (self.den - self.num) // (self.den + self.num)
+        """Largest symmetric difference of linked sets with `total` shingles together: as odd or even as the total."""
+        most = total * (self.den - self.num) // (self.den + self.num)
+        return most - (total - most) % 2
 
 
-def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
-    """For each part of a batch: rows, doc ids and each row's distinct shingle hashes in ascending order."""
+def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Iterator[np.ndarray]]]:
+    """For each part of a batch: rows, doc ids and, one at a time, each row's distinct shingle hashes in ascending order."""
     for batch in batches:
         for part, ids, blob, offsets in _columns(batch):
             blob = K.LOWER[blob]
             starts, ends, at = K.words(blob, offsets)
             w = K.words_hash(blob, starts, ends)
-            g = K.windows_hash(w, words) if len(w) >= words else np.zeros(0, np.uint64)
-            out = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = g[a : b - words + 1] if b - a >= words else K.mix(K.prefix(w[a:b])[-1:]) if b > a else g[:0]
-                own = np.sort(own)
-                out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
-            yield part, ids, out
+            g = K.windows_hash(w, words)
+            del blob, starts, ends
+
+            def each(w: np.ndarray = w, g: np.ndarray = g, at: np.ndarray = at) -> Iterator[np.ndarray]:
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.sort(g[a : b - words + 1]) if b - a >= words else K.mix(K.prefix(w[a:b])[-1:]) if b > a else w[:0]
+                    yield own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own
+
+            yield part, ids, each()
 
 
 def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,14 +122,14 @@ def sketch(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Meetings:
-    """Items (document, size, key) of the blobs of a bucket; those of a document and band pair share one sketch."""
+    """Items (document, size, component, key) of the blobs of a bucket; those of a document and band pair share one sketch."""
 
-    def __init__(self, blobs: pa.ChunkedArray, rule: Rule):
+    def __init__(self, blobs: pa.ChunkedArray, rule: Rule, fine: int):
         parts = [unpack(x.as_py()) for x in blobs]
         doc = np.concatenate([np.cumsum(x[0]) for x in parts])
-        size, each, self.key, group, self.sketches = (np.concatenate([x[i] for x in parts]) for i in range(1, 6))
-        self.rule, self.doc, self.size = rule, np.repeat(doc, each), np.repeat(size, each)
-        width = np.array([rule.bits(g) // 64 for g in range(int(group.max()) + 1)])[group] if len(group) else np.zeros(0, np.int64)
+        size, comp, each, self.key, group, self.sketches = (np.concatenate([x[i] for x in parts]) for i in range(1, 7))
+        self.rule, self.doc, self.size, self.comp = rule, *(np.repeat(x, each) for x in (doc, size, comp))
+        width = np.array([rule.bits(g, fine) // 64 for g in range(int(group.max()) + 1)])[group] if len(group) else np.zeros(0, np.int64)
         self.begin, self.width = np.repeat(np.cumsum(width) - width, each), np.repeat(width, each)
 
     def places(self) -> Iterator[np.ndarray]:
@@ -130,18 +140,22 @@ class Meetings:
             if b - a > 1:
                 yield order[a:b]
 
-    def near(self, one: int, others: np.ndarray) -> np.ndarray:
-        """Which others of a place pass the popcount."""
+    def apart(self, one: int, others: np.ndarray) -> np.ndarray:
+        """How far the sketches of others of a place are from one's."""
         width, apart = int(self.width[one]), np.zeros(len(others), dtype=np.int64)
         mine, lanes = self.sketches[self.begin[one] : self.begin[one] + width], np.arange(width)
         step = max(1, COMPARED // width)
         for a in range(0, len(others), step):
             theirs = self.sketches[self.begin[others[a : a + step]][:, None] + lanes]
             apart[a : a + step] = np.bitwise_count(theirs ^ mine).sum(axis=1)
-        return apart <= self.rule.bound(self.size[others] + self.size[one])
+        return apart
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which others of a place pass the popcount."""
+        return self.apart(one, others) <= self.rule.bound(self.size[others] + self.size[one])
 
 
-def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     ship(spark)
@@ -150,9 +164,9 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, own in sets(batches, words):
-            total = [x.sum(dtype=np.uint64) if len(x) else np.uint64(0) for x in own]
-            other = [np.bitwise_xor.reduce(K.mix(x)) if len(x) else np.uint64(0) for x in own]
-            yield rows([pa.array(ids, pa.int64()), pa.array([len(x) for x in own], pa.int64()), np.array(total, np.uint64).view(np.int64), np.array(other, np.uint64).view(np.int64)], ["doc_id", "n_shingles", "p", "q"])
+            found = [(len(x), x.sum(dtype=np.uint64), np.bitwise_xor.reduce(K.mix(x))) if len(x) else (0, np.uint64(0), np.uint64(0)) for x in own]
+            size, total, other = zip(*found, strict=True)
+            yield rows([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), np.array(total, np.uint64).view(np.int64), np.array(other, np.uint64).view(np.int64)], ["doc_id", "n_shingles", "p", "q"])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for _, ids, own in sets(batches, words):
@@ -167,41 +181,46 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     marked = written(marked, "marked")
     release(spark)  # the hashes of all meeting places are gone before the texts are shuffled
 
-    def encode(doc: np.ndarray, size: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
-        """The sketch of a document and band pair once for each blob, whatever the number of its keys in it."""
-        new = np.append(True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1]))
-        return pack(deltas(doc[new]), size[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, group[new], np.concatenate(bits[new]))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n, encode, most=1 << 16)
-        names = ["bucket", "blob", "doc_id", "shingles"]
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, own in sets(batches, words):
             listed = part.column("pos")
-            keep, out = [], []
+            keys, groups, out = [], [], []
             for r, x in enumerate(own):
                 key, at, group = meeting_places(x, rule)
                 known = np.isin(at, listed.slice(r, 1).flatten().to_numpy())
-                key, group = key[known], group[known]
-                bits = np.empty(len(key), dtype=object)
-                for g in np.unique(group).tolist():
-                    own_bits = sketch(x, rule.bits(g))
-                    for i in np.flatnonzero(group == g).tolist():
-                        bits[i] = own_bits
-                keep.append((np.full(len(key), ids[r]), np.full(len(key), len(x)), key, group, bits))
+                keys.append(key[known].tobytes())
+                groups.append(group[known].tobytes())
                 out.append(x.tobytes())
-            doc, size, key, group, bits = (np.concatenate(x) for x in zip(*keep, strict=True))
-            for b in sender.add(bucket_of(key, n), doc, size, key, group, bits):
-                yield rows([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names)
-            yield rows([pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names)
-        for b in sender.flush():
-            yield rows([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names)
-
-    both = written(docs.join(marked, "doc_id").mapInArrow(send, "bucket int, blob binary, doc_id bigint, shingles binary"), "meetings")
+            yield rows([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, groups, out))], ["doc_id", "places", "bands", "shingles"])
+
+    held = written(docs.join(marked, "doc_id").mapInArrow(places, "doc_id bigint, places binary, bands binary, shingles binary"), "places")
     release(spark)
-    blobs, held = both.where("bucket IS NOT NULL").select("bucket", "blob"), both.where("doc_id IS NOT NULL").select("doc_id", "shingles")
+
+    def encode(doc: np.ndarray, size: np.ndarray, comp: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
+        """The sketch of a document and band pair once for each blob, whatever the number of its keys in it."""
+        new = np.append(True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1]))
+        return pack(deltas(doc[new]), size[new], comp[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, group[new], np.concatenate(bits[new]))
+
+    def dealt(table: DataFrame, fine: int) -> DataFrame:
+        """(bucket, blob): the places of all documents of `table` with sketches and components."""
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sender = Sender(n, encode, most=1 << 15)
+            for batch in batches:
+                for doc, comp, key, group, own in zip(*(batch.column(c) for c in ("doc_id", "comp", "places", "bands", "shingles")), strict=True):
+                    key, group, own = np.frombuffer(key.as_py(), np.uint64), np.frombuffer(group.as_py(), np.uint8), np.frombuffer(own.as_py(), np.uint64)
+                    bits = np.empty(len(key), dtype=object)
+                    for g in np.unique(group).tolist():
+                        own_bits = sketch(own, rule.bits(g, fine))
+                        for i in np.flatnonzero(group == g).tolist():
+                            bits[i] = own_bits
+                    yield from sender.add(bucket_of(key, n), np.full(len(key), doc.as_py()), np.full(len(key), len(own)), np.full(len(key), comp.as_py()), key, group, bits)
+            yield from sender.flush()
+
+        return table.mapInArrow(send, Sender.schema).groupBy("bucket")
 
     def stars(table: pa.Table) -> pa.Table:
-        met = Meetings(table.column("blob"), rule)
+        met = Meetings(table.column("blob"), rule, 1)
         left, right = [met.doc[:0]], [met.doc[:0]]
         for own in met.places():
             while len(own) > 1:
@@ -211,21 +230,41 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 own = own[1:][~ok]
         return _pairs(left, right)
 
-    def across(key: tuple, members: pa.Table, known: pa.Table) -> pa.Table:
-        met = Meetings(members.column("blob"), rule)
-        ids, comp = known.column("doc_id").to_numpy(), known.column("comp").to_numpy()
-        order = np.argsort(ids)
-        comp = comp[order][np.searchsorted(ids[order], met.doc)]
+    def across(every: bool, table: pa.Table) -> pa.Table:
+        """Near pairs of different components; unless `every`, the nearest of each two components of a place. The row
+        (-1, -1) says that some were passed over."""
+        met = Meetings(table.column("blob"), rule, fine)
         left, right = [met.doc[:0]], [met.doc[:0]]
         for own in met.places():
-            if (comp[own] != comp[own[0]]).any():
-                for i, one in enumerate(own[:-1]):
-                    others = own[i + 1 :][comp[own[i + 1 :]] != comp[one]]
-                    ok = others[met.near(one, others)] if len(others) else others
-                    left.append(met.doc[ok])
-                    right.append(np.full(len(ok), met.doc[one]))
+            comp = met.comp[own]
+            if (comp == comp[0]).all():
+                continue
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for i, one in enumerate(own[:-1]):
+                others = own[i + 1 :][comp[i + 1 :] != comp[i]]
+                apart = met.apart(one, others) if len(others) else others
+                near = apart <= rule.bound(met.size[others] + met.size[one])
+                others, apart = others[near], apart[near]
+                if every:
+                    left.append(met.doc[others])
+                    right.append(np.full(len(others), met.doc[one]))
+                    continue
+                for other, d in zip(others.tolist(), apart.tolist(), strict=True):
+                    two = (min(comp[i], met.comp[other]), max(comp[i], met.comp[other]))
+                    if two in best:
+                        best[None] = (0, -1, -1)
+                    best[two] = min(best.get(two, (d, other, one)), (d, other, one))
+            for _, a, b in best.values():
+                left.append(met.doc[[a]] if a >= 0 else np.array([-1]))
+                right.append(met.doc[[b]] if b >= 0 else np.array([-1]))
         return _pairs(left, right)
 
+    def nearest(table: pa.Table) -> pa.Table:
+        return across(False, table)
+
+    def every_pair(table: pa.Table) -> pa.Table:
+        return across(True, table)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b), by the sets themselves."""
 
@@ -241,27 +280,25 @@ def linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     ok.append(den * shared >= num * (len(both) - shared))
                 yield rows([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-        right = held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
-        return pairs.join(held.withColumnRenamed("doc_id", "a"), "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
+        left, right = (held.select(F.col("doc_id").alias(x), F.col("shingles").alias(y)) for x, y in (("a", "shingles"), ("b", "other")))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
 
-    pairs = written(blobs.groupBy("bucket").applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
+    sweep = dealt(held.withColumn("comp", F.col("doc_id")), 1)
+    pairs = written(sweep.applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
+    release(spark)
     links = written(verified(pairs), "links")
     release(spark)
     found = connected(links)
-    comp = held.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
-
-    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
-                ids = np.unique(np.cumsum(unpack(x.as_py())[0]))
-                yield rows([pa.array(np.full(len(ids), b), pa.int32()), pa.array(ids, pa.int64())], ["bucket", "doc_id"])
-
-    known = blobs.mapInArrow(where, "bucket int, doc_id bigint").distinct().join(comp, "doc_id").select("bucket", "doc_id", "comp")
-    pairs = written(blobs.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(across, "a bigint, b bigint").distinct(), "pairs")
-    release(spark)
-    if not pairs.isEmpty():
-        more = written(verified(pairs), "links")
-        found = found if more.isEmpty() else connected(links.unionByName(more))
+    for every in (False, True):
+        comp = held.join(found.withColumnRenamed("component_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        pairs = written(dealt(comp, fine).applyInArrow(every_pair if every else nearest, "a bigint, b bigint").distinct(), "pairs")
+        release(spark)
+        more = written(verified(pairs.where("a >= 0")), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = connected(links)
+        if pairs.where("a < 0").isEmpty():
+            break
     reached = classes.join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select("n_shingles", "p", "q", F.coalesce("component_id", "class_id").alias("component_id"))
     return ids.join(reached, ["n_shingles", "p", "q"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -272,7 +309,7 @@ def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.Table:
 
 
 def stage(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id."""
+    """One document of each component stays, the one with the smallest doc_id; documents without words stay, as each is
+    its own component. lang and source stay beside the text."""
     first = linked(docs, words, num, den).where("doc_id = component_id").select("doc_id")
-    rest = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
-    return unique_documents(docs).join(first, "doc_id", "left_semi").join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    return unique_documents(docs, "lang", "source").join(first, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
