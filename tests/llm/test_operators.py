@@ -29,7 +29,7 @@ def corpus() -> list[tuple[int, str | None]]:
         w[rng.randrange(len(w))] = "changed"
         out += [" ".join(w), t]
     passage = " ".join(rng.choices(words, k=60))
-    out += [base[1] + "\n" + passage, passage + " tail " + base[2], passage, "aa " * 150, "x" * 400, "Licensed under CC BY-NC 4.0. All rights reserved.", None, "", " \n\t", "one", "One", "Zürich “quoted” 東京 <|endoftext|> 3.5"]
+    out += [base[1] + "\n" + passage, passage + " tail " + base[2], passage, "aa " * 150, "x" * 400, "Licensed under CC BY-NC 4.0. All rights reserved.", None, "", " \n\t", "one", "One", "Zürich “quoted” 東京 <|endoftext|> 3.5", "hello <|endoftext|> world <|startoftext|> again"]
     return list(enumerate(out))
 
 
@@ -85,9 +85,9 @@ def test_loser_tree_keeps_prefixes():
         runs = []
         for _ in range(rng.randint(0, 6)):
             keys = sorted(bytes(rng.choices(b"ab", k=rng.randint(1, 7))) for _ in range(rng.randint(0, 9)))
-            runs.append(list(zip(keys, suffix_dedup.front_code(keys)[0], strict=True)))
-        got = [(runs[r][i][0], n) for r, i, n in suffix_dedup.merge(runs)]
-        assert [k for k, _ in got] == sorted(k for run in runs for k, _ in run)
+            runs.append(list(zip(keys, suffix_dedup.front_code(keys)[0], range(9), strict=False)))
+        got = [(key, n) for key, n, _ in suffix_dedup.merge(iter(x) for x in runs)]
+        assert [k for k, _ in got] == sorted(k for run in runs for k, *_ in run)
         assert all(n == suffix_dedup.common(a, b, 0) for (a, _), (b, n) in zip(got, got[1:], strict=False))
 
 
@@ -118,7 +118,6 @@ def test_components_of_a_chain(spark):
 
 def test_token_output(spark, docs, empty):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     want, start = {}, 0
     for i, t in texts():
         ids = [*whole.encode(t.decode(), add_special_tokens=False).ids, 0]
@@ -130,7 +129,6 @@ def test_token_output(spark, docs, empty):
 
 def test_packing(docs, empty):
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rows = packing.pack(docs, capacity=64).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
