@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, deque
 from decimal import Decimal
 
@@ -11,6 +12,7 @@ import pytest
 from voxelgraph import catalog
 from voxelgraph.operators import algebra, fields
 from voxelgraph.operators.grid import Shape, with_coordinates
+from voxelgraph.plans import relaxation
 from voxelgraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +48,7 @@ def box(spark, shape: Shape, solid: set[int]):
 
 
 def test_graph_11_by_8(spark):
-    """82 pore voxels; with the site index as tie key they are owned 29 / 32 / 21."""
+    """82 pore voxels; the coordinate as tie key owns 29 / 29 / 24, the site index 29 / 32 / 21."""
     shape = Shape(8, 11, 1)
     pore = box(spark, shape, {y * 11 + x for x, y in ((4, 4), (4, 5), (4, 6), (7, 0), (8, 0), (8, 1))})
     sites = with_coordinates(spark.createDataFrame([(i, y * 11 + x) for i, (x, y) in enumerate(((1, 1), (9, 1), (2, 6)))], "site_id int, vid bigint"), shape)
@@ -54,6 +56,8 @@ def test_graph_11_by_8(spark):
     own = fields.ownership(pore, sites, shape).collect()
     assert len(own) == 82 and max(r.d for r in own) == 7
     assert Counter(r.site_id for r in own) == {0: 29, 1: 32, 2: 21}
+    by_place = fields.ownership(pore, sites, shape, key=("x", "y")).collect()
+    assert Counter(r.site_id for r in by_place) == {0: 29, 1: 29, 2: 24} and {r.vid: r.d for r in by_place} == {r.vid: r.d for r in own}
 
 
 def test_site_in_solid_is_refused(spark):
@@ -99,11 +103,54 @@ def test_sources(spark, tmp_path):
     assert [r.line for r in tables.markdown(spark.createDataFrame([(1, "a")], "k int, v string"), ["k"]).orderBy("line_no").collect()] == ["| k | v |", "|---|---|", "| 1 | a |"]
 
 
-def test_periodic_labels_and_cracks(spark):
+def plain_ownership(pore: set[int], sites: dict[int, int], shape: Shape, offsets, periodic: bool) -> dict[int, tuple[float, int]]:
+    best = {v: (0.0, s) for s, v in sorted(sites.items(), reverse=True)}
+    again = True
+    while again:
+        again = False
+        for v, (d, s) in list(best.items()):
+            z, y, x = v // (shape.height * shape.width), v // shape.width % shape.height, v % shape.width
+            for dz, dy, dx, w in offsets:
+                nx = (x + dx) % shape.width if periodic else x + dx
+                if 0 <= y + dy < shape.height and 0 <= nx < shape.width and 0 <= z + dz < shape.depth:
+                    nb = ((z + dz) * shape.height + y + dy) * shape.width + nx
+                    if nb in pore and (nb not in best or d + w < best[nb][0] - 1e-9 or abs(d + w - best[nb][0]) <= 1e-9 and s < best[nb][1]):
+                        best[nb] = (min(d + w, best.get(nb, (d + w,))[0]), s)
+                        again = True
+    return best
+
+
+@pytest.mark.parametrize(("shape", "periodic"), [(Shape(4, 70, 2), True), (Shape(35, 20, 3), True), (Shape(34, 66, 2), False), (Shape(3, 64, 1), True)])
+def test_fixpoints_across_tiles_and_ends(spark, shape, periodic):
+    rng = random.Random(shape.width)
+    n = shape.depth * shape.height * shape.width
+    solid = set(rng.sample(range(n), n // 3))
+    pore = box(spark, shape, solid)
+    free = [v for v in range(n) if v not in solid]
+    sites = dict(enumerate(rng.sample(free, 6)))
+    seeds = with_coordinates(spark.createDataFrame([(s, v) for s, v in sites.items()], "site_id int, vid bigint"), shape)
+    for weighted in (False, True):
+        got = {r.vid: (round(r.d, 6), r.site_id) for r in fields.ownership(pore, seeds, shape, weighted, periodic).collect()}
+        want = plain_ownership(set(free), sites, shape, fields.WEIGHTED if weighted else fields.UNIT, periodic)
+        assert got == {v: (round(d, 6), s) for v, (d, s) in want.items()}
+    roots = {r.vid: r.root for r in fields.components(pore, shape, periodic_x=periodic).collect()}
+    flood: dict[int, int] = {}
+    for v in free:
+        if v not in flood:
+            flood |= dict.fromkeys(plain_ownership(set(free), {0: v}, shape, fields.UNIT, periodic), v)
+    assert roots == flood
+
+
+def test_contraction_by_stars(spark):
+    rng = random.Random(2)
+    pairs = {tuple(sorted(rng.sample(range(200), 2))) for _ in range(150)}
+    df = spark.createDataFrame(sorted(pairs), "a bigint, b bigint")
+    few, many = ({r.id: r.root for r in relaxation.contracted(df, most).collect()} for most in (1000, 0))
+    assert few == many and all(few[a] == few[b] for a, b in pairs)
+
+
+def test_cracks(spark):
     shape = Shape(1, 5, 1)
-    site = with_coordinates(spark.createDataFrame([(0, 0)], "site_id int, vid bigint"), shape)
-    with pytest.raises(NotImplementedError):  # wanted: {0: 0, 1: 1, 3: 2, 4: 1}
-        fields.ownership(box(spark, shape, {2}), site, shape, periodic_x=True)
     rows = [(0, 0, 0, 0, 7), (1, 0, 0, 1, None), (2, 0, 0, 2, None), (3, 0, 0, 3, 7), (4, 0, 0, 4, 9)]
     filled = fields.fill_cracks(spark.createDataFrame(rows, "vid bigint, z int, y int, x int, label bigint"), shape)
     assert [r.label for r in filled.orderBy("vid").collect()] == [7, 7, 7, 7, 9]

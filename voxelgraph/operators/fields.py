@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.relaxation import relaxed
-from .grid import CUBE, FACES, FORWARD, Shape, exposed, neighbours
+from ..plans.memory import written
+from ..plans.relaxation import relaxed, rooted
+from .grid import CUBE, FACES, FORWARD, Shape, exposed, flat, neighbours
 
 WEIGHTED = [(*o, float(sum(map(abs, o)) ** 0.5)) for o in CUBE]
 UNIT = [(*o, 1.0) for o in FACES]
-STILL = [(*o, 0.0) for o in FACES]
 
 
 def check_sites(pore: DataFrame, sites: DataFrame) -> None:
@@ -20,32 +20,39 @@ def check_sites(pore: DataFrame, sites: DataFrame) -> None:
         raise ValueError(f"site {bad} is not in the pore space")
 
 
-def ownership(pore: DataFrame, sites: DataFrame, shape: Shape, weighted: bool = False, periodic_x: bool = False) -> DataFrame:
-    """(vid, site_id, d): the nearest site by graph distance, the least site_id of equally near ones.
+def ownership(pore: DataFrame, sites: DataFrame, shape: Shape, weighted: bool = False, periodic_x: bool = False, key: tuple[str, ...] = ("site_id",)) -> DataFrame:
+    """(vid, site_id, d): the nearest site by graph distance, the least by `key` (columns of sites) of equally near ones.
 
-    Six unit steps, or 26 with the lengths 1, sqrt 2, sqrt 3. Two sites on one voxel: the lesser id counts.
+    Six unit steps, or 26 with the lengths 1, sqrt 2, sqrt 3. Two sites on one voxel: the lesser by key counts.
     """
-    if periodic_x:
-        raise NotImplementedError("ownership across the periodic x-ends gives wrong results within one tile and is refused")
-    seeds = sites.groupBy("vid").agg(F.min("site_id").alias("site_id"))
-    state = pore.join(seeds, "vid", "left").select("vid", "z", "y", "x", F.when(F.col("site_id").isNotNull(), 0.0).alias("d"), F.col("site_id").cast("bigint").alias("label"))
-    own = relaxed(state, WEIGHTED if weighted else UNIT, shape)
-    return own.select("vid", F.col("label").cast("int").alias("site_id"), F.col("d") if weighted else F.col("d").cast("int").alias("d"))
+    sites = numbered(sites, key) if key != ("site_id",) else sites.withColumn("rank", F.col("site_id").cast("bigint"))
+    seeds = sites.groupBy("vid").agg(F.min("rank").alias("rank"))
+    state = pore.join(seeds, "vid", "left").select("vid", "z", "y", "x", F.when(F.col("rank").isNotNull(), 0.0).alias("d"), F.col("rank").alias("label"))
+    own = relaxed(state, WEIGHTED if weighted else UNIT, shape, periodic_x=periodic_x)
+    own = own.select("vid", F.col("label").alias("rank"), F.col("d") if weighted else F.col("d").cast("int").alias("d"))
+    own = own.join(sites.select("rank", "site_id"), "rank") if key != ("site_id",) else own.withColumn("site_id", F.col("rank"))
+    return own.select("vid", F.col("site_id").cast("int").alias("site_id"), "d")
 
 
-def components(voxels: DataFrame, shape: Shape, label: str | None = None, full: bool = False) -> DataFrame:
+def numbered(rows: DataFrame, key: tuple[str, ...], name: str = "rank") -> DataFrame:
+    """rows with a number from 0 in ascending order of key, by ranges: counts of ranges first, then ranks within them."""
+    own = written(rows.repartitionByRange(*key).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = own.groupBy("range").count()
+    base = counts.select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*key)) - 1
+    return own.withColumn("rank_in", rank).join(F.broadcast(base), "range").withColumn(name, (F.col("base") + F.col("rank_in")).cast("bigint")).drop("range", "rank_in", "base")
+
+
+def components(voxels: DataFrame, shape: Shape, label: str | None = None, full: bool = False, periodic_x: bool = False) -> DataFrame:
     """(vid, root): the least vid of the face-connected (or 26-connected) part, of equal labels if one is named."""
-    keep = [label] if label else []
-    state = voxels.select("vid", "z", "y", "x", F.lit(0.0).alias("d"), F.col("vid").alias("label"), *([F.col(label).cast("bigint").alias("own")] if keep else []))
-    own = relaxed(state, [(*o, 0.0) for o in CUBE] if full else STILL, shape, group="own" if keep else None)
-    return own.select("vid", F.col("label").alias("root"))
+    return rooted(voxels, CUBE if full else FACES, shape, label, periodic_x)
 
 
 def split_cells(voxels: DataFrame, shape: Shape, label: str) -> DataFrame:
     """(vid, label, root, cell_id, cell_by_site): face-connected parts of each label, numbered by least vid, and by label first."""
     own = voxels.join(components(voxels, shape, label), "vid").select("vid", label, "root")
     roots = own.select(label, "root").distinct()
-    roots = roots.withColumn("cell_id", F.dense_rank().over(Window.orderBy("root")) - 1).withColumn("cell_by_site", F.row_number().over(Window.orderBy(label, "root")) - 1)
+    roots = numbered(numbered(roots, ("root",), "cell_id"), (label, "root"), "cell_by_site")
     return own.join(roots.drop(label), "root").select("vid", label, "root", "cell_id", "cell_by_site")
 
 
@@ -72,14 +79,23 @@ def walls(cells: DataFrame, pore: DataFrame, shape: Shape) -> DataFrame:
     return exposed(cells, pore, FACES, shape).join(cells.select("vid", "cell"), "vid").groupBy("cell").agg(F.count("*").alias("wall_area"))
 
 
+def reached(voxels: DataFrame, shape: Shape, offsets: list[tuple] = FACES) -> DataFrame:
+    """(vid, n): how many of the offsets lead to a voxel from one of `voxels`; one shuffle, summed before it."""
+    moves = F.array(*(F.struct(F.lit(o[0]).alias("dz"), F.lit(o[1]).alias("dy"), F.lit(o[2]).alias("dx")) for o in offsets))
+    a = voxels.select("z", "y", "x", F.explode(moves).alias("o")).select((F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    a = a.where((F.col("y") >= 0) & (F.col("y") < shape.height) & (F.col("x") >= 0) & (F.col("x") < shape.width) & (F.col("z") >= 0))
+    return a.groupBy(flat(F.col("z"), F.col("y"), F.col("x"), shape).alias("vid")).agg(F.count("*").alias("n"))
+
+
 def dilated(voxels: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
-    return voxels.select("vid").unionByName(neighbours(voxels, every, FACES, shape).select(F.col("nb").alias("vid"))).distinct()
+    """vid, z, y, x of `every` that are in `voxels` or have a face neighbour there."""
+    return every.select("vid", "z", "y", "x").join(reached(voxels, shape, [*FACES, (0, 0, 0)]).select("vid"), "vid", "left_semi")
 
 
 def closed(pore: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
-    """Binary closing by one face step; the border is background for the erosion."""
-    grown = dilated(pore, every, shape).join(every.select("vid", "z", "y", "x"), "vid")
-    return grown.select("vid").join(exposed(grown, grown, FACES, shape).select("vid").distinct(), "vid", "left_anti")
+    """Binary closing by one face step; the border is background for the erosion: a voxel stays if all six sides are grown."""
+    grown = dilated(pore, every, shape)
+    return grown.select("vid").join(reached(grown, shape).where(f"n = {len(FACES)}").select("vid"), "vid", "left_semi")
 
 
 def fill_cracks(labels: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
@@ -87,8 +103,6 @@ def fill_cracks(labels: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
 
     labels: vid, z, y, x, label (null: unlabelled).
     """
-    from ..plans.memory import written
-
     state = labels
     for _ in range(most):
         near = neighbours(state.where("label IS NULL"), state.where("label IS NOT NULL").drop("n"), FACES, shape).select("vid", "nb")
