@@ -10,15 +10,17 @@ have at least s equal lanes (pigeonhole). Sets meet under (band pair, lane, bits
 a full lane among the equal ones, so its empty lanes are no meeting places; s follows from the number of empty lanes that
 chance leaves. Empty lanes count as places only for sets with s of them or more.
 
-Sets that meet carry a parity sketch, at least a bit for each shingle of the band: its Hamming distance is at most the
-symmetric difference as well, and both are odd or even with |A| + |B|, so pairs above the bound are dropped by popcounts.
-Within a meeting place no pairs are listed: each set is held against few leaders and linked to the first that passes; those
-links are verified on the sets and joined into components. A second sweep, with sketches FINE times as long, looks only at
-places where sets of different components meet and takes the nearest pair of each two components; if it has passed over
-any pair, a last sweep asks for every pair that passes the popcount and still stands in different components. What these
-find is verified on the sets too, so no link between components is lost.
-
-A document's places and its set are one row of a table; each sweep deals sketches out to the places anew.
+A document's places and its set are one row of a table; sweeps deal sketches out to places. A parity sketch has at least
+a bit for each shingle of the band: its Hamming distance is at most the symmetric difference as well, and both are odd or
+even with |A| + |B|, so pairs above the bound are dropped by popcounts. Within a meeting place no pairs are listed.
+
+- The first sweep takes the places of the first EARLY lanes, where most near copies meet: each set is held against few
+  leaders and linked to the first that passes. Links are verified on the sets, one for each document first, the others
+  only between documents that still stand in different components.
+- Then every place of every lane is asked, without sketches, whether documents of different components meet in it. Only
+  these contested places are swept again, with sketches FINE times as long: the nearest pair of each two components of a
+  place is verified. If any pair has been passed over, the places that are still contested are swept for every pair of
+  different components that passes the popcount, and these are verified too, so no link between components is lost.
 
 Defined results: null or empty text and text without words have an empty set, linked with nothing; with fewer words than a
 shingle, the whole sequence is the one shingle; equal sets are one class; equal rows and rows that share a doc_id are one
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -46,6 +48,8 @@ MOST_BITS = 1 << 18
 COMPARED = 1 << 18
 #: Bits for each shingle in the sketches of the later sweeps, where all pairs of unlinked sets count.
 FINE = 4
+#: Lanes of each band pair that the first sweep takes. More or fewer give the same links.
+EARLY = 8
 
 
 class Rule:
@@ -99,9 +103,9 @@ def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Rec
             yield part, ids, each()
 
 
-def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a set, their numbers, and their band pairs, the same for every set with the same shingles."""
-    keys, numbers, groups, before = [], [], [], 0
+def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set, their numbers, band pairs and lanes, the same for every set with the same shingles."""
+    keys, numbers, groups, lanes, before = [], [], [], [], 0
     for group, m, equal in rule.lanes(len(own)):
         lane = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascending, as own is
         begin = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
@@ -111,8 +115,9 @@ def meeting_places(own: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray,
         keys.append(K.mix(bits[at] ^ K.mix(at.astype(np.uint64) + np.uint64(group) * np.uint64(1 << 40))))
         numbers.append(at + before)
         groups.append(np.full(len(at), group, np.uint8))
+        lanes.append(at)
         before += m
-    return np.concatenate(keys), np.concatenate(numbers), np.concatenate(groups)
+    return np.concatenate(keys), np.concatenate(numbers), np.concatenate(groups), np.concatenate(lanes)
 
 
 def sketch(own: np.ndarray, bits: int) -> np.ndarray:
@@ -184,16 +189,15 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, own in sets(batches, words):
             listed = part.column("pos")
-            keys, groups, out = [], [], []
+            out: list[list[bytes]] = [[] for _ in range(5)]
             for r, x in enumerate(own):
-                key, at, group = meeting_places(x, rule)
+                key, at, group, lane = meeting_places(x, rule)
                 known = np.isin(at, listed.slice(r, 1).flatten().to_numpy())
-                keys.append(key[known].tobytes())
-                groups.append(group[known].tobytes())
-                out.append(x.tobytes())
-            yield rows([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, groups, out))], ["doc_id", "places", "bands", "shingles"])
+                for held, y in zip(out, (key[known], at[known].astype(np.uint32), group[known], lane[known].astype(np.uint32), x), strict=True):
+                    held.append(y.tobytes())
+            yield rows([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["doc_id", "places", "numbers", "bands", "lanes", "shingles"])
 
-    held = written(docs.join(marked, "doc_id").mapInArrow(places, "doc_id bigint, places binary, bands binary, shingles binary"), "places")
+    held = written(docs.join(marked, "doc_id").mapInArrow(places, "doc_id bigint, places binary, numbers binary, bands binary, lanes binary, shingles binary"), "places")
     release(spark)
 
     def encode(doc: np.ndarray, size: np.ndarray, comp: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
@@ -201,14 +205,20 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
         new = np.append(True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1]))
         return pack(deltas(doc[new]), size[new], comp[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, group[new], np.concatenate(bits[new]))
 
-    def dealt(table: DataFrame, fine: int) -> DataFrame:
-        """(bucket, blob): the places of all documents of `table` with sketches and components."""
+    def dealt(table: DataFrame, fine: int) -> GroupedData:
+        """Blobs by bucket: places of the documents of `table` with sketches and components, those of the first lanes or,
+        if it has a column pos, those numbers."""
+        listed = "pos" in table.columns
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sender = Sender(n, encode, most=1 << 15)
             for batch in batches:
-                for doc, comp, key, group, own in zip(*(batch.column(c) for c in ("doc_id", "comp", "places", "bands", "shingles")), strict=True):
-                    key, group, own = np.frombuffer(key.as_py(), np.uint64), np.frombuffer(group.as_py(), np.uint8), np.frombuffer(own.as_py(), np.uint64)
+                for r, (doc, comp, key, at, group, lane, own) in enumerate(zip(*(batch.column(c) for c in ("doc_id", "comp", "places", "numbers", "bands", "lanes", "shingles")), strict=True)):
+                    key, at, group, lane, own = (np.frombuffer(x.as_py(), t) for x, t in ((key, np.uint64), (at, np.uint32), (group, np.uint8), (lane, np.uint32), (own, np.uint64)))
+                    some = np.isin(at, batch.column("pos").slice(r, 1).flatten().to_numpy()) if listed else lane < EARLY
+                    key, group = key[some], group[some]
+                    if not len(key):
+                        continue
                     bits = np.empty(len(key), dtype=object)
                     for g in np.unique(group).tolist():
                         own_bits = sketch(own, rule.bits(g, fine))
@@ -219,6 +229,30 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
 
         return table.mapInArrow(send, Sender.schema).groupBy("bucket")
 
+    def contested(table: DataFrame) -> DataFrame:
+        """(doc_id, pos): the numbers of all places of a document where documents of another component meet it."""
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sender = Sender(n, lambda doc, comp, key, at: pack(deltas(doc), deltas(comp), key, at), most=1 << 18)
+            for batch in batches:
+                for doc, comp, key, at in zip(*(batch.column(c) for c in ("doc_id", "comp", "places", "numbers")), strict=True):
+                    key, at = np.frombuffer(key.as_py(), np.uint64), np.frombuffer(at.as_py(), np.uint32)
+                    yield from sender.add(bucket_of(key, n), np.full(len(key), doc.as_py()), np.full(len(key), comp.as_py()), key.astype(np.uint32), at)
+            yield from sender.flush()
+
+        def meet(table: pa.Table) -> pa.Table:
+            parts = [unpack(x.as_py()) for x in table.column("blob")]
+            doc, comp = (np.concatenate([np.cumsum(x[i]) for x in parts]) for i in (0, 1))
+            key, at = (np.concatenate([x[i] for x in parts]) for i in (2, 3))
+            order = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+            low, high = np.minimum.reduceat(comp[order], begin), np.maximum.reduceat(comp[order], begin)
+            some = order[np.repeat(low != high, np.diff(np.append(begin, len(key))))]
+            return pa.table([pa.array(doc[some], pa.int64()), pa.array(at[some].astype(np.int64), pa.int64())], ["doc_id", "pos"])
+
+        found = table.select("doc_id", "comp", "places", "numbers").mapInArrow(send, Sender.schema).groupBy("bucket").applyInArrow(meet, "doc_id bigint, pos bigint")
+        return written(found.groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("pos")), "contested")
+
     def stars(table: pa.Table) -> pa.Table:
         met = Meetings(table.column("blob"), rule, 1)
         left, right = [met.doc[:0]], [met.doc[:0]]
@@ -283,22 +317,25 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
         left, right = (held.select(F.col("doc_id").alias(x), F.col("shingles").alias(y)) for x, y in (("a", "shingles"), ("b", "other")))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
 
-    sweep = dealt(held.withColumn("comp", F.col("doc_id")), 1)
-    pairs = written(sweep.applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
+    pairs = written(dealt(held.withColumn("comp", F.col("doc_id")), 1).applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
     release(spark)
-    links = written(verified(pairs), "links")
+    one = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b"))), "links")
+    found = connected(one)
+    comp = found.withColumnRenamed("component_id", "comp")
+    side = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    links = one.unionByName(written(verified(rest), "links"))
     release(spark)
-    found = connected(links)
     for every in (False, True):
+        found = connected(links)
         comp = held.join(found.withColumnRenamed("component_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        comp = comp.join(contested(comp), "doc_id")
         pairs = written(dealt(comp, fine).applyInArrow(every_pair if every else nearest, "a bigint, b bigint").distinct(), "pairs")
         release(spark)
-        more = written(verified(pairs.where("a >= 0")), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = connected(links)
+        links = links.unionByName(written(verified(pairs.where("a >= 0")), "links"))
         if pairs.where("a < 0").isEmpty():
             break
+    found = connected(links)
     reached = classes.join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select("n_shingles", "p", "q", F.coalesce("component_id", "class_id").alias("component_id"))
     return ids.join(reached, ["n_shingles", "p", "q"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -29,7 +29,7 @@ from .exchange import Sender, bucket_of, buckets, deltas, pack, repeated, rows,
 
 #: Phrases that a task parses at a time, against each other, before the others' blocks.
 PARSED = 1 << 18
-FACTORS = "doc_id bigint, start bigint, phrases bigint, source_doc bigint, source_start bigint"
+LISTS = "doc_id bigint, start array<bigint>, phrases array<bigint>, source_doc array<bigint>, source_start array<bigint>"
 
 
 def _columns(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,9 +110,9 @@ def _factor(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, head: np.ndarray, ph
     return [d, s, np.add.reduceat(length, begin) if len(begin) else length, sd, sp], needed
 
 
-def factors(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, start, phrases, source_doc, source_start): words start .. start + phrases + window - 2 of doc_id occur
-    from source_start in source_doc, the earliest place of each phrase in them."""
+def factor_lists(docs: DataFrame, window: int = 20) -> DataFrame:
+    """Factors of a document from one block as lists (see factors); a document has a row for each block it has factors in,
+    and all that its own task has found are in one."""
     spark = docs.sparkSession
     ship(spark)
     k, n = max(window // 2, 1), buckets(spark)
@@ -188,11 +188,22 @@ def factors(docs: DataFrame, window: int = 20) -> DataFrame:
         edges = np.concatenate(([0], np.cumsum(count)))[:-1]
         phrase = phrase[K.ranges(edges[order], count[order])]
         f, _ = _factor(doc[order], lo[order], count[order], head[order].view(np.uint64), phrase)
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(known, f, strict=True)], [x.split()[0] for x in FACTORS.split(", ")])
+        doc, *more = (np.concatenate(x) for x in zip(known, f, strict=True))
+        order = np.argsort(doc, kind="stable")
+        begin = np.flatnonzero(np.append(True, np.diff(doc[order]) != 0)) if len(doc) else order
+        edges = pa.array(np.append(begin, len(doc)), pa.int32())
+        return pa.table([pa.array(doc[order][begin], pa.int64()), *(pa.ListArray.from_arrays(edges, pa.array(x[order], pa.int64())) for x in more)], [x.split()[0] for x in LISTS.split(", ")])
 
     docs = unique_documents(docs)
     marked = repeated(docs, items).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    return docs.join(marked, "doc_id").mapInArrow(send, Sender.schema).groupBy("bucket").applyInArrow(settle, FACTORS)
+    return docs.join(marked, "doc_id").mapInArrow(send, Sender.schema).groupBy("bucket").applyInArrow(settle, LISTS)
+
+
+def factors(docs: DataFrame, window: int = 20) -> DataFrame:
+    """(doc_id, start, phrases, source_doc, source_start): words start .. start + phrases + window - 2 of doc_id occur
+    from source_start in source_doc, the earliest place of the first phrase in them."""
+    names = [x.split()[0] for x in LISTS.split(", ")]
+    return factor_lists(docs, window).select("doc_id", F.inline(F.arrays_zip(*names[1:]))).toDF(*names)
 
 
 def _spans(listed: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +218,7 @@ def dedup(docs: DataFrame, window: int = 20, more: tuple[str, ...] = ()) -> Data
     the input, not on what is left.
     """
     docs = unique_documents(docs, *more)
-    found = factors(docs.select("doc_id", "text"), window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "phrases")).alias("spans"))
+    found = factor_lists(docs.select("doc_id", "text"), window).groupBy("doc_id").agg(F.flatten(F.collect_list(F.arrays_zip("start", "phrases"))).alias("spans"))
     names = ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "text", *more]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
