@@ -185,7 +185,7 @@ def found(docs: DataFrame, benchmark: DataFrame, most: int = SMALL) -> DataFrame
 
     pairs = F.filter(F.zip_with("slots", F.arrays_zip("item_words", "words"), lambda s, x: F.when(s, x)), lambda x: x.isNotNull())
     hits = unique_documents(docs).mapInArrow(cut, "doc_id bigint, pos bigint, hash bigint, words array<bigint>").join(own, "hash")
-    hits = written(hits.select("doc_id", "item_id", "n_windows", "item_pos", "verbatim", "pos", (F.col("pos") + F.col("size") - 1).alias("end"), pairs.alias("pairs")), "benchmark-hits")
+    hits = written(hits.select("doc_id", "item_id", "n_windows", "item_pos", "verbatim", "pos", (F.col("pos") + F.col("size") - 1).alias("end"), pairs.alias("pairs")), "benchmark-hits", "doc_id")
     ends = F.min("pos").alias("first_word"), F.max("end").alias("last_word")
     of = lambda kind, x: F.when(F.col("verbatim") == kind, x)
     totals = F.max(of(False, F.col("n_windows"))).alias("n_like"), F.max(of(True, F.col("n_windows"))).alias("n_same")

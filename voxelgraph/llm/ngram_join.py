@@ -17,10 +17,10 @@ even with |A| + |B|, so pairs above the bound are dropped by popcounts. Within a
 - The first sweep takes the places of the first EARLY lanes, where most near copies meet: each set is held against few
   leaders and linked to the first that passes. Links are verified on the sets, one for each document first, the others
   only between documents that still stand in different components.
-- Then every place of every lane is asked, without sketches, whether documents of different components meet in it. Only
-  these contested places are swept again, with sketches FINE times as long: the nearest pair of each two components of a
-  place is verified. If any pair has been passed over, the places that are still contested are swept for every pair of
-  different components that passes the popcount, and these are verified too, so no link between components is lost.
+- The second sweep takes every place of every lane and asks which documents pass the popcount with a document of another
+  component there. Only these are swept again in those places, with sketches FINE times as long: the nearest pair of each
+  two components of a place is verified. If any pair has been passed over, a last sweep of the same places takes every pair
+  that passes and still stands in different components, and these are verified too, so no link between components is lost.
 
 Defined results: null or empty text and text without words have an empty set, linked with nothing; with fewer words than a
 shingle, the whole sequence is the one shingle; equal sets are one class; equal rows and rows that share a doc_id are one
@@ -48,6 +48,8 @@ MOST_BITS = 1 << 18
 COMPARED = 1 << 18
 #: Bits for each shingle in the sketches of the later sweeps, where all pairs of unlinked sets count.
 FINE = 4
+#: Pairs and components that are broadcast, counted first: 16 bytes each.
+FEW = 1 << 20
 #: Lanes of each band pair that the first sweep takes. More or fewer give the same links.
 EARLY = 8
 
@@ -127,12 +129,12 @@ def sketch(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Meetings:
-    """Items (document, size, component, key) of the blobs of a bucket; those of a document and band pair share one sketch."""
+    """Items (document, size, component, key, number) of the blobs of a bucket; those of a document and band pair share one sketch."""
 
     def __init__(self, blobs: pa.ChunkedArray, rule: Rule, fine: int):
         parts = [unpack(x.as_py()) for x in blobs]
         doc = np.concatenate([np.cumsum(x[0]) for x in parts])
-        size, comp, each, self.key, group, self.sketches = (np.concatenate([x[i] for x in parts]) for i in range(1, 7))
+        size, comp, each, self.key, self.at, group, self.sketches = (np.concatenate([x[i] for x in parts]) for i in range(1, 8))
         self.rule, self.doc, self.size, self.comp = rule, *(np.repeat(x, each) for x in (doc, size, comp))
         width = np.array([rule.bits(g, fine) // 64 for g in range(int(group.max()) + 1)])[group] if len(group) else np.zeros(0, np.int64)
         self.begin, self.width = np.repeat(np.cumsum(width) - width, each), np.repeat(width, each)
@@ -179,7 +181,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
             if found:
                 yield np.concatenate([x[1] for x in found]), np.repeat(np.array([x[0] for x in found]), [len(x[1]) for x in found]), np.concatenate([x[2] for x in found])
 
-    ids = written(docs.mapInArrow(prints, "doc_id bigint, n_shingles bigint, p bigint, q bigint"), "sets")
+    ids = written(docs.mapInArrow(prints, "doc_id bigint, n_shingles bigint, p bigint, q bigint"), "sets", "n_shingles", "p", "q")
     classes = ids.where("n_shingles > 0").groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("class_id"))
     first = classes.select(F.col("class_id").alias("doc_id"))
     marked = repeated(docs, items, np.uint32).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("pos"))
@@ -200,14 +202,14 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
     held = written(docs.join(marked, "doc_id").mapInArrow(places, "doc_id bigint, places binary, numbers binary, bands binary, lanes binary, shingles binary"), "places")
     release(spark)
 
-    def encode(doc: np.ndarray, size: np.ndarray, comp: np.ndarray, key: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
+    def encode(doc: np.ndarray, size: np.ndarray, comp: np.ndarray, key: np.ndarray, at: np.ndarray, group: np.ndarray, bits: np.ndarray) -> bytes:
         """The sketch of a document and band pair once for each blob, whatever the number of its keys in it."""
         new = np.append(True, (doc[1:] != doc[:-1]) | (group[1:] != group[:-1]))
-        return pack(deltas(doc[new]), size[new], comp[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, group[new], np.concatenate(bits[new]))
+        return pack(deltas(doc[new]), size[new], comp[new], np.diff(np.append(np.flatnonzero(new), len(doc))).astype(np.uint32), key, at, group[new], np.concatenate(bits[new]))
 
-    def dealt(table: DataFrame, fine: int) -> GroupedData:
-        """Blobs by bucket: places of the documents of `table` with sketches and components, those of the first lanes or,
-        if it has a column pos, those numbers."""
+    def dealt(table: DataFrame, fine: int, lanes: int | None = None) -> GroupedData:
+        """Blobs by bucket: places of the documents of `table` with sketches and components, all of them, those of the first
+        `lanes` or, if it has a column pos, those numbers."""
         listed = "pos" in table.columns
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +217,8 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
             for batch in batches:
                 for r, (doc, comp, key, at, group, lane, own) in enumerate(zip(*(batch.column(c) for c in ("doc_id", "comp", "places", "numbers", "bands", "lanes", "shingles")), strict=True)):
                     key, at, group, lane, own = (np.frombuffer(x.as_py(), t) for x, t in ((key, np.uint64), (at, np.uint32), (group, np.uint8), (lane, np.uint32), (own, np.uint64)))
-                    some = np.isin(at, batch.column("pos").slice(r, 1).flatten().to_numpy()) if listed else lane < EARLY
-                    key, group = key[some], group[some]
+                    some = np.isin(at, batch.column("pos").slice(r, 1).flatten().to_numpy()) if listed else lane < (lanes or 1 << 31)
+                    key, at, group = key[some], at[some], group[some]
                     if not len(key):
                         continue
                     bits = np.empty(len(key), dtype=object)
@@ -224,34 +226,26 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
                         own_bits = sketch(own, rule.bits(g, fine))
                         for i in np.flatnonzero(group == g).tolist():
                             bits[i] = own_bits
-                    yield from sender.add(bucket_of(key, n), np.full(len(key), doc.as_py()), np.full(len(key), len(own)), np.full(len(key), comp.as_py()), key, group, bits)
+                    yield from sender.add(bucket_of(key, n), np.full(len(key), doc.as_py()), np.full(len(key), len(own)), np.full(len(key), comp.as_py()), key, at, group, bits)
             yield from sender.flush()
 
         return table.mapInArrow(send, Sender.schema).groupBy("bucket")
 
-    def contested(table: DataFrame) -> DataFrame:
-        """(doc_id, pos): the numbers of all places of a document where documents of another component meet it."""
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sender = Sender(n, lambda doc, comp, key, at: pack(deltas(doc), deltas(comp), key, at), most=1 << 18)
-            for batch in batches:
-                for doc, comp, key, at in zip(*(batch.column(c) for c in ("doc_id", "comp", "places", "numbers")), strict=True):
-                    key, at = np.frombuffer(key.as_py(), np.uint64), np.frombuffer(at.as_py(), np.uint32)
-                    yield from sender.add(bucket_of(key, n), np.full(len(key), doc.as_py()), np.full(len(key), comp.as_py()), key.astype(np.uint32), at)
-            yield from sender.flush()
-
-        def meet(table: pa.Table) -> pa.Table:
-            parts = [unpack(x.as_py()) for x in table.column("blob")]
-            doc, comp = (np.concatenate([np.cumsum(x[i]) for x in parts]) for i in (0, 1))
-            key, at = (np.concatenate([x[i] for x in parts]) for i in (2, 3))
-            order = np.argsort(key, kind="stable")
-            begin = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-            low, high = np.minimum.reduceat(comp[order], begin), np.maximum.reduceat(comp[order], begin)
-            some = order[np.repeat(low != high, np.diff(np.append(begin, len(key))))]
-            return pa.table([pa.array(doc[some], pa.int64()), pa.array(at[some].astype(np.int64), pa.int64())], ["doc_id", "pos"])
-
-        found = table.select("doc_id", "comp", "places", "numbers").mapInArrow(send, Sender.schema).groupBy("bucket").applyInArrow(meet, "doc_id bigint, pos bigint")
-        return written(found.groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("pos")), "contested")
+    def hits(table: pa.Table) -> pa.Table:
+        """(doc_id, pos): documents and numbers of their places where a near document of another component meets them."""
+        met = Meetings(table.column("blob"), rule, 1)
+        hit = np.zeros(len(met.doc), dtype=bool)
+        for own in met.places():
+            comp = met.comp[own]
+            if (comp == comp[0]).all():
+                continue
+            for i, one in enumerate(own[:-1]):
+                others = own[i + 1 :][comp[i + 1 :] != comp[i]]
+                if len(others):
+                    others = others[met.near(one, others)]
+                    hit[others] = True
+                    hit[one] |= len(others) > 0
+        return pa.table([pa.array(met.doc[hit], pa.int64()), pa.array(met.at[hit].astype(np.int32), pa.int32())], ["doc_id", "pos"])
 
     def stars(table: pa.Table) -> pa.Table:
         met = Meetings(table.column("blob"), rule, 1)
@@ -314,25 +308,33 @@ def linked(docs: DataFrame, words: int, num: int, den: int, fine: int = FINE) ->
                     ok.append(den * shared >= num * (len(both) - shared))
                 yield rows([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
+        few = F.broadcast if pairs.count() <= FEW else lambda x: x  # 16 bytes each
         left, right = (held.select(F.col("doc_id").alias(x), F.col("shingles").alias(y)) for x, y in (("a", "shingles"), ("b", "other")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
+        right = right.join(few(pairs.select("b").distinct()), "b", "left_semi")
+        return left.join(few(pairs), "a").join(right, "b").select("a", "b", "shingles", "other").mapInArrow(check, "a bigint, b bigint")
+
+    def stated(links: DataFrame) -> DataFrame:
+        """held with the component of each document so far."""
+        found = connected(links).withColumnRenamed("component_id", "comp")
+        few = F.broadcast if found.count() <= FEW else lambda x: x  # 16 bytes each
+        return held.join(few(found), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
-    pairs = written(dealt(held.withColumn("comp", F.col("doc_id")), 1).applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
+    pairs = written(dealt(held.withColumn("comp", F.col("doc_id")), 1, EARLY).applyInArrow(stars, "a bigint, b bigint").distinct(), "pairs")
     release(spark)
-    one = written(verified(pairs.groupBy("a").agg(F.min("b").alias("b"))), "links")
-    found = connected(one)
-    comp = found.withColumnRenamed("component_id", "comp")
-    side = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    one = written(verified(written(pairs.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")), "links", "a")
+    found = connected(one).withColumnRenamed("component_id", "comp")
+    side = lambda x: found.select(F.col("doc_id").alias(x), F.col("comp").alias(f"comp_{x}"))
     rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
-    links = one.unionByName(written(verified(rest), "links"))
+    links = one.unionByName(written(verified(written(rest, "more-pairs")), "links", "a"))
+    release(spark)
+    hit = written(dealt(stated(links), 1).applyInArrow(hits, "doc_id bigint, pos int").groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), "hits")
     release(spark)
+    few = F.broadcast if hit.count() <= FEW else lambda x: x  # 8 bytes each
     for every in (False, True):
-        found = connected(links)
-        comp = held.join(found.withColumnRenamed("component_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        comp = comp.join(contested(comp), "doc_id")
-        pairs = written(dealt(comp, fine).applyInArrow(every_pair if every else nearest, "a bigint, b bigint").distinct(), "pairs")
+        some = stated(links).join(few(hit.select("doc_id")), "doc_id", "left_semi").join(hit, "doc_id")
+        pairs = written(dealt(some, fine).applyInArrow(every_pair if every else nearest, "a bigint, b bigint").distinct(), "pairs")
+        links = links.unionByName(written(verified(written(pairs.where("a >= 0"), "near-pairs")), "links", "a"))
         release(spark)
-        links = links.unionByName(written(verified(pairs.where("a >= 0")), "links"))
         if pairs.where("a < 0").isEmpty():
             break
     found = connected(links)

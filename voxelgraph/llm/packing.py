@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) ->
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
     # written first: a range partitioning reads its input twice, and texts are to be tokenised once
-    own = written(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity), "tokens")
+    own = written(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity), "tokens", "doc_id")
     own = written(own.repartitionByRange("length", "doc_id", "piece").withColumn("range", F.spark_partition_id()), "pieces")
     shares = own.groupBy("length", "range").count()
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -149,7 +149,7 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: i
                 yield rows([pa.array(ids, pa.int64()), part.column("label"), pa.array(np.diff(where), pa.int64()), pa.array(own, pa.binary())], ["doc_id", "label", "n", "bag"])
 
     # a broadcast of at most `most` ids; as many rows stand in the one partition of the window
-    bags = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(encode, "doc_id bigint, label int, n bigint, bag binary"), "bags")
+    bags = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(encode, "doc_id bigint, label int, n bigint, bag binary"), "bags", "doc_id")
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
     total = bags.select("doc_id", (F.sum("n").over(order) <= learned).alias("fits"), F.row_number().over(order).alias("rank"))
     taken = total.where("fits OR rank = 1").select("doc_id", "rank")
