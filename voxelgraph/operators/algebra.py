@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..plans.memory import written
 
+#: Entries of a system that one task solves: 24 bytes each.
+FEW = 8_000_000
+
 
 def laplacian(faces: DataFrame, t: str = "t") -> DataFrame:
     """(row, col, val): +t on the diagonal of both ends of a face, -t between them; duplicates are summed."""
@@ -23,25 +29,80 @@ def times(matrix: DataFrame, vector: DataFrame, name: str = "val") -> DataFrame:
     return matrix.join(v, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("ax"))
 
 
-def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-8, most: int = 4000, jacobi: bool = False, flush: int = 10) -> tuple[DataFrame, int]:
-    """(row, val) with matrix * val = rhs for a symmetric positive definite matrix, and the number of steps.
-
-    Two scalars a step reach the driver; vectors stay distributed and are written every step, so lineage stays short.
+def krylov(row: np.ndarray, col: np.ndarray, val: np.ndarray, rhs: np.ndarray, rtol: float, most: int, jacobi: bool) -> tuple[np.ndarray, int]:
+    """X with A X = rhs, a column of conjugate gradients for each column of rhs, which stop one by one."""
+    n = len(rhs)
+    order = np.argsort(row, kind="stable")
+    row, col, val = row[order], col[order], val[order]
+    diag = np.bincount(row[row == col], val[row == col], n) if jacobi else np.ones(n)
+    scale = 1 / np.where(np.abs(diag) > 1e-300, diag, 1.0)[:, None]
+    x, r = np.zeros_like(rhs), rhs.copy()
+    goal = np.maximum(rtol * np.linalg.norm(rhs, axis=0), 1e-300)
+    z = r * scale
+    p, rz = z.copy(), (r * z).sum(axis=0)
+    open_ = np.linalg.norm(r, axis=0) > goal
+    steps = 0
+    while open_.any() and steps < most:
+        steps += 1
+        ap = np.stack([np.bincount(row, val * p[col, k], n) for k in range(rhs.shape[1])], axis=1)
+        alpha = np.where(open_, rz / np.where(np.abs(own := (p * ap).sum(axis=0)) > 1e-300, own, 1.0), 0.0)
+        x += p * alpha
+        r -= ap * alpha
+        open_ = np.linalg.norm(r, axis=0) > goal
+        z = r * scale
+        new = (r * z).sum(axis=0)
+        p = z + p * np.where(open_, new / np.where(np.abs(rz) > 1e-300, rz, 1.0), 0.0)
+        rz = new
+    if open_.any():
+        raise RuntimeError(f"no convergence in {most} steps")
+    return x, steps
+
+
+def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-8, most: int = 4000, jacobi: bool = False, few: int = FEW, columns: tuple[str, ...] = ("rhs",)) -> DataFrame:
+    """(row, val, ...) with matrix * val = rhs for a symmetric positive definite matrix.
+
+    rhs: (row, the columns); the solution of the first is named val, the others as their column with x_ before it. With at
+    most `few` entries (counted) one task holds the system and iterates in NumPy; beyond that every step is one pass over the
+    distributed vectors (a product, a join and three sums that reach the driver), written so that lineage stays short.
     """
+    names = ["val", *(f"x_{c}" for c in columns[1:])]
+    ship(matrix.sparkSession)
+    if matrix.count() <= few:
+
+        def solve(entries: pa.Table, sides: pa.Table) -> pa.Table:
+            ids = np.sort(sides.column("row").to_numpy())
+            b = np.stack([sides.column(c).to_numpy() for c in columns], axis=1)[np.argsort(sides.column("row").to_numpy())]
+            at = [np.searchsorted(ids, entries.column(c).to_numpy()) for c in ("row", "col")]
+            x, _ = krylov(*at, entries.column("val").to_numpy(), b, rtol, most, jacobi)
+            return pa.table([pa.array(ids, pa.int64()), *x.T], ["row", *names])
+
+        a, b = matrix.select(F.lit(0).alias("all"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("val").cast("double").alias("val")), rhs.select(F.lit(0).alias("all"), F.col("row").cast("bigint").alias("row"), *(F.col(c).cast("double").alias(c) for c in columns))
+        return a.groupBy("all").cogroup(b.groupBy("all")).applyInArrow(solve, "row bigint, " + ", ".join(f"{n} double" for n in names))
+    out = None
+    for column, name in zip(columns, names, strict=True):
+        own = _distributed(matrix, rhs.select("row", F.col(column).alias("rhs")), rtol, most, jacobi).withColumnRenamed("val", name)
+        out = own if out is None else out.join(own, "row")
+    return out
+
+
+def _distributed(matrix: DataFrame, rhs: DataFrame, rtol: float, most: int, jacobi: bool) -> DataFrame:
+    """One column; the recurrences of Chronopoulos and Gear, so that a step has one product and one round of sums."""
     diag = matrix.where("row = col").select("row", F.col("val").alias("m")) if jacobi else rhs.select("row", F.lit(1.0).alias("m"))
-    state = written(rhs.join(diag, "row").select("row", F.lit(0.0).alias("val"), F.col("rhs").cast("double").alias("r"), (F.col("rhs") / F.col("m")).alias("p"), "m"), "cg")
-    goal, rz = state.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.sum(F.col("r") * F.col("r") / F.col("m"))).first()
-    if not goal:
-        return state.select("row", "val"), 0
-    for step in range(1, most + 1):
-        ap = state.join(times(matrix, state, "p"), "row", "left").withColumn("ax", F.coalesce("ax", F.lit(0.0)))
-        ap = written(ap, "cg")
-        alpha = rz / ap.agg(F.sum(F.col("p") * F.col("ax"))).first()[0]
-        moved = written(ap.select("row", (F.col("val") + alpha * F.col("p")).alias("val"), (F.col("r") - alpha * F.col("ax")).alias("r"), "p", "m"), "cg")
-        norm, new = moved.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.sum(F.col("r") * F.col("r") / F.col("m"))).first()
-        if norm <= rtol * goal:
-            return moved.select("row", "val"), step
-        state, rz = moved.withColumn("p", F.col("r") / F.col("m") + (new / rz) * F.col("p")), new
+    state = rhs.join(diag, "row").select("row", F.lit(0.0).alias("val"), F.col("rhs").cast("double").alias("r"), F.lit(0.0).alias("p"), F.lit(0.0).alias("s"), "m")
+    gamma = alpha = 0.0
+    goal = None
+    for _ in range(most + 1):
+        u = state.withColumn("u", F.col("r") / F.col("m"))
+        now = written(u.join(times(matrix, u, "u"), "row", "left").withColumn("w", F.coalesce("ax", F.lit(0.0))).drop("ax"), "cg")
+        norm, new, delta = now.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.sum(F.col("r") * F.col("u")), F.sum(F.col("w") * F.col("u"))).first()
+        goal = (norm or 0.0) * rtol if goal is None else goal
+        if not norm or norm <= goal:
+            return now.select("row", "val")
+        beta = new / gamma if gamma else 0.0
+        alpha = new / (delta - beta * new / alpha) if alpha else new / delta
+        gamma = new
+        moved = now.withColumn("p", F.col("u") + beta * F.col("p")).withColumn("s", F.col("w") + beta * F.col("s"))
+        state = moved.select("row", (F.col("val") + alpha * F.col("p")).alias("val"), (F.col("r") - alpha * F.col("s")).alias("r"), "p", "s", "m")
     raise RuntimeError(f"no convergence in {most} steps")
 
 
@@ -64,6 +125,6 @@ def projected(flux: DataFrame, q: str = "q", gauge: float = 1e-10, rtol: float =
     gauge_part = cells.select("row", F.col("row").alias("col"), F.lit(gauge).alias("val"))
     matrix = written(laplacian(inner).unionByName(border).unionByName(gauge_part).groupBy("row", "col").agg(F.sum("val").alias("val")), "bbt")
     rhs = written(divergence(flux, q).select("row", F.col("div").alias("rhs")), "rhs")
-    lam, _ = conjugate_gradients(matrix, rhs, rtol)
+    lam = conjugate_gradients(matrix, rhs, rtol)
     a, b = lam.select(F.col("row").alias("owner"), F.col("val").alias("lo")), lam.select(F.col("row").alias("neighbor"), F.col("val").alias("ln"))
     return flux.join(a, "owner", "left").join(b, "neighbor", "left").withColumn("q_conservative", F.col(q) - F.coalesce("lo", F.lit(0.0)) + F.coalesce("ln", F.lit(0.0))).drop("lo", "ln")

@@ -112,3 +112,96 @@ def fill_cracks(labels: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
             return state
         state = written(state.join(agreed, "vid", "left").select("vid", "z", "y", "x", F.coalesce("label", "fill").alias("label")), "filled")
     raise RuntimeError("cracks don't settle")
+
+
+def running(rows: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
+    """rows with running sums in ascending order of key (names: columns), by ranges: sums of ranges first, then within them."""
+    own = written(rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy("range").agg(*(F.sum(c).alias(f"total_{n}") for n, c in sums.items()))
+    base = totals.select("range", *(F.coalesce(F.sum(f"total_{n}").over(before), F.lit(0)).alias(f"base_{n}") for n in sums))  # a row for each partition
+    inside = Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumns({f"in_{n}": F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(base), "range")
+    return own.withColumns({n: F.col(f"base_{n}") + F.col(f"in_{n}") for n in sums}).drop("range", *(f"{p}_{n}" for p in ("in", "base") for n in sums))
+
+
+def moving_average(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """(key, smooth): the sum over k rows on either side divided by the whole window, also at the ends."""
+    own = numbered(rows.select(key, value), (key,))
+    spread = own.select(F.explode(F.sequence(F.col("rank") - k, F.col("rank") + k)).alias("rank"), F.col(value).alias("v"))
+    return own.select(key, "rank").join(spread.groupBy("rank").agg((F.sum("v") / (2 * k + 1)).alias("smooth")), "rank").select(key, "smooth")
+
+
+def closure_fill(voxels: DataFrame, state: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
+    """(vid, site_id, d): voxels without a label take that of the best neighbour of 26 (d + length, then least label), layer by
+    layer, until none is left that touches a labelled one. state: (vid, site_id, d) of the labelled."""
+    place = voxels.select("vid", "z", "y", "x")
+    done, layer = state, state
+    for _ in range(most):
+        near = neighbours(layer.join(place, "vid"), place.join(done.select("vid"), "vid", "left_anti"), CUBE, shape)
+        length = F.sqrt((F.abs("dz") + F.abs("dy") + F.abs("dx")).cast("double"))
+        met = near.join(layer, "vid").select(F.col("nb").alias("vid"), F.struct(F.round(F.col("d") + length, 6).alias("d"), "site_id").alias("s"))
+        layer = written(met.groupBy("vid").agg(F.min("s").alias("s")).select("vid", "s.site_id", "s.d"), "layer")
+        if layer.isEmpty():
+            return done
+        done = done.unionByName(layer)
+    raise RuntimeError(f"not filled after {most} layers")
+
+
+def streamlines(starts: DataFrame, voxels: DataFrame, score: str, shape: Shape, steps: int, slack: float = 0.02) -> DataFrame:
+    """(line_id, seq, vid): from (line_id, vid) each line goes on to the face neighbour of least score that it has not visited
+    (then least id), ends where there is none, where the score would rise by more than `slack`, or after `steps`."""
+    near = neighbours(voxels, voxels, FACES, shape, keep=(score,)).select("vid", "nb", F.col(score).alias("here"), F.col(f"nb_{score}").alias("there"))
+    now = starts.select("line_id", "vid", F.array("vid").alias("visited"))
+    out = now.select("line_id", F.lit(0).alias("seq"), "vid")
+    for step in range(1, steps + 1):
+        met = now.join(near, "vid").where(~F.expr("array_contains(visited, nb)"))
+        best = met.groupBy("line_id").agg(F.min(F.struct("there", "nb")).alias("b"), F.first("here").alias("here"), F.first("visited").alias("visited"))
+        now = written(best.where(F.col("b.there") <= F.col("here") + slack).select("line_id", F.col("b.nb").alias("vid"), F.array_append("visited", F.col("b.nb")).alias("visited")), "lines")
+        out = out.unionByName(now.select("line_id", F.lit(step).alias("seq"), "vid"))
+    return out
+
+
+def free_parts(labels: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
+    """(vid, label, root): parts of each label (vid, z, y, x, label) joined through voxels of `every` without a label."""
+    from ..plans.relaxation import contracted
+
+    own = written(labels.select("vid", "z", "y", "x", "label").join(components(labels, shape, "label"), "vid"), "label-parts")
+    open_ = every.join(labels.select("vid"), "vid", "left_anti").select("vid", "z", "y", "x")
+    open_ = written(open_.join(components(open_, shape), "vid"), "open-parts")
+    touch = neighbours(own, open_, FACES, shape).select("vid", "nb").join(own.select("vid", "label", "root"), "vid").join(open_.select(F.col("vid").alias("nb"), F.col("root").alias("gap")), "nb")
+    # a gap joins the parts of one label; for another label it is another node: the first part of that label that touches it
+    touch = written(touch.select("label", "gap", "root").distinct(), "touch")
+    hub = touch.groupBy("label", "gap").agg(F.min("root").alias("hub"))
+    pairs = written(touch.join(hub, ["label", "gap"]).where("root <> hub").select(F.col("hub").alias("a"), F.col("root").alias("b")).distinct(), "free-pairs")
+    if pairs.isEmpty():
+        return own.select("vid", "label", "root")
+    joined = contracted(pairs).withColumnRenamed("root", "least").withColumnRenamed("id", "root")
+    return own.join(joined, "root", "left").select("vid", "label", F.coalesce("least", "root").alias("root"))
+
+
+def rectangles(faces: DataFrame, plane: list[str], a: str, b: str) -> DataFrame:
+    """(plane columns, a, b, width, height): unit faces of each plane covered greedily by rectangles, from the least (a, b) on,
+    as wide as it goes along b, then as high as all of that width goes along a. One plane is held by a task at a time."""
+    import pyarrow as pa
+
+    from ..functions.shipping import ship
+
+    ship(faces.sparkSession)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        left = set(zip(table.column(a).to_pylist(), table.column(b).to_pylist(), strict=True))
+        out = []
+        for i, j in sorted(left):
+            if (i, j) not in left:
+                continue
+            width, height = 1, 1
+            while (i, j + width) in left:
+                width += 1
+            while all((i + height, j + k) in left for k in range(width)):
+                height += 1
+            left -= {(i + m, j + k) for m in range(height) for k in range(width)}
+            out.append((*(k.as_py() for k in key), i, j, width, height))
+        return pa.table([pa.array(c, pa.int32()) for c in zip(*out, strict=True)], [*plane, a, b, "width", "height"])
+
+    return faces.select(*(F.col(c).cast("int").alias(c) for c in (*plane, a, b))).groupBy(*plane).applyInArrow(merge, ", ".join(f"{c} int" for c in (*plane, a, b, "width", "height")))

@@ -1,34 +1,162 @@
-"""Sources and sinks: mask archives, string CSV, JSON, manifests, report tables."""
+"""Sources and sinks: mask archives, TIFF windows, string CSV, JSON rows and scenes, stage tables, manifests, report tables, meshes.
+
+Files are read by Spark's readers (binaryFile, csv, text, parquet), so any store that Spark knows will do.
+"""
 
 from __future__ import annotations
 
+import io
+import struct
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.grid import Shape, with_coordinates
+from ..functions.shipping import ship
+
+CHUNK = 1 << 18
+VOXELS = "vid bigint, z int, y int, x int, pore boolean, depth int, height int, width int"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file to any file system that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def _voxels(mask: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+    flat, (depth, height, width) = mask.ravel(), mask.shape
+    for a in range(0, len(flat), CHUNK):
+        i = np.arange(a, min(a + CHUNK, len(flat)))
+        columns = [i + first, i // (height * width), i // width % height, i % width]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:]), pa.array(flat[i]), *(pa.array(np.full(len(i), n), pa.int32()) for n in (depth, height, width))], [x.split()[0] for x in VOXELS.split(", ")])
+
+
+def mask_archive(spark: SparkSession, path: str, member: str = "mask") -> DataFrame:
+    """(vid, z, y, x, pore, depth, height, width) of the dense masks [z, y, x] in .npz archives, one archive a task."""
+    ship(spark)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with np.load(io.BytesIO(content.as_py())) as archive:
+                    yield from _voxels(archive[member].astype(bool))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, VOXELS)
+
+
+def tiff_pages(data: bytes) -> Iterator[tuple[int, int, list[tuple[int, int]], int]]:
+    """(height, width, strips as (place, bytes), bits) of the pages of an uncompressed grey TIFF."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    while at:
+        n = struct.unpack_from(order + "H", data, at)[0]
+        tags = {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            code, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("B", 1))
+            place = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+            tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
+        if tags.get(259, (1,))[0] != 1:
+            raise ValueError("compressed TIFF")
+        yield tags[257][0], tags[256][0], list(zip(tags[273], tags[279], strict=True)), tags.get(258, (8,))[0]
+        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def tiff_window(spark: SparkSession, path: str, start: tuple[int, int, int], size: tuple[int, int, int], pore_value: int) -> DataFrame:
+    """(vid, z, y, x, pore, depth, height, width) of a window of a TIFF stack, counted from its corner; pages outside it are
+    not decoded."""
+    ship(spark)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                data, pages = content.as_py(), []
+                for z, (height, width, strips, bits) in enumerate(tiff_pages(data)):
+                    if start[0] <= z < start[0] + size[0]:
+                        page = np.frombuffer(b"".join(data[a : a + n] for a, n in strips), np.uint8 if bits == 8 else np.uint16).reshape(height, width)
+                        pages.append(page[start[1] : start[1] + size[1], start[2] : start[2] + size[2]] == pore_value)
+                yield from _voxels(np.stack(pages))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, VOXELS)
+
+
+def tiff(pages: np.ndarray) -> bytes:
+    """An uncompressed 8-bit grey TIFF of the planes."""
+    out, links = bytearray(struct.pack("<2sHI", b"II", 42, 0)), [4]
+    for page in pages.astype(np.uint8):
+        place = len(out)
+        out += page.tobytes()
+        out += b"\0" * (len(out) % 2)
+        struct.pack_into("<I", out, links[-1], len(out))
+        tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, place), (277, 3, 1), (278, 4, page.shape[0]), (279, 4, page.size)]
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
+        links.append(len(out))
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
+def save_stage(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables of a stage by name, one folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+def csv_strings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """All columns as strings and the file that a row is from (source_path); a byte-order mark, quotes and blanks in the header
+    are cleaned away. Files below the folder are found too."""
+    own = spark.read.csv(path, header=True, inferSchema=False, recursiveFileLookup=True, pathGlobFilter=glob, quote='"', escape='"', multiLine=True)
+    named = own.toDF(*(c.lstrip("﻿").strip().strip('"').strip() for c in own.columns))
+    return named.select("*", F.col("_metadata.file_path").alias("source_path")) if own.columns else named
 
 
-def mask_archive(spark: SparkSession, path: str, member: str = "mask") -> tuple[DataFrame, Shape]:
-    """A dense mask [z, y, x] of an .npz archive as pore voxels; the archive is one local file of bounded size."""
-    with np.load(path) as archive:
-        mask = archive[member].astype(bool)
-    shape = Shape(*mask.shape[1:], depth=mask.shape[0])
-    own = spark.createDataFrame([(int(v),) for v in np.flatnonzero(mask.ravel())], "vid bigint")
-    return with_coordinates(own.withColumn("pore", F.lit(True)), shape), shape
+def union_rows(*tables: DataFrame) -> DataFrame:
+    """Rows of heterogeneous tables; columns in first-seen order, missing ones null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; a byte-order mark, quotes and blanks in the header are cleaned away."""
-    own = spark.read.csv(path, header=True, inferSchema=False, recursiveFileLookup=True)
-    return own.toDF(*(c.lstrip("﻿").strip().strip('"').strip() for c in own.columns))
+def write_csv(df: DataFrame, path: str) -> None:
+    """A header, and missing values as empty cells."""
+    df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", quote='"', escape='"')
 
 
-def union_rows(*tables: DataFrame) -> DataFrame:
-    """Rows of heterogeneous tables; columns in first-seen order, missing ones null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+def write_json(df: DataFrame, path: str) -> None:
+    """A line a row, keys in ascending order."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+SCENE = "shape array<int>, sites array<array<int>>, labels array<array<int>>, distances array<array<double>>"
+
+
+def scene(spark: SparkSession, path: str, required: tuple[str, ...] = ("shape", "sites", "labels", "distances")) -> tuple[DataFrame, list[str]]:
+    """(y, x, label, distance) of the fields in a JSON scene, null for solid, and the required keys that are missing."""
+    text = spark.read.text(path, wholetext=True)
+    keys = text.select(F.json_object_keys("value").alias("keys"))
+    missing = [k for k in required if not keys.where(F.array_contains("keys", k)).count()]
+    own = text.select(F.from_json("value", SCENE).alias("s"))
+    grid = lambda field, name: own.select(F.posexplode(f"s.{field}").alias("y", "row")).select("y", F.posexplode("row").alias("x", name))
+    return grid("labels", "label").join(grid("distances", "distance"), ["y", "x"]), missing
+
+
+def scene_text(fields: DataFrame, sites: DataFrame, height: int, width: int) -> DataFrame:
+    """One JSON text of fields (y, x, label, distance) and sites (site_id, y, x); a report, as large as its plane."""
+    rows = fields.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "label", "distance"))).alias("r"))
+    plane = rows.agg(F.array_sort(F.collect_list(F.struct("y", "r"))).alias("p"))
+    points = sites.agg(F.transform(F.array_sort(F.collect_list(F.struct("site_id", "x", "y"))), lambda s: F.array(s["x"], s["y"])).alias("sites"))
+    of = lambda name: F.transform("p", lambda r: F.transform(r["r"], lambda c: c[name]))
+    return plane.crossJoin(points).select(F.to_json(F.struct(F.array(F.lit(height), F.lit(width)).alias("shape"), "sites", of("label").alias("labels"), of("distance").alias("distances")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -37,18 +165,64 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return own.select("path", F.length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def markdown(df: DataFrame, order: list[str]) -> DataFrame:
-    """(line_no, line) of a Markdown table, rows in the given order."""
-    from pyspark.sql import Window
+def missing(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    return expected.join(actual, key, "left_anti")
 
-    body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |")).alias("line"))
-    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "line_no int, line string")
-    return head.unionByName(body)
 
+def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
+    """The first path of the list that exists."""
+    jvm = spark.sparkContext._jvm
+    for path in candidates:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return path
+    return None
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.select(*sorted(df.columns)).write.json(path)
 
+def next_free(spark: SparkSession, base: str) -> str:
+    """base, or the first of base_02, base_03, ... that doesn't exist."""
+    k, path = 1, base
+    while first_existing(spark, [path]):
+        k += 1
+        path = f"{base}_{k:02d}"
+    return path
 
-def missing(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    return expected.join(actual, key, "left_anti")
+
+def _ordered(df: DataFrame, order: list[str], line, first: int) -> DataFrame:
+    """Lines of a report table: a few hundred rows, numbered in one partition."""
+    return df.select((F.row_number().over(Window.orderBy(*order)) + first - 1).alias("line_no"), line.alias("line"))
+
+
+def markdown(df: DataFrame, order: list[str]) -> DataFrame:
+    """(line_no, line) of a Markdown table, rows in the given order."""
+    cells = F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "line_no int, line string")
+    return head.unionByName(_ordered(df, order, F.concat(F.lit("| "), cells, F.lit(" |")), 2))
+
+
+def tex_table(df: DataFrame, order: list[str]) -> DataFrame:
+    """(line_no, line) of a TeX tabular, cells escaped."""
+    from ..functions.text import tex
+
+    cells = F.concat_ws(" & ", *(tex(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns))
+    n = df.count()
+    ends = [(0, f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}"), (1, " & ".join(c.replace("_", "\\_") for c in df.columns) + " \\\\"), (2 + n, "\\end{tabular}")]
+    return df.sparkSession.createDataFrame(ends, "line_no int, line string").unionByName(_ordered(df, order, F.concat(cells, F.lit(" \\\\")), 2))
+
+
+def mesh(faces: DataFrame) -> DataFrame:
+    """(kind, n, line) of an OBJ text: the corners (kind v, numbered from 1) and squares (kind f) of voxel faces (z, y, x, dz, dy,
+    dx). Numbers go by ranges of corners, so only a row for each partition meets in one place."""
+    from ..operators.fields import numbered
+
+    corner = []
+    for a, b in ((0, 0), (0, 1), (1, 1), (1, 0)):
+        place = {}
+        for c, first, second in (("z", "y", "x"), ("y", "z", "x"), ("x", "z", "y")):
+            place[c] = {c: F.when(F.col(f"d{c}") > 0, F.col(c) + 1).otherwise(F.col(c)), first: F.col(first) + a, second: F.col(second) + b}
+        corner.append(F.struct(*(F.when(F.col("dz") != 0, place["z"][c]).when(F.col("dy") != 0, place["y"][c]).otherwise(place["x"][c]).alias(c) for c in "zyx")))
+    own = faces.select("z", "y", "x", "dz", "dy", "dx", F.posexplode(F.array(*corner)).alias("k", "p")).select(F.struct("z", "y", "x", "dz", "dy", "dx").alias("face"), "k", "p.*")
+    points = numbered(own.select("z", "y", "x").distinct(), ("z", "y", "x"), "n").withColumn("n", F.col("n") + 1)
+    squares = own.join(points, ["z", "y", "x"]).groupBy("face").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("c"))
+    lines = squares.select(F.lit("f").alias("kind"), F.lit(None).cast("bigint").alias("n"), F.concat(F.lit("f "), F.array_join(F.transform("c", lambda x: x["n"].cast("string")), " ")).alias("line"))
+    return points.select(F.lit("v").alias("kind"), "n", F.concat_ws(" ", F.lit("v"), F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string")).alias("line")).unionByName(lines)
