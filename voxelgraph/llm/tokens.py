@@ -20,8 +20,8 @@ SAFE = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS[6:]}]*")
 #: Patterns of the two public vocabularies' pre-tokenisers, for safe texts; fixed values.
 BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
-#: Entries of each of the two generations of a worker's cache: some 20 MB each.
-CACHED, LONGEST = 100_000, 64
+#: Entries of each of the two generations of a worker's cache: some 100 MB each.
+CACHED, LONGEST = 600_000, 64
 _KEPT: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -46,7 +46,7 @@ class Ids(dict):
             ids = self.pack([t.id for t in self.model.tokenize(plain)])
         if len(word) <= LONGEST:
             if len(self) >= CACHED:
-                self.old = dict(self)
+                self.old = self.copy()
                 self.clear()
             self[word] = ids
         return ids
@@ -63,12 +63,12 @@ def encoder(path: str) -> Callable[[str], bytes]:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
+        special = [t.content for t in whole.get_added_tokens_decoder().values()]
         words = "lowercase" in str(whole.normalizer).lower()
         pattern, ids = (WORD_LEVEL if words else BYTE_LEVEL).findall, Ids(whole.model)
 
         def encode(text: str) -> bytes:
-            if not SAFE.fullmatch(text) or special.search(text):
+            if not SAFE.fullmatch(text) or any(t in text for t in special):
                 return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             return b"".join(map(ids.__getitem__, pattern(text.lower() if words else text)))
 
