@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import fields, generators, grid, search
-from .plans.memory import folder
+from .plans.config import RunConfig, coarse, value_list
+from .plans.memory import folder, written
+from .plans.relaxation import contracted
 from .sources import tables
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -272,9 +274,52 @@ def gn14_cell_blocks(spark, d):
     return generators.surface(generators.blocks_demo(spark), grid.Shape(3, 6))
 
 
+@query("SELECT * FROM (VALUES ('voxels', (6 * 10 * 9 + 59 * 2 * 3) * 26), ('parts', 1), ('seeds', 12), ('seeds in pore', 12)) AS t(what, n)")
+def gn4_maze(spark, d):
+    """A maze without loops: 60 rooms and 59 openings of 3 x 2, 26 high, in one part; seeds three rooms apart."""
+    pore, centres = generators.maze(spark, 32, grid.Shape(30, 53), loops=0.0, seed=3)
+    pore = written(pore, "maze")
+    rooms = generators.spaced_rooms(6, 10, 12, 2, seed=3)
+    seeds = centres.where(F.col("room").isin(rooms))
+    parts = fields.components(pore, grid.Shape(30, 53)).select("root").distinct()
+    count = lambda df, name: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    return count(pore, "voxels").unionByName(count(parts, "parts")).unionByName(count(seeds, "seeds")).unionByName(count(seeds.join(pore, ["z", "y", "x"], "left_semi"), "seeds in pore"))
+
+
+@query("SELECT CAST(r AS INT) AS room, TRUE AS reached, 59 AS openings FROM range(60) t(r)")
+def i29_maze_edges(spark, d):
+    """Every room is reached, by as many openings as rooms less one."""
+    edges = generators.maze_edges(6, 10, 0.0, 5)
+    own = spark.createDataFrame(edges, "a bigint, b bigint")
+    root = contracted(own)
+    return root.select(F.col("id").cast("int").alias("room"), (F.col("root") == 0).alias("reached"), F.lit(len(edges)).alias("openings"))
+
+
 # ---------------------------------------------------------------- projections and text
 
 
+@query("SELECT * FROM (VALUES ('body_force', '(2.5, 0.0, 0.0)'), ('dt', '0.1'), ('linear_solver_mode', 'direct'), ('n_steps', '900'), ('nu', '1.0'), ('periodic_x', 'True'), ('pressure_gauge_eps', '1e-12'), ('transmissibility_floor', '1e-12'), ('voxel_size', '1.0'), ('wall_distance_floor', '0.25')) AS t(name, value)")
+def f25_overrides(spark, d):
+    return spark.createDataFrame(RunConfig().overridden(periodic_x=True, nu=None, body_force_x=2.5, linear_solver_mode="direct").rows(), "name string, value string")
+
+
+@query("SELECT vid, pore::INT AS as_byte, CAST(val AS FLOAT)::DOUBLE AS as_float, CAST(z AS BIGINT) * 4294967296 + site_id AS packed, CAST(z AS INT) AS high, CAST(site_id AS INT) AS low FROM {vox} JOIN {owner} USING (vid)")
+def f26_casts(spark, d):
+    """Storage types: bytes, floats, and two 32-bit numbers packed into one of 64 and taken apart."""
+    own = rel(spark, d, "vox").join(rel(spark, d, "owner"), "vid")
+    packed = own.withColumn("packed", F.shiftleft(F.col("z").cast("bigint"), 32).bitwiseOR(F.col("site_id").cast("bigint")))
+    return packed.select("vid", F.col("pore").cast("int").alias("as_byte"), F.col("val").cast("float").cast("double").alias("as_float"), "packed", F.shiftright("packed", 32).cast("int").alias("high"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("low"))
+
+
+@query("SELECT * FROM (VALUES ('dt', '0.05'), ('n_steps', '1800'), ('run_label', 'reference'), ('stride_zyx', '(2, 4, 4)')) AS t(name, value)")
+def f30_kept_attributes(spark, d):
+    base = RunConfig().overridden(run_label="reference", dt=0.05)
+    steps = int(value_list(None, " , ", "1800, 900")[0])
+    own = coarse(base, (2, 4, 4), n_steps=steps)
+    return spark.createDataFrame([r for r in own.rows() if r[0] in ("dt", "n_steps", "run_label", "stride_zyx")], "name string, value string")
+
+
+
 @query("SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS row_id FROM {pore}")
 def f3_dense_renumber(spark, d):
     return fields.numbered(rel(spark, d, "pore").select("vid"), ("vid",), "row_id")
@@ -457,11 +502,11 @@ def i19_tile_classes(spark, d):
     return own.join(around, ["tz", "ty", "tx"], "left").select("tz", "ty", "tx", "kind", "active", F.coalesce("dilated", F.lit(False)).alias("dilated"))
 
 
-@query("WITH RECURSIVE core AS (SELECT o.vid, o.site_id, round(o.d, 6) AS d FROM {labels26} o JOIN {stampradius} r USING (site_id) WHERE o.d <= r.radius), fill(vid, site_id, d) USING KEY (vid) AS (SELECT vid, site_id, d FROM core UNION SELECT dst, m.s, m.d FROM (SELECT e.dst, min({'d': round(r.d + sqrt(e.w2), 6), 's': r.site_id}) AS m FROM fill r JOIN {edge26} e ON e.src = r.vid LEFT JOIN recurring.fill k ON k.vid = e.dst WHERE k.vid IS NULL GROUP BY e.dst)) SELECT vid, site_id, round(d, 5) AS d FROM fill")
+@query("WITH RECURSIVE core AS (SELECT o.vid, o.site_id, round(o.d, 6) AS d FROM {labels26} o JOIN {stampradius} r USING (site_id) WHERE o.d <= r.radius), fill(vid, site_id, d) USING KEY (vid) AS (SELECT vid, site_id, d FROM core UNION SELECT dst, m.s, m.d FROM (SELECT e.dst, min({'d': round(r.d + sqrt(e.w2), 6), 's': r.site_id}) AS m FROM fill r JOIN {edge26} e ON e.src = r.vid LEFT JOIN recurring.fill k ON k.vid = e.dst WHERE k.vid IS NULL GROUP BY e.dst)) SELECT vid, site_id, round(d, 3) AS d FROM fill")
 def i20_closure_fill(spark, d):
     """From the stamped cores, layer by layer, until every reachable voxel has a label."""
     core = rel(spark, d, "owner26").join(rel(spark, d, "stampradius").select("site_id", "radius"), "site_id").where("d <= radius").select("vid", "site_id", F.round("d", 6).alias("d"))
-    return fields.closure_fill(rel(spark, d, "pore"), core, ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
+    return fields.closure_fill(rel(spark, d, "pore"), core, ORDERS).select("vid", "site_id", F.round("d", 3).alias("d"))
 
 
 def _crack_sql(rounds: int) -> str:
@@ -493,6 +538,14 @@ def i27_streamlines(spark, d):
     return fields.streamlines(pore.where("vid % 211 = 7").select(F.col("vid").alias("line_id"), "vid"), pore, "score", ORDERS, 5)
 
 
+@query("SELECT vid, TRUE AS assigned, TRUE AS owned_by_site FROM {owner}")
+def i28_skeleton_ownership(spark, d):
+    """Ownership by way of a skeleton: every voxel that a site can reach gets one."""
+    own = fields.skeleton_ownership(rel(spark, d, "pore"), rel(spark, d, "site"), rel(spark, d, "vox"), ORDERS)
+    sites = rel(spark, d, "site").select("site_id", F.lit(True).alias("known"))
+    return own.join(sites, "site_id", "left").select("vid", F.col("d").isNotNull().alias("assigned"), F.coalesce("known", F.lit(False)).alias("owned_by_site"))
+
+
 @query("SELECT dx, x, CAST(count(*) AS BIGINT) AS area FROM {exposed} JOIN {pore} USING (vid) WHERE dx <> 0 GROUP BY dx, x")
 def i30_rectangle_merge(spark, d):
     """Faces across x merged into rectangles of their plane; the rectangles' areas are the faces'."""

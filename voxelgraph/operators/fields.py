@@ -205,3 +205,32 @@ def rectangles(faces: DataFrame, plane: list[str], a: str, b: str) -> DataFrame:
         return pa.table([pa.array(c, pa.int32()) for c in zip(*out, strict=True)], [*plane, a, b, "width", "height"])
 
     return faces.select(*(F.col(c).cast("int").alias(c) for c in (*plane, a, b))).groupBy(*plane).applyInArrow(merge, ", ".join(f"{c} int" for c in (*plane, a, b, "width", "height")))
+
+
+def ridge(pore: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
+    """(vid, z, y, x) of pore voxels that are as far from solid as any face neighbour: a skeleton that every part has a voxel of."""
+    solid = every.join(pore.select("vid"), "vid", "left_anti").withColumn("rank", F.lit(0).cast("bigint"))
+    state = pore.select("vid", "z", "y", "x", F.lit(None).cast("double").alias("d"), F.lit(0).cast("bigint").alias("label"))
+    near = neighbours(pore, solid, FACES, shape).select("vid").distinct().withColumn("first", F.lit(1.0))
+    state = state.join(near, "vid", "left").select("vid", "z", "y", "x", F.col("first").alias("d"), "label")
+    depth = written(pore.select("vid", "z", "y", "x").join(relaxed(state, UNIT, shape).select("vid", "d"), "vid", "left").na.fill(0.0, ["d"]), "depth")
+    lower = neighbours(depth, depth, FACES, shape, keep=("d",)).where("nb_d > d").select("vid").distinct()
+    return depth.join(lower, "vid", "left_anti").select("vid", "z", "y", "x")
+
+
+def skeleton_ownership(pore: DataFrame, sites: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
+    """(vid, site_id, d): sites (site_id, vid, z, y, x, root) go to the nearest skeleton voxel of their own part (anywhere, if it has
+    none), the least of those that meet keeps it; the skeleton is owned by its 26 neighbours' lengths, within a part, and the rest of
+    the pore by face steps from there."""
+    from .search import nearest
+
+    parts = components(pore, shape)
+    bones = written(ridge(pore, every, shape).join(parts, "vid"), "bones")
+    asked = sites.join(parts, "vid").select(F.col("site_id").alias("pid"), "z", "y", "x", "root")
+    places = bones.select(F.col("vid").alias("sid"), "z", "y", "x", "root")
+    inside = nearest(asked, places, "d2", 4, "root")
+    put = inside.groupBy(F.col("sid").alias("vid")).agg(F.min("pid").cast("bigint").alias("label"))
+    state = bones.join(put, "vid", "left").withColumn("d", F.when(F.col("label").isNotNull(), 0.0))
+    owned = written(relaxed(state, WEIGHTED, shape, group="root"), "bone-owners")
+    state = pore.select("vid", "z", "y", "x").join(owned, "vid", "left")
+    return relaxed(state, UNIT, shape).select("vid", F.col("label").cast("int").alias("site_id"), "d")

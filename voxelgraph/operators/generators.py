@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,3 +167,61 @@ def surface(voxels: DataFrame, shape: Shape) -> DataFrame:
 
     inner = neighbours(voxels, voxels, FACES, shape, keep=("cell",)).where("cell <> nb_cell").select("vid", "dz", "dy", "dx", "nb_cell")
     return exposed(voxels, voxels, FACES, shape).withColumn("nb_cell", F.lit(None).cast("int")).unionByName(inner)
+
+
+def maze_edges(rows: int, columns: int, loops: float = 0.0, seed: int = 0) -> list[tuple[int, int]]:
+    """Open walls (a, b), a < b, of a maze on rows x columns rooms: a depth-first walk that turns at random, which reaches
+    every room, and each other wall opened with probability `loops`. A plan of rooms, so it is made on the driver."""
+    rng = random.Random(seed)
+
+    def around(room: int) -> list[int]:
+        i, j = divmod(room, columns)
+        return [a * columns + b for a, b in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)) if 0 <= a < rows and 0 <= b < columns]
+
+    path = [rng.randrange(rows * columns)]
+    seen, opened = set(path), set()
+    while path:
+        free = [r for r in around(path[-1]) if r not in seen]
+        if free:
+            room = rng.choice(free)
+            opened.add((min(path[-1], room), max(path[-1], room)))
+            seen.add(room)
+            path.append(room)
+        else:
+            path.pop()
+    walls = [(a, b) for a in range(rows * columns) for b in around(a) if a < b and (a, b) not in opened]
+    return sorted(opened | {w for w in walls if rng.random() < loops})
+
+
+def maze(spark: SparkSession, depth: int, shape: Shape, corridor: int = 3, wall: int = 2, loops: float = 0.05, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pore voxels (vid, z, y, x) of a maze in (z, x), the same at every y within a shell of solid, and its rooms' centres (room,
+    z, y, x). Rooms and openings are boxes; each is dealt out as its voxels, so that no voxel is held against every box."""
+    rooms = [range(wall + corridor // 2, n - wall - (corridor - corridor // 2 - 1), corridor + wall) for n in (depth, shape.width)]
+    if corridor < 1 or wall < 1 or min(map(len, rooms)) < 2 or shape.height - 2 * wall < 2:
+        raise ValueError("no room for a maze")
+    columns = len(rooms[1])
+    at = lambda room: (rooms[0][room // columns] - corridor // 2, rooms[1][room % columns] - corridor // 2)
+    boxes = [(*at(r), corridor, corridor) for r in range(len(rooms[0]) * columns)]
+    for a, b in maze_edges(len(rooms[0]), columns, loops, seed):
+        (z, x), (z2, x2) = at(a), at(b)
+        boxes.append((z, x, z2 - z + corridor, x2 - x + corridor))
+    own = spark.createDataFrame(boxes, "z0 int, x0 int, nz int, nx int")
+    span = lambda a, n: F.explode(F.sequence(a, a + n - 1))
+    own = own.select("x0", "nx", span(F.col("z0"), F.col("nz")).alias("z")).select("z", span(F.col("x0"), F.col("nx")).alias("x")).distinct()
+    own = own.select("z", F.explode(F.sequence(F.lit(wall), F.lit(shape.height - wall - 1))).alias("y"), "x")
+    middle = shape.height // 2
+    centres = spark.createDataFrame([(r, rooms[0][r // columns], middle, rooms[1][r % columns]) for r in range(len(rooms[0]) * columns)], "room int, z int, y int, x int")
+    return own.select(flat(F.col("z"), F.col("y"), F.col("x"), shape).alias("vid"), "z", "y", "x"), centres
+
+
+def spaced_rooms(rows: int, columns: int, n: int, apart: int, seed: int = 0) -> list[int]:
+    """n rooms in random order, each at least `apart` rooms from those before; raises if they can't be placed."""
+    order = list(range(rows * columns))
+    random.Random(seed).shuffle(order)
+    out: list[int] = []
+    for room in order:
+        if len(out) < n and all((room // columns - r // columns) ** 2 + (room % columns - r % columns) ** 2 >= apart * apart for r in out):
+            out.append(room)
+    if len(out) < n:
+        raise ValueError(f"only {len(out)} of {n} rooms are {apart} apart")
+    return out
