@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: STAGES in order, each over all that the one before has kept."""
+"""A training corpus from raw documents: STAGES in order, each over all that the one before has kept.
+
+Defined results: null and empty texts go through every stage as empty texts, judged as such; rows without a doc_id go at the first
+stage, as no result can name them; rows that share a doc_id are one document from the first stage on, its texts joined (see
+exchange.unique_documents) and of lang and source the least value; further columns are left out; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packed),
 ]
 
-#: A classifier and an iterative packing have no SQL; tests/llm hold each stage against a brute-force version.
+#: A classifier and an iterative packing have no SQL; tests/llm/test_models.py holds each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +12,13 @@ _KEPT: dict[tuple, tuple] = {}
 
 
 def folder(spark: SparkSession) -> str:
+    """Below spark.checkpoint.dir; one of this machine only where none is set and the session is local."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"/tmp/checkpoints/{sc.applicationId}"
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"/tmp/checkpoints/{sc.applicationId}"
     return f"{path}/voxelgraph"
 
 
@@ -29,4 +35,9 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSess
         own = written(build(spark, sf_dir), name)
         _KEPT[key] = (own.schema, own.inputFiles()[0].rsplit("/", 1)[0] if own.inputFiles() else None)
     schema, path = _KEPT[key]
-    return spark.read.schema(schema).parquet(path) if path else build(spark, sf_dir)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+
+
+def forget() -> None:
+    """The next queries build their tables anew."""
+    _KEPT.clear()
