@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxelgraph.llm import decontamination, license_scan, ngram_join, orc_output, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity
@@ -174,6 +175,95 @@ def test_license_scan(docs, empty):
     assert license_scan.scanned(empty).count() == 0
 
 
+def test_license_templates_as_a_table(spark):
+    notice = "every copy of this text must carry the name of its author and the year"
+    own = spark.createDataFrame([("n/0", "named", notice), ("n/1", "none", None), ("n/2", "short", "a b")], "template string, label string, text string")
+    words = notice.split()
+    apart = [" ".join(words[:5]) + " x y z " * 20 + " ".join(words[5:])]
+    rows = [notice.upper(), "before " + notice.replace("name of its", "name of all its") + " after", " ".join(words[:6]), *apart, " ".join(words[:4]) + " " + " ".join(words[:4]) + " " + " ".join(words[:5]), None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id bigint, text string, label string")
+    assert [r.labels for r in license_scan.scanned(docs, own).orderBy("doc_id").collect()] == ["named", "named", "", "", "", ""]
+
+
+def test_license_scan_against_its_sql(spark, docs):
+    import duckdb
+
+    rows = [r for r in docs.select("doc_id", "text").distinct().collect() if r.doc_id is not None]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", [tuple(r) for r in rows])
+    want = duck.sql(license_scan.SQL)
+    names = want.columns
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in license_scan.scanned(docs).select(*names).collect())
+
+
+def test_orc_files_are_indexed_and_pruned(spark, tmp_path):
+    """Stripes carry Bloom filters and run-length coded ids; a read of one document takes few of the rows."""
+    path = f"{tmp_path}/ids"
+    docs = spark.range(12_000).select((F.col("id") * 7).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    orc_output.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    one = orc_output.read(spark, path).where("doc_id = 35000")
+    got = one.collect()
+    assert [r.doc_id for r in got] == [35000]
+    leaf = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() <= 2 * 1024 + 1000
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    where = next(f.getPath() for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(where, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    rows = reader.rows()
+    footer = rows.readStripeFooter(reader.getStripes().get(0))
+    assert any("BLOOM" in str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount())) and any("ROW_INDEX" in str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount()))
+    assert "DIRECT_V2" in {str(footer.getColumns(i).getKind()) for i in range(footer.getColumnsCount())}
+    first, second = orc_output.places(spark, path).orderBy("doc_id").limit(2).collect()
+    assert (first.doc_id, first.start, second.doc_id, second.start) == (0, 0, 7, first.n_tokens)
+
+
+LONG = " ".join(f"w{k * k % 9973}" for k in range(60_000))
+
+
+def test_very_long_texts(spark):
+    """Texts beyond every segment and part, one of them a copy with a few words changed."""
+    words = LONG.split()
+    other = words.copy()
+    other[30_000] = "changed"
+    rows = [(1, LONG), (2, " ".join(other)), (3, "x" * 600_000), (4, "tail " + " ".join(words[20_000:20_100])), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    own = [(i, (t or "").encode()) for i, t in rows]
+    got = {r[0]: tuple(r[1:]) for r in substring_dedup.digest(docs).collect()}
+    split = [(i, WORD.findall(t)) for i, t in own]
+    for (i, w), g in zip(split, repeated([w for _, w in split], 20), strict=True):
+        assert got[i] == (len(w), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(w, g, strict=True) if not y)).hexdigest())
+    got = {r[0]: (r.n_bytes, r.n_removed) for r in suffix_dedup.digest(docs).collect()}
+    for (i, t), g in zip(own, repeated_bytes([t for _, t in own], 100), strict=True):
+        assert got[i] == (len(t), g)
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs, 3, 90, 100).collect()}
+    assert joined[1][1] == joined[2][1] == 1 and joined[3] == (1, 3) and joined[4][1] == 4 and joined[5] == (0, 5)
+    assert joined[1][0] == len({tuple(words[k : k + 3]) for k in range(len(words) - 2)})
+    assert {r.doc_id: r.n_words for r in quality_rules.judged(docs).collect()} == {r.doc_id: r.n_words for r in license_scan.scanned(docs).collect()} == {i: len(w) for i, w in split}
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in orc_output.digest(docs).collect()} == {i: len(whole.encode(t.decode(), add_special_tokens=False).ids) + 1 for i, t in own}
+    item = spark.createDataFrame([(1, " ".join(words[40_000:40_040])), (2, "never there at all in any of these long texts")], "item_id bigint, text string")
+    assert {r.doc_id: r["items"] for r in decontamination.judged(docs, item).collect()} == {1: [1], 2: [1], 3: [], 4: [1], 5: []}  # the words repeat after 9973
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 5)], "doc_id bigint, quality int, toxic int")
+    assert quality_classifier.scored(docs, labels).count() == toxicity.scored(docs, labels).count() == 5
+
+
+def repeated_bytes(texts: list[bytes], window: int) -> list[int]:
+    """Bytes covered by an earlier string of `window` bytes, for each text."""
+    seen, out = set(), []
+    for t in texts:
+        gone, end = 0, 0
+        for i in range(len(t) - window + 1):
+            key = hash(t[i : i + window])
+            if key in seen:
+                gone += i + window - max(i, end)
+                end = i + window
+            seen.add(key)
+        out.append(gone)
+    return out
+
+
 def labelled(spark, make):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefg", k=rng.randint(3, 7))) for _ in range(200)]
@@ -251,8 +341,6 @@ def test_decontamination_of_copies_without_literal_words(spark):
 
 def test_repeated_words_of_a_long_text(spark):
     """Two windows that share the 43 bits which a place in a million words leaves of a hash, and one that repeats."""
-    from pyspark.sql import functions as F
-
     own = lambda *x: F.array(*(F.lit(i).cast("bigint") for i in x))
     fill = F.sequence(F.lit(30_000_000).cast("bigint"), F.lit(31_100_000).cast("bigint"))
     hashes = F.concat(own(10148550, -1, -2, -3, -4, 7, 8, 9, 10, 11), fill, own(18314730, -1, -2, -3, -4, 5, 7, 8, 9, 10, 11))

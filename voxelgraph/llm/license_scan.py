@@ -2,11 +2,11 @@
 
 Every rolling hash of GRAM words of a document is joined to the places it has in the templates; a hit votes for the
 diagonal (place in the document minus place in the template). Votes are aggregated by diagonal, diagonals within SHIFT
-words of each other are merged into one span, and a span counts if it holds at least SHARE percent of the template's grams.
-Beside it, fixed base phrases are looked up word by word.
+words of each other are merged into one span, and a span is verified on the template: it must hold at least SHARE percent of its
+different grams and be no more than twice as long. Beside it, fixed base phrases are looked up word by word.
 
-All on the JVM. Templates are fixed texts: their table (a row for each gram) is broadcast, after a sieve over leading hash bits
-has left out most grams that it can't match. Only hits are shuffled.
+All on the JVM. The table of templates (a row for each gram) is broadcast while it has at most FEW rows, after a sieve over
+leading hash bits has left out most grams that it can't match. Only hits are shuffled.
 
 Defined results: null or empty text has no words, no labels, score 0; equal rows and rows that share a doc_id are one
 document (see exchange.unique_documents); an empty table gives an empty table; further columns are ignored.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .exchange import unique_documents, written
 from .quality_rules import let
 
-GRAM, SHIFT, SHARE, SIEVE = 3, 2, 75, 14
+GRAM, SHIFT, SHARE, SIEVE, FEW = 3, 2, 75, 14, 1 << 18
 #: Base phrases and their labels; fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices and their labels; fixed values.
@@ -69,16 +69,21 @@ def _phrase(words: Column) -> Column:
     return F.concat(*(one(*x) for x in PHRASES.items()))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(gram, template, label, at, total): a row for each gram of each notice."""
+def notices(spark: SparkSession) -> DataFrame:
+    """(template, label, text) of TEMPLATES."""
     own = [(f"{label}/{i}", label, text) for label, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    grams = spark.createDataFrame(own, "template string, label string, text string").select("template", "label", _grams(F.split("text", " ")).alias("grams"))
+    return spark.createDataFrame(own, "template string, label string, text string")
+
+
+def templates(own: DataFrame) -> DataFrame:
+    """(gram, template, label, at, total): a row for each gram of each notice (template, label, text)."""
+    grams = own.select("template", "label", _grams(_words(F.coalesce("text", F.lit("")))).alias("grams"))
     return grams.select("template", "label", F.size("grams").alias("total"), F.posexplode("grams").alias("at", "gram"))
 
 
 def marked(words: Column, grams: DataFrame) -> Column:
     """Structs (pos, gram) of the grams whose leading SIEVE bits some template gram has: all that the join can match."""
-    known = {r[0] for r in grams.select(F.shiftrightunsigned("gram", 64 - SIEVE).alias("cell")).distinct().collect()}  # a fixed table
+    known = {r[0] for r in grams.select(F.shiftrightunsigned("gram", 64 - SIEVE).alias("cell")).distinct().collect()}  # 2^SIEVE at most
     sieve = F.split(F.lit(",".join("1" if i in known else "0" for i in range(1 << SIEVE))), ",").cast("array<int>")
     named = F.transform(_grams(words), lambda g, i: F.when(F.get(sieve, F.shiftrightunsigned(g, 64 - SIEVE).cast("int")) == 1, F.struct(i.alias("pos"), g.alias("gram"))))
     return F.filter(named, lambda x: x.isNotNull())
@@ -87,18 +92,20 @@ def marked(words: Column, grams: DataFrame) -> Column:
 def spans(own: DataFrame, grams: DataFrame) -> DataFrame:
     """(doc_id, template, label, first, last, matched, total) of verified spans; own: (doc_id, marked)."""
     own = own.select("doc_id", F.inline("marked"))
-    hits = own.join(F.broadcast(grams), "gram")  # a fixed table of a few hundred rows
-    votes = hits.groupBy("doc_id", "template", "label", "total", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    hits = own.join(F.broadcast(grams) if grams.count() <= FEW else grams, "gram")
+    # on one diagonal a gram of the template votes once, so these sets are as large as a template at most
+    votes = hits.groupBy("doc_id", "template", "label", "total", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("voted"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     each = Window.partitionBy("doc_id", "template").orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(each) <= SHIFT).cast("int")
     merged = votes.withColumn("span", F.sum(1 - F.coalesce(new, F.lit(0))).over(each.rowsBetween(Window.unboundedPreceding, 0)))
-    found = merged.groupBy("doc_id", "template", "label", "total", "span").agg(F.sum("votes").alias("matched"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return found.where(F.col("matched") * 100 >= SHARE * F.col("total")).select("doc_id", "template", "label", "first", (F.col("last") + GRAM - 1).alias("last"), "matched", "total")
+    found = merged.groupBy("doc_id", "template", "label", "total", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).cast("bigint").alias("matched"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.where((F.col("matched") * 100 >= SHARE * F.col("total")) & (F.col("last") - F.col("first") < 2 * F.col("total"))).select("doc_id", "template", "label", "first", (F.col("last") + GRAM - 1).alias("last"), "matched", "total")
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    grams = templates(docs.sparkSession)
+def scanned(docs: DataFrame, own_notices: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; own_notices: (template, label, text) instead of
+    TEMPLATES."""
+    grams = templates(notices(docs.sparkSession) if own_notices is None else own_notices)
     words = unique_documents(docs).select("doc_id", _words(F.col("text")).alias("words"))
     own = written(words.select("doc_id", F.size("words").cast("bigint").alias("n_words"), _phrase(F.col("words")).alias("base"), marked(F.col("words"), grams).alias("marked")), "license-hits")
     base = own.drop("marked")
@@ -129,10 +136,10 @@ bb AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) A
 t AS (SELECT template, label, string_split(text, ' ') AS w FROM (VALUES {notices}) AS v(template, label, text)),
 tg AS (SELECT template, label, len(w) - {GRAM - 1} AS total, w, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM t),
 g AS (SELECT template, label, total, i - 1 AS pos, array_to_string(w[i:i+{GRAM - 1}], ' ') AS gram FROM tg),
-h AS (SELECT doc_id, template, label, total, p.i - 1 - g.pos AS diagonal, count(*) AS votes FROM p JOIN g ON array_to_string(p.w[p.i:p.i+{GRAM - 1}], ' ') = g.gram WHERE p.i + {GRAM - 1} <= len(p.w) GROUP BY ALL),
+h AS (SELECT doc_id, template, label, total, p.i - 1 - g.pos AS diagonal, list(DISTINCT g.pos) AS voted, min(p.i) AS first, max(p.i) AS last FROM p JOIN g ON array_to_string(p.w[p.i:p.i+{GRAM - 1}], ' ') = g.gram WHERE p.i + {GRAM - 1} <= len(p.w) GROUP BY ALL),
 s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {SHIFT} THEN 0 ELSE 1 END AS new FROM h),
 m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM s),
-v AS (SELECT doc_id, label, sum(votes) AS matched, total FROM m GROUP BY doc_id, template, label, total, span HAVING sum(votes) * 100 >= {SHARE} * total),
+v AS (SELECT doc_id, label, len(list_distinct(flatten(list(voted)))) AS matched, total FROM m GROUP BY doc_id, template, label, total, span HAVING len(list_distinct(flatten(list(voted)))) * 100 >= {SHARE} * total AND max(last) - min(first) < 2 * total),
 vv AS (SELECT doc_id, list(DISTINCT label) AS more, max(least(1.0, matched / total)) AS best FROM v GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(names), ','), '') AS base_labels,
