@@ -23,7 +23,7 @@ from .exchange import rows, shared_dir, ship, unique_documents, written
 from .tokens import encoder
 
 END = b"\0\0\0\0"
-OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20)}
+OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.compress": "LZ4", "orc.stripe.size": str(16 << 20)}
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, tokens: int = 1 << 20) -> None:
