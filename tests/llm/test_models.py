@@ -289,10 +289,11 @@ def test_packing_against_best_fit_decreasing(spark, tables):
     assert len({r.sequence_id for r in rows}) <= best + max(1, best // 100)
 
 
-def test_packing_rounds_place_every_piece_once(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_packing_rounds_place_every_piece_once(spark, few):
     rng = random.Random(12)
     counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, 101), 60)}
-    rows = packing.moves(spark.createDataFrame(list(counts.items()), "length bigint, n bigint"), 100).collect()
+    rows = packing.moves(spark.createDataFrame(list(counts.items()), "length bigint, n bigint"), 100, few).collect()
     ranks: dict[int, list[int]] = {n: [] for n in counts}
     sequences: dict[int, list[tuple[int, int]]] = {}
     for r in rows:
