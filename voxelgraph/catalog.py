@@ -344,7 +344,10 @@ PRELUDE: dict[str, tuple[str, tuple[str, ...]]] = {
     "owner(vid, site_id, d) USING KEY (vid)": ("SELECT vid, site_id, 0 FROM site UNION SELECT e.dst, min(r.site_id), any_value(r.d) + 1 FROM owner r JOIN edge e ON e.src = r.vid LEFT JOIN recurring.owner k ON k.vid = e.dst WHERE k.vid IS NULL GROUP BY e.dst", ("site", "edge")),
     "owner26(vid, d) USING KEY (vid)": ("SELECT vid, CAST(0 AS DOUBLE) FROM site UNION SELECT e.dst, min(r.d + sqrt(e.w2)) FROM owner26 r JOIN edge26 e ON e.src = r.vid LEFT JOIN recurring.owner26 k ON k.vid = e.dst WHERE k.vid IS NULL OR r.d + sqrt(e.w2) < k.d - 1e-9 GROUP BY e.dst", ("site", "edge26")),
     "single(vid, d) USING KEY (vid)": ("SELECT vid, 0 FROM site WHERE site_id = 0 UNION SELECT e.dst, min(r.d) + 1 FROM single r JOIN edge e ON e.src = r.vid LEFT JOIN recurring.single k ON k.vid = e.dst WHERE k.vid IS NULL GROUP BY e.dst", ("site", "edge")),
-    "comp(vid, root) USING KEY (vid)": ("SELECT vid, vid FROM pore UNION SELECT e.dst, min(r.root) FROM comp r JOIN edge e ON e.src = r.vid JOIN recurring.comp k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst", ("pore", "edge")),
+    "xrun": ("SELECT vid, min(vid) OVER (PARTITION BY z, y, g) AS run FROM (SELECT *, x - row_number() OVER (PARTITION BY z, y ORDER BY x) AS g FROM pore)", ("pore",)),
+    "runedge": ("SELECT DISTINCT a.run AS src, b.run AS dst FROM xrun a JOIN edge e ON e.src = a.vid AND e.dx = 0 JOIN xrun b ON b.vid = e.dst", ("xrun", "edge")),
+    "runroot(run, root) USING KEY (run)": ("SELECT DISTINCT run, run FROM xrun UNION SELECT e.dst, min(r.root) FROM runroot r JOIN runedge e ON e.src = r.run JOIN recurring.runroot k ON k.run = e.dst WHERE r.root < k.root GROUP BY e.dst", ("xrun", "runedge")),
+    "comp": ("SELECT vid, root FROM xrun JOIN runroot USING (run)", ("xrun", "runroot(run, root) USING KEY (run)")),
     "labels": ("SELECT vid, CAST((z // 3 * 6 + y // 5) * 10 + x // 5 AS BIGINT) AS label FROM pore", ("pore",)),
     "parts(vid, root) USING KEY (vid)": ("SELECT vid, vid FROM pore UNION SELECT e.dst, min(r.root) FROM parts r JOIN edge e ON e.src = r.vid JOIN labels a ON a.vid = e.src JOIN labels b ON b.vid = e.dst AND a.label = b.label JOIN recurring.parts k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst", ("pore", "edge", "labels")),
     "block": ("SELECT vid, label, root, dense_rank() OVER (ORDER BY root) - 1 AS cell_id, dense_rank() OVER (ORDER BY label, root) - 1 AS cell_by_site FROM parts JOIN labels USING (vid)", ("parts(vid, root) USING KEY (vid)", "labels")),
@@ -384,13 +387,13 @@ PRELUDE: dict[str, tuple[str, tuple[str, ...]]] = {
     "fieldpart": ("SELECT vid, label, root, vid = max(vid) OVER (PARTITION BY label) AS seed FROM fparts JOIN fieldlabel USING (vid)", ('fparts(vid, root) USING KEY (vid)', 'fieldlabel')),
     "freeroot(label, vid, root) USING KEY (label, vid)": ("SELECT label, vid, vid FROM fieldlabel UNION SELECT r.label, e.dst, min(r.root) FROM freeroot r JOIN edge e ON e.src = r.vid LEFT JOIN fieldlabel f ON f.vid = e.dst LEFT JOIN recurring.freeroot k ON k.label = r.label AND k.vid = e.dst WHERE (f.vid IS NULL OR f.label = r.label) AND (k.vid IS NULL OR r.root < k.root) GROUP BY r.label, e.dst", ('fieldlabel', 'edge')),
     "freepart": ("SELECT f.vid, f.label, r.root, f.vid = max(f.vid) OVER (PARTITION BY f.label) AS seed FROM fieldlabel f JOIN freeroot r ON r.label = f.label AND r.vid = f.vid", ('fieldlabel', 'freeroot(label, vid, root) USING KEY (label, vid)')),
-    "ends": ("SELECT p.vid, CASE WHEN x = lo THEN 1 WHEN x = hi THEN 2 ELSE 0 END AS kind, c.root FROM pore p JOIN comp c USING (vid), (SELECT min(x) AS lo, max(x) AS hi FROM pore) m", ('pore', 'comp(vid, root) USING KEY (vid)')),
+    "ends": ("SELECT p.vid, CASE WHEN x = lo THEN 1 WHEN x = hi THEN 2 ELSE 0 END AS kind, c.root FROM pore p JOIN comp c USING (vid), (SELECT min(x) AS lo, max(x) AS hi FROM pore) m", ('pore', 'comp')),
     "ohms": ("SELECT a.vid, b.vid AS nb, b.kind FROM ends a JOIN edge e ON e.src = a.vid JOIN ends b ON b.vid = e.dst WHERE a.kind = 0 AND a.root IN (SELECT root FROM ends WHERE kind > 0)", ('ends', 'edge')),
     "resistor": ("SELECT vid AS row, vid AS col, CAST(count(*) AS DOUBLE) AS val FROM ohms GROUP BY vid UNION ALL SELECT vid, nb, -1.0 FROM ohms WHERE kind = 0", ('ohms',)),
     "resistorrhs": ("SELECT vid AS row, CAST(sum(CASE kind WHEN 1 THEN 1 ELSE 0 END) AS DOUBLE) AS rhs FROM ohms GROUP BY vid", ('ohms',)),
     "pressure": ("SELECT row AS vid, 0.5 AS pressure FROM resistorrhs", ('resistorrhs',)),
     "residual": ("SELECT row AS vid, 0.0 AS rest FROM resistorrhs", ('resistorrhs',)),
-    "maincell": ("SELECT DISTINCT cell FROM cellvox JOIN comp USING (vid) WHERE root = (SELECT arg_max(root, n) FROM (SELECT root, count(*) - root / 1e9 AS n FROM cellvox JOIN comp USING (vid) GROUP BY root))", ('cellvox', 'comp(vid, root) USING KEY (vid)')),
+    "maincell": ("SELECT DISTINCT cell FROM cellvox JOIN comp USING (vid) WHERE root = (SELECT arg_max(root, n) FROM (SELECT root, count(*) - root / 1e9 AS n FROM cellvox JOIN comp USING (vid) GROUP BY root))", ('cellvox', 'comp')),
     "scalarflow": ("SELECT cell, 1.0 AS ux, TRUE AS solved FROM maincell", ('maincell',)),
     "projectedflow": ("SELECT cell, 0.0 AS div, 1 AS step FROM maincell", ('maincell',)),
     "stokes": ("SELECT cell, 0.0 AS div, 0.0 AS momentum FROM maincell", ('maincell',)),
