@@ -411,6 +411,19 @@ def j13_candidate_ball(spark, d):
 
 # ---------------------------------------------------------------- iterative
 
+@query("WITH RECURSIVE up AS (SELECT e.dst AS vid, min(e.src) AS parent FROM {single} a JOIN {edge} e ON e.src = a.vid JOIN {single} b ON b.vid = e.dst AND b.d = a.d + 1 GROUP BY e.dst), way(vid) AS (SELECT vid FROM (SELECT vid FROM {single} ORDER BY d DESC, vid LIMIT 1) UNION ALL SELECT u.parent FROM way w JOIN up u ON u.vid = w.vid) SELECT w.vid, s.d FROM way w JOIN {single} s ON s.vid = w.vid")
+def i6_shortest_path(spark, d):
+    """The path from the first site to the voxel farthest from it, by least parents."""
+    single = rel(spark, d, "single").select("vid", "d")
+    edge = rel(spark, d, "edge").select("src", "dst")
+    before, after = single.withColumnRenamed("vid", "src"), single.select(F.col("vid").alias("dst"), (F.col("d") - 1).alias("d"))
+    parents = written(edge.join(before, "src").join(after, ["dst", "d"]).groupBy(F.col("dst").alias("vid")).agg(F.min("src").alias("parent")), "parents")
+    last = single.agg(F.max(F.struct("d", -F.col("vid"))).alias("m"), F.max("d").alias("most"))
+    target = last.select((-F.col("m.col2")).alias("vid"))
+    most = last.first()["most"]
+    return fields.path_to(parents, target, int(most or 0)).join(single, "vid")
+
+
 RUNS = "SELECT vid, z, y, x, min(vid) OVER (PARTITION BY y, x, iz) AS rz, min(vid) OVER (PARTITION BY z, x, iy) AS ry, min(vid) OVER (PARTITION BY z, y, ix) AS rx FROM (SELECT *, z - row_number() OVER (PARTITION BY y, x ORDER BY z) AS iz, y - row_number() OVER (PARTITION BY z, x ORDER BY y) AS iy, x - row_number() OVER (PARTITION BY z, y ORDER BY x) AS ix FROM {pore})"
 
 

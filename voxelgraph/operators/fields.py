@@ -234,3 +234,15 @@ def skeleton_ownership(pore: DataFrame, sites: DataFrame, every: DataFrame, shap
     owned = written(relaxed(state, WEIGHTED, shape, group="root"), "bone-owners")
     state = pore.select("vid", "z", "y", "x").join(owned, "vid", "left")
     return relaxed(state, UNIT, shape).select("vid", F.col("label").cast("int").alias("site_id"), "d")
+
+
+def path_to(parents: DataFrame, target: DataFrame, most: int) -> DataFrame:
+    """(vid) of the chain from `target` (vid) up the parents (vid, parent), at most `most` steps: jumps of doubling length, so the
+    number of joins follows the logarithm of the path."""
+    path, jump = target.select("vid"), parents.select("vid", F.col("parent").alias("far"))
+    step = 1
+    while step <= most:
+        path = written(path.unionByName(path.join(jump, "vid").select(F.col("far").alias("vid"))), "path")
+        jump = written(jump.join(jump.select(F.col("vid").alias("far"), F.col("far").alias("end")), "far").select("vid", F.col("end").alias("far")), "jumps")
+        step *= 2
+    return path

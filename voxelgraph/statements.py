@@ -16,7 +16,7 @@ STATEMENTS: dict[str, str] = {
     # scans, sources, sinks
     # grids and masks
     "gn1_index_grid": "SELECT vid, z, y, x FROM {vox}",
-    "gn5_disk_stamp": "SELECT DISTINCT v.vid FROM {vox} v JOIN {site} s ON v.z = s.z AND v.y BETWEEN s.y - 2 AND s.y + 2 AND v.x BETWEEN s.x - 2 AND s.x + 2 AND (v.y - s.y) * (v.y - s.y) + (v.x - s.x) * (v.x - s.x) <= 4",
+    "gn5_disk_stamp": "SELECT DISTINCT v.vid FROM {site} s CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS a(oy) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS b(ox) JOIN {vox} v ON v.vid = s.vid + a.oy * 50 + b.ox WHERE a.oy * a.oy + b.ox * b.ox <= 4 AND v.x = s.x + b.ox AND v.y = s.y + a.oy",
     "gn8_binary_closing": "SELECT vid FROM {closed}",
     "gn15_minmax_scaled": "SELECT vid, round((val - lo) / (hi - lo), 6) AS scaled, CAST(vid % 5 AS INT) AS palette FROM {vox}, (SELECT min(val) AS lo, max(val) AS hi FROM {vox}) AS m",
     # projections, filters, validation
@@ -37,7 +37,7 @@ STATEMENTS: dict[str, str] = {
     "f21_row_lookup": "SELECT c_custkey, least(greatest(coalesce(c_acctbal, 0), 0), 5000) AS clipped FROM {customer} WHERE c_mktsegment LIKE '%O%'",
     "f22_exposed_faces": "SELECT vid, dz, dy, dx FROM {exposed}",
     "f23_pair_faces": "SELECT f.owner, f.neighbor, f.vid, f.nb, f.axis, f.sign, CAST(NULL AS BIGINT) AS solid FROM {face} f JOIN (SELECT owner, neighbor FROM {graph} ORDER BY area DESC, owner, neighbor LIMIT 5) t ON t.owner = f.owner AND t.neighbor = f.neighbor UNION ALL SELECT v.cell, -1, c.vid, c.nb, 2 - abs(c.dx) * 0 - abs(c.dy) * 1, c.dx + c.dy, c.nb FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid WHERE c.dz = 0 AND v.z = 3",
-    "f24_best_wall_segment": "SELECT y, x, dy, dx, score FROM (SELECT w.y, w.x, w.dy, w.dx, w.own - 2 * w.other + CASE WHEN w.dx <> 0 THEN 1 ELSE 0 END AS score, row_number() OVER (ORDER BY w.own - 2 * w.other + CASE WHEN w.dx <> 0 THEN 1 ELSE 0 END DESC, w.vid, w.dy, w.dx) AS r FROM (SELECT c.vid, v.y, v.x, c.dy, c.dx, sum(CASE WHEN n.cell = v.cell THEN 1 ELSE 0 END) AS own, sum(CASE WHEN n.cell <> v.cell THEN 1 ELSE 0 END) AS other FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid AND v.z = 2 JOIN {cellvox} n ON n.z = 2 AND n.y BETWEEN v.y - 3 AND v.y + 3 AND n.x BETWEEN v.x - 3 AND v.x + 3 WHERE c.dz = 0 GROUP BY c.vid, v.y, v.x, c.dy, c.dx) w) AS q WHERE r <= 10",
+    "f24_best_wall_segment": "SELECT y, x, dy, dx, score FROM (SELECT w.y, w.x, w.dy, w.dx, w.own - 2 * w.other + CASE WHEN w.dx <> 0 THEN 1 ELSE 0 END AS score, row_number() OVER (ORDER BY w.own - 2 * w.other + CASE WHEN w.dx <> 0 THEN 1 ELSE 0 END DESC, w.vid, w.dy, w.dx) AS r FROM (SELECT c.vid, v.y, v.x, c.dy, c.dx, sum(CASE WHEN n.cell = v.cell THEN 1 ELSE 0 END) AS own, sum(CASE WHEN n.cell <> v.cell THEN 1 ELSE 0 END) AS other FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid AND v.z = 2 CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) AS a(oy) CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) AS b(ox) JOIN {cellvox} n ON n.vid = v.vid + a.oy * 50 + b.ox WHERE c.dz = 0 AND n.x = v.x + b.ox AND n.y = v.y + a.oy GROUP BY c.vid, v.y, v.x, c.dy, c.dx) w) AS q WHERE r <= 10",
     "f27_affine_projection": "SELECT vid, round(x / 49.0 * 1000, 3) AS px, round(y / 29.0 * 600, 3) AS py FROM {vox}",
     # joins
     "j1_adjacency6": "SELECT src, dst FROM {edge}",
@@ -119,7 +119,7 @@ STATEMENTS: dict[str, str] = {
     "w12_unique_candidates": "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS r FROM {lineitem} WHERE l_partkey <= 2600) AS q WHERE r = 1",
     # sets and scalars
     "u1_concat_parts": "SELECT vid, nb, axis FROM {face} WHERE axis = 0 UNION ALL SELECT vid, nb, axis FROM {face} WHERE axis = 1 UNION ALL SELECT vid, nb, axis FROM {face} WHERE axis = 2",
-    "u2_edge_union": "SELECT owner, neighbor, 'internal' AS kind, area FROM {graph} UNION ALL SELECT cell, -1, 'inlet', count(*) FROM {cellvox} WHERE x = 0 GROUP BY cell UNION ALL SELECT cell, -2, 'outlet', count(*) FROM {cellvox} WHERE x = 49 GROUP BY cell",
+    "u2_edge_union": "SELECT g.owner, g.neighbor, 'internal' AS kind, g.area FROM {graph} g UNION ALL SELECT owner, neighbor, kind, CAST(conductance AS BIGINT) FROM {fluxes} WHERE kind <> 'internal'",
     "u3_upsert": "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM (SELECT c_nationkey AS k, max(c_acctbal) AS v, 0 AS p FROM {customer} WHERE c_nationkey < 12 GROUP BY c_nationkey UNION ALL SELECT n_nationkey, 0.0, 1 FROM {nation}) AS u) AS q WHERE r = 1",
     "u4_set_difference": "SELECT vid FROM {pore} EXCEPT SELECT vid FROM {owner}",
     "u5_overlay_panels": "SELECT 'a' AS panel, l_returnflag AS case_name, CAST(count(*) AS DOUBLE) AS v FROM {lineitem} GROUP BY l_returnflag UNION ALL SELECT 'b', l_linestatus, round(avg(l_tax), 6) FROM {lineitem} GROUP BY l_linestatus",
