@@ -97,14 +97,14 @@ def words(blob: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def words_hash(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word; texts longer than a segment are hashed piece by piece at word ends."""
+def words_hash(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """A hash of each word; texts longer than a segment are hashed piece by piece at word ends. values: of each byte."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, side="right")))
         a = starts[i]
-        out[i:j] = spans_hash(prefix(BYTE_VALUES[blob[a : ends[j - 1]]]), starts[i:j] - a, ends[i:j] - a)
+        out[i:j] = spans_hash(prefix(values[blob[a : ends[j - 1]]]), starts[i:j] - a, ends[i:j] - a)
         i = j
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, ngram_join, orc_output, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, filter_audit, license_scan, ngram_join, orc_output, packing, phrases, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -68,7 +80,15 @@ QUERIES: dict[str, Query] = {
         op8_suffix_array_dedup,
         op9_best_fit_packing,
         op10_benchmark_decontamination,
+        op11_filter_audit,
+        op12_phrase_collocations,
+        op13_simhash_near_dedup,
     )
 }
 
-SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op6_license_scan": license_scan.SQL}
+SQL: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.SQL,
+    "op6_license_scan": license_scan.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_phrase_collocations": phrases.SQL,
+}
