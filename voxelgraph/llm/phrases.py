@@ -50,7 +50,7 @@ def hashing(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63 - 1, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shards(batches: Iterator[pa.RecordBatch], values: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch], values: np.ndarray, size: int = SHARD) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each shard: the batch's lower-case bytes, begins and ends of the words, row of each, key of each (language and word), words
     left in its piece (itself included), and which words begin phrases of this shard (the others only end them)."""
     for batch in batches:
@@ -67,8 +67,8 @@ def shards(batches: Iterator[pa.RecordBatch], values: np.ndarray) -> Iterator[tu
             key = kernels.mix(kernels.words_hash(low, starts, ends, values) ^ kernels.mix(np.array([seeds[x] for x in names[i:j]], np.uint64))[row - i])
             last = np.flatnonzero(np.append((piece[1:] != piece[:-1]) | (row[1:] != row[:-1]), True))
             left = np.minimum(last[np.searchsorted(last, np.arange(len(starts)))] - np.arange(len(starts)) + 1, LONGEST)
-            for a in range(0, len(starts), SHARD):
-                b = min(a + SHARD, len(starts))
+            for a in range(0, len(starts), size):
+                b = min(a + size, len(starts))
                 c = min(b + LONGEST - 1, len(starts))
                 yield batch, low, starts[a:c], ends[a:c], row[a:c], key[a:c], left[a:c], np.arange(c - a) < b - a
 
