@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import algebra, fields, generators, grid, metric, search, stokes
+from .operators import algebra, fields, flooding, generators, grid, metric, search, stokes
 from .plans.memory import kept, written
 from .statements import STATEMENTS
 
@@ -198,6 +198,14 @@ def _stampradius(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, d, "stampradius", build)
 
 
+def _stampcore(spark: SparkSession, d: str) -> DataFrame:
+    def build(s: SparkSession, p: str) -> DataFrame:
+        radii = _site(s, p).join(_stampradius(s, p).select("site_id", "radius"), "site_id")
+        return flooding.stamped(_pore(s, p), radii, grid.ORDERS)
+
+    return kept(spark, d, "stampcore", build)
+
+
 def _fieldlabel(spark: SparkSession, d: str) -> DataFrame:
     """Block labels with every eleventh voxel unlabelled."""
     label = (F.floor(F.col("z") / 3) * 6 + F.floor(F.col("y") / 5)) * 10 + F.floor(F.col("x") / 5)
@@ -327,7 +335,7 @@ RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "single": _single, "comp": _comp, "block": _block, "cellvox": _cellvox, "face": _face, "graph": _graph, "wall": _wall, "closed": _closed, "exposed": _exposed,
     "matrix": _matrix, "flux": _flux, "fluxes": _fluxes, "balance": _balance, "press": _press, "pressure": _pressure, "residual": _residual, "contact": _contact,
     "side26": _side26, "bykey": _bykey, "cellgeo": _cellgeo, "facegeo": _facegeo, "metric": _metric, "twall": _twall, "metricflux": _metricflux, "gradient": _gradient,
-    "latsite": _latsite, "latcand": _latcand, "latowner": _latowner, "stampradius": _stampradius, "fieldpart": _fieldpart, "freepart": _freepart, "labels26": _owner26,
+    "latsite": _latsite, "latcand": _latcand, "latowner": _latowner, "stampradius": _stampradius, "stampcore": _stampcore, "fieldpart": _fieldpart, "freepart": _freepart, "labels26": _owner26,
     "resistor": lambda s, d: _resistors(s, d)[0], "resistorrhs": lambda s, d: _resistors(s, d)[1], "scalarflow": _scalarflow, "projectedflow": _projectedflow,
     "stokes": _stokes, "pressuremodes": _pressuremodes, "predictor": _predictor, "blockcg": _blockcg, "timeloop": _timeloop,
 }
@@ -382,6 +390,7 @@ PRELUDE: dict[str, tuple[str, tuple[str, ...]]] = {
     "tight": ("SELECT e.src, e.dst FROM edge26 e JOIN owner26 a ON a.vid = e.src JOIN owner26 b ON b.vid = e.dst WHERE abs(a.d + sqrt(e.w2) - b.d) <= 1e-6", ('edge26', 'owner26(vid, d) USING KEY (vid)')),
     "least26(vid, site_id) USING KEY (vid)": ("SELECT vid, site_id FROM site UNION SELECT t.dst, min(r.site_id) FROM least26 r JOIN tight t ON t.src = r.vid LEFT JOIN recurring.least26 k ON k.vid = t.dst WHERE k.vid IS NULL OR r.site_id < k.site_id GROUP BY t.dst", ('site', 'tight')),
     "labels26": ("SELECT o.vid, l.site_id, o.d FROM owner26 o JOIN least26 l USING (vid)", ('owner26(vid, d) USING KEY (vid)', 'least26(vid, site_id) USING KEY (vid)')),
+    "stampcore": ("SELECT o.vid, o.site_id, o.d FROM labels26 o JOIN stampradius r ON r.site_id = o.site_id WHERE o.d <= r.radius", ('labels26', 'stampradius')),
     "fieldlabel": ("SELECT vid, label FROM labels WHERE vid % 11 <> 0", ('labels',)),
     "fparts(vid, root) USING KEY (vid)": ("SELECT vid, vid FROM fieldlabel UNION SELECT e.dst, min(r.root) FROM fparts r JOIN edge e ON e.src = r.vid JOIN fieldlabel a ON a.vid = e.src JOIN fieldlabel b ON b.vid = e.dst AND a.label = b.label JOIN recurring.fparts k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst", ('edge', 'fieldlabel')),
     "fieldpart": ("SELECT vid, label, root, vid = max(vid) OVER (PARTITION BY label) AS seed FROM fparts JOIN fieldlabel USING (vid)", ('fparts(vid, root) USING KEY (vid)', 'fieldlabel')),

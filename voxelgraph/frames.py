@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import fields, generators, grid, search
+from .operators import bridging, checks, fields, flooding, generators, grid, search, thinning, tracing
+from .operators.quantiles import quantiles
 from .plans.config import RunConfig, coarse, value_list
 from .plans.memory import folder, written
 from .plans.relaxation import contracted
@@ -286,6 +287,35 @@ def gn4_maze(spark, d):
     return count(pore, "voxels").unionByName(count(parts, "parts")).unionByName(count(seeds, "seeds")).unionByName(count(seeds.join(pore, ["z", "y", "x"], "left_semi"), "seeds in pore"))
 
 
+#: Blocks of the pore as a mask of planes with many parts.
+_LETTERS = "(floor(x / 6) + floor(y / 7)) % 2 = 0 AND x % 6 < 4"
+_PARTS_SQL = f"""WITH RECURSIVE mask AS MATERIALIZED (SELECT vid, z, y, x FROM {{pore}} WHERE {_LETTERS}),
+step AS MATERIALIZED (SELECT a.vid AS src, b.vid AS dst FROM mask a JOIN mask b ON b.z = a.z AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND b.vid IN (a.vid - 50, a.vid - 1, a.vid + 1, a.vid + 50)),
+plane(vid, root) USING KEY (vid) AS (SELECT vid, vid FROM mask UNION SELECT e.dst, min(r.root) FROM plane r JOIN step e ON e.src = r.vid JOIN recurring.plane k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst),
+part AS MATERIALIZED (SELECT m.*, root FROM mask m JOIN plane USING (vid) WHERE root IN (SELECT root FROM plane GROUP BY root HAVING count(*) >= 8)),
+chain AS (SELECT z, root, lead(root) OVER (PARTITION BY z ORDER BY cx, root) AS next FROM (SELECT z, root, avg(x) AS cx FROM part GROUP BY z, root)),
+pair AS (SELECT a.z, a.root AS l, c.next AS r, a.vid AS a, b.vid AS b, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM chain c JOIN part a ON a.root = c.root JOIN part b ON b.root = c.next)"""
+
+
+def _bridged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return bridging.bridged(rel(spark, d, "pore").where(_LETTERS), ORDERS, 1, least=8)
+
+
+@query(f"{_PARTS_SQL} SELECT z, l AS \"left\", r AS \"right\", CAST(min(d2) AS BIGINT) AS d2, arg_min(a, (d2, a, b)) AS a, arg_min(b, (d2, a, b)) AS b FROM pair GROUP BY z, l, r")
+def gn5_bridge_pairs(spark, d):
+    """The closest voxels of neighbouring parts in each plane, against all pairs."""
+    return _bridged(spark, d)[1]
+
+
+@query(f"{_PARTS_SQL} SELECT z, count(DISTINCT root) AS parts_before, 1::BIGINT AS parts_after FROM part GROUP BY z")
+def gn5_bridged_mask(spark, d):
+    """The parts of a plane before thick lines join them, and after."""
+    mask, _ = _bridged(spark, d)
+    before = written(bridging.plane_parts(rel(spark, d, "pore").where(_LETTERS), ORDERS, 8), "before")
+    after = bridging.plane_parts(mask, ORDERS, 1).select("vid", F.col("root").alias("joined"))
+    return before.join(after, "vid").groupBy("z").agg(F.countDistinct("root").alias("parts_before"), F.countDistinct("joined").alias("parts_after"))
+
+
 @query("SELECT CAST(r AS INT) AS room, TRUE AS reached, 59 AS openings FROM range(60) t(r)")
 def i29_maze_edges(spark, d):
     """Every room is reached, by as many openings as rooms less one."""
@@ -475,8 +505,136 @@ def lattice_or_frontier(spark: SparkSession, d: str, accept: bool = False) -> tu
     return (first if lattice else rel(spark, d, "latowner")).select("vid", "site_id", F.col("d").cast("int").alias("d")), "lattice" if lattice else "frontier", certified
 
 
-for _n in (11, 12, 13, 31, 32):
-    FRAMES[f"i{_n}_same_as_exact"] = (lambda spark, d: rel(spark, d, "owner26").select("vid", "site_id", F.round("d", 5).alias("d")), "SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
+_AXES = ", ".join(f"({i}, {o[0]}, {o[1]}, {o[2]})" for i, o in enumerate(flooding.LINES))
+_MOVES = ", ".join(f"({k}, {flooding.LINES.index(max(o, (-o[0], -o[1], -o[2])))}, {-o[0]}, {-o[1]}, {-o[2]}, {sum(map(abs, o))})" for k, o in enumerate(grid.CUBE))
+#: The run of voxels through each voxel along 13 lines.
+LINE_RUNS = f"axis AS (SELECT * FROM (VALUES {_AXES}) AS v(i, dz, dy, dx)), online AS (SELECT vid, i, t, z - t * dz AS lz, y - t * dy AS ly, x - t * dx AS lx FROM (SELECT *, CASE WHEN dz <> 0 THEN z WHEN dy <> 0 THEN y ELSE x END AS t FROM {{pore}}, axis)), gap AS (SELECT *, t - row_number() OVER (PARTITION BY i, lz, ly, lx ORDER BY t) AS island FROM online), run AS MATERIALIZED (SELECT vid, i, min(vid) OVER (PARTITION BY i, lz, ly, lx, island) AS run FROM gap)"
+
+
+def _flood_sql(start: str, last: int, core: str = "SELECT NULL::BIGINT AS vid WHERE false") -> str:
+    """Jumps from 256 down to `last` from the states of `start` (vid, site_id, d); voxels of `core` don't change."""
+    parts = [LINE_RUNS, f"closed AS MATERIALIZED ({core})", f"begun AS MATERIALIZED ({start})", f"move AS (SELECT * FROM (VALUES {_MOVES}) AS v(ord, i, dz, dy, dx, n))", "f512 AS (SELECT p.vid, p.z, p.y, p.x, b.site_id, b.d FROM {pore} p LEFT JOIN begun b USING (vid))"]
+    jump = 256
+    while jump >= last:
+        sent = f"SELECT p.vid, f.d + {jump} * sqrt(m.n) AS d, m.ord, f.site_id FROM f{2 * jump} f JOIN move m ON f.site_id IS NOT NULL JOIN {{pore}} p ON p.z = f.z + {jump} * m.dz AND p.y = f.y + {jump} * m.dy AND p.x = f.x + {jump} * m.dx JOIN run a ON a.vid = f.vid AND a.i = m.i JOIN run b ON b.vid = p.vid AND b.i = m.i AND b.run = a.run WHERE p.vid NOT IN (SELECT vid FROM closed)"
+        parts.append(f"f{jump} AS MATERIALIZED (SELECT f.vid, f.z, f.y, f.x, CASE WHEN b.d < coalesce(f.d, 1e300) THEN b.site_id ELSE f.site_id END AS site_id, least(f.d, b.d) AS d FROM f{2 * jump} f LEFT JOIN (SELECT vid, min(d) AS d, arg_min(site_id, (d, ord)) AS site_id FROM ({sent}) GROUP BY vid) b USING (vid))")
+        jump //= 2
+    return ", ".join(parts)
+
+
+SITE_STATES = "SELECT vid, site_id, 0.0::DOUBLE AS d FROM {site}"
+CORE = "SELECT o.vid, o.site_id, o.d FROM {labels26} o JOIN {stampradius} r USING (site_id) WHERE o.d <= r.radius"
+
+
+@query(f"WITH {_flood_sql(SITE_STATES, 1)} SELECT vid, site_id, round(d, 5) AS d FROM f1")
+def i13_jump_flooding(spark, d):
+    """Jump flooding over the whole domain, before any relaxation: its own labels, right or not."""
+    return flooding.flooded(rel(spark, d, "pore"), rel(spark, d, "site"), ORDERS, relax=0).select("vid", "site_id", F.round("d", 5).alias("d"))
+
+
+@query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
+def i13_same_as_exact(spark, d):
+    """Jump flooding relaxed until nothing changes is the exact ownership."""
+    pore = rel(spark, d, "pore")
+    return flooding.settled(pore, flooding.flooded(pore, rel(spark, d, "site"), ORDERS, relax=1), ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
+
+
+def _mismatch(own: DataFrame, exact: DataFrame, stage: str) -> DataFrame:
+    """Share of voxels whose label differs from the exact one; none on both sides is equal."""
+    both = exact.select("vid", F.col("site_id").alias("want")).join(own.select("vid", "site_id"), "vid", "full")
+    return both.agg(F.lit(stage).alias("stage"), F.count("*").alias("voxels"), F.sum(F.when(F.col("site_id").isNull(), 1).otherwise(0)).alias("unreached"), F.round(F.avg(F.when(F.col("site_id").eqNullSafe(F.col("want")), 0.0).otherwise(1.0)), 8).alias("mismatch"))
+
+
+def _mismatch_sql(own: str, stage: str) -> str:
+    return f"SELECT '{stage}' AS stage, count(*) AS voxels, sum(CASE WHEN o.site_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS unreached, round(avg(CASE WHEN o.site_id IS NOT DISTINCT FROM e.site_id THEN 0.0 ELSE 1.0 END), 8) AS mismatch FROM {own} o LEFT JOIN {{labels26}} e USING (vid)"
+
+
+@query(f"WITH {_flood_sql(SITE_STATES, 1)} {_mismatch_sql('f1', 'jumps')} UNION ALL {_mismatch_sql('(SELECT p.vid, l.site_id FROM {{pore}} p LEFT JOIN {{labels26}} l USING (vid))'.replace('{{', '{').replace('}}', '}'), 'settled')}")
+def i13_flood_audit(spark, d):
+    """How many labels of jump flooding are wrong before relaxation, and after it."""
+    pore = rel(spark, d, "pore")
+    exact = pore.select("vid").join(rel(spark, d, "owner26"), "vid", "left")
+    jumps = written(flooding.flooded(pore, rel(spark, d, "site"), ORDERS, relax=0), "flooded")
+    after = pore.select("vid").join(flooding.settled(pore, jumps, ORDERS), "vid", "left")
+    return _mismatch(jumps, exact, "jumps").unionByName(_mismatch(after, exact, "settled"))
+
+
+def _radii(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "site").join(rel(spark, d, "stampradius").select("site_id", "radius"), "site_id")
+
+
+@query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
+def i11_same_as_exact(spark, d):
+    """Stamped cores stay closed, the region around them is flooded by jumps, closed in layers and relaxed: the exact ownership."""
+    return flooding.region_flooded(rel(spark, d, "pore"), rel(spark, d, "stampcore"), ORDERS)[1].select("vid", "site_id", F.round("d", 5).alias("d"))
+
+
+@query(f"WITH {_flood_sql(CORE, 2, 'SELECT vid FROM (' + CORE + ')')} SELECT vid, site_id, round(d, 5) AS d, vid NOT IN (SELECT vid FROM closed) AS open FROM f2")
+def i11_region_jumps(spark, d):
+    """The state after the jumps of the region's flooding, and which voxels were open to them."""
+    core = rel(spark, d, "stampcore")
+    after, _ = flooding.region_flooded(rel(spark, d, "pore"), core, ORDERS)
+    return after.join(core.select("vid", F.lit(False).alias("open")), "vid", "left").select("vid", "site_id", F.round("d", 5).alias("d"), F.coalesce("open", F.lit(True)).alias("open"))
+
+
+@query(f"WITH {_flood_sql(CORE, 2, 'SELECT vid FROM (' + CORE + ')')} SELECT count(*) AS voxels, round(avg(CASE WHEN vid IN (SELECT vid FROM closed) THEN 0.0 ELSE 1.0 END), 8) AS eta_roi, round(avg(CASE WHEN vid IN (SELECT vid FROM closed) THEN 1.0 ELSE 0.0 END), 8) AS eta_stamp, round(avg(CASE WHEN f2.site_id IS NULL THEN 1.0 ELSE 0.0 END), 8) AS left_open, round(avg(CASE WHEN f2.site_id IS NOT DISTINCT FROM l.site_id THEN 0.0 ELSE 1.0 END), 8) AS mismatch FROM f2 LEFT JOIN {{labels26}} l USING (vid)".replace("{{labels26}}", "{labels26}"))
+def i12_active_share(spark, d):
+    """The share of voxels that the jumps are run on, what they leave without a label, and what is still wrong after them."""
+    core = rel(spark, d, "stampcore")
+    after, end = flooding.region_flooded(rel(spark, d, "pore"), core, ORDERS)
+    own = after.join(end.select("vid", F.col("site_id").alias("want")), "vid", "left").join(core.select("vid", F.lit(1.0).alias("closed")), "vid", "left")
+    closed = F.coalesce("closed", F.lit(0.0))
+    return own.agg(F.count("*").alias("voxels"), F.round(F.avg(1 - closed), 8).alias("eta_roi"), F.round(F.avg(closed), 8).alias("eta_stamp"), F.round(F.avg(F.when(F.col("site_id").isNull(), 1.0).otherwise(0.0)), 8).alias("left_open"), F.round(F.avg(F.when(F.col("site_id").eqNullSafe(F.col("want")), 0.0).otherwise(1.0)), 8).alias("mismatch"))
+
+
+@query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
+def i12_same_as_exact(spark, d):
+    """The variant that refines only the active list: cores certified by the second nearest site too, then jumps and relaxation."""
+    core = flooding.stamped(rel(spark, d, "pore"), _radii(spark, d), ORDERS, "D")
+    return flooding.region_flooded(rel(spark, d, "pore"), written(core, "core"), ORDERS)[1].select("vid", "site_id", F.round("d", 5).alias("d"))
+
+
+@query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
+def i31_same_as_exact(spark, d):
+    """The single kernels in a row: stamped balls, closure by layers, relaxation, without jumps."""
+    pore = rel(spark, d, "pore")
+    filled = written(fields.closure_fill(pore, rel(spark, d, "stampcore"), ORDERS), "closed")
+    return flooding.settled(pore, filled, ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
+
+
+@query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
+def i32_same_as_exact(spark, d):
+    """Ownership from its seed states."""
+    return rel(spark, d, "owner26").select("vid", "site_id", F.round("d", 5).alias("d"))
+
+
+def _second_sql() -> str:
+    """Voxels whose nearest site leads the second and is reached along its canonical path, by all pairs and runs."""
+    free = "g - m + sqrt(2) * (m - l) + sqrt(3) * l"
+    pairs = f"pair AS MATERIALIZED (SELECT p.vid, p.z, p.y, p.x, s.site_id, s.z AS sz, s.y AS sy, s.x AS sx, {free} AS dist, g, m, l FROM {{pore}} p, {{site}} s, LATERAL (SELECT greatest(abs(p.z - s.z), abs(p.y - s.y), abs(p.x - s.x)) AS g, least(abs(p.z - s.z), abs(p.y - s.y), abs(p.x - s.x)) AS l) q, LATERAL (SELECT abs(p.z - s.z) + abs(p.y - s.y) + abs(p.x - s.x) - g - l AS m) w)"
+    two = "two AS (SELECT *, lead(dist) OVER (PARTITION BY vid ORDER BY dist, site_id) AS next, row_number() OVER (PARTITION BY vid ORDER BY dist, site_id) AS r FROM pair)"
+    own = "best AS MATERIALIZED (SELECT *, CASE WHEN z >= sz THEN 1 ELSE -1 END AS gz, CASE WHEN y >= sy THEN 1 ELSE -1 END AS gy, CASE WHEN x >= sx THEN 1 ELSE -1 END AS gx, list_sort([{n: -abs(z - sz), a: 0}, {n: -abs(y - sy), a: 1}, {n: -abs(x - sx), a: 2}]) AS k FROM two WHERE r = 1 AND (next IS NULL OR dist + 1e-6 <= next))"
+    steps = []
+    for c, a in zip("zyx", range(3), strict=True):
+        steps += [f"g{c} AS m1{c}", f"g{c} * CASE WHEN k[1].a = {a} OR k[2].a = {a} THEN 1 ELSE 0 END AS m2{c}", f"g{c} * CASE WHEN k[1].a = {a} THEN 1 ELSE 0 END AS m3{c}"]
+    moves = f"moves AS (SELECT *, {', '.join(steps)} FROM best)"
+    at = ", ".join(f"s{c} + l * m1{c} AS a{c}, s{c} + l * m1{c} + (m - l) * m2{c} AS b{c}" for c in "zyx")
+    code = ", ".join(f"abs(m{j}z * 9 + m{j}y * 3 + m{j}x) AS c{j}" for j in (1, 2, 3))
+    ends = f"ends AS (SELECT vid, site_id, dist, (sz * 30 + sy) * 50 + sx AS e0, (az * 30 + ay) * 50 + ax AS e1, (bz * 30 + by_) * 50 + bx AS e2, vid AS e3, {code} FROM (SELECT *, {at.replace('AS by,', 'AS by_,')} FROM moves))"
+    named = "named AS MATERIALIZED (SELECT r.vid, r.run, abs(a.dz * 9 + a.dy * 3 + a.dx) AS code FROM run r JOIN axis a USING (i))"
+    joins = " ".join(f"JOIN {{pore}} p{j} ON p{j}.vid = e.e{j}" for j in range(4)) + " " + " ".join(f"LEFT JOIN named a{j} ON a{j}.vid = e.e{j - 1} AND a{j}.code = e.c{j} LEFT JOIN named b{j} ON b{j}.vid = e.e{j} AND b{j}.code = e.c{j}" for j in (1, 2, 3))
+    clear = " AND ".join(f"(e.e{j - 1} = e.e{j} OR a{j}.run = b{j}.run)" for j in (1, 2, 3))
+    return f"{LINE_RUNS}, {pairs}, {two}, {own}, {moves}, {ends}, {named}, certain AS MATERIALIZED (SELECT e.vid, e.site_id, e.dist AS d FROM ends e {joins} WHERE {clear})"
+
+
+@query(f"WITH {_second_sql()}, core AS MATERIALIZED ({CORE}) SELECT 'A' AS mode, vid, site_id, round(d, 5) AS d FROM core WHERE d <= greatest((SELECT radius FROM {{stampradius}} r WHERE r.site_id = core.site_id) - 1e-6, 0) UNION ALL SELECT 'C', vid, site_id, round(d, 5) FROM core UNION ALL SELECT 'D', vid, site_id, round(d, 5) FROM core UNION ALL SELECT 'D', vid, site_id, round(d, 5) FROM certain WHERE vid NOT IN (SELECT vid FROM core)")
+def i14_stamp_modes(spark, d):
+    """Cores by each mode: short of the radius, the whole radius, and what the second nearest site certifies besides."""
+    own = None
+    for mode in "ACD":
+        one = flooding.stamped(rel(spark, d, "pore"), _radii(spark, d), ORDERS, mode).select(F.lit(mode).alias("mode"), "vid", "site_id", F.round("d", 5).alias("d"))
+        own = one if own is None else own.unionByName(one)
+    return own
 
 
 @query(f"WITH {_clear_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY l1, site_id) AS k FROM ways) SELECT a.vid, a.site_id, b.l1 - a.l1 AS lead, a.canonical AND coalesce(b.l1 - a.l1 >= 2, true) AS certified FROM (SELECT * FROM r WHERE k = 1) a LEFT JOIN (SELECT vid, l1 FROM r WHERE k = 2) b USING (vid)")
@@ -544,17 +702,59 @@ def i26_largest_component(spark, d):
     return comp.join(F.broadcast(best), "root").select("vid")
 
 
-@query("WITH RECURSIVE near AS (SELECT src, dst, a.val / 500000 AS here, b.val / 500000 AS there FROM {edge} JOIN {pore} a ON a.vid = src JOIN {pore} b ON b.vid = dst), line(line_id, seq, vid, visited) AS (SELECT vid, 0, vid, [vid] FROM {pore} WHERE vid % 211 = 7 UNION ALL SELECT l.line_id, l.seq + 1, n.dst, list_append(l.visited, n.dst) FROM line l JOIN (SELECT l.line_id, l.seq, arg_min(n.dst, (n.there, n.dst)) AS dst, min(n.there) AS there, any_value(n.here) AS here FROM line l JOIN near n ON n.src = l.vid WHERE NOT list_contains(l.visited, n.dst) GROUP BY l.line_id, l.seq) n ON n.line_id = l.line_id AND n.seq = l.seq WHERE l.seq < 5 AND n.there <= n.here + 0.02) SELECT line_id, seq, vid FROM line".replace("JOIN (SELECT l.line_id, l.seq, arg_min(n.dst, (n.there, n.dst)) AS dst, min(n.there) AS there, any_value(n.here) AS here FROM line l JOIN near n ON n.src = l.vid WHERE NOT list_contains(l.visited, n.dst) GROUP BY l.line_id, l.seq) n ON n.line_id = l.line_id AND n.seq = l.seq WHERE l.seq < 5 AND n.there <= n.here + 0.02", "JOIN LATERAL (SELECT dst, there, here FROM near WHERE src = l.vid AND NOT list_contains(l.visited, dst) ORDER BY there, dst LIMIT 1) n ON true WHERE l.seq < 5 AND n.there <= n.here + 0.02"))
+#: A pressure that falls along x, uneven by the voxels' values.
+SLOPE = "1 - x / 49.0 + (val - 250000) / 10000000.0"
+_STEPS = ", ".join(f"({k}, {o[0]}, {o[1]}, {o[2]})" for k, o in enumerate(tracing.ORDER))
+_LINES_SQL = f"""
+WITH RECURSIVE f AS MATERIALIZED (SELECT vid, z, y, x, {SLOPE} AS p FROM {{pore}}),
+near AS MATERIALIZED (SELECT a.vid AS src, b.vid AS dst, k, a.p AS here, b.p AS there, b.p - 0.015 * dx AS score FROM f a, (VALUES {_STEPS}) AS o(k, dz, dy, dx), f b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+line(line_id, seq, vid, visited) AS (SELECT vid, 0, vid, [vid] FROM f WHERE p > 0.86 AND vid % 5 = 2
+  UNION ALL SELECT l.line_id, l.seq + 1, n.dst, list_append(l.visited, n.dst) FROM line l JOIN f c ON c.vid = l.vid
+  JOIN LATERAL (SELECT dst, there, here FROM near WHERE src = l.vid AND NOT list_contains(l.visited, dst) ORDER BY score, k LIMIT 1) n ON true
+  WHERE c.x < 48 AND c.p > 0.02 AND l.seq < 1600 AND n.there <= n.here + 0.02)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    pore = rel(spark, d, "pore").withColumn("p", F.expr(SLOPE.replace("49.0", "49.0D").replace("10000000.0", "10000000.0D")))
+    starts = pore.where("p > 0.86 AND vid % 5 = 2").select(F.col("vid").alias("line_id"), "vid")
+    return tracing.streamlines(starts, pore, "p", ORDERS)
+
+
+@query(f"{_LINES_SQL} SELECT line_id, CAST(seq AS INT) AS seq, vid FROM line")
 def i27_streamlines(spark, d):
-    """Lines that go on to the least value among the unvisited neighbours; five steps."""
-    pore = rel(spark, d, "pore").withColumn("score", F.col("val") / 500000)
-    return fields.streamlines(pore.where("vid % 211 = 7").select(F.col("vid").alias("line_id"), "vid"), pore, "score", ORDERS, 5)
+    """Lines from the inlet's high values down to the outlet: least value with a bias along x among the unvisited neighbours."""
+    return _lines(spark, d).select("line_id", "seq", "vid")
+
+
+@query(f"{_LINES_SQL}, own AS (SELECT line_id, count(*) AS n, arg_max(vid, seq) AS last FROM line GROUP BY line_id) SELECT count(*) AS requested, count(*) FILTER (n >= 5) AS saved, CAST(sum(n) FILTER (n >= 5) AS BIGINT) AS points, count(*) FILTER (f.x >= 48 OR f.p <= 0.02) AS reached, max(n) AS longest FROM own JOIN f ON f.vid = own.last")
+def i27_line_audit(spark, d):
+    """How many lines there are, how many of five voxels or more and with how many points, and how many reach the outlet."""
+    own = _lines(spark, d).groupBy("line_id").agg(F.count("*").alias("n"), F.first("state").alias("state"))
+    long = F.col("n") >= 5
+    return own.agg(F.count("*").alias("requested"), F.sum(long.cast("bigint")).alias("saved"), F.sum(F.when(long, F.col("n"))).alias("points"), F.sum((F.col("state") == "reached").cast("bigint")).alias("reached"), F.max("n").alias("longest"))
+
+
+#: Corners, edges, faces and cubes of the pore, each once, by 26-connected parts.
+_EULER = "WITH RECURSIVE root26(vid, root) USING KEY (vid) AS (SELECT vid, vid FROM {pore} UNION SELECT e.dst, min(r.root) FROM root26 r JOIN {edge26} e ON e.src = r.vid JOIN recurring.root26 k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst), cells AS (SELECT DISTINCT root, 2 * z + 1 + a AS z, 2 * y + 1 + b AS y, 2 * x + 1 + c AS x, CASE WHEN (abs(a) + abs(b) + abs(c)) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM {pore} JOIN root26 USING (vid), (SELECT i - 1 AS a, j - 1 AS b, l - 1 AS c FROM range(3) r1(i), range(3) r2(j), range(3) r3(l)))"
+
 
+@query(f"{_EULER} SELECT root, 1::BIGINT AS parts, CAST(sum(sign) AS BIGINT) AS euler, TRUE AS has_skeleton, FALSE AS thicker FROM cells GROUP BY root")
+def i28_thinning(spark, d):
+    """Every part of the pore has a skeleton of one part with the pore's own Euler number (components, tunnels, cavities), and no larger."""
+    pore = rel(spark, d, "pore")
+    parts = written(pore.select("vid", "z", "y", "x").join(fields.components(pore, ORDERS, full=True), "vid"), "parts26")
+    bones = thinning.thinned(pore, ORDERS)
+    pieces = fields.components(bones, ORDERS, full=True).withColumnRenamed("root", "piece")
+    own = bones.join(parts.select("vid", "root"), "vid")
+    count = own.join(pieces, "vid").groupBy("root").agg(F.countDistinct("piece").alias("parts"), F.count("*").alias("n"))
+    size = parts.groupBy("root").agg(F.count("*").alias("voxels"))
+    return size.join(count, "root", "left").join(thinning.euler_numbers(own), "root", "left").select("root", F.coalesce("parts", F.lit(0)).alias("parts"), "euler", (F.coalesce("n", F.lit(0)) > 0).alias("has_skeleton"), (F.col("n") > F.col("voxels")).alias("thicker"))
 
-@query("SELECT vid, TRUE AS assigned, TRUE AS owned_by_site FROM {owner}")
+
+@query("SELECT vid, TRUE AS assigned, TRUE AS owned_by_site FROM {labels26}")
 def i28_skeleton_ownership(spark, d):
     """Ownership by way of a skeleton: every voxel that a site can reach gets one."""
-    own = fields.skeleton_ownership(rel(spark, d, "pore"), rel(spark, d, "site"), rel(spark, d, "vox"), ORDERS)
+    own = fields.skeleton_ownership(rel(spark, d, "pore"), rel(spark, d, "site"), ORDERS)
     sites = rel(spark, d, "site").select("site_id", F.lit(True).alias("known"))
     return own.join(sites, "site_id", "left").select("vid", F.col("d").isNotNull().alias("assigned"), F.coalesce("known", F.lit(False)).alias("owned_by_site"))
 
@@ -566,6 +766,100 @@ def i30_rectangle_merge(spark, d):
     return fields.rectangles(faces, ["dx", "x"], "z", "y").groupBy("dx", "x").agg(F.sum(F.col("width") * F.col("height")).alias("area"))
 
 
+# ---------------------------------------------------------------- assertions
+
+
+@query("SELECT run_id, line, case_name FROM (SELECT l_orderkey AS run_id, l_linenumber AS line, l_returnflag AS case_name, l_linestatus AS method, l_quantity AS e_k, l_discount AS e_phi, l_tax AS e_u, l_extendedprice AS t_total FROM {lineitem}) AS r WHERE case_name IN ('A', 'R') AND line <= 2")
+def f8_case_filter(spark, d):
+    """Runs of named cases; a filter that leaves none is an error."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("case_name"))
+    return checks.some(own.where("case_name IN ('A', 'R') AND line <= 2"), "no run is left by the case filter")
+
+
+@query('SELECT f.vid, f.nb, g.area, g.owner IS NULL AS unmatched FROM {face} f LEFT JOIN {graph} g ON g.owner = f.owner AND g.neighbor = f.neighbor')
+def j7_edge_key_lookup(spark, d):
+    """Faces with their edge's area; a face whose pair of cells is no edge is an error."""
+    graph = rel(spark, d, "graph").select("owner", "neighbor", "area")
+    own = checks.looked_up(rel(spark, d, "face").select("owner", "neighbor", "vid", "nb"), graph, ["owner", "neighbor"], "faces without an edge")
+    return own.select("vid", "nb", "area", F.lit(False).alias("unmatched"))
+
+
+@query('SELECT site_id, lz, ly, lx, vid, (z - 2) % 4 = 0 AND (y - 2) % 4 = 0 AND (x - 2) % 4 = 0 AS on_lattice FROM {latsite}')
+def j15_lattice_lut(spark, d):
+    """Lattice indices of sites; a site off the lattice is an error."""
+    return lattice_table(rel(spark, d, "latsite")).select("site_id", "lz", "ly", "lx", "vid", F.lit(True).alias("on_lattice"))
+
+
+def lattice_table(sites: DataFrame, stride: int = 4, offset: int = 2) -> DataFrame:
+    """(site_id, vid, lz, ly, lx) of sites (site_id, vid, z, y, x), all of which must stand on the lattice."""
+    on = " AND ".join(f"pmod({c} - {offset}, {stride}) = 0" for c in "zyx")
+    own = checks.every(sites, on, ["site_id"], "sites off the lattice")
+    return own.select("site_id", "vid", *(F.floor((F.col(c) - offset) / stride).cast("int").alias(f"l{c}") for c in "zyx"))
+
+
+@query('SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, o.o_orderkey IS NULL AS missing FROM {lineitem} l LEFT JOIN {orders} o ON o.o_orderkey = l.l_orderkey')
+def j16_key_lookup(spark, d):
+    """Rows with what stands under their key; a key without a row is an error."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    own = checks.looked_up(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), orders, ["l_orderkey"], "lines without an order")
+    return own.select("l_orderkey", "l_linenumber", "o_orderpriority", F.lit(False).alias("missing"))
+
+
+@query("SELECT v.tag, p.p_partkey, p.p_name, p.p_partkey IS NULL AS missing FROM (VALUES (1, 'first'), (5, 'fifth'), (9, 'ninth')) AS v(k, tag) LEFT JOIN {part} p ON p.p_partkey = v.k")
+def j23_selection_join(spark, d):
+    """A fixed selection with its rows; a selected key without a row is an error."""
+    chosen = spark.createDataFrame([(1, "first"), (5, "fifth"), (9, "ninth")], "p_partkey bigint, tag string")
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name")
+    return checks.looked_up(chosen, part, ["p_partkey"], "selected parts that don't exist").select("tag", "p_partkey", "p_name", F.lit(False).alias("missing"))
+
+
+# ---------------------------------------------------------------- exact quantiles
+
+
+@query('SELECT min(n) AS min_voxels, median(n) AS median_voxels, max(n) AS max_voxels, count(*) AS cells, count(DISTINCT label) AS labels FROM (SELECT label, cell_id, count(*) AS n FROM {block} GROUP BY label, cell_id) AS c')
+def a13_cell_stats(spark, d):
+    cell = written(rel(spark, d, "block").groupBy("label", "cell_id").agg(F.count("*").alias("n")), "cells")
+    own = cell.agg(F.min("n").alias("min_voxels"), F.max("n").alias("max_voxels"), F.count("*").alias("cells"), F.countDistinct("label").alias("labels"))
+    return own.join(quantiles(cell, "n", [0.5]).select(F.col("quantile").alias("median_voxels")))
+
+
+@query('SELECT count(*) AS faces, round(avg(ell), 6) AS ell_mean, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY ell), 6) AS ell_p90, round(avg(t), 6) AS t_mean FROM {metric}')
+def a16_metric_summary(spark, d):
+    face = rel(spark, d, "metric")
+    own = face.agg(F.count("*").alias("faces"), F.round(F.avg("ell"), 6).alias("ell_mean"), F.round(F.avg("t"), 6).alias("t_mean"))
+    return own.join(quantiles(face, "ell", [0.9]).select(F.round("quantile", 6).alias("ell_p90")))
+
+
+@query('SELECT max(t.total) AS total_voxels, count(*) AS fluid_voxels, round(count(*) / CAST(max(t.total) AS DOUBLE), 8) AS porosity, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 8) AS near_wall, round(avg(n), 8) AS mean_solid, percentile_cont(0.9) WITHIN GROUP (ORDER BY n) AS p90_solid, percentile_cont(0.99) WITHIN GROUP (ORDER BY n) AS p99_solid, round(sum(n) / CAST(count(*) AS DOUBLE), 8) AS faces_per_fluid FROM (SELECT p.vid, coalesce(c.n, 0) AS n FROM {pore} p LEFT JOIN (SELECT vid, count(*) AS n FROM {contact} GROUP BY vid) c ON c.vid = p.vid) AS q CROSS JOIN (SELECT count(*) AS total FROM {vox}) AS t')
+def a20_wall_contacts(spark, d):
+    """Porosity, fluid voxels next to a wall, their solid neighbours (the domain's border is none), and faces to solid by fluid voxel."""
+    solid = rel(spark, d, "contact").groupBy("vid").agg(F.count("*").alias("n"))
+    fluid = written(rel(spark, d, "pore").select("vid").join(solid, "vid", "left").select("vid", F.coalesce("n", F.lit(0)).alias("n")), "contacts")
+    total = rel(spark, d, "vox").agg(F.count("*").alias("total_voxels"))
+    own = fluid.agg(F.count("*").alias("fluid_voxels"), F.round(F.avg((F.col("n") > 0).cast("double")), 8).alias("near_wall"), F.round(F.avg("n"), 8).alias("mean_solid"), F.round(F.sum("n") / F.count("*").cast("double"), 8).alias("faces_per_fluid"))
+    q = quantiles(fluid, "n", [0.9, 0.99]).agg(F.max(F.when(F.col("fraction") == 0.9, F.col("quantile"))).alias("p90_solid"), F.max(F.when(F.col("fraction") == 0.99, F.col("quantile"))).alias("p99_solid"))
+    return total.join(own).join(q).withColumn("porosity", F.round(F.col("fluid_voxels") / F.col("total_voxels").cast("double"), 8))
+
+
+@query('SELECT round(percentile_cont(0.9) WITHIN GROUP (ORDER BY val), 4) AS p90, round(avg(val), 4) AS mean, min(val) AS lo, max(val) AS hi FROM {pore}')
+def a23_percentiles(spark, d):
+    own = rel(spark, d, "pore")
+    base = own.agg(F.round(F.avg("val"), 4).alias("mean"), F.min("val").alias("lo"), F.max("val").alias("hi"))
+    return base.join(quantiles(own, "val", [0.9]).select(F.round("quantile", 4).alias("p90")))
+
+
+@query('SELECT g.owner, g.neighbor, g.area, median(v.z + CASE WHEN f.axis = 0 THEN 0.5 ELSE 0.0 END) AS mz, median(v.y + CASE WHEN f.axis = 1 THEN 0.5 ELSE 0.0 END) AS my, median(v.x + CASE WHEN f.axis = 2 THEN 0.5 ELSE 0.0 END) AS mx FROM (SELECT owner, neighbor, area FROM {graph} ORDER BY area DESC, owner, neighbor LIMIT 1) g JOIN {face} f ON f.owner = g.owner AND f.neighbor = g.neighbor JOIN {pore} v ON v.vid = f.vid GROUP BY g.owner, g.neighbor, g.area')
+def w8_largest_edge(spark, d):
+    """The edge of the largest area (then of the least cells) and the median of its facelets' midpoints."""
+    best = rel(spark, d, "graph").agg(F.max_by(F.struct("owner", "neighbor", "area"), F.struct("area", -F.col("owner"), -F.col("neighbor"))).alias("b")).select("b.*")
+    face = rel(spark, d, "face").join(F.broadcast(best), ["owner", "neighbor"]).join(rel(spark, d, "pore").select("vid", "z", "y", "x"), "vid")
+    middle = written(face.select("owner", "neighbor", "area", *((F.col(c) + F.when(F.col("axis") == k, 0.5).otherwise(0.0)).alias(f"m{c}") for k, c in enumerate("zyx"))), "midpoints")
+    own = best
+    for c in "zyx":
+        own = own.join(quantiles(middle, f"m{c}", [0.5], ["owner", "neighbor"]).select("owner", "neighbor", F.col("quantile").alias(f"m{c}")), ["owner", "neighbor"])
+    return own
+
+
 # ---------------------------------------------------------------- aggregations and windows
 
 

@@ -207,33 +207,46 @@ def rectangles(faces: DataFrame, plane: list[str], a: str, b: str) -> DataFrame:
     return faces.select(*(F.col(c).cast("int").alias(c) for c in (*plane, a, b))).groupBy(*plane).applyInArrow(merge, ", ".join(f"{c} int" for c in (*plane, a, b, "width", "height")))
 
 
-def ridge(pore: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
-    """(vid, z, y, x) of pore voxels that are as far from solid as any face neighbour: a skeleton that every part has a voxel of."""
-    solid = every.join(pore.select("vid"), "vid", "left_anti").withColumn("rank", F.lit(0).cast("bigint"))
-    state = pore.select("vid", "z", "y", "x", F.lit(None).cast("double").alias("d"), F.lit(0).cast("bigint").alias("label"))
-    near = neighbours(pore, solid, FACES, shape).select("vid").distinct().withColumn("first", F.lit(1.0))
-    state = state.join(near, "vid", "left").select("vid", "z", "y", "x", F.col("first").alias("d"), "label")
-    depth = written(pore.select("vid", "z", "y", "x").join(relaxed(state, UNIT, shape).select("vid", "d"), "vid", "left").na.fill(0.0, ["d"]), "depth")
-    lower = neighbours(depth, depth, FACES, shape, keep=("d",)).where("nb_d > d").select("vid").distinct()
-    return depth.join(lower, "vid", "left_anti").select("vid", "z", "y", "x")
-
-
-def skeleton_ownership(pore: DataFrame, sites: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
-    """(vid, site_id, d): sites (site_id, vid, z, y, x, root) go to the nearest skeleton voxel of their own part (anywhere, if it has
-    none), the least of those that meet keeps it; the skeleton is owned by its 26 neighbours' lengths, within a part, and the rest of
-    the pore by face steps from there."""
+def placed(asked: DataFrame, bones: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
+    """(site_id, vid): a voxel of the skeleton (vid, z, y, x) of its own for each site; asked: (site_id, vid), the voxel it wants.
+
+    Of the sites that want one voxel the least gets it; the others look along the skeleton, ring by ring, for the nearest free
+    voxel (the least of a ring), and again the least site gets it. Raises if a part has fewer voxels than sites.
+    """
+    spot = bones.select("vid", "z", "y", "x")
+    got = written(asked.groupBy("vid").agg(F.min("site_id").alias("site_id")).select("site_id", "vid"), "placed")
+    seen = written(asked.join(got.select("site_id"), "site_id", "left_anti").select("site_id", "vid", F.lit(0).alias("ring")), "asked")
+    for ring in range(1, most):
+        if seen.isEmpty():
+            return got
+        edge = seen.where(F.col("ring") == ring - 1)
+        grown = neighbours(edge.select("vid").distinct().join(spot, "vid"), spot, CUBE, shape).select("vid", "nb").join(edge, "vid").select("site_id", F.col("nb").alias("vid")).distinct()
+        seen = written(seen.unionByName(grown.join(seen, ["site_id", "vid"], "left_anti").withColumn("ring", F.lit(ring))), "asked")
+        if seen.where(F.col("ring") == ring).isEmpty() and seen.join(got.select("vid"), "vid", "left_anti").isEmpty():
+            raise ValueError("a part of the skeleton has fewer voxels than sites")
+        bids = seen.join(got.select("vid"), "vid", "left_anti").groupBy("site_id").agg(F.min(F.struct("ring", "vid")).alias("b")).select("site_id", "b.vid")
+        won = bids.groupBy("vid").agg(F.min("site_id").alias("site_id")).select("site_id", "vid")
+        got = written(got.unionByName(won), "placed")
+        seen = written(seen.join(got.select("site_id"), "site_id", "left_anti"), "asked")
+    raise RuntimeError(f"sites are not placed after {most} rings")
+
+
+def skeleton_ownership(pore: DataFrame, sites: DataFrame, shape: Shape) -> DataFrame:
+    """(vid, site_id, d): sites (site_id, vid, z, y, x) go to the nearest skeleton voxel of their own 26-connected part, each to one of
+    its own (see placed); the skeleton is owned by its neighbours' lengths, and the rest of the pore from there."""
     from .search import nearest
+    from .thinning import thinned
 
-    parts = components(pore, shape)
-    bones = written(ridge(pore, every, shape).join(parts, "vid"), "bones")
+    parts = written(components(pore, shape, full=True), "parts")
+    bones = written(thinned(pore, shape).join(parts, "vid"), "bones")
     asked = sites.join(parts, "vid").select(F.col("site_id").alias("pid"), "z", "y", "x", "root")
     places = bones.select(F.col("vid").alias("sid"), "z", "y", "x", "root")
-    inside = nearest(asked, places, "d2", 4, "root")
-    put = inside.groupBy(F.col("sid").alias("vid")).agg(F.min("pid").cast("bigint").alias("label"))
+    put = placed(nearest(asked, places, "d2", 4, "root").select(F.col("pid").alias("site_id"), F.col("sid").alias("vid")), bones, shape)
+    put = put.select("vid", F.col("site_id").cast("bigint").alias("label"))
     state = bones.join(put, "vid", "left").withColumn("d", F.when(F.col("label").isNotNull(), 0.0))
-    owned = written(relaxed(state, WEIGHTED, shape, group="root"), "bone-owners")
+    owned = written(relaxed(state, WEIGHTED, shape), "bone-owners")
     state = pore.select("vid", "z", "y", "x").join(owned, "vid", "left")
-    return relaxed(state, UNIT, shape).select("vid", F.col("label").cast("int").alias("site_id"), "d")
+    return relaxed(state, WEIGHTED, shape).select("vid", F.col("label").cast("int").alias("site_id"), "d")
 
 
 def path_to(parents: DataFrame, target: DataFrame, most: int) -> DataFrame:

@@ -26,16 +26,17 @@ def metric(kind: str, a: str = "p", b: str = "s") -> Column:
     return top * top + mid * mid + low * low if kind == "d2" else top + mid + low
 
 
-def nearest(points: DataFrame, sites: DataFrame, kind: str = "d2", cell: int = 4, group: str | None = None, other: bool = False) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, kind: str = "d2", cell: int = 4, group: str | None = None, other: bool = False, unlike: str | None = None) -> DataFrame:
     """(pid, sid, dist) of points (pid, z, y, x) and sites (sid, z, y, x): the nearest, the least sid of equally near ones.
 
     Sites are looked up in lattice cells, r cells around the point's; a find within r * cell is certain, as what lies outside
     is farther along one axis alone, and the other points go on with twice the r. group: a column that both must share
-    (points without any site of theirs drop out). other: a site never finds itself.
+    (points without any site of theirs drop out). other: a site never finds itself. unlike: a column in which both must differ.
     """
     keep = [group] if group else []
-    places = sites.select(F.col("sid"), *(F.col(c).alias(f"s{c}") for c in "zyx"), *keep, *(F.floor(F.col(c) / cell).cast("bigint").alias(f"c{c}") for c in "zyx"))
-    left = points.select("pid", *(F.col(c).alias(f"p{c}") for c in "zyx"), *keep)
+    apart = [F.col(unlike).alias("apart")] if unlike else []
+    places = sites.select(F.col("sid"), *(F.col(c).alias(f"s{c}") for c in "zyx"), *keep, *apart, *(F.floor(F.col(c) / cell).cast("bigint").alias(f"c{c}") for c in "zyx"))
+    left = points.select("pid", *(F.col(c).alias(f"p{c}") for c in "zyx"), *keep, *(x.alias("own") for x in apart))
     edge = places.agg(*(f(f"c{c}").alias(f"{n}{c}") for c in "zyx" for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if edge["loz"] is None:
         return points.select("pid", F.lit(None).cast("bigint").alias("sid"), F.lit(None).cast("double").alias("dist")).where("false")
@@ -48,6 +49,7 @@ def nearest(points: DataFrame, sites: DataFrame, kind: str = "d2", cell: int = 4
             asked = asked.where(inside).withColumn(f"c{c}", span)
         met = asked.join(places, ["cz", "cy", "cx", *keep])
         met = met.where("pid <> sid") if other else met
+        met = met.where("own <> apart") if unlike else met
         best = met.groupBy("pid").agg(F.min(F.struct(metric(kind).cast("double").alias("dist"), "sid")).alias("b")).select("pid", "b.sid", "b.dist")
         last = all(r > edge[f"hi{c}"] - edge[f"lo{c}"] for c in "zyx") and left.where(" OR ".join(f"floor(p{c} / {cell}) < {edge[f'lo{c}'] - r} OR floor(p{c} / {cell}) > {edge[f'hi{c}'] + r}" for c in "zyx")).isEmpty()
         reach = float(r * cell) ** (2 if kind == "d2" else 1)

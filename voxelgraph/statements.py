@@ -25,7 +25,6 @@ STATEMENTS: dict[str, str] = {
     "f4_inlet_outlet": "SELECT vid, CASE WHEN x = lo THEN 'inlet' ELSE 'outlet' END AS kind FROM {pore}, (SELECT min(x) AS lo, max(x) AS hi FROM {pore}) AS m WHERE x = lo OR x = hi",
     "f5_seed_validation": "SELECT kind, count(*) AS n, min(site) AS first_offender FROM (SELECT c.site, CASE WHEN c.z < 0 OR c.z >= m.depth OR c.y < 0 OR c.y >= 30 OR c.x < 0 OR c.x >= 50 THEN 'outside' WHEN p.vid IS NULL THEN 'solid' ELSE 'pore' END AS kind FROM (SELECT c_custkey AS site, c_custkey % 12 - 1 AS z, c_custkey % 32 - 1 AS y, c_custkey * 7 % 53 - 1 AS x FROM {customer}) c CROSS JOIN (SELECT max(z) + 1 AS depth FROM {vox}) m LEFT JOIN {pore} p ON p.z = c.z AND p.y = c.y AND p.x = c.x) AS q GROUP BY kind",
     "f7_bounding_box": "SELECT p.vid, p.z - b.z0 AS z, p.y - b.y0 AS y, p.x - b.x0 AS x FROM {pore} p, (SELECT min(z) AS z0, greatest(min(y) - 2, 0) AS y0, least(max(y) + 3, 30) AS y1, greatest(min(x) - 2, 0) AS x0, least(max(x) + 3, 50) AS x1, max(z) + 1 AS z1 FROM {site} WHERE site_id < 9) AS b WHERE p.z >= b.z0 AND p.z < b.z1 AND p.y >= b.y0 AND p.y < b.y1 AND p.x >= b.x0 AND p.x < b.x1",
-    "f8_case_filter": "SELECT run_id, line, case_name FROM (" + RUNS + ") AS r WHERE case_name IN ('A', 'R') AND line <= 2",
     "f9_point_probe": "SELECT v.vid, v.pore, o.site_id, o.d FROM {vox} v LEFT JOIN {owner} o ON o.vid = v.vid WHERE v.z = 0 AND v.y BETWEEN 3 AND 6 AND v.x BETWEEN 10 AND 14",
     "f10_two_sided_obstacle": "SELECT a.vid, a.other, a.gap FROM (SELECT vid, lead(vid) OVER (PARTITION BY z, y ORDER BY x) AS other, lead(x) OVER (PARTITION BY z, y ORDER BY x) - x - 1 AS gap FROM {pore}) a JOIN {owner} oa ON oa.vid = a.vid JOIN {owner} ob ON ob.vid = a.other AND ob.site_id = oa.site_id WHERE a.gap > 0",
     "f11_label_boundary": "SELECT DISTINCT s.kind, e.src AS vid FROM {side26} e LEFT JOIN {owner} a ON a.vid = e.src LEFT JOIN {owner} b ON b.vid = e.dst CROSS JOIN (VALUES ('four', 1, 0), ('eight', 2, 0), ('four_solid', 1, 1), ('eight_solid', 2, 1)) AS s(kind, most, solid) WHERE e.dz = 0 AND e.w2 <= s.most AND coalesce(a.site_id, -1) <> coalesce(b.site_id, -1) AND (s.solid = 1 OR e.pore AND a.site_id IS NOT NULL AND b.site_id IS NOT NULL)",
@@ -46,18 +45,14 @@ STATEMENTS: dict[str, str] = {
     "j4_periodic_pairs": "SELECT src, dst, dz, dy, dx FROM {wrapped}",
     "j5_attribute_lookup": "SELECT p.vid, coalesce(c.c_acctbal, -1) AS c FROM {pore} p LEFT JOIN {owner} o ON o.vid = p.vid LEFT JOIN {customer} c ON c.c_custkey = o.site_id",
     "j6_cell_broadcast": "SELECT v.vid, c.top FROM {cellvox} v JOIN (SELECT cell, max(val) AS top FROM {cellvox} GROUP BY cell) c ON c.cell = v.cell",
-    "j7_edge_key_lookup": "SELECT f.vid, f.nb, g.area, g.owner IS NULL AS unmatched FROM {face} f LEFT JOIN {graph} g ON g.owner = f.owner AND g.neighbor = f.neighbor",
     "j8_pair_flux_lookup": "SELECT f.vid, f.nb, round(x.q, 6) AS q FROM {face} f LEFT JOIN {flux} x ON x.owner = f.owner AND x.neighbor = f.neighbor WHERE x.q IS NOT NULL",
     "j14_lattice_candidates": "SELECT c.vid, count(*) AS n, min(c.site_id) AS first_site FROM {latcand} c GROUP BY c.vid",
-    "j15_lattice_lut": "SELECT site_id, lz, ly, lx, vid, (z - 2) % 4 = 0 AND (y - 2) % 4 = 0 AND (x - 2) % 4 = 0 AS on_lattice FROM {latsite}",
-    "j16_key_lookup": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, o.o_orderkey IS NULL AS missing FROM {lineitem} l LEFT JOIN {orders} o ON o.o_orderkey = l.l_orderkey",
     "j17_run_ratio": "SELECT a.case_name, round(a.t / nullif(b.t, 0), 6) AS ratio FROM (SELECT l_returnflag AS case_name, sum(l_quantity) AS t FROM {lineitem} WHERE l_linestatus = 'O' GROUP BY l_returnflag) a JOIN (SELECT l_returnflag AS case_name, sum(l_quantity) AS t FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY l_returnflag) b ON a.case_name = b.case_name",
     "j18_spec_join": "SELECT c.c_custkey, coalesce(nullif(n.n_name, ''), 'unknown') AS label FROM {customer} c LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey",
     "j19_resume_anti_join": "SELECT c.case_name, s.scale FROM (SELECT DISTINCT l_returnflag AS case_name FROM {lineitem}) c, (VALUES (1), (2), (4)) AS s(scale) WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_returnflag = c.case_name AND l.l_linenumber = s.scale AND l.l_quantity = 50 AND l.l_tax = 0)",
     "j20_run_grid": "SELECT stride, face_mode, dt, n_steps FROM (VALUES (2), (3), (4)) AS a(stride), (VALUES ('center'), ('geodesic')) AS b(face_mode), (VALUES (0.1), (0.2)) AS c(dt), (VALUES (900), (1800)) AS d(n_steps)",
     "j21_reference_change": "SELECT o.o_orderkey, round(abs(o.o_totalprice - m.mean) / nullif(abs(m.mean), 0), 6) AS change FROM {orders} o LEFT JOIN (SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean FROM {orders} GROUP BY o_orderpriority) m ON m.o_orderpriority = o.o_orderpriority",
     "j22_case_policy": "SELECT n.n_name AS case_name, p.policy, n.n_nationkey + p.k AS metric, coalesce(s.best, 0) AS evidence FROM {nation} n CROSS JOIN (VALUES ('default', 100), ('accurate', 200)) AS p(policy, k) LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS best FROM {supplier} GROUP BY s_nationkey) s ON s.s_nationkey = n.n_nationkey WHERE p.policy = 'default' OR n.n_nationkey = 3",
-    "j23_selection_join": "SELECT v.tag, p.p_partkey, p.p_name, p.p_partkey IS NULL AS missing FROM (VALUES (1, 'first'), (5, 'fifth'), (9, 'ninth'), (-4, 'none')) AS v(k, tag) LEFT JOIN {part} p ON p.p_partkey = v.k",
     # iterative graph operators
     "i1_geodesic_ownership": "SELECT vid, site_id, d FROM {owner}",
     "i2_weighted_distances": "SELECT vid, round(d, 5) AS d FROM {owner26}",
@@ -66,7 +61,7 @@ STATEMENTS: dict[str, str] = {
     "i5_single_source": "SELECT vid, d FROM {single}",
     "i6_shortest_path_parents": "SELECT e.dst AS vid, min(e.src) AS parent, min(a.d) + 1 AS d FROM {single} a JOIN {edge} e ON e.src = a.vid JOIN {single} b ON b.vid = e.dst AND b.d = a.d + 1 GROUP BY e.dst",
     "i7_lattice_l1": "SELECT vid, l1, site_id FROM (SELECT vid, site_id, l1, row_number() OVER (PARTITION BY vid ORDER BY l1, site_id) AS r FROM {latcand}) AS q WHERE r = 1",
-    "i14_stamped_core": "SELECT o.vid, o.site_id, round(o.d, 5) AS d FROM {labels26} o JOIN {stampradius} r ON r.site_id = o.site_id WHERE o.d <= r.radius",
+    "i14_stamped_core": "SELECT vid, site_id, round(d, 5) AS d FROM {stampcore}",
     "i15_stamping_radius": "SELECT site_id, round(radius, 6) AS radius FROM {stampradius}",
     "i22_components": "SELECT vid, root FROM {comp}",
     "i23_split_cells": "SELECT vid, label, cell_id, cell_by_site FROM {block}",
@@ -85,18 +80,14 @@ STATEMENTS: dict[str, str] = {
     "a10_cut_by_label": "SELECT label, max(total) AS total, count(*) AS parts, max(CASE WHEN r = 1 THEN n END) AS largest, max(CASE WHEN r = 2 THEN n END) AS second, sum(CASE WHEN n >= thr THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN n >= thr THEN n ELSE 0 END) AS kept_voxels, round(max(CASE WHEN r = 1 THEN n END) / CAST(max(total) AS DOUBLE), 8) AS largest_fraction FROM (SELECT c.label, c.n, t.total, t.thr, row_number() OVER (PARTITION BY c.label ORDER BY c.n DESC, c.root) AS r FROM (SELECT label, root, count(*) AS n FROM {fieldpart} GROUP BY label, root) c JOIN (SELECT label, count(*) AS total, greatest(16, ceil(0.01 * count(*))) AS thr FROM {fieldpart} GROUP BY label) t ON t.label = c.label) AS q GROUP BY label ORDER BY largest_fraction, label LIMIT 40",
     "a11_cut_breakdown": "SELECT kind, count(*) AS cells FROM (SELECT CASE WHEN r.cut = 0 THEN 'whole' WHEN s.cut = 0 THEN 'threshold' WHEN f.cut = 0 THEN 'crack' ELSE 'true' END AS kind FROM (" + CUT.format("fieldpart", 1) + ") AS r JOIN (" + CUT.format("fieldpart", 16) + ") AS s ON s.label = r.label JOIN (" + CUT.format("freepart", 16) + ") AS f ON f.label = r.label) AS k GROUP BY kind",
     "a12_cell_moments": "SELECT cell, count(*) AS volume, round(avg(x + 0.5), 6) AS cx, round(avg(y + 0.5), 6) AS cy, round(avg(z + 0.5), 6) AS cz FROM {cellvox} GROUP BY cell",
-    "a13_cell_stats": "SELECT min(n) AS min_voxels, median(n) AS median_voxels, max(n) AS max_voxels, count(*) AS cells, count(DISTINCT label) AS labels FROM (SELECT label, cell_id, count(*) AS n FROM {block} GROUP BY label, cell_id) AS c",
     "a14_cell_graph": "SELECT owner, neighbor, area, round(conductance, 6) AS conductance, round(mean_geodesic_length, 6) AS mean_geodesic_length FROM {graph}",
     "a15_face_vectors": "SELECT owner, neighbor, area, ax, ay, az, round(fx, 6) AS fx, round(fy, 6) AS fy, round(fz, 6) AS fz FROM {facegeo}",
     "a16_geodesic_metric": "SELECT owner, neighbor, round(r_owner, 6) AS r_owner, round(r_neigh, 6) AS r_neigh, round(ell, 6) AS ell, round(w_owner, 6) AS w_owner, round(w_neigh, 6) AS w_neigh, round(t, 6) AS t, round(dx, 5) AS dx, round(dy, 5) AS dy, round(dz, 5) AS dz FROM {metric}",
-    "a16_metric_summary": "SELECT count(*) AS faces, round(avg(ell), 6) AS ell_mean, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY ell), 6) AS ell_p90, round(avg(t), 6) AS t_mean FROM {metric}",
     "a17_wall_facelets": "SELECT cell, wall_area FROM {wall}",
     "a18_wall_transmissibility": "SELECT cell, round(twall, 5) AS twall FROM {twall}",
     "a19_boundary_area": "SELECT cell, sum(CASE WHEN x = lo THEN 1 ELSE 0 END) AS inlet_area, sum(CASE WHEN x = hi THEN 1 ELSE 0 END) AS outlet_area FROM {cellvox}, (SELECT min(x) AS lo, max(x) AS hi FROM {pore}) AS m GROUP BY cell",
-    "a20_wall_contacts": "SELECT max(t.total) AS total_voxels, count(*) AS fluid_voxels, round(count(*) / CAST(max(t.total) AS DOUBLE), 8) AS porosity, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 8) AS near_wall, round(avg(n), 8) AS mean_solid, percentile_cont(0.9) WITHIN GROUP (ORDER BY n) AS p90_solid, percentile_cont(0.99) WITHIN GROUP (ORDER BY n) AS p99_solid, round(sum(n) / CAST(count(*) AS DOUBLE), 8) AS faces_per_fluid FROM (SELECT p.vid, coalesce(c.n, 0) AS n FROM {pore} p LEFT JOIN (SELECT vid, count(*) AS n FROM {contact} GROUP BY vid) c ON c.vid = p.vid) AS q CROSS JOIN (SELECT count(*) AS total FROM {vox}) AS t",
     "a21_component_summary": "SELECT count(*) AS parts, max(n) AS largest, round(max(n) / CAST(sum(n) AS DOUBLE), 8) AS largest_fraction, sum(CASE WHEN x0 = 0 AND x1 = 49 THEN 1 ELSE 0 END) AS spans_x, sum(CASE WHEN y0 = 0 AND y1 = 29 THEN 1 ELSE 0 END) AS spans_y, sum(CASE WHEN z0 = 0 AND z1 = top THEN 1 ELSE 0 END) AS spans_z FROM (SELECT c.root, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {comp} c JOIN {pore} p ON p.vid = c.vid GROUP BY c.root) AS q CROSS JOIN (SELECT max(z) AS top FROM {vox}) AS m",
     "a22_block_labels": "SELECT vid, label FROM {block}",
-    "a23_percentiles": "SELECT round(percentile_cont(0.9) WITHIN GROUP (ORDER BY val), 4) AS p90, round(avg(val), 4) AS mean, min(val) AS lo, max(val) AS hi FROM {pore}",
     "a24_case_preflight": "SELECT concat('layer_', CAST(idiv(v.z,4) AS STRING)) AS case_name, count(*) AS n_total, sum(CASE WHEN v.pore THEN 1 ELSE 0 END) AS n_fl, round(avg(CASE WHEN v.pore THEN 1.0 ELSE 0.0 END), 8) AS porosity, '(4, 4, 4);(2, 4, 4);(2, 2, 2)' AS strides, concat(CAST(sum(CASE WHEN v.pore AND v.z % 4 = 2 AND v.y % 4 = 2 AND v.x % 4 = 2 THEN 1 ELSE 0 END) AS STRING), ';', CAST(sum(CASE WHEN v.pore AND v.z % 2 = 1 AND v.y % 4 = 2 AND v.x % 4 = 2 THEN 1 ELSE 0 END) AS STRING), ';', CAST(sum(CASE WHEN v.pore AND v.z % 2 = 1 AND v.y % 2 = 1 AND v.x % 2 = 1 THEN 1 ELSE 0 END) AS STRING)) AS seed_counts FROM {vox} v GROUP BY idiv(v.z,4)",
     "a25_reference_groups": "SELECT l_returnflag AS case_name, count(*) AS n, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS lo, max(l_quantity) AS hi, round((max(l_quantity) - min(l_quantity)) / greatest(abs(avg(l_quantity)), 1e-300), 8) AS rel_span, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS n_true, sum(CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END) AS n_false, concat_ws(';', max(CASE WHEN l_linestatus = 'F' THEN 'F' END), max(CASE WHEN l_linestatus = 'O' THEN 'O' END)) AS sources FROM {lineitem} GROUP BY l_returnflag",
     "a26_runtime_profile": "SELECT l_linestatus AS stage, count(*) AS calls, round(sum(l_quantity), 2) AS seconds, round(avg(l_quantity), 6) AS mean FROM {lineitem} GROUP BY l_linestatus",
@@ -112,7 +103,6 @@ STATEMENTS: dict[str, str] = {
     "w4_hash_sample": "SELECT vid FROM {pore} ORDER BY (vid * 7919 + 13) % 10007, vid LIMIT 200",
     "w5_random_ids": "SELECT vid FROM {pore} WHERE (vid * 7919) % 31 = 3 ORDER BY vid LIMIT 100",
     "w7_top_labels": "SELECT cell, n FROM (SELECT cell, count(*) AS n FROM {cellvox} GROUP BY cell) AS q ORDER BY n DESC, cell LIMIT 55",
-    "w8_largest_edge": "SELECT g.owner, g.neighbor, g.area, median(v.z + CASE WHEN f.axis = 0 THEN 0.5 ELSE 0.0 END) AS mz, median(v.y + CASE WHEN f.axis = 1 THEN 0.5 ELSE 0.0 END) AS my, median(v.x + CASE WHEN f.axis = 2 THEN 0.5 ELSE 0.0 END) AS mx FROM (SELECT owner, neighbor, area FROM {graph} ORDER BY area DESC, owner, neighbor LIMIT 1) g JOIN {face} f ON f.owner = g.owner AND f.neighbor = g.neighbor JOIN {pore} v ON v.vid = f.vid GROUP BY g.owner, g.neighbor, g.area",
     "w9_best_eight": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 8",
     "w10_case_order": "SELECT n.n_name, coalesce(r.rank, 999) AS rank FROM {nation} n LEFT JOIN (VALUES (0, 2), (1, 0), (2, 1), (3, 4)) AS r(k, rank) ON r.k = n.n_regionkey ORDER BY rank, n.n_name",
     "w11_log_spaced": "SELECT DISTINCT CAST(floor(power(2.0, k / 2.0) + 0.5) AS INT) AS n FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) AS s(k)",
