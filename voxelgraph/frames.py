@@ -598,7 +598,7 @@ def i12_same_as_exact(spark, d):
 def i31_same_as_exact(spark, d):
     """The single kernels in a row: stamped balls, closure by layers, relaxation, without jumps."""
     pore = rel(spark, d, "pore")
-    filled = written(fields.closure_fill(pore, rel(spark, d, "stampcore"), ORDERS), "closed")
+    filled = written(fields.closure_fill(pore, rel(spark, d, "stampcore"), ORDERS, digits=None), "closed")
     return flooding.settled(pore, filled, ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
 
 

@@ -132,15 +132,16 @@ def moving_average(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return own.select(key, "rank").join(spread.groupBy("rank").agg((F.sum("v") / (2 * k + 1)).alias("smooth")), "rank").select(key, "smooth")
 
 
-def closure_fill(voxels: DataFrame, state: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
+def closure_fill(voxels: DataFrame, state: DataFrame, shape: Shape, most: int = 1000, digits: int | None = 6) -> DataFrame:
     """(vid, site_id, d): voxels without a label take that of the best neighbour of 26 (d + length, then least label), layer by
-    layer, until none is left that touches a labelled one. state: (vid, site_id, d) of the labelled."""
+    layer, until none is left that touches a labelled one. state: (vid, site_id, d) of the labelled. digits: lengths are rounded to."""
     place = voxels.select("vid", "z", "y", "x")
     done, layer = state, state
     for _ in range(most):
         near = neighbours(layer.join(place, "vid"), place.join(done.select("vid"), "vid", "left_anti"), CUBE, shape)
         length = F.sqrt((F.abs("dz") + F.abs("dy") + F.abs("dx")).cast("double"))
-        met = near.join(layer, "vid").select(F.col("nb").alias("vid"), F.struct(F.round(F.col("d") + length, 6).alias("d"), "site_id").alias("s"))
+        longer = F.col("d") + length if digits is None else F.round(F.col("d") + length, digits)
+        met = near.join(layer, "vid").select(F.col("nb").alias("vid"), F.struct(longer.alias("d"), "site_id").alias("s"))
         layer = written(met.groupBy("vid").agg(F.min("s").alias("s")).select("vid", "s.site_id", "s.d"), "layer")
         if layer.isEmpty():
             return done

@@ -172,5 +172,5 @@ def region_flooded(voxels: DataFrame, core: DataFrame, shape: Shape) -> tuple[Da
     for jump in jumps(voxels, shape, 2):
         state = jumped(state, jump, shape)
     after = state.select("vid", F.col("label").cast("int").alias("site_id"), "d")
-    filled = written(closure_fill(voxels, after.where("site_id IS NOT NULL"), shape), "closed")
+    filled = written(closure_fill(voxels, after.where("site_id IS NOT NULL"), shape, digits=None), "closed")
     return after, settled(voxels, filled, shape)
