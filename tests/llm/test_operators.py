@@ -336,7 +336,38 @@ def test_decontamination_of_copies_without_literal_words(spark):
     items = ["12 km 30 m 5 cm are 1234 m or how many 44 55 66", "Berlin Hamburg Bremen Kiel Rostock Dresden Leipzig Erfurt Mainz Bonn", "what is 7 times 8", "name three rivers", "Rom liegt am Tiber", "?!"]
     before, after = "then they asked about this and", "and so on as it was said"
     texts = [*(f"{before} {x} {after}" for x in items), *items, items[0].replace("30", "31").replace("44", "45").replace("1234", "999"), "Berlin Hamburg Ulm Kiel Trier Dresden Jena Erfurt Celle Bonn", "what is 7 times 9", "name three lakes"]
-    assert leaks(spark, texts, items) == [[0], [1], [2], [3], [4], [], [0], [1], [2], [3], [4], [], [], [], [], []]
+    assert leaks(spark, texts, items) == [[0], [1], [2], [], [], [], [0], [1], [2], [3], [4], [], [], [], [], []]
+
+
+def test_decontamination_of_items_of_few_words(spark):
+    """Items below five words are held by a line of their own, whatever its signs and case, and by nothing else."""
+    texts = ["Yes we can go home now.", "yes", "Q: ready?\nYES!\nand so on", "no\nyes no", "name three rivers of the north", "What now?\n- Name three rivers:\n", "yes yes", "name three\nrivers", "\n\nyes\n"]
+    assert leaks(spark, texts, ["Yes", "name three rivers", "no no"]) == [[], [0], [0], [], [], [1], [], [], [0]]
+
+
+def test_decontamination_windows_against_brute_force(spark):
+    """Copies of items inside random texts of their own words, against a plain search for the words in order."""
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(25)]
+    items = [" ".join(rng.choices(words, k=k)) for k in (1, 2, 4, 5, 6, 7, 8)]
+    texts = []
+    for _ in range(120):
+        own = rng.choices(words, k=rng.randint(0, 25))
+        at = rng.randint(0, len(own))
+        own[at:at] = rng.choice(items).split() if rng.random() < 0.6 else []
+        cut = rng.randint(0, len(own))
+        texts.append("\n".join(x for x in (" ".join(own[:cut]), " ".join(own[cut:])) if x))
+    want = []
+    for t in texts:
+        held = []
+        for i, item in enumerate(items):
+            if len(item.split()) < 5:
+                held += [i] * (item in t.split("\n"))
+            else:
+                held += [i] * (f" {item} " in f" {' '.join(t.split())} ")
+        want.append(held)
+    got = leaks(spark, texts, items)
+    assert got == want and sum(map(len, want)) > 40
 
 
 def test_repeated_words_of_a_long_text(spark):

@@ -16,7 +16,8 @@ SHARE percent of these holds the item too, be it all numbers and names, unless t
 
 Defined results: null and empty texts hold nothing; items with fewer than WINDOW words are one window of all their words,
 held against all windows of that length in the documents, by symbols if at least LITERAL of these are words and verbatim
-always, so that an item of one word is held by every document with that word; items without a word are never held;
+always; items with fewer than ALONE words say too little inside a sentence and are held only by a line that has these words and no
+others ("Yes" by a line or a document "yes", not by every text with that word); items without a word are never held;
 equal rows and rows that share a doc_id are one document (see
 exchange.unique_documents); null items are left out; an empty table gives an empty table; further columns are ignored.
 """
@@ -37,6 +38,8 @@ from .substring_dedup import _columns
 from .toxicity import Grammar, lowered, word_key
 
 WINDOW, LITERAL, SHARE, SMALL, DRIFT = 8, 5, 40, 2_000_000, 16
+#: Items with fewer words are held only by a line of their own.
+ALONE = 5
 #: Units; fixed values.
 UNITS = "m cm mm km kg g mg lb lbs oz l ml s sec secs min mins h hr hrs hour hours day days week weeks month months year years percent dollar dollars usd euro euros eur mile miles meter meters metre metres gram grams liter liters litre litres inch inches foot feet".split()
 PLAIN = np.ones(256, dtype=bool)
@@ -51,13 +54,14 @@ DIGIT = np.zeros(256, dtype=bool)
 DIGIT[48:58] = True
 
 
-def symbols(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template symbols and plain hashes of all words, and the offsets of each text's words."""
+def symbols(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template symbols and plain hashes of all words, the offsets of each text's words, and the line of each word."""
     text = lowered(blob)
     starts, ends, at = K.words(text, offsets, PLAIN)
     plain = K.words_hash(text, starts, ends)
     if not len(starts):
-        return plain, plain, at
+        return plain, plain, at, starts
+    line = np.cumsum(blob == 10)[starts] + np.repeat(np.arange(len(at) - 1), np.diff(at))  # a text's end ends a line
     digits = np.concatenate(([0], np.cumsum(DIGIT[blob])))
     stops = np.concatenate(([0], np.cumsum(STOPS[blob])))
     before = np.concatenate(([0], ends[:-1]))
@@ -68,7 +72,7 @@ def symbols(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out[begins] = plain[begins]
     out[Grammar.among(plain, UNIT_KEYS)] = UNIT
     out[digits[ends] > digits[starts]] = NUMBER
-    return out, plain, at
+    return out, plain, at, line
 
 
 def windows(blob: np.ndarray, offsets: np.ndarray, short: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,13 +84,18 @@ def windows(blob: np.ndarray, offsets: np.ndarray, short: list[int] | None) -> t
 
     short: lengths of the windows besides those of WINDOW words; if None, texts under WINDOW words are one window.
     """
-    sym, plain, at = symbols(blob, offsets)
+    sym, plain, at, line = symbols(blob, offsets)
+    begins, ends = np.append(True, line[1:] != line[:-1]), np.append(line[1:] != line[:-1], True)
     literal = np.concatenate(([0], np.cumsum(sym == plain)))
     n = np.diff(at)
     parts = []
     for k in [WINDOW, *(short or [])]:
         full = np.maximum(n - k + 1, 0)
-        parts.append((np.repeat(np.arange(len(n)), full), K.ranges(at[:-1], full), np.full(int(full.sum()), k)))
+        own, pos = np.repeat(np.arange(len(n)), full), K.ranges(at[:-1], full)
+        if k < ALONE:
+            whole = begins[pos] & ends[pos + k - 1] & (line[pos] == line[pos + k - 1])
+            own, pos = own[whole], pos[whole]
+        parts.append((own, pos, np.full(len(pos), k)))
     if short is None:
         few = np.flatnonzero((n > 0) & (n < WINDOW))
         parts.append((few, at[few], n[few]))
@@ -172,7 +181,7 @@ def found(docs: DataFrame, benchmark: DataFrame, most: int = SMALL) -> DataFrame
     # at most WINDOW - 1 lengths
     short = sorted(r[0] for r in own.select("size").where(F.col("size") < WINDOW).distinct().collect())
     # besides these only hashes of at most `most` windows are collected, and broadcast as one array
-    keys = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))) if small else None
+    keys = spark.sparkContext.broadcast(np.unique(own.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64))) if small else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,9 +6,9 @@ table of runs (at most `capacity` lengths, a few runs of gaps for each) stands f
 least gap that holds them: in descending order of size gaps raise a balance and pieces lower it, so a piece meets the last gap
 before it on its own level, and pieces that want the same gap are told apart by rank, longest first. What found a gap is placed,
 the gaps are updated, and the next round follows until no gap holds any of the class; the rest opens sequences, and the next
-class begins. While there are at most FEW runs (a run for each length, so at most `capacity`), all rounds are one task's; with more
-lengths each round is a DataFrame over the runs, written to the shared folder. Every piece then finds its place from its rank
-within its length, which is counted distributedly (ranges first, then within ranges).
+class begins. A round is a sweep over at most `capacity` rows whatever the number of documents (a run for each length), so the
+rounds are one task's; what grows with the corpus is spread: lengths are counted, and every piece finds its place from its rank
+within its length, counted distributedly too (ranges first, then within ranges).
 
 Defined results: null or empty text is the end id alone; texts above the capacity are cut into full pieces and a rest; equal rows
 and rows that share a doc_id are one document (see exchange.unique_documents); an empty table gives an empty table; further
@@ -23,102 +23,32 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import rows, ship, unique_documents, written
 from .tokens import encoder
 
 END = b"\0\0\0\0"
-#: Lengths whose rounds one task makes, counted first; beyond that every round is a job of its own.
-FEW = 1 << 16
 MOVE = "length bigint, first bigint, n bigint, each bigint, sequence bigint, at bigint"
 #: Sequences opened at a time for pieces that don't fill one with their like, against what these fill together.
 SPARE = 1.0
-#: Runs: l pieces (length, first rank, number), g gaps (size, number, first sequence), m moves (length, first rank, number of pieces,
-#: pieces for each sequence, first sequence, place in it).
-RUN = ["kind", "size", "first", "n", "each", "seq", "at"]
-
-
-def run(kind: str, size: Column, first: Column, n: Column, each: Column, seq: Column, at: Column) -> Column:
-    own = zip(RUN[1:], (size, first, n, each, seq, at), strict=True)
-    return F.struct(F.lit(kind).alias("kind"), *(x.cast("bigint").alias(c) for c, x in own))
-
-
-def split(length: str, first: str, n: str, each: Column) -> Column:
-    """Units of `each` pieces, and one unit of the rest: structs (units, pieces, rank)."""
-    whole, rest = F.floor(F.col(n) / each), F.col(n) % each
-    both = F.array(F.struct(whole.alias("units"), each.cast("bigint").alias("pieces"), F.col(first).alias("rank")), F.struct(F.lit(1).cast("bigint").alias("units"), rest.alias("pieces"), (F.col(first) + whole * each).alias("rank")))
-    return F.filter(both, lambda x: (x["units"] > 0) & (x["pieces"] > 0))
-
-
-def swept(runs: DataFrame, low: float, top: float, capacity: int) -> DataFrame:
-    """Runs after one sweep of the lengths in (low, top] over the gaps, with the moves that it makes."""
-    none = F.lit(None).cast("bigint")
-    inside = (F.col("kind") == "l") & (F.col("size") > low) & (F.col("size") <= top)
-    passive = runs.where("kind = 'l'").where(~inside)
-    # the successor of every length among the gaps: what the least gap holds, any other holds
-    by_size = Window.orderBy("size", F.desc("kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    least = F.first(F.when(F.col("kind") == "g", F.col("size")), ignorenulls=True).over(by_size)
-    own = runs.where("kind = 'g'").unionByName(runs.where(inside)).coalesce(1).withColumn("least", least)
-    unfit = own.where("kind = 'l' AND least IS NULL").select(*RUN)
-    pieces = own.where("kind = 'l' AND least IS NOT NULL").select("size", F.explode(split("size", "first", "n", F.floor(F.col("least") / F.col("size")))).alias("u")).select("size", F.lit(0).alias("gap"), "u.units", "u.pieces", "u.rank", none.alias("seq"))
-    gaps = own.where("kind = 'g'").select("size", F.lit(1).alias("gap"), F.col("n").alias("units"), none.alias("pieces"), none.alias("rank"), "seq")
-    order = Window.orderBy(F.desc("size"), F.desc("gap"), F.desc("pieces"), "seq")
-    up = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = gaps.unionByName(pieces).coalesce(1).withColumn("o", F.row_number().over(order)).withColumn("sum", F.sum(F.when(F.col("gap") == 1, F.col("units")).otherwise(-F.col("units"))).over(up))
-    events = events.withColumn("b", F.col("sum") - F.least(F.lit(0), F.min("sum").over(up))).withColumn("before", F.coalesce(F.lag("b").over(Window.orderBy("o")), F.lit(0)))
-    events = written(events.select("*", F.least("b", "before").alias("lo"), F.greatest("b", "before").alias("hi")), "events").coalesce(1)
-    # levels of the balance, cut wherever a run begins or ends
-    cuts = events.select(F.explode(F.array("lo", "hi")).alias("end")).distinct().coalesce(1)
-    cuts = cuts.withColumn("level", F.row_number().over(Window.orderBy("end"))).withColumn("begin", F.lag("end").over(Window.orderBy("end")))
-    spread = events.join(cuts.select(F.col("end").alias("lo"), F.col("level").alias("from")).hint("merge"), "lo").join(cuts.select(F.col("end").alias("hi"), F.col("level").alias("to")).hint("merge"), "hi")
-    spread = spread.where("to > from").withColumn("level", F.explode(F.sequence(F.col("from") + 1, F.col("to")))).join(cuts.hint("merge"), "level")
-    level = Window.partitionBy("level").orderBy("o")
-    spread = spread.withColumns({f"gap_{c}": F.lag(c).over(level) for c in ("size", "seq", "before")}).withColumn("next", F.lead("o").over(level))
-    n, first = F.col("end") - F.col("begin"), F.col("gap_seq") + F.col("begin") - F.col("gap_before")
-    moved = spread.where("gap = 0")
-    move = run("m", F.col("size"), F.col("rank") + (F.col("before") - F.col("end")) * F.col("pieces"), n * F.col("pieces"), F.col("pieces"), first, capacity - F.col("gap_size"))
-    smaller = run("g", F.col("gap_size") - F.col("size") * F.col("pieces"), none, n, none, first, none)
-    kept = spread.where("gap = 1 AND next IS NULL").select(run("g", F.col("size"), none, n, none, F.col("seq") + F.col("begin") - F.col("before"), none).alias("r"))
-    left = events.where("gap = 0 AND units > before - b").groupBy("size").agg(F.min(F.col("rank") + (F.col("before") - F.col("b")) * F.col("pieces")).alias("first"), F.sum((F.col("units") - F.col("before") + F.col("b")) * F.col("pieces")).alias("n"))
-    left = left.select(run("l", F.col("size"), F.col("first"), F.col("n"), none, none, none).alias("r"))
-    out = moved.select(F.explode(F.array(move, smaller)).alias("r")).unionByName(kept).unionByName(left).select("r.*")
-    return out.unionByName(passive).unionByName(unfit).where("kind <> 'g' OR size > 0").coalesce(1)
-
-
-def opened(runs: DataFrame, low: float, top: float, capacity: int, sequences: int, rests: int) -> DataFrame:
-    """Runs after the lengths in (low, top] have opened sequences from number `sequences` on: every one that a length fills by
-    itself, and for the rests of the lengths as many as `rests`, the longest first; the other rests go on sweeping."""
-    none = F.lit(None).cast("bigint")
-    inside = (F.col("kind") == "l") & (F.col("size") > low) & (F.col("size") <= top)
-    each = F.floor(capacity / F.col("size"))
-    units = runs.where(inside).select("size", F.explode(split("size", "first", "n", each)).alias("u")).select("size", "u.*").coalesce(1)
-    units = units.withColumn("rest", F.col("pieces") < each).withColumn("r", F.row_number().over(Window.partitionBy("rest").orderBy(F.desc("size")))).withColumn("open", ~F.col("rest") | (F.col("r") <= rests))
-    before = Window.orderBy(F.desc("open"), F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    units = units.withColumn("seq", sequences + F.coalesce(F.sum("units").over(before), F.lit(0)))
-    move = run("m", F.col("size"), F.col("rank"), F.col("units") * F.col("pieces"), F.col("pieces"), F.col("seq"), F.lit(0))
-    gap = run("g", capacity - F.col("size") * F.col("pieces"), none, F.col("units"), none, F.col("seq"), none)
-    wait = run("l", F.col("size"), F.col("rank"), F.col("pieces"), none, none, none)
-    out = units.select(F.explode(F.when(F.col("open"), F.array(move, gap)).otherwise(F.array(wait))).alias("r")).select("r.*")
-    return out.unionByName(runs.where("kind <> 'm'").where(~inside)).where("kind <> 'g' OR size > 0").coalesce(1)
-
-
-def moves(lengths: DataFrame, capacity: int, few: int = FEW) -> DataFrame:
+
+
+def moves(lengths: DataFrame, capacity: int) -> DataFrame:
     """(length, first, n, each, sequence, at) from (length, n): pieces of that length with ranks first .. first + n - 1 go to
     sequences sequence, sequence + 1, ..., `each` of them to one, from place `at` on."""
-    if lengths.count() > few:
-        return rounds_by_jobs(lengths, capacity)
 
     def place(table: pa.Table) -> pa.Table:
         own = Rounds(dict(zip(table.column("length").to_pylist(), table.column("n").to_pylist(), strict=True)), capacity)
         return pa.table([pa.array(x, pa.int64()) for x in zip(*own.run(), strict=True)], [x.split()[0] for x in MOVE.split(", ")])
 
-    return lengths.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(place, MOVE)
+    ship(lengths.sparkSession)
+    return lengths.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(place, MOVE)  # a row for each length up to the capacity
 
 
 class Rounds:
-    """The rounds over runs in one place; the same sweeps as swept() and opened()."""
+    """The rounds over runs of pieces and gaps."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity, self.sequences, self.moves = capacity, 0, []
@@ -190,26 +120,6 @@ class Rounds:
                 self.sequences += units
 
 
-def rounds_by_jobs(lengths: DataFrame, capacity: int) -> DataFrame:
-    """moves() with a job for each round. What reaches the driver is one row after each."""
-    none = F.lit(None).cast("bigint")
-    runs = written(lengths.select(run("l", F.col("length"), F.lit(0), F.col("n"), none, none, none).alias("r")).select("r.*").coalesce(1), "runs").coalesce(1)
-    files, sequences, top = [], 0, float(capacity)
-    while top >= 1:
-        low = top / 2 if 16 * top > capacity else 0  # what is short fits nearly anywhere
-        inside = f"kind = 'l' AND size > {low} AND size <= {top}"
-        now = runs.agg(F.max(F.expr("CASE WHEN kind = 'g' THEN size END")), F.min(F.expr(f"CASE WHEN {inside} THEN size END")), F.max(F.expr("CASE WHEN kind = 'm' THEN seq + CAST(ceil(n / each) AS BIGINT) END")), F.sum(F.expr(f"CASE WHEN {inside} THEN n % CAST(floor({capacity} / size) AS BIGINT) * size END"))).first()
-        sequences = max(sequences, now[2] or 0)
-        if now[1] is None:
-            top = low
-            continue
-        step = swept(runs, low, top, capacity) if now[0] is not None and now[0] >= now[1] else opened(runs, low, top, capacity, sequences, max(1, int(SPARE * now[3] / capacity)))
-        runs = written(step, "runs").coalesce(1)
-        files += runs.inputFiles()
-    every = runs.sparkSession.read.schema(runs.schema).parquet(*files).where("kind = 'm'") if files else runs.where("kind = 'm'")
-    return every.select(F.col("size").alias("length"), "first", "n", "each", F.col("seq").alias("sequence"), "at")
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32)."""
     ship(docs.sparkSession)
