@@ -206,21 +206,27 @@ def _stampcore(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, d, "stampcore", build)
 
 
+def _blocks(voxels: DataFrame) -> DataFrame:
+    label = (F.floor(F.col("z") / 3) * 6 + F.floor(F.col("y") / 5)) * 10 + F.floor(F.col("x") / 5)
+    return voxels.select("vid", "z", "y", "x", label.cast("bigint").alias("label"))
+
+
 def _fieldlabel(spark: SparkSession, d: str) -> DataFrame:
     """Block labels with every eleventh voxel unlabelled."""
-    label = (F.floor(F.col("z") / 3) * 6 + F.floor(F.col("y") / 5)) * 10 + F.floor(F.col("x") / 5)
-    return _pore(spark, d).where("vid % 11 <> 0").select("vid", "z", "y", "x", label.cast("bigint").alias("label"))
+    return _blocks(_pore(spark, d).where("vid % 11 <> 0"))
 
 
-def _seeded(parts: DataFrame) -> DataFrame:
-    seeds = parts.groupBy("label").agg(F.max("vid").alias("top"))
+def _seeded(parts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The seed of a label is its last voxel; of: where it is looked for, if not in the parts themselves."""
+    seeds = (of or parts).groupBy("label").agg(F.max("vid").alias("top"))
     return parts.join(seeds, "label").select("vid", "label", "root", (F.col("vid") == F.col("top")).alias("seed"))
 
 
 def _fieldpart(spark: SparkSession, d: str) -> DataFrame:
     def build(s: SparkSession, p: str) -> DataFrame:
+        """Seeds are chosen before voxels lose their label, so that some labels have lost their seed."""
         own = _fieldlabel(s, p)
-        return _seeded(own.select("vid", "label").join(fields.components(own, grid.ORDERS, "label"), "vid"))
+        return _seeded(own.select("vid", "label").join(fields.components(own, grid.ORDERS, "label"), "vid"), _blocks(_pore(s, p)))
 
     return kept(spark, d, "fieldpart", build)
 
@@ -393,7 +399,7 @@ PRELUDE: dict[str, tuple[str, tuple[str, ...]]] = {
     "stampcore": ("SELECT o.vid, o.site_id, o.d FROM labels26 o JOIN stampradius r ON r.site_id = o.site_id WHERE o.d <= r.radius", ('labels26', 'stampradius')),
     "fieldlabel": ("SELECT vid, label FROM labels WHERE vid % 11 <> 0", ('labels',)),
     "fparts(vid, root) USING KEY (vid)": ("SELECT vid, vid FROM fieldlabel UNION SELECT e.dst, min(r.root) FROM fparts r JOIN edge e ON e.src = r.vid JOIN fieldlabel a ON a.vid = e.src JOIN fieldlabel b ON b.vid = e.dst AND a.label = b.label JOIN recurring.fparts k ON k.vid = e.dst WHERE r.root < k.root GROUP BY e.dst", ('edge', 'fieldlabel')),
-    "fieldpart": ("SELECT vid, label, root, vid = max(vid) OVER (PARTITION BY label) AS seed FROM fparts JOIN fieldlabel USING (vid)", ('fparts(vid, root) USING KEY (vid)', 'fieldlabel')),
+    "fieldpart": ("SELECT vid, label, root, vid = top AS seed FROM fparts JOIN fieldlabel USING (vid) JOIN (SELECT label, max(vid) AS top FROM labels GROUP BY label) USING (label)", ('labels', 'fparts(vid, root) USING KEY (vid)', 'fieldlabel')),
     "freeroot(label, vid, root) USING KEY (label, vid)": ("SELECT label, vid, vid FROM fieldlabel UNION SELECT r.label, e.dst, min(r.root) FROM freeroot r JOIN edge e ON e.src = r.vid LEFT JOIN fieldlabel f ON f.vid = e.dst LEFT JOIN recurring.freeroot k ON k.label = r.label AND k.vid = e.dst WHERE (f.vid IS NULL OR f.label = r.label) AND (k.vid IS NULL OR r.root < k.root) GROUP BY r.label, e.dst", ('fieldlabel', 'edge')),
     "freepart": ("SELECT f.vid, f.label, r.root, f.vid = max(f.vid) OVER (PARTITION BY f.label) AS seed FROM fieldlabel f JOIN freeroot r ON r.label = f.label AND r.vid = f.vid", ('fieldlabel', 'freeroot(label, vid, root) USING KEY (label, vid)')),
     "ends": ("SELECT p.vid, CASE WHEN x = lo THEN 1 WHEN x = hi THEN 2 ELSE 0 END AS kind, c.root FROM pore p JOIN comp c USING (vid), (SELECT min(x) AS lo, max(x) AS hi FROM pore) m", ('pore', 'comp')),

@@ -115,11 +115,11 @@ def s6_crop_window(spark, d):
     return tables.tiff_window(spark, path, (1, 2, 3), (3, 4, 5), 1).where("pore").select("vid", "z", "y", "x")
 
 
-@query("SELECT 'f' AS kind, count(*) AS n, count(*) AS distinct_lines FROM {exposed} WHERE vid < 1500 UNION ALL SELECT 'v', count(*), count(*) FROM (SELECT DISTINCT CASE WHEN dz > 0 THEN z + 1 WHEN dz < 0 THEN z ELSE z + a END AS vz, CASE WHEN dy > 0 THEN y + 1 WHEN dy < 0 THEN y WHEN dz <> 0 THEN y + a ELSE y + b END AS vy, CASE WHEN dx > 0 THEN x + 1 WHEN dx < 0 THEN x ELSE x + b END AS vx FROM (SELECT * FROM {exposed} JOIN {pore} USING (vid) WHERE vid < 1500), range(2) r(a), range(2) s(b) WHERE dx = 0 UNION SELECT DISTINCT z + a, y + b, CASE WHEN dx > 0 THEN x + 1 ELSE x END FROM (SELECT * FROM {exposed} JOIN {pore} USING (vid) WHERE vid < 1500), range(2) r(a), range(2) s(b) WHERE dx <> 0)")
+@query("SELECT 'f' AS kind, count(*) AS n, count(*) AS distinct_lines FROM {exposed} UNION ALL SELECT 'v', count(*), count(*) FROM (SELECT DISTINCT CASE WHEN dz > 0 THEN z + 1 WHEN dz < 0 THEN z ELSE z + a END AS vz, CASE WHEN dy > 0 THEN y + 1 WHEN dy < 0 THEN y WHEN dz <> 0 THEN y + a ELSE y + b END AS vy, CASE WHEN dx > 0 THEN x + 1 WHEN dx < 0 THEN x ELSE x + b END AS vx FROM (SELECT * FROM {exposed} JOIN {pore} USING (vid)), range(2) r(a), range(2) s(b) WHERE dx = 0 UNION SELECT DISTINCT z + a, y + b, CASE WHEN dx > 0 THEN x + 1 ELSE x END FROM (SELECT * FROM {exposed} JOIN {pore} USING (vid)), range(2) r(a), range(2) s(b) WHERE dx <> 0)")
 def s7_mesh_text(spark, d):
-    """The first plane's surface as an OBJ text, counted after reading it back."""
+    """The surface as an OBJ text, counted after reading it back."""
     path = fresh(spark, "mesh")
-    faces = rel(spark, d, "exposed").join(rel(spark, d, "pore").where("vid < 1500"), "vid")
+    faces = rel(spark, d, "exposed").join(rel(spark, d, "pore"), "vid")
     tables.mesh(faces).select("line").write.text(path)
     lines = spark.read.text(path).select(F.substring("value", 1, 1).alias("kind"), "value")
     return lines.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_lines"))
@@ -637,7 +637,7 @@ def i14_stamp_modes(spark, d):
     return own
 
 
-@query(f"WITH {_clear_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY l1, site_id) AS k FROM ways) SELECT a.vid, a.site_id, b.l1 - a.l1 AS lead, a.canonical AND coalesce(b.l1 - a.l1 >= 2, true) AS certified FROM (SELECT * FROM r WHERE k = 1) a LEFT JOIN (SELECT vid, l1 FROM r WHERE k = 2) b USING (vid)")
+@query(f"WITH runs AS MATERIALIZED ({RUNS}), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY l1, site_id) AS k FROM {{latcand}}), ends AS (SELECT vid, site_id, l1, (sz * 30 + sy) * 50 + sx AS e0, (sz * 30 + sy) * 50 + x AS e1, (sz * 30 + y) * 50 + x AS e2, vid AS e3 FROM r WHERE k = 1), one AS (SELECT e.vid, e.site_id, e.l1, coalesce(a.rx = b.rx AND b.ry = c.ry AND c.rz = p.rz, false) AS canonical FROM ends e LEFT JOIN runs a ON a.vid = e0 LEFT JOIN runs b ON b.vid = e1 AND b.y = a.y LEFT JOIN runs c ON c.vid = e2 LEFT JOIN runs p ON p.vid = e3) SELECT a.vid, a.site_id, b.l1 - a.l1 AS lead, a.canonical AND coalesce(b.l1 - a.l1 >= 2, true) AS certified FROM one a LEFT JOIN (SELECT vid, l1 FROM r WHERE k = 2) b USING (vid)")
 def i16_second_competitor(spark, d):
     """The nearest site holds for certain if the second is farther by a margin and the canonical path is free."""
     own = search.clear_paths(rel(spark, d, "latcand"), rel(spark, d, "pore"), ORDERS)
@@ -655,9 +655,9 @@ def i17_certified_core(spark, d):
     return rel(spark, d, "owner").join(spacing, "site_id").select("vid", (2 * F.col("d") < F.col("spacing")).alias("core"))
 
 
-@query("WITH e AS (SELECT src, dst, dz, dy, dx FROM {edge26}), e2 AS (SELECT a.src, b.dst, a.dz, a.dy, a.dx FROM e a JOIN e b ON b.src = a.dst AND b.dz = a.dz AND b.dy = a.dy AND b.dx = a.dx), e4 AS (SELECT a.src, b.dst, a.dz, a.dy, a.dx FROM e2 a JOIN e2 b ON b.src = a.dst AND b.dz = a.dz AND b.dy = a.dy AND b.dx = a.dx) SELECT p.vid, o.dz, o.dy, o.dx, CASE WHEN e4.src IS NOT NULL THEN 2 WHEN e2.src IS NOT NULL THEN 1 WHEN e.src IS NOT NULL THEN 0 ELSE -1 END AS k FROM {pore} p CROSS JOIN (SELECT i - 1 AS dz, j - 1 AS dy, l - 1 AS dx FROM range(3) r1(i), range(3) r2(j), range(3) r3(l) WHERE NOT (i = 1 AND j = 1 AND l = 1)) o LEFT JOIN e ON e.src = p.vid AND e.dz = o.dz AND e.dy = o.dy AND e.dx = o.dx LEFT JOIN e2 ON e2.src = p.vid AND e2.dz = o.dz AND e2.dy = o.dy AND e2.dx = o.dx LEFT JOIN e4 ON e4.src = p.vid AND e4.dz = o.dz AND e4.dy = o.dy AND e4.dx = o.dx")
+@query(f"WITH {LINE_RUNS}, span AS (SELECT vid, i, t, min(t) OVER w AS lo, max(t) OVER w AS hi FROM gap WINDOW w AS (PARTITION BY i, lz, ly, lx, island)) SELECT vid, s * dz AS dz, s * dy AS dy, s * dx AS dx, CAST(CASE WHEN n >= 32 THEN 5 WHEN n >= 16 THEN 4 WHEN n >= 8 THEN 3 WHEN n >= 4 THEN 2 WHEN n >= 2 THEN 1 WHEN n >= 1 THEN 0 ELSE -1 END AS INT) AS k FROM (SELECT vid, i, s, CASE WHEN s = 1 THEN hi - t ELSE t - lo END AS n FROM span, (VALUES (1), (-1)) AS v(s)) JOIN axis USING (i)")
 def i18_line_of_sight(spark, d):
-    return search.sight(rel(spark, d, "pore"), ORDERS, 2)
+    return search.sight(rel(spark, d, "pore"), ORDERS, 5)
 
 
 @query("WITH t AS (SELECT z // 4 AS tz, y // 4 AS ty, x // 4 AS tx, CASE WHEN bool_and(pore) THEN 'dense' WHEN bool_or(pore) THEN 'mixed' ELSE 'none' END AS kind, bool_or(vid % 97 = 13 AND pore) AS active FROM {vox} GROUP BY ALL) SELECT a.tz, a.ty, a.tx, a.kind, a.active, bool_or(b.active) AS dilated FROM t a JOIN t b ON abs(a.tz - b.tz) <= 1 AND abs(a.ty - b.ty) <= 1 AND abs(a.tx - b.tx) <= 1 GROUP BY ALL")

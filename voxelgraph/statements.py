@@ -7,10 +7,13 @@ from __future__ import annotations
 RUNS = "SELECT l_orderkey AS run_id, l_linenumber AS line, l_returnflag AS case_name, l_linestatus AS method, l_quantity AS e_k, l_discount AS e_phi, l_tax AS e_u, l_extendedprice AS t_total FROM {lineitem}"
 
 #: Components of labels, their sizes against a threshold, and the part that holds the label's seed: relation and least size.
-CUT = "SELECT label, parts, kept, seed_size, kept_sum, CASE WHEN kept >= 2 THEN 1 ELSE 0 END AS cut, (CASE WHEN seed_size >= thr THEN kept_sum - seed_size ELSE kept_sum END) / CAST(greatest(seed_size, 1) AS DOUBLE) AS islands FROM (SELECT c.label, count(*) AS parts, sum(CASE WHEN n >= thr THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN n >= thr THEN n ELSE 0 END) AS kept_sum, max(CASE WHEN root = seed_root THEN n ELSE 0 END) AS seed_size, max(thr) AS thr FROM (SELECT label, root, count(*) AS n FROM {{{0}}} GROUP BY label, root) c JOIN (SELECT label, greatest({1}, ceil(0.01 * count(*))) AS thr FROM {{{0}}} GROUP BY label) t ON t.label = c.label JOIN (SELECT label, root AS seed_root FROM {{{0}}} WHERE seed) z ON z.label = c.label GROUP BY c.label) AS q"
+#: For each edge the owner's wall segment in the plane of its site, at least 1.8 from the site along its normal, with the best score:
+#: margin to the domain's edge, distances to site and face, and how many voxels of either cell stand in a window of 19 x 15.
+WALL_SEGMENTS = "WITH seg AS (SELECT v.cell, v.vid, v.z, c.dy, c.dx, v.x + 0.5 + 0.5 * c.dx AS cx, v.y + 0.5 + 0.5 * c.dy AS cy, s.x + 0.5 AS sx, s.y + 0.5 AS sy FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid JOIN {site} s ON s.site_id = v.cell AND s.z = v.z WHERE c.dz = 0), far AS (SELECT *, (cx - sx) * dx + (cy - sy) * dy AS delta FROM seg WHERE (cx - sx) * dx + (cy - sy) * dy >= 1.8), near AS (SELECT f.vid, f.dy, f.dx, n.cell, count(*) AS n FROM far f JOIN {cellvox} n ON n.z = f.z AND n.y >= floor(f.cy - 7) AND n.y < ceil(f.cy + 8) AND n.x >= floor(f.cx - 8) AND n.x < ceil(f.cx + 11) GROUP BY f.vid, f.dy, f.dx, n.cell), told AS (SELECT g.owner, g.neighbor, f.vid, f.dy, f.dx, 0.65 * least(f.cx, f.cy, 50 - f.cx, 30 - f.cy) - 0.1 * sqrt((f.cx - f.sx) * (f.cx - f.sx) + (f.cy - f.sy) * (f.cy - f.sy)) + 0.05 * least(sqrt((f.cx - g.fx) * (f.cx - g.fx) + (f.cy - g.fy) * (f.cy - g.fy)), 24.0) - 0.03 * coalesce(j.n, 0) + 0.01 * coalesce(i.n, 0) - 0.45 * abs(f.cy - f.sy) - 0.12 * abs(f.delta - 3.8) AS score FROM {facegeo} g JOIN far f ON f.cell = g.owner LEFT JOIN near i ON i.vid = f.vid AND i.dy = f.dy AND i.dx = f.dx AND i.cell = g.owner LEFT JOIN near j ON j.vid = f.vid AND j.dy = f.dy AND j.dx = f.dx AND j.cell = g.neighbor) SELECT owner, neighbor, vid, dy, dx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY owner, neighbor ORDER BY round(score, 9) DESC, vid, dy, dx) AS r FROM told) AS q WHERE r = 1"
+CUT = "SELECT label, parts, kept, seed_size, kept_sum, lost, CASE WHEN kept >= 2 OR lost THEN 1 ELSE 0 END AS cut, CASE WHEN lost THEN CAST('Infinity' AS DOUBLE) ELSE (CASE WHEN seed_size >= thr THEN kept_sum - seed_size ELSE kept_sum END) / CAST(greatest(seed_size, 1) AS DOUBLE) END AS islands FROM (SELECT c.label, count(seed_root) = 0 AS lost, count(*) AS parts, sum(CASE WHEN n >= thr THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN n >= thr THEN n ELSE 0 END) AS kept_sum, max(CASE WHEN root = seed_root THEN n ELSE 0 END) AS seed_size, max(thr) AS thr FROM (SELECT label, root, count(*) AS n FROM {{{0}}} GROUP BY label, root) c JOIN (SELECT label, greatest({1}, ceil(0.01 * count(*))) AS thr FROM {{{0}}} GROUP BY label) t ON t.label = c.label LEFT JOIN (SELECT label, root AS seed_root FROM {{{0}}} WHERE seed) z ON z.label = c.label GROUP BY c.label) AS q"
 
 #: Porosity and wall contact of blocks of five voxels.
-METRICS = "SELECT t.tz, t.ty, t.tx, t.porosity, coalesce(n.near_wall, 0) AS near_wall, coalesce(n.mean_solid, 0) AS mean_solid FROM (SELECT idiv(z,5) AS tz, idiv(y,5) AS ty, idiv(x,5) AS tx, avg(CASE WHEN pore THEN 1.0 ELSE 0.0 END) AS porosity FROM {vox} GROUP BY idiv(z,5), idiv(y,5), idiv(x,5)) t LEFT JOIN (SELECT idiv(p.z,5) AS tz, idiv(p.y,5) AS ty, idiv(p.x,5) AS tx, avg(CASE WHEN c.n > 1 THEN 1.0 ELSE 0.0 END) AS near_wall, avg(coalesce(c.n, 0) / 8.0) AS mean_solid FROM {pore} p LEFT JOIN (SELECT vid, count(*) AS n FROM {contact} GROUP BY vid) c ON c.vid = p.vid GROUP BY idiv(p.z,5), idiv(p.y,5), idiv(p.x,5)) n ON n.tz = t.tz AND n.ty = t.ty AND n.tx = t.tx"
+METRICS = "SELECT t.tz, t.ty, t.tx, t.porosity, coalesce(n.near_wall, 0) AS near_wall, coalesce(n.mean_solid, 0) AS mean_solid FROM (SELECT idiv(z,5) AS tz, idiv(y,5) AS ty, idiv(x,5) AS tx, avg(CASE WHEN pore THEN 1.0 ELSE 0.0 END) AS porosity FROM {vox} GROUP BY idiv(z,5), idiv(y,5), idiv(x,5)) t LEFT JOIN (SELECT idiv(p.z,5) AS tz, idiv(p.y,5) AS ty, idiv(p.x,5) AS tx, avg(CASE WHEN c.n > 0 THEN 1.0 ELSE 0.0 END) AS near_wall, avg(coalesce(c.n, 0) * 1.0) AS mean_solid FROM {pore} p LEFT JOIN (SELECT vid, count(*) AS n FROM {contact} GROUP BY vid) c ON c.vid = p.vid GROUP BY idiv(p.z,5), idiv(p.y,5), idiv(p.x,5)) n ON n.tz = t.tz AND n.ty = t.ty AND n.tx = t.tx"
 
 STATEMENTS: dict[str, str] = {
     # scans, sources, sinks
@@ -35,8 +38,8 @@ STATEMENTS: dict[str, str] = {
     "f20_boolean_text": "SELECT o_orderkey, lower(trim(o_orderstatus)) IN ('f', 'true', '1', 'yes') AS flag FROM {orders}",
     "f21_row_lookup": "SELECT c_custkey, least(greatest(coalesce(c_acctbal, 0), 0), 5000) AS clipped FROM {customer} WHERE c_mktsegment LIKE '%O%'",
     "f22_exposed_faces": "SELECT vid, dz, dy, dx FROM {exposed}",
-    "f23_pair_faces": "SELECT f.owner, f.neighbor, f.vid, f.nb, f.axis, f.sign, CAST(NULL AS BIGINT) AS solid FROM {face} f JOIN (SELECT owner, neighbor FROM {graph} ORDER BY area DESC, owner, neighbor LIMIT 5) t ON t.owner = f.owner AND t.neighbor = f.neighbor UNION ALL SELECT v.cell, -1, c.vid, c.nb, 2 - abs(c.dx) * 0 - abs(c.dy) * 1, c.dx + c.dy, c.nb FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid WHERE c.dz = 0 AND v.z = 3",
-    "f24_best_wall_segment": "SELECT y, x, dy, dx, score FROM (SELECT w.y, w.x, w.dy, w.dx, w.own - 2 * w.other + CASE WHEN w.dx <> 0 THEN 1 ELSE 0 END AS score, row_number() OVER (ORDER BY w.own - 2 * w.other + CASE WHEN w.dx <> 0 THEN 1 ELSE 0 END DESC, w.vid, w.dy, w.dx) AS r FROM (SELECT c.vid, v.y, v.x, c.dy, c.dx, sum(CASE WHEN n.cell = v.cell THEN 1 ELSE 0 END) AS own, sum(CASE WHEN n.cell <> v.cell THEN 1 ELSE 0 END) AS other FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid AND v.z = 2 CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) AS a(oy) CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) AS b(ox) JOIN {cellvox} n ON n.vid = v.vid + a.oy * 50 + b.ox WHERE c.dz = 0 AND n.x = v.x + b.ox AND n.y = v.y + a.oy GROUP BY c.vid, v.y, v.x, c.dy, c.dx) w) AS q WHERE r <= 10",
+    "f23_pair_faces": "SELECT f.owner, f.neighbor, f.vid, f.nb, f.axis, f.sign, CAST(NULL AS BIGINT) AS solid FROM {face} f UNION ALL SELECT v.cell, -1, c.vid, c.nb, 2 - abs(c.dx) * 0 - abs(c.dy) * 1, c.dx + c.dy, c.nb FROM {contact} c JOIN {cellvox} v ON v.vid = c.vid WHERE c.dz = 0",
+    "f24_best_wall_segment": WALL_SEGMENTS,
     "f27_affine_projection": "SELECT vid, round(x / 49.0 * 1000, 3) AS px, round(y / 29.0 * 600, 3) AS py FROM {vox}",
     # joins
     "j1_adjacency6": "SELECT src, dst FROM {edge}",
@@ -76,7 +79,7 @@ STATEMENTS: dict[str, str] = {
     "a6_label_mismatch": "SELECT count(*) AS n, sum(CASE WHEN coalesce(o.site_id, -1) <> coalesce(CAST(b.label AS INT), -1) THEN 1 ELSE 0 END) AS mismatches FROM {owner} o FULL OUTER JOIN {block} b ON b.vid = o.vid",
     "a7_roi_fraction": "SELECT round(avg(CASE WHEN d > 2 THEN 1.0 ELSE 0.0 END), 8) AS eta_roi, round(1 - avg(CASE WHEN d > 2 THEN 1.0 ELSE 0.0 END), 8) AS eta_stamp FROM {owner}",
     "a8_accuracy": "SELECT round(avg(abs(o.d - w.d)), 5) AS mae, round(sqrt(avg((o.d - w.d) * (o.d - w.d))), 5) AS rmse, round(max(abs(o.d - w.d)), 5) AS max_err, round(coalesce(avg(CASE WHEN w.d > 1e-9 THEN abs(o.d - w.d) / w.d END), 0), 5) AS mre, round(avg(CASE WHEN o.site_id = w.site_id THEN 1.0 ELSE 0.0 END), 8) AS acc_rate, round(1 - avg(CASE WHEN o.site_id = w.site_id THEN 1.0 ELSE 0.0 END), 8) AS mismatch_rate FROM {owner} o JOIN {labels26} w ON w.vid = o.vid",
-    "a9_cut_rate": "SELECT 'strict' AS mode, round(avg(cut), 8) AS r_cut, round(avg(islands), 8) AS rho_isl FROM (" + CUT.format("fieldpart", 16) + ") AS a UNION ALL SELECT 'through_unlabelled', round(avg(cut), 8), round(avg(islands), 8) FROM (" + CUT.format("freepart", 16) + ") AS b",
+    "a9_cut_rate": "SELECT 'strict' AS mode, round(avg(cut), 8) AS r_cut, round(avg(islands), 8) AS rho_isl, round(avg(CASE WHEN NOT lost THEN islands END), 8) AS rho_seeded, sum(CASE WHEN lost THEN 1 ELSE 0 END) AS unseeded FROM (" + CUT.format("fieldpart", 16) + ") AS a UNION ALL SELECT 'through_unlabelled', round(avg(cut), 8), round(avg(islands), 8), round(avg(CASE WHEN NOT lost THEN islands END), 8), sum(CASE WHEN lost THEN 1 ELSE 0 END) FROM (" + CUT.format("freepart", 16) + ") AS b",
     "a10_cut_by_label": "SELECT label, max(total) AS total, count(*) AS parts, max(CASE WHEN r = 1 THEN n END) AS largest, max(CASE WHEN r = 2 THEN n END) AS second, sum(CASE WHEN n >= thr THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN n >= thr THEN n ELSE 0 END) AS kept_voxels, round(max(CASE WHEN r = 1 THEN n END) / CAST(max(total) AS DOUBLE), 8) AS largest_fraction FROM (SELECT c.label, c.n, t.total, t.thr, row_number() OVER (PARTITION BY c.label ORDER BY c.n DESC, c.root) AS r FROM (SELECT label, root, count(*) AS n FROM {fieldpart} GROUP BY label, root) c JOIN (SELECT label, count(*) AS total, greatest(16, ceil(0.01 * count(*))) AS thr FROM {fieldpart} GROUP BY label) t ON t.label = c.label) AS q GROUP BY label ORDER BY largest_fraction, label LIMIT 40",
     "a11_cut_breakdown": "SELECT kind, count(*) AS cells FROM (SELECT CASE WHEN r.cut = 0 THEN 'whole' WHEN s.cut = 0 THEN 'threshold' WHEN f.cut = 0 THEN 'crack' ELSE 'true' END AS kind FROM (" + CUT.format("fieldpart", 1) + ") AS r JOIN (" + CUT.format("fieldpart", 16) + ") AS s ON s.label = r.label JOIN (" + CUT.format("freepart", 16) + ") AS f ON f.label = r.label) AS k GROUP BY kind",
     "a12_cell_moments": "SELECT cell, count(*) AS volume, round(avg(x + 0.5), 6) AS cx, round(avg(y + 0.5), 6) AS cy, round(avg(z + 0.5), 6) AS cz FROM {cellvox} GROUP BY cell",
@@ -93,7 +96,7 @@ STATEMENTS: dict[str, str] = {
     "a26_runtime_profile": "SELECT l_linestatus AS stage, count(*) AS calls, round(sum(l_quantity), 2) AS seconds, round(avg(l_quantity), 6) AS mean FROM {lineitem} GROUP BY l_linestatus",
     "a28_case_series": "SELECT l_returnflag AS case_name, l_linenumber AS step, round(avg(l_discount), 6) AS v FROM {lineitem} GROUP BY l_returnflag, l_linenumber",
     "a29_projection_audit": "SELECT kind, edges, max_abs_before, l2_before, small_after FROM (SELECT kind, count(*) AS edges FROM {fluxes} GROUP BY kind) k CROSS JOIN (SELECT round(max(abs(div)), 5) AS max_abs_before, round(sqrt(sum(div * div)), 5) AS l2_before, max(abs(after)) < 1e-6 AS small_after FROM {balance}) b",
-    "a30_stage_audit": "SELECT sites > 20 AND assigned = 1.0 AND cells >= owned AND facelets > 0 AND edges > 0 AND projected >= edges AND worst < 0.0001 AS passed, sites, assigned, cells, facelets, edges, projected, missing FROM (SELECT (SELECT count(*) FROM {site}) AS sites, (SELECT round(avg(CASE WHEN o.vid IS NULL THEN 0.0 ELSE 1.0 END), 8) FROM {pore} p JOIN (SELECT DISTINCT k.root FROM {comp} k JOIN {site} s ON s.vid = k.vid) r ON TRUE JOIN {comp} c ON c.vid = p.vid AND c.root = r.root LEFT JOIN {owner} o ON o.vid = p.vid) AS assigned, (SELECT count(DISTINCT cell) FROM {cellvox}) AS cells, (SELECT count(DISTINCT site_id) FROM {owner}) AS owned, (SELECT count(*) FROM {face}) AS facelets, (SELECT count(*) FROM {graph}) AS edges, (SELECT count(*) FROM {fluxes}) AS projected, (SELECT max(abs(after)) FROM {balance}) AS worst, (SELECT count(*) FROM (VALUES ('sites'), ('ownership'), ('cells')) AS w(name) WHERE w.name NOT IN (SELECT 'sites' UNION ALL SELECT 'ownership' UNION ALL SELECT 'cells')) AS missing) AS q",
+    "a30_stage_audit": "SELECT sites > 20 AND assigned = 1.0 AND cells >= owned AND facelets > 0 AND edges > 0 AND projected >= edges AND worst < 0.0001 AS passed, sites, assigned, cells, facelets, edges, projected, missing FROM (SELECT (SELECT count(*) FROM {site}) AS sites, (SELECT round(avg(CASE WHEN o.vid IS NULL THEN 0.0 ELSE 1.0 END), 8) FROM {pore} p JOIN (SELECT DISTINCT k.root FROM {comp} k JOIN {site} s ON s.vid = k.vid) r ON TRUE JOIN {comp} c ON c.vid = p.vid AND c.root = r.root LEFT JOIN {owner} o ON o.vid = p.vid) AS assigned, (SELECT count(DISTINCT cell) FROM {cellvox}) AS cells, (SELECT count(DISTINCT site_id) FROM {owner}) AS owned, (SELECT count(*) FROM {face}) AS facelets, (SELECT count(*) FROM {graph}) AS edges, (SELECT count(*) FROM {fluxes}) AS projected, (SELECT max(abs(after)) FROM {balance}) AS worst, (SELECT count(*) FROM (VALUES ('sites'), ('ownership'), ('cells'), ('facelets'), ('edges'), ('projection'), ('walls')) AS w(name) LEFT JOIN (SELECT 'sites' AS found, count(*) AS n FROM {site} UNION ALL SELECT 'ownership', count(*) FROM {owner} UNION ALL SELECT 'cells', count(*) FROM {cellvox} UNION ALL SELECT 'facelets', count(*) FROM {face} UNION ALL SELECT 'edges', count(*) FROM {graph} UNION ALL SELECT 'projection', count(*) FROM {balance} UNION ALL SELECT 'walls', count(*) FROM {wall}) AS p ON p.found = w.name AND p.n > 0 WHERE p.found IS NULL) AS missing) AS q",
     "a31_timing_reconciliation": "SELECT run_id, line, round(seed_ms + label_ms + split_ms + geometry_ms - build_ms, 4) AS gap, abs(seed_ms + label_ms + split_ms + geometry_ms - build_ms) > 5e-4 AS breach FROM (SELECT l_orderkey AS run_id, l_linenumber AS line, l_discount * 10 AS seed_ms, l_tax * 10 AS label_ms, l_quantity / 10 AS split_ms, l_extendedprice / 1000 AS geometry_ms, l_discount * 10 + l_tax * 10 + l_quantity / 10 + l_extendedprice / 1000 + CASE WHEN l_linenumber = 7 THEN 0.002 WHEN l_linenumber = 6 THEN 0.0001 ELSE 0.0 END AS build_ms FROM {lineitem}) AS t",
     "a32_tile_fractions": "SELECT count(*) AS tiles, round(avg(CASE WHEN n_pore = n THEN 1.0 ELSE 0.0 END), 8) AS dense, round(avg(CASE WHEN n_pore = 0 THEN 1.0 ELSE 0.0 END), 8) AS empty, round(avg(CASE WHEN n_pore > 0 AND n_pore < n THEN 1.0 ELSE 0.0 END), 8) AS mixed, round(sum(n_pore) / CAST(sum(n) AS DOUBLE), 8) AS porosity, round(sum(CASE WHEN n_pore > 0 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 8) AS active_voxels FROM (SELECT idiv(z,4) AS tz, idiv(y,4) AS ty, idiv(x,4) AS tx, count(*) AS n, sum(CASE WHEN pore THEN 1 ELSE 0 END) AS n_pore FROM {vox} GROUP BY idiv(z,4), idiv(y,4), idiv(x,4)) AS q",
     # windows, sort, limit
