@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import algebra, fields, flooding, generators, grid, metric, search, stokes
+from .operators import algebra, dissection, fields, flooding, generators, grid, metric, search, stokes
 from .plans.memory import kept, written
 from .statements import STATEMENTS
 
@@ -255,7 +255,7 @@ def _resistors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _pressure(spark: SparkSession, d: str) -> DataFrame:
     def build(s: SparkSession, p: str) -> DataFrame:
-        return algebra.conjugate_gradients(*_resistors(s, p), rtol=1e-8, jacobi=True).select(F.col("row").alias("vid"), F.col("val").alias("pressure"))
+        return dissection.solved(*_resistors(s, p), _pore(s, p).withColumnRenamed("vid", "row")).select(F.col("row").alias("vid"), F.col("val").alias("pressure"))
 
     return kept(spark, d, "pressure", build)
 
@@ -266,6 +266,14 @@ def _residual(spark: SparkSession, d: str) -> DataFrame:
     return own.select(F.col("row").alias("vid"), (F.col("ax") - F.col("rhs")).alias("rest"))
 
 
+def _directrest(spark: SparkSession, d: str) -> DataFrame:
+    """(vid, pressure, rest) where conjugate gradients are stopped after two steps, so that the direct solution takes over."""
+    matrix, rhs = _resistors(spark, d)
+    x = written(dissection.solved(matrix, rhs, _pore(spark, d).withColumnRenamed("vid", "row"), most=2), "direct")
+    own = algebra.times(matrix, x).join(rhs, "row").join(x, "row")
+    return own.select(F.col("row").alias("vid"), F.col("val").alias("pressure"), (F.col("ax") - F.col("rhs")).alias("rest"))
+
+
 def _main(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Cells with volume and wall, and faces, of the largest part of the pore."""
 
@@ -339,7 +347,7 @@ def _timeloop(spark: SparkSession, d: str) -> DataFrame:
 RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vox": _vox, "pore": _pore, "site": _site, "edge": _edge, "edge26": _edge26, "forward": _forward, "wrapped": _wrapped, "owner": _owner, "owner26": _owner26,
     "single": _single, "comp": _comp, "block": _block, "cellvox": _cellvox, "face": _face, "graph": _graph, "wall": _wall, "closed": _closed, "exposed": _exposed,
-    "matrix": _matrix, "flux": _flux, "fluxes": _fluxes, "balance": _balance, "press": _press, "pressure": _pressure, "residual": _residual, "contact": _contact,
+    "matrix": _matrix, "flux": _flux, "fluxes": _fluxes, "balance": _balance, "press": _press, "pressure": _pressure, "residual": _residual, "directrest": _directrest, "contact": _contact,
     "side26": _side26, "bykey": _bykey, "cellgeo": _cellgeo, "facegeo": _facegeo, "metric": _metric, "twall": _twall, "metricflux": _metricflux, "gradient": _gradient,
     "latsite": _latsite, "latcand": _latcand, "latowner": _latowner, "stampradius": _stampradius, "stampcore": _stampcore, "fieldpart": _fieldpart, "freepart": _freepart, "labels26": _owner26,
     "resistor": lambda s, d: _resistors(s, d)[0], "resistorrhs": lambda s, d: _resistors(s, d)[1], "scalarflow": _scalarflow, "projectedflow": _projectedflow,
@@ -408,6 +416,7 @@ PRELUDE: dict[str, tuple[str, tuple[str, ...]]] = {
     "resistorrhs": ("SELECT vid AS row, CAST(sum(CASE kind WHEN 1 THEN 1 ELSE 0 END) AS DOUBLE) AS rhs FROM ohms GROUP BY vid", ('ohms',)),
     "pressure": ("SELECT row AS vid, 0.5 AS pressure FROM resistorrhs", ('resistorrhs',)),
     "residual": ("SELECT row AS vid, 0.0 AS rest FROM resistorrhs", ('resistorrhs',)),
+    "directrest": ("SELECT row AS vid, 0.5 AS pressure, 0.0 AS rest FROM resistorrhs", ('resistorrhs',)),
     "maincell": ("SELECT DISTINCT cell FROM cellvox JOIN comp USING (vid) WHERE root = (SELECT arg_max(root, n) FROM (SELECT root, count(*) - root / 1e9 AS n FROM cellvox JOIN comp USING (vid) GROUP BY root))", ('cellvox', 'comp')),
     "scalarflow": ("SELECT cell, 1.0 AS ux, TRUE AS solved FROM maincell", ('maincell',)),
     "projectedflow": ("SELECT cell, 0.0 AS div, 1 AS step FROM maincell", ('maincell',)),

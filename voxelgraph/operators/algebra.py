@@ -29,8 +29,9 @@ def times(matrix: DataFrame, vector: DataFrame, name: str = "val") -> DataFrame:
     return matrix.join(v, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("ax"))
 
 
-def krylov(row: np.ndarray, col: np.ndarray, val: np.ndarray, rhs: np.ndarray, rtol: float, most: int, jacobi: bool) -> tuple[np.ndarray, int]:
-    """X with A X = rhs, a column of conjugate gradients for each column of rhs, which stop one by one."""
+def krylov(row: np.ndarray, col: np.ndarray, val: np.ndarray, rhs: np.ndarray, rtol: float, most: int, jacobi: bool, strict: bool = True) -> tuple[np.ndarray, int]:
+    """X with A X = rhs, a column of conjugate gradients for each column of rhs, which stop one by one. Columns that don't get there
+    within `most` steps are an error, or NaN if not strict."""
     n = len(rhs)
     order = np.argsort(row, kind="stable")
     row, col, val = row[order], col[order], val[order]
@@ -53,15 +54,16 @@ def krylov(row: np.ndarray, col: np.ndarray, val: np.ndarray, rhs: np.ndarray, r
         new = (r * z).sum(axis=0)
         p = z + p * np.where(open_, new / np.where(np.abs(rz) > 1e-300, rz, 1.0), 0.0)
         rz = new
-    if open_.any():
+    if strict and open_.any():
         raise RuntimeError(f"no convergence in {most} steps")
+    x[:, open_] = np.nan
     return x, steps
 
 
-def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-8, most: int = 4000, jacobi: bool = False, few: int = FEW, columns: tuple[str, ...] = ("rhs",)) -> DataFrame:
+def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-8, most: int = 4000, jacobi: bool = False, few: int = FEW, columns: tuple[str, ...] = ("rhs",), strict: bool = True) -> DataFrame:
     """(row, val, ...) with matrix * val = rhs for a symmetric positive definite matrix.
 
-    rhs: (row, the columns); the solution of the first is named val, the others as their column with x_ before it. With at
+    If not strict, what isn't solved within `most` steps is NaN instead of an error. rhs: (row, the columns); the solution of the first is named val, the others as their column with x_ before it. With at
     most `few` entries (counted) one task holds the system and iterates in NumPy; beyond that every step is one pass over the
     distributed vectors (a product, a join and three sums that reach the driver), written so that lineage stays short.
     """
@@ -73,19 +75,19 @@ def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-8, m
             ids = np.sort(sides.column("row").to_numpy())
             b = np.stack([sides.column(c).to_numpy() for c in columns], axis=1)[np.argsort(sides.column("row").to_numpy())]
             at = [np.searchsorted(ids, entries.column(c).to_numpy()) for c in ("row", "col")]
-            x, _ = krylov(*at, entries.column("val").to_numpy(), b, rtol, most, jacobi)
+            x, _ = krylov(*at, entries.column("val").to_numpy(), b, rtol, most, jacobi, strict)
             return pa.table([pa.array(ids, pa.int64()), *x.T], ["row", *names])
 
         a, b = matrix.select(F.lit(0).alias("all"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("val").cast("double").alias("val")), rhs.select(F.lit(0).alias("all"), F.col("row").cast("bigint").alias("row"), *(F.col(c).cast("double").alias(c) for c in columns))
         return a.groupBy("all").cogroup(b.groupBy("all")).applyInArrow(solve, "row bigint, " + ", ".join(f"{n} double" for n in names))
     out = None
     for column, name in zip(columns, names, strict=True):
-        own = _distributed(matrix, rhs.select("row", F.col(column).alias("rhs")), rtol, most, jacobi).withColumnRenamed("val", name)
+        own = _distributed(matrix, rhs.select("row", F.col(column).alias("rhs")), rtol, most, jacobi, strict).withColumnRenamed("val", name)
         out = own if out is None else out.join(own, "row")
     return out
 
 
-def _distributed(matrix: DataFrame, rhs: DataFrame, rtol: float, most: int, jacobi: bool) -> DataFrame:
+def _distributed(matrix: DataFrame, rhs: DataFrame, rtol: float, most: int, jacobi: bool, strict: bool = True) -> DataFrame:
     """One column; the recurrences of Chronopoulos and Gear, so that a step has one product and one round of sums."""
     diag = matrix.where("row = col").select("row", F.col("val").alias("m")) if jacobi else rhs.select("row", F.lit(1.0).alias("m"))
     state = rhs.join(diag, "row").select("row", F.lit(0.0).alias("val"), F.col("rhs").cast("double").alias("r"), F.lit(0.0).alias("p"), F.lit(0.0).alias("s"), "m")
@@ -103,7 +105,9 @@ def _distributed(matrix: DataFrame, rhs: DataFrame, rtol: float, most: int, jaco
         gamma = new
         moved = now.withColumn("p", F.col("u") + beta * F.col("p")).withColumn("s", F.col("w") + beta * F.col("s"))
         state = moved.select("row", (F.col("val") + alpha * F.col("p")).alias("val"), (F.col("r") - alpha * F.col("s")).alias("r"), "p", "s", "m")
-    raise RuntimeError(f"no convergence in {most} steps")
+    if strict:
+        raise RuntimeError(f"no convergence in {most} steps")
+    return state.select("row", F.lit(float("nan")).alias("val"))
 
 
 def divergence(flux: DataFrame, q: str = "q") -> DataFrame:

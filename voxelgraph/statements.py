@@ -130,6 +130,7 @@ STATEMENTS: dict[str, str] = {
     "l2_resistor_matrix": "SELECT row, col, val FROM {resistor}",
     "l2_resistor_rhs": "SELECT row, rhs FROM {resistorrhs}",
     "l3_pressure_solution": "SELECT p.vid, p.pressure BETWEEN -1e-6 AND 1.000001 AS bounded, abs(r.rest) < 1e-5 AS solved FROM {pressure} p JOIN {residual} r ON r.vid = p.vid",
+    "l3_direct_fallback": "SELECT vid, pressure BETWEEN -1e-9 AND 1.000000001 AS bounded, abs(rest) < 1e-8 AS solved FROM {directrest}",
     "l4_voxel_velocity": "SELECT e.src AS vid, round(sum(greatest(a.val - b.val, 0) * e.dx), 3) AS vx, round(sum(greatest(a.val - b.val, 0) * e.dy), 3) AS vy, round(sum(greatest(a.val - b.val, 0) * e.dz), 3) AS vz FROM {edge} e JOIN {pore} a ON a.vid = e.src JOIN {pore} b ON b.vid = e.dst GROUP BY e.src",
     "l5_incidence": "SELECT owner AS cell, owner, neighbor, 1 AS b FROM {fluxes} UNION ALL SELECT neighbor, owner, neighbor, -1 FROM {fluxes} WHERE neighbor >= 0",
     "l6_target_flux": "SELECT owner, neighbor, kind, round(q, 6) AS q FROM {fluxes}",
