@@ -88,8 +88,8 @@ def test_classifiers_on_nulls_and_repeated_rows(spark):
 
 def plain_features(text: str, stems: dict[str, float]) -> list[float]:
     out = [0.0] * (len(toxicity.KINDS) + 1)
-    for clause in re.split(r"[.!?;:\n|]", text.lower()):
-        addressed = reported = False
+    for clause in re.split(r"[.!?;\n|]", text.lower()):
+        addressed = reported = waiting = False
         negated = 0
         for word in re.split(toxicity.PARTS, clause):
             if not word:
@@ -97,10 +97,13 @@ def plain_features(text: str, stems: dict[str, float]) -> list[float]:
             whole = {x: k for k, own in ((toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.THREAT, toxicity.THREATS)) for x in own}
             hits = [w for s, w in stems.items() if (word == s[:-1] if s.endswith("$") else word.startswith(s))]
             kind = toxicity.INSULT if word + "$" in stems else whole.get(word, toxicity.INSULT if hits else toxicity.OTHER)
-            if kind in (toxicity.INSULT, toxicity.THREAT):
-                name = "negated" if negated else "reported" if reported else "threat" if kind == toxicity.THREAT else "addressed" if addressed else "plain"
+            if kind == toxicity.INSULT or kind == toxicity.TARGET and waiting:
+                name = "negated" if negated else "reported" if reported else "threat" if kind == toxicity.TARGET else "addressed" if addressed else "plain"
                 out[toxicity.KINDS.index(name)] += 1
-                out[-1] += max([*hits, *([1.0] if word in whole and word + "$" not in stems else [])])
+                times = 0 if negated else toxicity.REPORTED if reported else 1
+                weight = max([*hits, *([1.0] if word in whole and word + "$" not in stems else [])])
+                out[-1] += times * weight * (toxicity.ADDRESSED if kind == toxicity.INSULT and addressed else 1)
+            waiting = kind == toxicity.THREAT or waiting and kind != toxicity.TARGET
             negated = toxicity.SCOPE if kind == toxicity.NEGATION else max(negated - 1, 0)
             addressed, reported = addressed or kind == toxicity.TARGET, reported or kind == toxicity.REPORT
     return out
@@ -119,12 +122,71 @@ def test_grammar_by_plain_reading():
 
 
 def test_composed_automaton():
-    step, write = toxicity.automaton()
-    assert len(step) == 2 * 2 * (toxicity.SCOPE + 1) * 4 and all(len(r) == toxicity.CLASSES for r in step)
+    step, write, weight = toxicity.automaton()
+    assert len(step) == len(weight) == 2 * 2 * (toxicity.SCOPE + 1) * 2 and all(len(r) == toxicity.CLASSES for r in step)
     assert all(row[toxicity.STOP] == 0 for row in step)
     assert toxicity.KINDS[write[0][toxicity.INSULT]] == "plain" and write[0][toxicity.OTHER] == -1
 
 
+def test_clauses_are_scored_not_words(spark):
+    """Negated and reported insults weigh less than plain ones, threats need a target, reports go on behind a colon."""
+    grammar = toxicity.Grammar([("idiot$", 2.5)])
+    texts = ["you idiot", "you are not an idiot", "he said you are an idiot", "he wrote: you idiot", "i will kill you", "we kill time", "the sun beat down and logs burn", "i will not hurt him", "idiot"]
+    data = [t.encode() for t in texts]
+    got = grammar.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    kinds = [[toxicity.KINDS[k] for k in np.flatnonzero(x[:-1])] for x in got]
+    assert kinds == [["addressed"], ["negated"], ["reported"], ["reported"], ["threat"], [], [], ["negated"], ["plain"]]
+    assert got[:, -1].tolist() == [3.75, 0.0, 0.9375, 0.9375, 1.0, 0.0, 0.0, 0.0, 2.5]
+
+
+def test_stems_by_plain_counting(spark):
+    """Prefixes and words of clauses without negation or report, kept by share and gain; weights are smoothed log odds."""
+    rng = random.Random(21)
+    calm = ["river", "stone", "window", "garden", "paper", "light"]
+    rows = []
+    for i in range(160):
+        words = rng.choices(calm, k=6)
+        toxic = i % 4 == 0
+        words.insert(2, rng.choice(["moronic", "moronish", "dolt"]) if toxic else rng.choice(calm))
+        tail = ". he said moronic things. that is not a dolt" if i % 3 == 0 else ""
+        rows.append((i, " ".join(words) + tail, int(toxic)))
+    own = toxicity.stems(spark.createDataFrame(rows, "doc_id int, text string, label int"), 40, 160)
+    count: dict[str, list[int]] = {}
+    for _, text, label in rows:
+        found = set()
+        for clause in re.split(r"[.!?;\n|]", text):
+            words = [w for w in re.split(toxicity.PARTS, clause) if w]
+            if not set(words) & {*toxicity.NEGATIONS, *toxicity.REPORTS}:
+                found |= {x for w in words if len(w) >= 3 for x in [w + "$", *(w[:k] for k in range(3, min(len(w), 8) + 1))]}
+        for x in found:
+            count.setdefault(x, [0, 0])[label] += 1
+    kept = {}
+    for stem, (good, bad) in count.items():
+        pure = bad / (good + bad)
+        gain = bad * math.log(pure / 0.25) + (good * math.log((1 - pure) / 0.75) if good else 0.0) if bad else 0.0
+        if pure >= toxicity.PURE and bad >= 3 and gain >= toxicity.GAIN:
+            kept[stem] = math.log((bad + 0.5) / (good + 0.5))
+    want = {s: w for s, w in kept.items() if not any(s[:k] in kept for k in range(3, len(s)))}
+    assert {s for s in want if s.startswith("mor")} and {s for s in want if s.startswith("dol")}
+    assert dict(own) == pytest.approx(want)
+
+
+def test_regression_reaches_the_least_loss():
+    """The weights' gradient is zero, and moving any of them raises the penalised loss."""
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(300, 6)))
+    y = (x[:, 0] + rng.normal(size=300) > 1).astype(float)
+    w = toxicity.regression(x, y)
+    own = toxicity.design(x)
+
+    def loss(v: np.ndarray) -> float:
+        s = own @ v
+        return float((np.logaddexp(0, s) - y * s).sum() + 0.05 * (v * v).sum())
+
+    assert all(loss(w) < loss(w + d * np.eye(len(w))[k]) for k in range(len(w)) for d in (-0.01, 0.01))
+    assert np.allclose(toxicity.apply(w, x), 1 / (1 + np.exp(-own @ w)))
+
+
 def test_likelihood_ratio_by_plain_counting(spark):
     docs = spark.createDataFrame([(i, t) for i, t in corpus()], "doc_id bigint, text string")
     got = {r.doc_id: r for r in quality_rules.judged(docs).collect()}

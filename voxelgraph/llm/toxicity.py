@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause as a string of word classes: insults and threats (whose words leave a match), targets,
-negation (a word and the SCOPE words after it) and reported speech. Each is a transition table; they are composed once into
-one automaton, whose states are tuples of theirs and whose output on an insult or threat is the kind of clause that it stands
-in: plain, addressed, negated, reported or threat. Insults are weighted stems learned from labels, the others fixed words. A
-document's score is a logistic combination of its matched clauses, not of words as such.
+Five small transducers read a clause as a string of word classes: insults (whose words are a match), threats (whose words wait
+for a target behind them: "I will kill you", but not "to kill time"), targets, negation (a word and the SCOPE words after it)
+and reported speech, which a colon or quotation mark doesn't end. Each is a transition table with weights on its arcs; they are
+composed once into one automaton, whose states are tuples of theirs and whose arcs carry the product of theirs: a match counts
+nothing behind a negation, a REPORTED share in reported speech, and ADDRESSED times behind a target. What it writes on a match is
+its kind: plain, addressed, negated, reported or threat. Insults are weighted stems learned from labels, the others fixed words.
+A document's score is a logistic combination of its matches by kind and of their weights, not of words as such.
 
 Stems and the combination are learned from at most SAMPLE documents of label 1 and OTHERS of label 0 (least hash of doc_id
-first) outside the held-out fold: stems are whole words or prefixes of 3 to 8 letters, kept if documents that have them are
-labelled toxic far more often than the sample (log-likelihood gain of at least GAIN, share of at least PURE). Words are what
+first) outside the held-out fold: stems are whole words or prefixes of 3 to 8 letters, kept if documents that have them in a clause
+without a negation or a report are labelled toxic far more often than the sample (log-likelihood gain of at least GAIN, share of
+at least PURE). Words are what
 stands between ASCII other than letters, the signs of Latin-1 and general or CJK punctuation, in lower case, in any script.
 
 Defined results: null and empty texts match nothing; without labelled rows of both kinds there are no stems and the score is
@@ -31,6 +34,8 @@ from .quality_classifier import fold, sample_ids, sigmoid
 from .substring_dedup import _columns
 
 SAMPLE, OTHERS, GAIN, PURE = 3000, 9000, 12.0, 0.9
+#: Weights of arcs: matches in reported speech, and behind a target; behind a negation they count nothing.
+REPORTED, ADDRESSED = 0.25, 1.5
 #: Words of the fixed transducers; fixed values.
 THREATS = "kill hurt destroy shoot stab murder strangle beat burn hang tue töten matar".split()
 TARGETS = "you your yours he him she her they them these those this that du ihr sie dich tu toi vous usted ustedes".split()
@@ -45,7 +50,7 @@ LETTER = np.ones(256, dtype=bool)
 LETTER[97:123] = False
 LETTER[128:] = False
 ENDS = np.zeros(256, dtype=bool)
-ENDS[list(b".!?;:\n|")] = True
+ENDS[list(b".!?;\n|")] = True
 #: What parts words, for lower-case texts on the JVM; spaced() does the same on bytes.
 PARTS = r"[\x00-\x60\x7B-\x7F\u0080-\u00BF\u2000-\u207F\u3000-\u303F]+"
 
@@ -63,37 +68,40 @@ def spaced(blob: np.ndarray) -> np.ndarray:
 
 
 class Transducer:
-    """A transition table: step[state, class] is the next state; the clause starts in state 0."""
+    """A transition table: step[state, class] is the next state, weight[state, class] what the arc multiplies a match by; the clause
+    starts in state 0."""
 
-    def __init__(self, states: int, step):
+    def __init__(self, states: int, step, weight=lambda s, c: 1.0):
         self.states = states
         self.step = np.array([[0 if c == STOP else step(s, c) for c in range(CLASSES)] for s in range(states)])
+        self.weight = np.array([[weight(s, c) for c in range(CLASSES)] for s in range(states)], dtype=float)
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both on the same string: states are pairs, numbered row by row."""
+        """Both on the same string: states are pairs, numbered row by row, and weights multiply."""
         out = Transducer(self.states * other.states, lambda s, c: 0)
         out.step = (self.step[:, None, :] * other.states + other.step[None, :, :]).reshape(out.states, CLASSES)
+        out.weight = (self.weight[:, None, :] * other.weight[None, :, :]).reshape(out.states, CLASSES)
         return out
 
 
-def automaton() -> tuple[list[list[int]], list[list[int]]]:
-    """The composed table, and the kind (index in KINDS, or -1) that it writes on each class in each state."""
-    target = Transducer(2, lambda s, c: int(s or c == TARGET))
-    report = Transducer(2, lambda s, c: int(s or c == REPORT))
-    negation = Transducer(SCOPE + 1, lambda s, c: SCOPE if c == NEGATION else max(s - 1, 0))
-    insult, threat = (Transducer(2, lambda s, c, own=own: int(c == own)) for own in (INSULT, THREAT))
+def automaton() -> tuple[list[list[int]], list[list[int]], list[list[float]]]:
+    """The composed table; the kind (index in KINDS, or -1) that it writes on each class in each state; the weights of its arcs."""
+    target = Transducer(2, lambda s, c: int(s or c == TARGET), lambda s, c: ADDRESSED if s and c == INSULT else 1.0)
+    report = Transducer(2, lambda s, c: int(s or c == REPORT), lambda s, c: REPORTED if s else 1.0)
+    negation = Transducer(SCOPE + 1, lambda s, c: SCOPE if c == NEGATION else max(s - 1, 0), lambda s, c: 0.0 if s else 1.0)
+    insult = Transducer(1, lambda s, c: 0, lambda s, c: float(c in (INSULT, TARGET)))
+    threat = Transducer(2, lambda s, c: int(c == THREAT or s and c != TARGET), lambda s, c: float(c == INSULT or s and c == TARGET))
     parts = (target, report, negation, insult, threat)
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.compose(x)
     state = np.stack(np.unravel_index(np.arange(whole.states), [x.states for x in parts]))
     write = np.full((whole.states, CLASSES), -1)
-    for s, (addressed, reported, negated, *_) in enumerate(state.T):
-        for c in (INSULT, THREAT):
-            after = state[3:, whole.step[s, c]]  # which of the two has a match
-            kind = "negated" if negated else "reported" if reported else "threat" if after[1] else "addressed" if addressed else "plain"
+    for s, (addressed, reported, negated, _, waiting) in enumerate(state.T):
+        for c in (INSULT, *([TARGET] if waiting else [])):
+            kind = "negated" if negated else "reported" if reported else "threat" if c == TARGET else "addressed" if addressed else "plain"
             write[s, c] = KINDS.index(kind)
-    return whole.step.tolist(), write.tolist()
+    return whole.step.tolist(), write.tolist(), whole.weight.tolist()
 
 
 def lowered(blob: np.ndarray) -> np.ndarray:
@@ -125,7 +133,7 @@ class Grammar:
                 self.prefix.setdefault(len(stem.encode()), {})[word_key(stem)] = weight
         self.keys = np.array(sorted(self.whole), dtype=np.uint64)
         self.prefix_keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in self.prefix.items()}
-        self.step, self.write = automaton()
+        self.step, self.write, self.weight = automaton()
 
     @staticmethod
     def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -139,7 +147,7 @@ class Grammar:
         return out
 
     def features(self, blob: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text, in lower case: matches of each kind and the sum of their weights."""
+        """For each text, in lower case: matches of each kind, and the sum of their words' weights times those of their arcs."""
         text = spaced(blob)
         starts, ends, at = K.words(text, offsets, LETTER)
         out = np.zeros((len(offsets) - 1, len(KINDS) + 1))
@@ -166,17 +174,19 @@ class Grammar:
         for c in np.unique(np.searchsorted(begin, match, side="right") - 1).tolist():
             a, b, state = int(begin[c]), int(end[c]), 0
             for i, symbol in enumerate(kind[a:b].tolist(), a):
-                wrote, state = self.write[state][symbol], self.step[state][symbol]
+                wrote, factor, state = self.write[state][symbol], self.weight[state][symbol], self.step[state][symbol]
                 if wrote >= 0:
                     out[doc[i], wrote] += 1
-                    out[doc[i], -1] += weight[i]
+                    out[doc[i], -1] += factor * weight[i]
         return out
 
 
 def stems(sample: DataFrame, toxic: int, total: int) -> list[tuple[str, float]]:
     """Learned stems and their weights: counts of documents by stem on the executors, those that pass to the driver."""
     share = max(min(toxic / total, 0.99), 0.01)
-    words = F.array_distinct(F.split("text", PARTS))
+    turned = f"(^|{PARTS})({'|'.join([*NEGATIONS, *REPORTS])})({PARTS}|$)"
+    plain = F.filter(F.split("text", r"[.!?;\n|]"), lambda c: ~F.rlike(c, F.lit(turned)))
+    words = F.array_distinct(F.split(F.array_join(plain, " "), PARTS))
     own = F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= 3, F.concat(F.array(F.concat(w, F.lit("$"))), F.transform(F.sequence(F.lit(3), F.least(F.length(w), F.lit(8))), lambda k: F.substring(w, 1, k)))).otherwise(F.array().cast("array<string>"))))
     counts = sample.select("label", F.explode(F.array_distinct(own)).alias("stem")).groupBy("stem").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
     pure = F.col("bad") / F.col("n")
@@ -187,9 +197,14 @@ def stems(sample: DataFrame, toxic: int, total: int) -> list[tuple[str, float]]:
     return [(r["stem"], float(np.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5)))) for r in shortest]
 
 
+def design(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the features, whether any weight is left, and the constant."""
+    return np.column_stack((np.log1p(x), x[:, -1] > 0, np.ones(len(x))))
+
+
 def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the constant."""
-    x = np.column_stack((np.log1p(x), (x[:, :-1].sum(axis=1) > 0), np.ones(len(x))))
+    x = design(x)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = sigmoid(x @ w)
@@ -199,7 +214,7 @@ def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return sigmoid(np.column_stack((np.log1p(x), (x[:, :-1].sum(axis=1) > 0), np.ones(len(x)))) @ w)
+    return sigmoid(design(x) @ w)
 
 
 def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, held: int = 0, most: int = SAMPLE, others: int = OTHERS) -> DataFrame:
