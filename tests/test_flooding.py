@@ -104,7 +104,8 @@ def test_stamped_cores_are_certain_and_bounded(spark):
     more = {r.vid: (r.d, r.site_id) for r in flooding.stamped(voxels, radii, shape, "D").collect()}
     every = exact(mask, rows)
     assert more.keys() > got.keys() and all(abs(more[v][0] - every[v][0]) < 1e-6 and more[v][1] == every[v][1] for v in more)
-    after, end = flooding.region_flooded(voxels, flooding.stamped(voxels, radii, shape), shape)
+    after = flooding.region_jumped(voxels, flooding.stamped(voxels, radii, shape), shape)
+    end = flooding.region_settled(voxels, after, shape)
     assert {r.vid: r.site_id for r in end.collect()} == {v: i for v, (_, i) in every.items()}
     kept = {r.vid: (r.d, r.site_id) for r in after.collect()}
     assert all(kept[v] == got[v] for v in got)

@@ -19,7 +19,7 @@ from .functions import text
 from .operators import bridging, checks, fields, flooding, generators, grid, search, thinning, tracing
 from .operators.quantiles import quantiles
 from .plans.config import RunConfig, coarse, value_list
-from .plans.memory import folder, written
+from .plans.memory import folder, kept, written
 from .plans.relaxation import contracted
 from .sources import tables
 
@@ -526,17 +526,28 @@ SITE_STATES = "SELECT vid, site_id, 0.0::DOUBLE AS d FROM {site}"
 CORE = "SELECT o.vid, o.site_id, o.d FROM {labels26} o JOIN {stampradius} r USING (site_id) WHERE o.d <= r.radius"
 
 
+def _flooded(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "flooded", lambda s, p: flooding.flooded(rel(s, p, "pore"), rel(s, p, "site"), ORDERS, relax=0))
+
+
+def _region(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "region", lambda s, p: flooding.region_jumped(rel(s, p, "pore"), rel(s, p, "stampcore"), ORDERS))
+
+
+def _region_end(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "regionend", lambda s, p: flooding.region_settled(rel(s, p, "pore"), _region(s, p), ORDERS))
+
+
 @query(f"WITH {_flood_sql(SITE_STATES, 1)} SELECT vid, site_id, round(d, 5) AS d FROM f1")
 def i13_jump_flooding(spark, d):
     """Jump flooding over the whole domain, before any relaxation: its own labels, right or not."""
-    return flooding.flooded(rel(spark, d, "pore"), rel(spark, d, "site"), ORDERS, relax=0).select("vid", "site_id", F.round("d", 5).alias("d"))
+    return _flooded(spark, d).select("vid", "site_id", F.round("d", 5).alias("d"))
 
 
 @query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
 def i13_same_as_exact(spark, d):
     """Jump flooding relaxed until nothing changes is the exact ownership."""
-    pore = rel(spark, d, "pore")
-    return flooding.settled(pore, flooding.flooded(pore, rel(spark, d, "site"), ORDERS, relax=1), ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
+    return flooding.settled(rel(spark, d, "pore"), _flooded(spark, d), ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
 
 
 def _mismatch(own: DataFrame, exact: DataFrame, stage: str) -> DataFrame:
@@ -554,7 +565,7 @@ def i13_flood_audit(spark, d):
     """How many labels of jump flooding are wrong before relaxation, and after it."""
     pore = rel(spark, d, "pore")
     exact = pore.select("vid").join(rel(spark, d, "owner26"), "vid", "left")
-    jumps = written(flooding.flooded(pore, rel(spark, d, "site"), ORDERS, relax=0), "flooded")
+    jumps = _flooded(spark, d)
     after = pore.select("vid").join(flooding.settled(pore, jumps, ORDERS), "vid", "left")
     return _mismatch(jumps, exact, "jumps").unionByName(_mismatch(after, exact, "settled"))
 
@@ -566,23 +577,21 @@ def _radii(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
 def i11_same_as_exact(spark, d):
     """Stamped cores stay closed, the region around them is flooded by jumps, closed in layers and relaxed: the exact ownership."""
-    return flooding.region_flooded(rel(spark, d, "pore"), rel(spark, d, "stampcore"), ORDERS)[1].select("vid", "site_id", F.round("d", 5).alias("d"))
+    return _region_end(spark, d).select("vid", "site_id", F.round("d", 5).alias("d"))
 
 
 @query(f"WITH {_flood_sql(CORE, 2, 'SELECT vid FROM (' + CORE + ')')} SELECT vid, site_id, round(d, 5) AS d, vid NOT IN (SELECT vid FROM closed) AS open FROM f2")
 def i11_region_jumps(spark, d):
     """The state after the jumps of the region's flooding, and which voxels were open to them."""
     core = rel(spark, d, "stampcore")
-    after, _ = flooding.region_flooded(rel(spark, d, "pore"), core, ORDERS)
-    return after.join(core.select("vid", F.lit(False).alias("open")), "vid", "left").select("vid", "site_id", F.round("d", 5).alias("d"), F.coalesce("open", F.lit(True)).alias("open"))
+    return _region(spark, d).join(core.select("vid", F.lit(False).alias("open")), "vid", "left").select("vid", "site_id", F.round("d", 5).alias("d"), F.coalesce("open", F.lit(True)).alias("open"))
 
 
 @query(f"WITH {_flood_sql(CORE, 2, 'SELECT vid FROM (' + CORE + ')')} SELECT count(*) AS voxels, round(avg(CASE WHEN vid IN (SELECT vid FROM closed) THEN 0.0 ELSE 1.0 END), 8) AS eta_roi, round(avg(CASE WHEN vid IN (SELECT vid FROM closed) THEN 1.0 ELSE 0.0 END), 8) AS eta_stamp, round(avg(CASE WHEN f2.site_id IS NULL THEN 1.0 ELSE 0.0 END), 8) AS left_open, round(avg(CASE WHEN f2.site_id IS NOT DISTINCT FROM l.site_id THEN 0.0 ELSE 1.0 END), 8) AS mismatch FROM f2 LEFT JOIN {{labels26}} l USING (vid)".replace("{{labels26}}", "{labels26}"))
 def i12_active_share(spark, d):
     """The share of voxels that the jumps are run on, what they leave without a label, and what is still wrong after them."""
     core = rel(spark, d, "stampcore")
-    after, end = flooding.region_flooded(rel(spark, d, "pore"), core, ORDERS)
-    own = after.join(end.select("vid", F.col("site_id").alias("want")), "vid", "left").join(core.select("vid", F.lit(1.0).alias("closed")), "vid", "left")
+    own = _region(spark, d).join(_region_end(spark, d).select("vid", F.col("site_id").alias("want")), "vid", "left").join(core.select("vid", F.lit(1.0).alias("closed")), "vid", "left")
     closed = F.coalesce("closed", F.lit(0.0))
     return own.agg(F.count("*").alias("voxels"), F.round(F.avg(1 - closed), 8).alias("eta_roi"), F.round(F.avg(closed), 8).alias("eta_stamp"), F.round(F.avg(F.when(F.col("site_id").isNull(), 1.0).otherwise(0.0)), 8).alias("left_open"), F.round(F.avg(F.when(F.col("site_id").eqNullSafe(F.col("want")), 0.0).otherwise(1.0)), 8).alias("mismatch"))
 
@@ -590,8 +599,9 @@ def i12_active_share(spark, d):
 @query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")
 def i12_same_as_exact(spark, d):
     """The variant that refines only the active list: cores certified by the second nearest site too, then jumps and relaxation."""
-    core = flooding.stamped(rel(spark, d, "pore"), _radii(spark, d), ORDERS, "D")
-    return flooding.region_flooded(rel(spark, d, "pore"), written(core, "core"), ORDERS)[1].select("vid", "site_id", F.round("d", 5).alias("d"))
+    pore = rel(spark, d, "pore")
+    core = written(flooding.stamped(pore, _radii(spark, d), ORDERS, "D"), "core")
+    return flooding.region_settled(pore, flooding.region_jumped(pore, core, ORDERS), ORDERS).select("vid", "site_id", F.round("d", 5).alias("d"))
 
 
 @query("SELECT vid, site_id, round(d, 5) AS d FROM {labels26}")

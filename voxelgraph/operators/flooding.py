@@ -164,13 +164,17 @@ def second_nearest(voxels: DataFrame, sites: DataFrame, shape: Shape, margin: fl
     return own.select(F.col("pid").alias("vid"), F.col("sid").cast("int").alias("site_id"), F.col("dist").alias("d"))
 
 
-def region_flooded(voxels: DataFrame, core: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Both (vid, site_id, d): after the jumps, and at the end. core: certain voxels, which stay as they are; only the others, the
-    region of interest, are asked: jumps down to two, layers for what no jump has reached, relaxation until nothing changes."""
+def region_jumped(voxels: DataFrame, core: DataFrame, shape: Shape) -> DataFrame:
+    """(vid, site_id, d) after jumps down to two in the region of interest. core: certain voxels (vid, site_id, d), which send and stay as
+    they are; only the others are asked."""
     own = core.select("vid", F.col("site_id").cast("bigint").alias("label"), "d")
     state = written(straight(voxels).join(own, "vid", "left").withColumn("open", F.col("label").isNull()), "flood")
     for jump in jumps(voxels, shape, 2):
         state = jumped(state, jump, shape)
-    after = state.select("vid", F.col("label").cast("int").alias("site_id"), "d")
+    return state.select("vid", F.col("label").cast("int").alias("site_id"), "d")
+
+
+def region_settled(voxels: DataFrame, after: DataFrame, shape: Shape) -> DataFrame:
+    """(vid, site_id, d) from the state after the jumps: layers for what none has reached, and relaxation until nothing changes."""
     filled = written(closure_fill(voxels, after.where("site_id IS NOT NULL"), shape, digits=None), "closed")
-    return after, settled(voxels, filled, shape)
+    return settled(voxels, filled, shape)
