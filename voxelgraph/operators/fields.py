@@ -149,20 +149,6 @@ def closure_fill(voxels: DataFrame, state: DataFrame, shape: Shape, most: int =
     raise RuntimeError(f"not filled after {most} layers")
 
 
-def streamlines(starts: DataFrame, voxels: DataFrame, score: str, shape: Shape, steps: int, slack: float = 0.02) -> DataFrame:
-    """(line_id, seq, vid): from (line_id, vid) each line goes on to the face neighbour of least score that it has not visited
-    (then least id), ends where there is none, where the score would rise by more than `slack`, or after `steps`."""
-    near = neighbours(voxels, voxels, FACES, shape, keep=(score,)).select("vid", "nb", F.col(score).alias("here"), F.col(f"nb_{score}").alias("there"))
-    now = starts.select("line_id", "vid", F.array("vid").alias("visited"))
-    out = now.select("line_id", F.lit(0).alias("seq"), "vid")
-    for step in range(1, steps + 1):
-        met = now.join(near, "vid").where(~F.expr("array_contains(visited, nb)"))
-        best = met.groupBy("line_id").agg(F.min(F.struct("there", "nb")).alias("b"), F.first("here").alias("here"), F.first("visited").alias("visited"))
-        now = written(best.where(F.col("b.there") <= F.col("here") + slack).select("line_id", F.col("b.nb").alias("vid"), F.array_append("visited", F.col("b.nb")).alias("visited")), "lines")
-        out = out.unionByName(now.select("line_id", F.lit(step).alias("seq"), "vid"))
-    return out
-
-
 def free_parts(labels: DataFrame, every: DataFrame, shape: Shape) -> DataFrame:
     """(vid, label, root): parts of each label (vid, z, y, x, label) joined through voxels of `every` without a label."""
     from ..plans.relaxation import contracted
