@@ -6,8 +6,8 @@ away changes no component, cavity or tunnel. Voxels of one parity of (z, y, x) a
 go at once with the same result as one by one. A round takes the eight parities in turn, each from the voxels that had a face
 to the background when the round began; voxels with one neighbour are ends of lines and stay.
 
-A round is one job: a tile with a halo of eight voxels, as deep as eight steps can reach, is thinned by one task, and keeps its own
-voxels. Rounds end when none takes a voxel away; their number follows half the thickness of the domain.
+A job makes two rounds: a block with a rim of eight voxels for each, as deep as eight steps can reach, is thinned by one task, and keeps
+its own voxels. Rounds end when none takes a voxel away; their number follows half the thickness of the domain.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
 from ..plans.memory import written
+from .blocks import Frame, blockwise
 from .grid import CUBE, Shape
 
-TILE, HALO = 32, 8
+#: How far a round reaches, and how many rounds a job makes.
+HALO, ROUNDS = 8, 2
 _AT = {o: i for i, o in enumerate(CUBE)}
 
 
@@ -67,9 +68,9 @@ def _bits(alive: np.ndarray, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def _round(alive: np.ndarray, z: np.ndarray, y: np.ndarray, x: np.ndarray, at: np.ndarray, n: int) -> None:
-    """Takes voxels away in place; z, y, x: true coordinates of the voxels at `at` in a flat cube of side n."""
-    steps = np.array([(o[0] * n + o[1]) * n + o[2] for o in CUBE])
+def _round(alive: np.ndarray, z: np.ndarray, y: np.ndarray, x: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+    """Takes voxels away in place; z, y, x: true coordinates of the voxels at `at` in a flat box of this size."""
+    steps = np.array([(o[0] * size[1] + o[1]) * size[2] + o[2] for o in CUBE])
     faces = [steps[i] for i, o in enumerate(CUBE) if sum(map(abs, o)) == 1]
     border = ~np.all([alive[at + s] for s in faces], axis=0)
     parity = z % 2 * 4 + y % 2 * 2 + x % 2
@@ -82,27 +83,23 @@ def _round(alive: np.ndarray, z: np.ndarray, y: np.ndarray, x: np.ndarray, at: n
 
 def thinned(voxels: DataFrame, shape: Shape, most: int = 1000) -> DataFrame:
     """(vid, z, y, x) of the skeleton of voxels (vid, z, y, x)."""
-    ship(voxels.sparkSession)
-    n = TILE + 2 * HALO + 2  # and a rim of background
-
-    def run(table: pa.Table) -> pa.Table:
-        vid, z, y, x = (table.column(c).to_numpy() for c in ("vid", "z", "y", "x"))
-        corner = [int(table.column(f"t{c}")[0].as_py()) * TILE - HALO - 1 for c in "zyx"]
-        place = [v.astype(np.int64) - c for v, c in zip((z, y, x), corner, strict=True)]
-        at = (place[0] * n + place[1]) * n + place[2]
-        alive = np.zeros(n**3, dtype=bool)
+
+    def run(frame: Frame, table: pa.Table) -> pa.Table:
+        size = np.array(frame.shape) + 2  # and a border of background
+        z, y, x = (p - low + 1 for p, low in zip(frame.place, frame.low, strict=True))
+        at = (z * size[1] + y) * size[2] + x
+        alive = np.zeros(size.prod(), dtype=bool)
         alive[at] = True
-        _round(alive, z, y, x, at, n)
-        own = np.all([(p > HALO) & (p <= HALO + TILE) for p in place], axis=0) & alive[at]
-        return pa.table([pa.array(v[own]) for v in (vid, z, y, x)], ["vid", "z", "y", "x"])
+        left = alive[at]
+        for _ in range(ROUNDS):
+            _round(alive, *(p[left] for p in frame.place), at[left], size)
+            left = alive[at]
+        return table.filter(pa.array(frame.inner & left)).select(["vid", "z", "y", "x"])
 
     now = written(voxels.select(F.col("vid").cast("bigint").alias("vid"), *(F.col(c).cast("int").alias(c) for c in "zyx")), "thin")
     left = now.count()
-    for _ in range(most):
-        spread = now
-        for c in "zyx":
-            spread = spread.withColumn(f"t{c}", F.explode(F.sequence(F.floor((F.col(c) - HALO) / TILE), F.floor((F.col(c) + HALO) / TILE))))
-        now = written(spread.groupBy("tz", "ty", "tx").applyInArrow(run, "vid bigint, z int, y int, x int"), "thin")
+    for _ in range(0, most, ROUNDS):
+        now = written(blockwise(now, HALO * ROUNDS, run, "vid bigint, z int, y int, x int", shape=shape), "thin")
         before, left = left, now.count()
         if left == before:
             return now
