@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from voxelgraph.operators import algebra
+from voxelgraph.operators import algebra, dissection, grid
 
 
 def test_steps_do_not_grow_with_the_length_of_a_domain():
@@ -15,3 +15,24 @@ def test_steps_do_not_grow_with_the_length_of_a_domain():
     x, steps = algebra.krylov(row, col, val, rhs[:, None], 1e-8, 600, True)
     rest = np.bincount(row, val * x[col, 0], n) - rhs
     assert steps < 600 and np.linalg.norm(rest) < 1e-7 * np.linalg.norm(rhs)
+
+
+def test_long_systems_are_solved_in_slabs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = {tuple(p): i for i, p in enumerate(np.argwhere(rng.random((160, 4, 4)) < 0.8).tolist())}
+    dense = np.diag(np.full(len(own), 0.05))
+    for p, i in own.items():
+        for o in grid.FORWARD:
+            if (j := own.get(tuple(a + b for a, b in zip(p, o, strict=True)))) is not None:
+                dense[[i, j, i, j], [i, j, j, i]] += [1, 1, -1, -1]
+    b = rng.normal(size=len(own))
+    matrix = spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in np.argwhere(dense)], "row bigint, col bigint, val double")
+    rhs, places = spark.createDataFrame(list(enumerate(b.tolist())), "row bigint, rhs double"), spark.createDataFrame([(i, *p) for p, i in own.items()], "row bigint, z int, y int, x int")
+
+    def never(*_):
+        raise AssertionError("a long system is eliminated")
+
+    monkeypatch.setattr(dissection, "FEW", np.count_nonzero(dense) * 3 // 4)
+    monkeypatch.setattr(dissection, "direct", never)
+    x = {r.row: r.val for r in dissection.solved(matrix, rhs, places, 1e-10).collect()}
+    assert np.allclose([x[i] for i in range(len(b))], np.linalg.solve(dense, b), rtol=1e-7, atol=1e-7)
