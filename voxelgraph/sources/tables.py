@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..plans.memory import written
 
 CHUNK = 1 << 18
 VOXELS = "vid bigint, z int, y int, x int, pore boolean, depth int, height int, width int"
@@ -210,19 +211,49 @@ def tex_table(df: DataFrame, order: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(ends, "line_no int, line string").unionByName(_ordered(df, order, F.concat(cells, F.lit(" \\\\")), 2))
 
 
-def mesh(faces: DataFrame) -> DataFrame:
+def mesh(faces: DataFrame, side: int = 64) -> DataFrame:
     """(kind, n, line) of an OBJ text: the corners (kind v, numbered from 1) and squares (kind f) of voxel faces (z, y, x, dz, dy,
-    dx). Numbers go by ranges of corners, so only a row for each partition meets in one place."""
-    from ..operators.fields import numbered
-
-    corner = []
-    for a, b in ((0, 0), (0, 1), (1, 1), (1, 0)):
-        place = {}
-        for c, first, second in (("z", "y", "x"), ("y", "z", "x"), ("x", "z", "y")):
-            place[c] = {c: F.when(F.col(f"d{c}") > 0, F.col(c) + 1).otherwise(F.col(c)), first: F.col(first) + a, second: F.col(second) + b}
-        corner.append(F.struct(*(F.when(F.col("dz") != 0, place["z"][c]).when(F.col("dy") != 0, place["y"][c]).otherwise(place["x"][c]).alias(c) for c in "zyx")))
-    own = faces.select("z", "y", "x", "dz", "dy", "dx", F.posexplode(F.array(*corner)).alias("k", "p")).select(F.struct("z", "y", "x", "dz", "dy", "dx").alias("face"), "k", "p.*")
-    points = numbered(own.select("z", "y", "x").distinct(), ("z", "y", "x"), "n").withColumn("n", F.col("n") + 1)
-    squares = own.join(points, ["z", "y", "x"]).groupBy("face").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("c"))
-    lines = squares.select(F.lit("f").alias("kind"), F.lit(None).cast("bigint").alias("n"), F.concat(F.lit("f "), F.array_join(F.transform("c", lambda x: x["n"].cast("string")), " ")).alias("line"))
-    return points.select(F.lit("v").alias("kind"), "n", F.concat_ws(" ", F.lit("v"), F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string")).alias("line")).unionByName(lines)
+    dx). A block of corners has all faces that touch it and numbers its own; only a row for each block meets in one place, and only
+    faces across blocks are put together by a shuffle."""
+    kinds = {"block": pa.int64(), "kind": pa.int32(), **{c: pa.int32() for c in ("z", "y", "x", "dz", "dy", "dx", *"abcd")}}
+
+    def part(key: tuple, table: pa.Table) -> pa.Table:
+        place, d = (np.stack([table.column(p + c).to_numpy() for c in "zyx"], axis=1).astype(np.int64) for p in ("", "d"))
+        corner = np.repeat((place + (d > 0))[:, None, :], 4, axis=1)
+        along = np.argsort(d != 0, axis=1, kind="stable")[:, :2]  # the two axes of a face, z before y before x
+        for k, steps in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))):
+            for axis, step in zip(along.T, steps, strict=True):
+                corner[np.arange(len(d)), k, axis] += step
+        inside = (corner // side == np.array([v.as_py() for v in key[1:]])).all(axis=2)
+        z, y, x = np.moveaxis(corner % side, 2, 0)
+        own, rank = np.unique(((z * side + y) * side + x)[inside], return_inverse=True)
+        of = np.zeros(inside.shape, np.int64)
+        of[inside] = rank + 1
+        whole = inside.all(axis=1)
+        points = np.stack((own // side**2, own // side % side, own % side), axis=1) + side * np.array([v.as_py() for v in key[1:]])
+        none = np.zeros
+        columns = {
+            "kind": np.concatenate((none(len(own)), np.where(whole, 1, 2))),
+            **{c: np.concatenate((points[:, k], np.where(whole, 0, place[:, k]))) for k, c in enumerate("zyx")},
+            **{f"d{c}": np.concatenate((none(len(own)), np.where(whole, 0, d[:, k]))) for k, c in enumerate("zyx")},
+            **{c: np.concatenate((np.arange(1, len(own) + 1) if c == "a" else none(len(own)), of[:, k])) for k, c in enumerate("abcd")},
+        }
+        n = len(columns["kind"])
+        return pa.table({"block": pa.array(np.full(n, key[0].as_py(), np.int64)), **{c: pa.array(columns[c].astype(np.int32)) for c in list(kinds)[1:]}})
+
+    rows = faces.select(*(F.col(c).cast("int").alias(c) for c in ("z", "y", "x", "dz", "dy", "dx")))
+    for c in "zyx":
+        low = F.col(c) + (F.col(f"d{c}") > 0).cast("int")
+        high = F.when(F.col(f"d{c}") != 0, low).otherwise(low + 1)
+        rows = rows.withColumn(f"block_{c}", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
+    ship(rows.sparkSession)
+    code = F.shiftleft("block_z", 42) + F.shiftleft("block_y", 21) + F.col("block_x")
+    schema = ", ".join(f"{c} {'bigint' if c == 'block' else 'int'}" for c in kinds)
+    own = written(rows.groupBy(code.alias("block"), "block_z", "block_y", "block_x").applyInArrow(part, schema), "mesh")
+    counts = own.where("kind = 0").groupBy("block").count()
+    base = counts.select("block", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each block
+    own = own.join(F.broadcast(base), "block").select("kind", "z", "y", "x", "dz", "dy", "dx", *(F.when(F.col(c) > 0, F.col(c) + F.col("base")).alias(c) for c in "abcd"))
+    points = own.where("kind = 0").select(F.lit("v").alias("kind"), F.col("a").alias("n"), F.concat_ws(" ", F.lit("v"), *(F.col(c).cast("string") for c in "xyz")).alias("line"))
+    across = own.where("kind = 2").groupBy("z", "y", "x", "dz", "dy", "dx").agg(*(F.max(c).alias(c) for c in "abcd"))
+    squares = own.where("kind = 1").select(*"abcd").unionByName(across.select(*"abcd"))
+    return points.unionByName(squares.select(F.lit("f").alias("kind"), F.lit(None).cast("bigint").alias("n"), F.concat_ws(" ", F.lit("f"), *(F.col(c).cast("string") for c in "abcd")).alias("line")))
